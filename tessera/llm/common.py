@@ -112,7 +112,7 @@ def pack(docs: DataFrame, text: str = "text") -> Saved:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))
         for i, t in enumerate(slices(batches, at)):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.schema, options=options) as w:

@@ -160,6 +160,9 @@ def _answer(t: pa.Table) -> pa.Table:
     out = []
     kinds = t.column("kind").to_pylist()
     for kind in sorted(set(kinds)):
+        if kind == STATE:  # on its way to its packed row
+            out += [tuple(t.column(c)[i].as_py() for c in ASK_ARROW.names) for i, k in enumerate(kinds) if k == STATE]
+            continue
         rows = [i for i, k in enumerate(kinds) if k == kind]
         rows.sort(key=lambda i: t.column("batch")[i].as_py())
         bodies = [t.column("body")[i].as_py() for i in rows]
@@ -243,7 +246,7 @@ def _spans(cov: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[offs[1:]] - a[offs[:-1]], b[offs[1:]] - b[offs[:-1]]
 
 
-def _refine(docs: DataFrame, text: str, least: int) -> tuple[Saved, Saved, DataFrame, int]:
+def _refine(docs: DataFrame, text: str, least: int) -> tuple[Saved, DataFrame, int]:
     if not 128 + Q <= least <= 256:
         raise ValueError(f"min_bytes must be from {128 + Q} to 256")
     at = docs.columns.index(text)
@@ -278,16 +281,14 @@ def _refine(docs: DataFrame, text: str, least: int) -> tuple[Saved, Saved, DataF
                 order = np.argsort(to, kind="stable")
                 for part, x in _cuts(to[order], order):
                     out.append((part, batch, STARTS, s[x].tobytes() + (n[x] > 1).astype(np.uint8).tobytes()))
-                open_ = which[~again[which]]  # the others repeat anyway
-                state = [runs.first[again], runs.last[again] + 1, runs.first[open_], runs.last[open_] + 1]
-                out.append((-1, batch, STATE, np.array([len(x) for x in state], np.int32).tobytes() + b"".join(x.astype(np.int32).tobytes() for x in state) + s.astype(np.uint64).tobytes()))
+                fresh = (~again[which]).astype(np.int32)  # the others repeat anyway
+                state = [runs.first[again], runs.last[again] + 1, runs.first[which], runs.last[which] + 1, fresh]
+                out.append((parts + batch % parts, batch, STATE, np.array([len(x) for x in state], np.int32).tobytes() + b"".join(x.astype(np.int32).tobytes() for x in state)))
         return _rows(out)
 
     answers = packed.df.mapInArrow(ask, ASK).groupBy("r").applyInArrow(_answer, ASK)
-    asked = Saved(packed.df.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(refine, ASK), "uncompressed")
-    state = asked.df.where(F.col("kind") == STATE)
-    found = asked.df.where(F.col("kind") == STARTS).groupBy("r").applyInArrow(_answer, ASK)
-    return packed, asked, state.unionByName(found), parts
+    asked = packed.df.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(refine, ASK)
+    return packed, asked.groupBy("r").applyInArrow(_answer, ASK), parts
 
 
 def _finish(packed: Saved, told: DataFrame, parts: int, at: int, least: int, schema: str, build) -> DataFrame:
@@ -301,12 +302,9 @@ def _finish(packed: Saved, told: DataFrame, parts: int, at: int, least: int, sch
                 data, offs = _text(t, at)
                 cov = np.zeros(len(data), bool)
                 for raw in (b for k, b in zip(right.column("kind").to_pylist(), right.column("body").to_pylist(), strict=True) if k == STATE):
-                    sizes = np.frombuffer(raw, np.int32, 4)
-                    a, b, c, d = np.split(np.frombuffer(raw, np.int32, int(sizes.sum()), 16).astype(np.int64), np.cumsum(sizes)[:-1])
-                    s = np.frombuffer(raw, np.uint64, offset=16 + 4 * int(sizes.sum()))
-                    more = np.zeros(0, np.int64)
-                    if len(c):
-                        more = _again(data, c, d, s, (_answers(right, STARTS, s, parts) & 1).astype(bool), least)
+                    sizes = np.frombuffer(raw, np.int32, 5)
+                    a, b, c, d, fresh = np.split(np.frombuffer(raw, np.int32, int(sizes.sum()), 20).astype(np.int64), np.cumsum(sizes)[:-1])
+                    more = _again(data, c, d, fresh > 0, right, parts, least) if len(c) else c
                     cov = _covered(len(data), (a, b), more, least)
                 out.append(build(t, data, offs, cov))
         return pa.concat_tables(out)
@@ -314,8 +312,8 @@ def _finish(packed: Saved, told: DataFrame, parts: int, at: int, least: int, sch
     return packed.df.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(end, schema)
 
 
-def _again(data: np.ndarray, first: np.ndarray, end: np.ndarray, s: np.ndarray, flags: np.ndarray, least: int) -> np.ndarray:
-    """Of the starts in some runs, those whose name was found again. Only those runs' bytes are named anew."""
+def _again(data: np.ndarray, first: np.ndarray, end: np.ndarray, fresh: np.ndarray, told: pa.Table, parts: int, least: int) -> np.ndarray:
+    """Of the starts in the fresh ones of some runs, those whose name was found again. Only the runs' bytes are named anew."""
     n = end - first
     size = n + least - 1
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -323,10 +321,10 @@ def _again(data: np.ndarray, first: np.ndarray, end: np.ndarray, s: np.ndarray,
     runs = _Runs.__new__(_Runs)
     runs.least, runs.names = least, _names(data[take], 128)
     runs.first, runs.last = at, at + n - 1
-    k = _least(runs.names[Q], least - Q + 1)
-    runs.key = k[at]
+    runs.key = _least(runs.names[Q], least - Q + 1)[at]
     pos, names = runs.starts(np.arange(len(at)))
-    hit = flags[np.searchsorted(s, names)]
+    s, _, inv = _grouped(names)
+    hit = (_answers(told, STARTS, s, parts) & 1).astype(bool)[inv] & np.repeat(fresh, n)
     return take[pos[hit]]
 
 
@@ -335,7 +333,7 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def measure_repeats(docs: DataFrame, min_bytes: int = 200) -> DataFrame:
     """For each document: its bytes, those removed, removed pieces, and the SHA-256 of what is left."""
-    packed, asked, told, parts = _refine(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", min_bytes)
+    packed, told, parts = _refine(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", min_bytes)
 
     def build(t: pa.Table, data: np.ndarray, offs: np.ndarray, cov: np.ndarray) -> pa.Table:
         gone, spans = _spans(cov, offs)
@@ -350,7 +348,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", min_bytes: int = 200, cou
 
     ``count`` names the column with the text's length in characters, which follows; None or absent: no such column.
     """
-    packed, asked, told, parts = _refine(docs, text, min_bytes)
+    packed, told, parts = _refine(docs, text, min_bytes)
     at, names = docs.columns.index(text), docs.columns
     counted = names.index(count) if count in names else None
 

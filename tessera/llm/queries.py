@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 
@@ -15,6 +16,30 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_repeats(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import simhash_components
+
+    return simhash_components(read(spark, sf_dir, "documents"), words=3, most=3)
+
+
+def op6_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_online
+
+    return pack_online(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, last_id=2)
+
+
+def op10_packed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each row of the packed matrix: its documents and their starts, cumulative lengths, and CRC-32s of ids and positions."""
+    import public_tokenizers
+
+    from tessera.llm.packing import pack_matrix
+
+    rows = pack_matrix(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, last_id=2)
+    return rows.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("input_ids").alias("ids_crc32"), F.crc32("position_ids").alias("positions_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -38,3 +38,6 @@ def usage_month_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = days.join(n, "day", "left").select("day", F.coalesce("c", F.lit(0)).alias("n_events"))
     top = F.max("n_events").over(Window.partitionBy())
     return z.select(F.col("day").cast("string").alias("day"), "n_events", F.when(top == 0, 0.0).otherwise(F.round(F.col("n_events") * 100.0 / top, 6)).alias("height"))
+
+
+from tessera.plans import relational as _relational  # noqa: E402,F401  (registers its queries)

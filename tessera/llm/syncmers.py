@@ -4,7 +4,7 @@ A text's letters are its words, cut into at most 8 characters each. A k-mer is 5
 are the 4 pairs in it, and a closed syncmer is a k-mer whose least pair (by hash) is its first or last. Whether a k-mer
 is one depends on itself alone, so equal passages have equal anchors wherever they stand.
 
-A fingerprint is the 64 least anchor hashes of a text, in order, 8 hex digits each; a text of under 5 words is one anchor.
+A fingerprint is the 64 least anchor hashes of a text, in order, 8 hex digits each; a text without one (any of under 5 words) is one anchor.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ def _words(text: Column) -> Column:
 
 
 def _hashed(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds arrays out_w (hashes of words) and out_p (hashes of pairs)."""
+    """Adds out_p (hashes of pairs of words) and out_h (the hash of all words)."""
     df = df.withColumn(f"{out}_w", F.transform(_words(F.col(text)), lambda x: F.xxhash64(x)))
-    w = F.col(f"{out}_w")
-    return df.withColumn(f"{out}_p", F.expr(f"zip_with({out}_w, slice({out}_w, 2, greatest(size({out}_w) - 1, 0)), (a, b) -> xxhash64(a, b))")).withColumn(f"{out}_w", F.when(F.size(w) < 5, w))
+    pairs = f"zip_with({out}_w, slice({out}_w, 2, greatest(size({out}_w) - 1, 0)), (a, b) -> xxhash64(a, b))"
+    return df.withColumn(f"{out}_p", F.expr(pairs)).withColumn(f"{out}_h", F.xxhash64(f"{out}_w")).drop(f"{out}_w")
 
 
 def _places(pairs: str) -> str:
@@ -45,8 +45,9 @@ def _sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: an ordered array of the least anchor hashes, 32 bits each. A column at a time, so that none is computed twice."""
     df = _hashed(df, text, out)
     anchor = f"transform({_places(out + '_p')}, i -> xxhash64({out}_p[i - 1], {out}_p[i + 1], {out}_p[i + 2]) & 4294967295L)"
-    whole = f"array(xxhash64({out}_w) & 4294967295L)"
-    df = df.withColumn(out, F.expr(f"IF({out}_w IS NULL, {anchor}, {whole})")).drop(f"{out}_w", f"{out}_p")
+    df = df.withColumn(out, F.expr(f"IF(size({out}_p) < 5, cast(array() AS array<bigint>), {anchor})")).drop(f"{out}_p")
+    whole = f"array({out}_h & 4294967295L)"
+    df = df.withColumn(out, F.expr(f"IF(size({out}) = 0, {whole}, {out})")).drop(f"{out}_h")
     return df.withColumn(out, F.slice(F.array_sort(F.array_distinct(F.col(out))), 1, SKETCH))
 
 

@@ -10,7 +10,7 @@ from tessera.llm.syncmers import anchors, fingerprint_digest
 def made(seed, n=60):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdeé😀") for _ in range(r.randint(1, 6)))
-    return [None, "", "a", "ab", "abc", "one two three four", "x" * 3000] + [" ".join(word() for _ in range(r.randint(5, 300))) for _ in range(n)]
+    return [None, "", "a", "ab", "abc", "one two three four", "x" * 3000] + [f"v{i} w{i} x{i} y{i} z{i}" for i in range(12)] + [" ".join(word() for _ in range(r.randint(5, 300))) for _ in range(n)]
 
 
 @pytest.mark.parametrize("rows", [500, 7])

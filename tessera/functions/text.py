@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Function words by language (fixed values); `la` is shared by two of them.
@@ -91,22 +91,35 @@ def function_words(text: Column) -> dict[str, Column]:
     }
 
 
-def guess_language(text: Column) -> tuple[Column, Column]:
-    """(language, score): by script from three tenths of the letters up, else by function words at twice the rival's rate."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
-    c, w = script_counts(t), function_words(t)
+def with_language(df: DataFrame, text: str) -> DataFrame:
+    """Adds guess and score: by script from three tenths of the letters up, else by function words at twice the rival's
+    rate. Counts are columns of their own below, so each pattern passes a text once."""
+    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
+    d = df.withColumn("_t", t)
+    counts = script_counts(F.col("_t")) | {f"w_{k}": c for k, c in function_words(F.col("_t")).items()}
+    d = d.withColumns({f"_{k}": c for k, c in counts.items()})
+    c = {k: F.col(f"_{k}") for k in counts}
     enough = lambda x: (c["letters"] > 0) & (x * 10 >= c["letters"] * 3)
     three = lambda x: F.floor(x * 1000 + 0.5) / 1000
     share = lambda x: three(x / c["letters"])
-    big, small = F.greatest(w["en"], w["fr"]), F.least(w["en"], w["fr"])
-    rival = F.greatest(w["en"], w["fr_es"])
-    short = F.length(t) < 200
+    en, fr, es = c["w_en"], c["w_fr"], c["w_es"]
+    big, small, rival = F.greatest(en, fr), F.least(en, fr), F.greatest(en, c["w_fr_es"])
     kana = (c["kana"] > 0) & enough(c["kana"] + c["han"])
-    spanish = (w["es"] >= 2) & (w["es"] >= 2 * rival)
-    lang = F.when(short, "en").when(enough(c["hangul"]), "ko").when(kana, "ja").when(enough(c["han"]), "zh").when(enough(c["arabic"]), "ar").when(spanish, "es").when((big >= 2 * small) & (w["fr"] > w["en"]), "fr").otherwise("en")
-    score = F.when(short, 0.0).when(enough(c["hangul"]), share(c["hangul"])).when(kana, share(c["kana"] + c["han"])).when(enough(c["han"]), share(c["han"])).when(enough(c["arabic"]), share(c["arabic"]))
-    score = score.when(spanish, three(1 - rival / w["es"])).when(big == 0, 0.0).otherwise(three(1 - small / big))
-    return lang, score
+    spanish = (es >= 2) & (es >= 2 * rival)
+    cases = [
+        (F.length("_t") < 200, "en", F.lit(0.0)),
+        (enough(c["hangul"]), "ko", share(c["hangul"])),
+        (kana, "ja", share(c["kana"] + c["han"])),
+        (enough(c["han"]), "zh", share(c["han"])),
+        (enough(c["arabic"]), "ar", share(c["arabic"])),
+        (spanish, "es", three(1 - rival / es)),
+        (big == 0, "en", F.lit(0.0)),
+        ((big >= 2 * small) & (fr > en), "fr", three(1 - small / big)),
+    ]
+    lang, score = F.lit("en"), three(1 - small / big)
+    for when, code, x in reversed(cases):
+        lang, score = F.when(when, code).otherwise(lang), F.when(when, x).otherwise(score)
+    return d.withColumns({"guess": lang, "score": score.cast("double")}).drop("_t", *[f"_{k}" for k in counts])
 
 
 _WIDE = r"[\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"

@@ -19,7 +19,7 @@ def boxes(answers: DataFrame, key: str = "user_id") -> DataFrame:
     """key, box, correct, wrong, due: Leitner boxes out of (key, at, seq, correct). A right answer moves up one, a wrong
     one back to the first; the first answer counts from box one. So the box is one more than the right answers since the
     last wrong one, four at most: two aggregations, no ordered fold."""
-    last = answers.groupBy(key).agg(F.max(F.when(~F.col("correct"), F.struct("at", "seq"))).alias("w"), F.max("at").alias("at"), F.count_if("correct").alias("right"), F.count_if(~F.col("correct")).alias("wrong"))
+    last = answers.groupBy(key).agg(F.max(F.when(~F.col("correct"), F.struct("at", "seq"))).alias("w"), F.max("at").alias("at"), F.count_if(F.col("correct")).alias("right"), F.count_if(~F.col("correct")).alias("wrong"))
     run = answers.where("correct").join(last.select(key, "w"), key).where(F.col("w").isNull() | (F.struct("at", "seq") > F.col("w"))).groupBy(key).agg(F.count("*").alias("run"))
     out = last.join(run, key, "left").withColumn("box", F.least(F.lit(4), 1 + F.coalesce("run", F.lit(0))).cast("int"))
     days = F.when(F.col("box") == 1, BOX_DAYS[1]).when(F.col("box") == 2, BOX_DAYS[2]).when(F.col("box") == 3, BOX_DAYS[3])

@@ -44,8 +44,7 @@ c AS (SELECT doc_id, length(t) AS n, len(list_filter(w, lambda x: {_WORDS['en']}
 SELECT doc_id, CASE WHEN n < 200 THEN 'en' WHEN es >= 2 AND es >= 2 * greatest(en, f2) THEN 'es' WHEN greatest(en, fr) >= 2 * least(en, fr) AND fr > en THEN 'fr' ELSE 'en' END AS guess,
 CASE WHEN n < 200 THEN 0.0 WHEN es >= 2 AND es >= 2 * greatest(en, f2) THEN floor((1 - greatest(en, f2) / es) * 1000 + 0.5) / 1000 WHEN greatest(en, fr) = 0 THEN 0.0 ELSE floor((1 - least(en, fr) / greatest(en, fr)) * 1000 + 0.5) / 1000 END AS score FROM c""")
 def guess_language(s: SparkSession, d: str) -> DataFrame:
-    lang, score = T.guess_language(F.col("text"))
-    return table(s, d, "documents").select("doc_id", lang.alias("guess"), score.cast("double").alias("score"))
+    return T.with_language(table(s, d, "documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")

@@ -118,6 +118,7 @@ def latest_posts(posts: DataFrame) -> DataFrame:
 
 def notebooks(cells: DataFrame) -> DataFrame:
     """name, json out of cells (name, seq, kind, source): notebooks of a few cells each."""
-    cell = F.struct("seq", F.struct(F.col("kind").alias("cell_type"), F.create_map().cast("map<string,string>").alias("metadata"), F.array("source").alias("source")).alias("c"))
-    g = cells.groupBy("name").agg(F.array_sort(F.collect_list(cell)).alias("x"))
-    return g.select("name", F.to_json(F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), F.create_map().cast("map<string,string>").alias("metadata"), F.col("x.c").alias("cells"))).alias("json"))
+    g = cells.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "source"))).alias("x"))
+    none = F.create_map().cast("map<string,string>")
+    made = F.transform("x", lambda c: F.struct(c["kind"].alias("cell_type"), none.alias("metadata"), F.array(c["source"]).alias("source")))
+    return g.select("name", F.to_json(F.struct(F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"), none.alias("metadata"), made.alias("cells"))).alias("json"))

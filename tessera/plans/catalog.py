@@ -43,3 +43,4 @@ def usage_month_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 from tessera.plans import relational as _relational  # noqa: E402,F401  (registers its queries)
 from tessera.plans import schedules as _schedules, textual as _textual  # noqa: E402,F401
 from tessera.plans import retrieval as _retrieval  # noqa: E402,F401
+from tessera.plans import flows as _flows  # noqa: E402,F401

@@ -84,6 +84,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+def _level(keys: str, above: str, join: str, m: str, n: int) -> str:
+    """SQL of one level of the host reputation: counts shrunk to the level above."""
+    return f"""g{n} AS (SELECT {keys}, sum(c.n) AS n, sum(c.bad) AS bad, max({m}) AS p FROM c JOIN {above} ON {join} GROUP BY {keys}),
+k{n} AS (SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN s > e THEN d / (s - e) - 1 END, 1000.0))) AS k FROM (SELECT sum(n * (bad / n - p) ** 2) AS s, sum(p * (1 - p)) AS e, sum(p * (1 - p) * (n - 1)) AS d FROM g{n} WHERE n > 0)),
+l{n} AS (SELECT g{n}.*, (bad + p * k) / (n + k) AS m{n}, sqrt((bad + p * k) / (n + k) * (1 - (bad + p * k) / (n + k)) / (n + k + 1)) AS sd FROM g{n}, k{n})"""
+
+
 SQL = {
     "op3_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -92,4 +99,20 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(genera
   FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op7_url_filter": f"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h),
+v AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' ELSE 'block' END AS ruled FROM r),
+b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS bad FROM v GROUP BY 1, 2),
+c AS (SELECT host, n, bad, regexp_extract(name, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(name, '[^.]*$') AS suffix FROM b),
+l0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM c),
+{_level("c.suffix", "l0", "true", "m0", 1)},
+{_level("c.suffix, c.domain", "l1", "l1.suffix = c.suffix", "m1", 2)},
+{_level("c.suffix, c.domain, c.host", "l2", "l2.suffix = c.suffix AND l2.domain = c.domain", "m2", 3)}
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN m3 - 1.64 * sd > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN l3 ON l3.host = v.host""",
 }

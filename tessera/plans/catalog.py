@@ -44,3 +44,4 @@ from tessera.plans import relational as _relational  # noqa: E402,F401  (registe
 from tessera.plans import schedules as _schedules, textual as _textual  # noqa: E402,F401
 from tessera.plans import retrieval as _retrieval  # noqa: E402,F401
 from tessera.plans import flows as _flows  # noqa: E402,F401
+from tessera.plans import studies as _studies  # noqa: E402,F401

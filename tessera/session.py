@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +29,24 @@ def build(master: str | None = None, app: str = "tessera", **conf: str) -> Spark
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver's copy lies; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        here = os.path.dirname(os.path.abspath(__file__))
+        at = os.path.realpath(tempfile.mkdtemp(prefix="tessera-"))  # the driver serves the file while it lives
+        atexit.register(shutil.rmtree, at, True)
+        shutil.copytree(here, f"{at}/in/{os.path.basename(here)}", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/tessera", "zip", f"{at}/in"))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the given folder; zone-less timestamps become session-zone timestamps."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df

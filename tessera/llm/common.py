@@ -13,11 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 #: Bytes of text that one packed row aims at; a longer document has a row of its own.
 PACK_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import Saved
+
 #: A source's weight by its place in the order of sources, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its own size.
 MOST = 3
 #: Rows of one source and size class that one task ranks, about; and the least number of such blocks.
 BLOCK_ROWS, LEAST_BLOCKS = 100_000, 64
+#: Above twice the class of any size.
+TURN = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -45,8 +49,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``row`` (the input row), size, source_size, target and copies (how often the mix takes the document).
 
-    Systematic sampling: in each source, documents stand in an order (size class, then blocks at random, then size);
-    each counts its expected copies, target / source_size, and the running sum plus one random offset of the source is
+    Systematic sampling: in each source, documents stand in an order (size classes up and down again, then blocks at
+    random, then size), so that both ends are small and the offset does not shift the total; each counts its expected copies, target / source_size, and the running sum plus one random offset of the source is
     cut at whole numbers: a document is taken once for each that its step crosses. So a document is taken at most
     ``most`` times, a source's total is off by little more than the sizes of a few documents, and reruns agree.
 
@@ -63,8 +67,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 def _place(rows: DataFrame, blocks: int, seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
     """rows: source, id, size and any others but the names used here."""
-    rows = rows.select("*", F.floor(8 * F.log2(F.col("size") + 1)).cast("int").alias("class"), F.xxhash64(F.lit(seed), "id").alias("dice")).withColumn("block", F.pmod("dice", F.lit(blocks)).cast("int"))
-    counts = rows.groupBy("source", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    rows = rows.withColumn("dice", F.xxhash64(F.lit(seed), "id"))
+    up = F.shiftrightunsigned("dice", 40) % 2 == 0  # half of the documents by rising size, then the others by falling size
+    step = F.floor(8 * F.log2(F.col("size") + 1)).cast("int")
+    rows = rows.withColumn("class", F.when(up, step).otherwise(TURN - step)).withColumn("block", F.pmod("dice", F.lit(blocks)).cast("int"))
+    counts = Saved(rows.groupBy("source", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))).df  # read thrice
     goal = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
 
     def before(*by: str) -> Window:
@@ -77,7 +84,7 @@ def _place(rows: DataFrame, blocks: int, seed: int, weights: tuple[int, ...], mo
     goal = goal.select(F.col("source").alias("s"), "source_size", "target")
     places = places.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("block").alias("b"), "at", "source_size", "target")
 
-    rank = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("size", "dice", "id"))
+    rank = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy(F.when(F.col("class") < TURN // 2, F.col("size")).otherwise(-F.col("size")), "dice", "id"))
     ranked = rows.withColumn("rank", rank)
     placed = ranked.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("block") == F.col("b")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

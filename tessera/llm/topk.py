@@ -28,7 +28,7 @@ def quantized(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(256 x) of each component; without vectors that are null or hold a null or non-finite component, or have no id."""
     x = F.col("embedding").cast("array<double>")
     ok = x.isNotNull() & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda y: F.floor(y * 256.0)).alias("v")) if "embedding" in vectors.columns else vectors
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda y: F.floor(y * 256.0)).alias("v"))
 
 
 def _matrix(t: pa.Table, width: int) -> np.ndarray:
@@ -86,7 +86,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         shard = F.size(F.filter(F.lit(ends or []).cast("array<bigint>"), lambda e: e < F.col("vec_id")))
     else:
         shard = F.pmod(F.expr(f"vec_id div {BLOCK}"), F.lit(shards)).cast("int")
-    # equal ids would share a shard however many there are
     rows = vectors.select("vec_id", "v", shard.cast("int").alias("shard")).withColumn("squad", F.explode(F.sequence(F.lit(0), F.lit(squads - 1))))
     asks = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(squads)).cast("int").alias("squad")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Saved, buffers, slices
-from tessera.llm.tokens import encoder
+from tessera.llm.tokens import SLICE, encoder
 
 PIECE = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
 _ROUND = [*PIECE, ("part", "long"), ("open", "boolean")]
@@ -141,7 +141,7 @@ def pack_online(docs: DataFrame, path: str, size: int = 4096, last_id: int | Non
         part = TaskContext.get().partitionId()
         w = Windows(size, windows, _count(part << 32))
         enc = encoder(path)
-        for t in slices(batches, 1):
+        for t in slices(batches, 1, SLICE):
             ids, at = enc.documents(*buffers(t.column(1)), last_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             for doc, a, b in zip(t.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -274,7 +274,7 @@ def pack_matrix(docs: DataFrame, path: str, size: int = 4096, last_id: int | Non
             held, n_held = [], 0
             return pa.RecordBatch.from_pydict(rows, schema=_MATRIX)
 
-        for t in slices(batches, 1):
+        for t in slices(batches, 1, SLICE):
             ids, at = enc.documents(*buffers(t.column(1)), last_id)
             held.append((ids, at, t.column(0).to_pylist()))
             n_held += len(ids)

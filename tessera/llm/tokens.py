@@ -24,8 +24,10 @@ _BYTE = splitmix(np.arange(1000, 1256, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
+#: Bytes of text that are encoded together: the arrays of a step take about 50 times as much.
+SLICE = 1 << 20
 #: Distinct pieces that a worker remembers; beyond, it starts anew.
-REMEMBER = 1_200_000
+REMEMBER = 500_000
 
 _OPEN: dict[str, Encoder] = {}
 
@@ -54,7 +56,7 @@ class Encoder:
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, SLICE + 1)
             self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (_BASE, _BACK))
 
     def _learn(self, keys: list[int], pieces: list[bytes]) -> None:

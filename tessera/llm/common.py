@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_lists: list[list[Saved]] = []
+
+
+@contextmanager
+def saved_here() -> Iterator[list[Saved]]:
+    """Collects the tables that are saved inside, for whoever knows when they have been used."""
+    _lists.append([])
+    try:
+        yield _lists[-1]
+    finally:
+        _lists.pop()
+
+
 class Saved:
     """A table written to the shared folder: cuts lineage and outlives lost executors. Goes with drop() or at exit."""
 
     def __init__(self, df: DataFrame, compression: str = "zstd"):
+        for x in _lists:
+            x.append(self)
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tessera/{uuid.uuid4().hex}"
         df.write.option("compression", compression).parquet(self.path)

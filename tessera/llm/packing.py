@@ -227,7 +227,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 MATRIX = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_ids binary, input_ids binary"
 _MATRIX = pa.schema([("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("input_ids", pa.binary())])
 #: Tokens that are packed together: room enough that the last sequence's padding is small.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def pack_matrix(docs: DataFrame, path: str, size: int = 4096, last_id: int | None = 2, pad_id: int = 0, chunk: int = CHUNK) -> DataFrame:

@@ -111,23 +111,24 @@ def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth:
 def _lasso(r: np.ndarray, y: np.ndarray, lam: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an l1 penalty on standardized rules, by accelerated proximal gradient."""
     mean, sd = r.mean(0), np.maximum(r.std(0), 1e-3)
-    z = (r - mean) / sd
-    w, b = np.zeros(z.shape[1]), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    z = r - mean
+    z /= sd
+    w, b = np.zeros(z.shape[1], z.dtype), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     v, vb, t = w.copy(), b, 1.0
-    u = np.ones(z.shape[1])
+    u = np.ones(z.shape[1], z.dtype)
     for _ in range(20):  # the greatest eigenvalue bounds the step
         u = z.T @ (z @ u)
         u /= max(np.linalg.norm(u), 1e-12)
     step = 4.0 / (np.linalg.norm(z @ u) ** 2 / len(y) + 1.0)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ v + vb, -30, 30)))
-        nw = v - step * (z.T @ (p - y)) / len(y)
+        nw = v - step * (z.T @ (p - y).astype(z.dtype)) / len(y)
         nb = vb - step * float(np.mean(p - y))
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * lam, 0)
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    return float(b - (w / sd) @ mean), w / sd
+    return float(b - (w / sd) @ mean), (w / sd).astype(float)
 
 
 def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
@@ -161,7 +162,8 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
     if not keys:
         p = y.mean()
         return Ensemble(math.log(p / (1 - p)), ())
-    r = np.stack([found[k] for k in keys], 1).astype(float)
+    r = np.stack([found.pop(k) for k in keys], 1).astype(np.float32)  # the driver's largest array
+    found.clear()
     part = np.arange(len(y)) % 4 == 0  # a quarter picks the penalty
     loss = {}
     for lam in (0.03, 0.01, 0.003, 0.001):

@@ -167,7 +167,7 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
     part = np.arange(len(y)) % 4 == 0  # a quarter picks the penalty
     loss = {}
     for lam in (0.03, 0.01, 0.003, 0.001):
-        b, w = _lasso(r[~part], y[~part], lam)
+        b, w = _lasso(r[~part], y[~part], lam, 150)
         q = np.clip(1 / (1 + np.exp(-np.clip(b + r[part] @ w, -30, 30))), 1e-6, 1 - 1e-6)
         loss[lam] = -np.mean(y[part] * np.log(q) + (1 - y[part]) * np.log(1 - q))
     lam = min(loss, key=loss.get)

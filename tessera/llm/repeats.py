@@ -10,8 +10,9 @@ Only the buckets that can hold more than one start are worth refining, and these
 
 1. Bucket K: the least 32-byte q-gram inside a start's window. Equal windows have equal K. Neighbouring starts with one
    K form a run; a run's whole text has a name U.
-2. A run whose U occurs again repeats as a whole. A run needs refining only if its K holds other texts U too; of equal
-   runs, one is refined.
+2. A run whose U occurs again repeats as a whole. A run needs refining only if its K holds other texts U too, or if
+   its K-gram stands more than once in its own text (so that its starts may equal each other); of equal runs, one is
+   refined.
 3. In those runs each start's bucket is refined to the full ``min_bytes``, and a name that occurs twice is a repeat.
 
 Names are dealt to machines by their own value after each task has made its own unique, so that a passage that a third
@@ -82,6 +83,7 @@ class _Runs:
         self.least = least
         none = np.zeros(0, np.int64)
         self.first, self.last, self.key, self.name = none, none, none.astype(np.uint64), none.astype(np.uint64)
+        self.inner = none.astype(bool)
         self.data = data
         if len(data) < least:
             return
@@ -107,6 +109,18 @@ class _Runs:
         self.first, self.last, self.key = a[use], b[use], k[a[use]]
         end, big = self.last + least - 128, self.names[128]
         self.name = _join(_join(big[self.first], big[(self.first + end) >> 1]), _join(big[end], self.key + (self.last - self.first).astype(np.uint64)))
+        self.inner = self._periodic(k)
+
+    def _periodic(self, k: np.ndarray) -> np.ndarray:
+        """Runs whose K-gram stands at two places of their text: two starts of one run are equal only in these."""
+        gram, w = self.names[Q], self.least - Q + 1
+        edge = np.full(w - 1, np.iinfo(np.uint64).max, np.uint64)
+        at = np.flatnonzero(gram == ~_least(np.concatenate([edge, ~k, edge]), w))  # least of some window
+        a, b = np.searchsorted(at, self.first), np.searchsorted(at, self.last + w)
+        n = b - a
+        run = np.repeat(np.arange(len(n)), n)
+        place = at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+        return np.bincount(run[gram[place] == self.key[run]], minlength=len(n)) > 1
 
     def starts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the starts in some runs, and the names of their windows."""
@@ -274,7 +288,7 @@ def _refine(docs: DataFrame, text: str, least: int) -> tuple[Saved, DataFrame, i
                 chosen = (flags & 2).astype(bool)[inv] & here
                 k, _, kinv = _grouped(runs.key)
                 many = (_answers(right, BUCKETS, k, parts) & 1).astype(bool)[kinv]
-                which = np.flatnonzero(many & chosen)
+                which = np.flatnonzero((many | runs.inner) & chosen)
                 pos, names = runs.starts(which)
                 s, n, _ = _grouped(names)
                 to = _deal(parts, s)

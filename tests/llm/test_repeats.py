@@ -74,3 +74,15 @@ def test_empty_table(spark):
     assert measure_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(1, "b" * 300, 1), (1, "b" * 300, 1)], "doc_id long, text string, r int")
     assert [r.n_removed for r in measure_repeats(same).collect()] == [300, 300]
+
+
+@pytest.mark.parametrize("n", [201, 300, 368, 400])
+def test_lone_periodic_texts(spark, n):
+    r = random.Random(n)
+    noise = lambda k: "".join(r.choice("defgijklmnop") for _ in range(k))
+    units = ["a", "ab", "ha ", "-=", "x" * 31 + "y", "the same line over and over, about sixty bytes long, again.\n", "é"]
+    alone = [(u * 400).encode()[:n].decode(errors="ignore") for u in units]
+    for texts in (alone + [noise(700)], [noise(300) + t + noise(300) for t in alone]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+        got = {x.doc_id: tuple(x)[1:] for x in measure_repeats(df).collect()}
+        assert [got[i] for i in range(len(texts))] == brute(texts)

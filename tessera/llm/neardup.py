@@ -3,9 +3,11 @@
 Copies at similarity 0.8 differ in some 15 % of a SimHash's bits: 4 to 14 of 64, so a bound of 3 bits finds hardly any.
 The same deletion variants therefore work on a wider fingerprint: SEGMENTS segments of 16 bits; at similarity 0.8 one
 of them differs by at most one bit with probability 0.95 (0.99 at 0.85), and each is indexed with each bit as a wildcard. Who shares a
-key is compared on 64 more bits; each document keeps links to the nearest and to the first of the documents
+key is compared on 64 more bits; each document first keeps links to the nearest and to the first of the documents
 before it (two rows a key at most, however large the crowd), and every link is verified on sketches of the shingle sets:
-the SKETCH least hashes, exact for texts with fewer shingles.
+the SKETCH least hashes, exact for texts with fewer shingles. Where that left close pairs out of a key, the key's rows are
+kept, and once the verified links have made groups, close pairs of different groups follow: each document with the nearest
+of each other group, then all that are still apart.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ SEGMENTS, BITS, SKETCH = 9, 16, 256
 #: Share of 64 bits that may differ in a pair worth verifying: similarity 0.8 has 0.15 in the mean, and 0.29 is three
 #: standard deviations more.
 LOOSE = 0.29
-#: Crowds above this are searched from leaders, smaller ones pair by pair.
+MOST = int(LOOSE * 64)
+#: Crowds above this first link to leaders, smaller ones pair by pair.
 CROWD = 64
 
 _SEEDS = splitmix(np.arange(77, 77 + 8, dtype=np.uint64))
@@ -50,8 +53,21 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
-def _pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside equal keys: rows are sorted by key, then node."""
+def _close(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs (i, j < i) of fingerprints within most bits, and how many bits, some rows at a time."""
+    step = max(1, (1 << 21) // max(1, len(fp)))
+    for at in range(0, len(fp), step):
+        end = min(at + step, len(fp))
+        dist = np.bitwise_count(fp[at:end, 0, None] ^ fp[None, :end, 0])
+        i, j = np.nonzero(dist <= most)
+        ok = j < i + at
+        i, j = i[ok], j[ok]
+        yield i + at, j, dist[i, j]
+
+
+def _pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links inside equal keys, and the rows of keys in which close pairs are not among them: rows are sorted by key,
+    then node."""
     cut = np.flatnonzero(np.diff(key)) + 1
     begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
     size = end - begin
@@ -62,12 +78,16 @@ def _pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tupl
     to = np.full(n, -1, np.int64)
     first = np.full(n, -1, np.int64)
     small = np.repeat(size <= CROWD, size)
+    touched = np.zeros(n, bool)
+    count = np.zeros(n, np.int64)
     place = np.arange(n) - np.repeat(begin, size)
     for d in range(1, int(size[size <= CROWD].max(initial=1))):
         i = np.flatnonzero(small & (place >= d))
         dist = _apart(fp[i], fp[i - d])
         ok = dist <= most
         i, dist = i[ok], dist[ok]
+        count[i] += 1
+        touched[i] = touched[i - d] = True
         better = dist < near[i]
         near[i[better]], to[i[better]] = dist[better], i[better] - d
         first[i] = i - d  # the farthest back comes last
@@ -75,21 +95,62 @@ def _pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tupl
         i = np.flatnonzero(link >= 0)
         a.append(node[link[i]])
         b.append(node[i])
+    left = np.logical_or.reduceat(count > 2, begin) | (size > CROWD)
     for s, e in zip(begin[size > CROWD], end[size > CROWD], strict=True):
         own, rest = fp[s:e], np.arange(e - s)
         by = np.lexsort(own.T)
         ok = _apart(own[by[1:]], own[by[:-1]]) <= most
-        a.append(node[s + by[:-1][ok]])
-        b.append(node[s + by[1:][ok]])
+        a.append(node[s + np.minimum(by[1:], by[:-1])[ok]])
+        b.append(node[s + np.maximum(by[1:], by[:-1])[ok]])
         while len(rest):
             lead, rest = rest[0], rest[1:]
             ok = _apart(own[rest], own[lead]) <= most
             a.append(np.full(int(ok.sum()), node[s + lead]))
             b.append(node[s + rest[ok]])
             rest = rest[~ok]
+        for i, j, _ in _close(own, most):
+            touched[s + i] = touched[s + j] = True
+    return np.concatenate(a), np.concatenate(b), np.flatnonzero(touched & np.repeat(left, size))
+
+
+def _apart_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, most: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs of different groups inside equal keys: each row with the nearest of each group before it, or all."""
+    cut = np.flatnonzero(np.diff(key)) + 1
+    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+    mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+    a, b = [node[:0]], [node[:0]]
+    for s, e in zip(begin[mixed], end[mixed], strict=True):
+        for i, j, dist in _close(fp[s:e], most):
+            i, j = s + i, s + j
+            ok = root[i] != root[j]
+            i, j, dist = i[ok], j[ok], dist[ok]
+            if not every and len(i):
+                by = np.lexsort((dist, root[j], i))
+                i, j = i[by], j[by]
+                ok = np.concatenate([[True], (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])])
+                i, j = i[ok], j[ok]
+            a.append(node[j])
+            b.append(node[i])
     return np.concatenate(a), np.concatenate(b)
 
 
+def _by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole keys, out of batches that are sorted by the first column."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got = [c.to_numpy() for c in b.columns]
+        if held:
+            got = [np.concatenate(x) for x in zip(held, got, strict=True)]
+        at = int(np.searchsorted(got[0], got[0][-1]))
+        if at:
+            yield [x[:at] for x in got]
+        held = [x[at:] for x in got]
+    if held:
+        yield held
+
+
 def _prints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, thash, fp, sketch) of docs (doc_id, text, thash)."""
     wide = -(-SEGMENTS * BITS // 64)
@@ -106,9 +167,9 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _candidates(prints: DataFrame) -> DataFrame:
-    """Links (a, b) to verify among distinct texts (node, fp). A row carries the fingerprint's last 64 bits, of which one
-    segment at most is a key, to be compared by."""
-    most = int(LOOSE * 64)
+    """Links (a, b) to verify among distinct texts (node, fp), their key null; and as (key, node, bits) the rows of keys in
+    which other pairs are close. A row carries the fingerprint's last 64 bits, of which one segment at most is a key, to
+    be compared by."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ~(np.uint64(1) << np.arange(BITS, dtype=np.uint64))
@@ -124,22 +185,26 @@ def _candidates(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, k)), pa.array(np.repeat(check, k))], ["key", "node", "bits"])
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            got = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)[:, None])
-            if held:
-                got = tuple(np.concatenate(x) for x in zip(held, got, strict=True))
-            at = int(np.searchsorted(got[0], got[0][-1]))
-            if at:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*(x[:at] for x in got), most)], ["a", "b"])
-            held = tuple(x[at:] for x in got)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*held, most)], ["a", "b"])
+        for key, node, bits in _by_key(batches):
+            a, b, left = _pairs(key, node, bits.view(np.uint64)[:, None], MOST)
+            keys = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[left])])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([a, node[left]])), pa.array(np.concatenate([b, bits[left]]))], ["key", "a", "b"])
 
     rows = prints.select("node", "fp").mapInArrow(spread, "key long, node long, bits long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "key long, a long, b long")
+
+
+def _apart_links(left: DataFrame, roots: DataFrame, tried: DataFrame, every: bool) -> DataFrame:
+    """Links (a, b) to verify between groups, among the rows that _candidates left (key, node, bits)."""
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, bits, root in _by_key(batches):
+            a, b = _apart_pairs(key, node, bits.view(np.uint64)[:, None], root, MOST, every)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = left.join(roots, "node", "left").select("key", "node", "bits", F.coalesce("root", "node").alias("root"))
+    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "a long, b long").distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def _verified(links: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
@@ -160,13 +225,29 @@ def _verified(links: DataFrame, prints: DataFrame, similarity: float) -> DataFra
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _roots(prints: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the texts that verified links connect."""
+    found = Saved(_candidates(prints)).df
+    tried = Saved(found.where("key IS NULL").select("a", "b").distinct()).df
+    left = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), F.col("b").alias("bits"))
+    roots = components(_verified(tried, prints, similarity))
+    if left.isEmpty():
+        return roots
+    for every in (False, True):
+        more = Saved(_apart_links(left, roots, tried, every)).df
+        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(tree.unionByName(_verified(more, prints, similarity)))
+        tried = tried.unionByName(more)
+    return roots
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, thash, group): every row's group of near copies; group is the text hash (xxhash64) that stands for it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("thash", F.xxhash64("text"))
     prints = Saved(_prints(texts, words)).df
     once = Saved(prints.groupBy(F.col("thash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df
     some = once.where(F.length("sketch") > 0)
-    roots = components(_verified(_candidates(some), some, similarity))
+    roots = _roots(some, similarity)
     got = prints.select("doc_id", "thash").join(roots, F.col("thash") == F.col("node"), "left")
     return got.select("doc_id", "thash", F.coalesce("root", "thash").alias("group"))
 

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+
+from tessera.llm import neardup
 from tessera.llm.neardup import drop_near_duplicates, near_groups
 
 
@@ -47,3 +51,44 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (6, None)], "doc_id long, text string")
     assert sorted(x.doc_id for x in drop_near_duplicates(df).collect()) == [5, 6]
     assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [20, 150])
+def test_every_close_pair_of_two_groups_is_proposed(n):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 2**63, dtype=np.uint64)
+    flip = (np.uint64(1) << np.argsort(r.random((n, 64)), axis=1)[:, :8].astype(np.uint64)).sum(1, dtype=np.uint64)
+    fp, key, node = (base ^ flip)[:, None], np.zeros(n, np.int64), np.arange(n)
+    want = {(j, i) for i in range(n) for j in range(i) if int(fp[i, 0] ^ fp[j, 0]).bit_count() <= neardup.MOST}
+    a, b, left = neardup._pairs(key, node, fp, neardup.MOST)
+    first = set(zip(a.tolist(), b.tolist()))
+    assert first < want and {x for p in want - first for x in p} <= set(left.tolist())
+    more = set(zip(*(x.tolist() for x in neardup._apart_pairs(key[left], node[left], fp[left], node[left], neardup.MOST, True))))
+    assert first | more == want
+    same = neardup._apart_pairs(key[left], node[left], fp[left], np.zeros(len(left), np.int64), neardup.MOST, True)
+    assert not len(same[0])
+
+
+def test_copies_among_texts_with_one_boilerplate(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+
+    def changed(t, k):
+        at = r.randrange(5, len(t) - k - 5)
+        return t[:at] + [word() for _ in range(k)] + t[at + k :]
+
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(70):
+        t = changed(base, 6)
+        texts += [" ".join(t), " ".join(changed(t, 7))]
+    r.shuffle(texts)
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.group for x in near_groups(df).collect()}
+    lost = sum(got[i] != got[j] for i, j in links)
+    root = list(range(len(texts)))
+    for i, j in links:
+        root = [root[i] if x == root[j] else x for x in root]
+    assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
+    assert lost <= 0.01 * len(links)

@@ -4,8 +4,8 @@ Copies at similarity 0.8 differ in some 15 % of a SimHash's bits: 4 to 14 of 64,
 The same deletion variants therefore work on a wider fingerprint: SEGMENTS segments of 16 bits; at similarity 0.8 one
 of them differs by at most one bit with probability 0.95 (0.99 at 0.85), and each is indexed with each bit as a wildcard. Who shares a
 key is compared on 64 more bits; each document first keeps links to the nearest and to the first of the documents
-before it (two rows a key at most, however large the crowd), and every link is verified on sketches of the shingle sets:
-the SKETCH least hashes, exact for texts with fewer shingles. Where that left close pairs out of a key, the key's rows are
+before it (two rows a key at most, however large the crowd), and every link is verified on sketches of the shingle sets (the
+SKETCH least hashes, exact for texts with fewer shingles) and, near the bound, on all shingles. Where that left close pairs out of a key, the key's rows are
 kept, and once the verified links have made groups, close pairs of different groups follow: each document with the nearest
 of each other group, then all that are still apart.
 """
@@ -28,6 +28,10 @@ SEGMENTS, BITS, SKETCH = 9, 16, 256
 #: standard deviations more.
 LOOSE = 0.29
 MOST = int(LOOSE * 64)
+#: A sketch's estimate decides if it is this far from the bound: at 0.8, five standard deviations (0.025).
+MARGIN = 0.125
+#: Parts of a text's shingles, by the first four bits of their hash, so that no row is long.
+PARTS = 16
 #: Crowds above this first link to leaders, smaller ones pair by pair.
 CROWD = 64
 
@@ -207,36 +211,71 @@ def _apart_links(left: DataFrame, roots: DataFrame, tried: DataFrame, every: boo
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _verified(links: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+def _verified(links: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts are as similar as that. Sketches decide where they hold all shingles, or are further
+    than MARGIN from the bound; the others are counted on all distinct shingles."""
     side = lambda n: prints.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
     pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            ok = []
+            ok, sure = [], []
             for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
                 p, q = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)
                 both = np.union1d(p, q)
+                margin = 0.0
                 if len(p) >= SKETCH or len(q) >= SKETCH:
-                    both = both[:SKETCH]
-                ok.append(len(np.intersect1d(np.intersect1d(p, q, True), both, True)) >= similarity * len(both))
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(ok, pa.bool_())), x.column(1).filter(pa.array(ok, pa.bool_()))], ["a", "b"])
+                    both, margin = both[:SKETCH], MARGIN
+                same = len(np.intersect1d(np.intersect1d(p, q, True), both, True))
+                ok.append(same >= (similarity - margin) * len(both))
+                sure.append(same >= (similarity + margin) * len(both))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep), pa.array(sure, pa.bool_()).filter(keep)], ["a", "b", "sure"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    found = Saved(pairs.mapInArrow(run, "a long, b long, sure boolean")).df
+    sure, open_ = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b")
+    if open_.isEmpty():
+        return sure
+    return sure.unionByName(_counted(open_, texts, words, similarity))
 
 
-def _roots(prints: DataFrame, similarity: float) -> DataFrame:
+def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) that have the similarity on all distinct shingles, which are dealt into PARTS by their hash."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in slices(batches, 1):
+            h, out = shingle_hashes(*buffers(t.column(1)), words)
+            for node, a, b in zip(t.column(0).to_pylist(), out[:-1], out[1:], strict=True):
+                u = np.unique(h[a:b])
+                cut = np.searchsorted(u >> np.uint64(60), np.arange(PARTS + 1, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array([node] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([len(u)] * PARTS, pa.int64()), pa.array([u[c:d].tobytes() for c, d in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "part", "n", "h"])
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            same = [len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), True)) for s, t in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(same, pa.int64())], ["a", "b", "na", "nb", "same"])
+
+    nodes = links.select(F.col("a").alias("thash")).unionByName(links.select(F.col("b").alias("thash"))).distinct()
+    one = texts.join(nodes, "thash", "left_semi").groupBy("thash").agg(F.first("text").alias("text"))
+    sets = Saved(one.mapInArrow(run, "node long, part int, n long, h binary")).df
+    side = lambda x: sets.select(F.col("node").alias(x), "part", F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}"))
+    met = links.join(side("a"), "a").join(side("b"), ["b", "part"]).select("a", "b", "na", "nb", "ha", "hb")
+    n = met.mapInArrow(meet, "a long, b long, na long, nb long, same long").groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
+    return n.where(F.col("same") >= similarity * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
+
+
+def _roots(prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the texts that verified links connect."""
     found = Saved(_candidates(prints)).df
     tried = Saved(found.where("key IS NULL").select("a", "b").distinct()).df
     left = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), F.col("b").alias("bits"))
-    roots = components(_verified(tried, prints, similarity))
+    roots = components(_verified(tried, prints, texts, words, similarity))
     if left.isEmpty():
         return roots
     for every in (False, True):
         more = Saved(_apart_links(left, roots, tried, every)).df
         tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(tree.unionByName(_verified(more, prints, similarity)))
+        roots = components(tree.unionByName(_verified(more, prints, texts, words, similarity)))
         tried = tried.unionByName(more)
     return roots
 
@@ -247,7 +286,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     prints = Saved(_prints(texts, words)).df
     once = Saved(prints.groupBy(F.col("thash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df
     some = once.where(F.length("sketch") > 0)
-    roots = _roots(some, similarity)
+    roots = _roots(some, texts, words, similarity)
     got = prints.select("doc_id", "thash").join(roots, F.col("thash") == F.col("node"), "left")
     return got.select("doc_id", "thash", F.coalesce("root", "thash").alias("group"))
 

@@ -92,3 +92,21 @@ def test_copies_among_texts_with_one_boilerplate(spark):
         root = [root[i] if x == root[j] else x for x in root]
     assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
     assert lost <= 0.01 * len(links)
+
+
+def test_long_texts_at_the_bound(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for g in range(40):
+        t = [word() for _ in range(700)]
+        u = list(t)
+        while jaccard(" ".join(t), " ".join(u)) > (0.815 if g % 2 else 0.795):
+            u[r.randrange(len(u))] = word()
+        texts += [" ".join(t), " ".join(u)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.group for x in near_groups(df).collect()}
+    assert len(set(got.values())) >= 60
+    for i in range(0, 80, 4):
+        assert got[i] != got[i + 1]  # under 0.8
+    assert sum(got[i] != got[i + 1] for i in range(2, 80, 4)) <= 3  # over 0.8, but for segments that all differ

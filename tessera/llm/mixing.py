@@ -61,12 +61,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     n = docs.count()
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
     size = word_count(F.col(text))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("id"), size.alias("size"))
+    digest = F.xxhash64(F.col(text))  # which of several rows that share an id and a size comes first
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("id"), size.alias("size"), digest.alias("digest"))
     return _place(rows, blocks, seed, weights, most)
 
 
 def _place(rows: DataFrame, blocks: int, seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
-    """rows: source, id, size and any others but the names used here."""
+    """rows: source, id, size, digest and any others but the names used here."""
     rows = rows.withColumn("dice", F.xxhash64(F.lit(seed), "id"))
     up = F.shiftrightunsigned("dice", 40) % 2 == 0  # half of the documents by rising size, then the others by falling size
     step = F.floor(8 * F.log2(F.col("size") + 1)).cast("int")
@@ -84,7 +85,7 @@ def _place(rows: DataFrame, blocks: int, seed: int, weights: tuple[int, ...], mo
     goal = goal.select(F.col("source").alias("s"), "source_size", "target")
     places = places.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("block").alias("b"), "at", "source_size", "target")
 
-    rank = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy(F.when(F.col("class") < TURN // 2, F.col("size")).otherwise(-F.col("size")), "dice", "id"))
+    rank = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy(F.when(F.col("class") < TURN // 2, F.col("size")).otherwise(-F.col("size")), "dice", "id", "digest"))
     ranked = rows.withColumn("rank", rank)
     placed = ranked.join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("block") == F.col("b")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -97,12 +97,12 @@ def _count(start: int) -> Iterator[int]:
 
 def _merge(t: pa.Table, key: int, size: int, level: int, last: bool) -> pa.Table:
     """Pack leftover pieces again, longest first and uncut; all but the emptiest windows are done, or all at last."""
-    f = t.to_pandas().sort_values(["length", "doc_id", "start", "sequence_id"], ascending=[False, True, True, True])
+    t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("sequence_id", "ascending")])
     gaps: list[tuple[int, int]] = []
     used: dict[int, int] = {}
     ids = _count(level << 56 | key << 32)
     seqs, offs = [], []
-    for n in f["length"].tolist():
+    for n in t.column("length").to_pylist():
         at = bisect_left(gaps, (n, -1))
         free, seq = gaps.pop(at) if at < len(gaps) else (size, next(ids))
         seqs.append(seq)
@@ -110,10 +110,9 @@ def _merge(t: pa.Table, key: int, size: int, level: int, last: bool) -> pa.Table
         used[seq] = size - free + n
         if free > n:
             insort(gaps, (free - n, seq))
-    f["sequence_id"], f["offset"], f["part"] = seqs, offs, key
     carry = set() if last else set(sorted(used, key=lambda s: (used[s], s))[:CARRY])
-    f["open"] = f["sequence_id"].isin(carry)
-    return pa.Table.from_pandas(f, schema=_ARROW, preserve_index=False)
+    now = {"sequence_id": pa.array(seqs, pa.int64()), "offset": pa.array(offs, pa.int64()), "part": pa.array([key] * len(seqs), pa.int64()), "open": pa.array([s in carry for s in seqs], pa.bool_())}
+    return pa.Table.from_arrays([now.get(n, t.column(n)) for n in _ARROW.names], schema=_ARROW)
 
 
 def _merger(size: int, level: int, last: bool):
@@ -132,7 +131,7 @@ def pack_online(docs: DataFrame, path: str, size: int = 4096, last_id: int | Non
     of their uncut pieces; the emptiest CARRY of each merge go on to the next.
 
     Null and empty texts have the id ``last_id`` alone; without it they have no piece. Documents of any length are cut
-    losslessly; rows with one doc_id are each a document; an empty table gives an empty result.
+    losslessly; rows with one doc_id are each a document, a null doc_id stays null; an empty table gives an empty result.
     """
     if size < 2 or windows < 1:
         raise ValueError("size and windows must be positive")
@@ -237,7 +236,8 @@ def pack_matrix(docs: DataFrame, path: str, size: int = 4096, last_id: int | Non
     little-endian 32-bit ids (``input_ids``, padded with pad_id), the pieces' cumulative lengths (``cu_seqlens``), their
     documents and starts, and positions that begin anew at each piece (``position_ids``, little-endian 32-bit).
     Tokens are packed ``chunk`` at a time, so memory does not grow with a partition. Null and empty texts have last_id
-    alone (without it: no piece); rows with one doc_id are each a document; an empty table gives an empty result.
+    alone (without it: no piece); rows with one doc_id are each a document, a null doc_id stays null; an empty table
+    gives an empty result.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

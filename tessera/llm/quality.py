@@ -30,6 +30,7 @@ def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text, by name; those of a null or empty text are all zero. They use columns made by prepared()."""
     n, w = F.greatest(F.col("_n"), F.lit(1.0)), F.greatest(F.size("_w").cast("double"), F.lit(1.0))
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
+    of_words = lambda f: F.size(F.filter("_w", f)).cast("double")
     lines = F.greatest(F.size("_l").cast("double"), F.lit(1.0))
     return {
         "s_words": F.log1p(F.size("_w").cast("double")),
@@ -41,7 +42,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "s_shouts": count(r"[!?]") / w,
         "s_bars": count(r"[|]") / w,
         "s_ends": count(r"[.!?](?:\s|$)") / w,
-        "s_stops": count(r"(?i)\b(?:" + "|".join(STOP.split()) + r")\b") / w,
+        "s_stops": of_words(lambda x: F.lower(x).isin(*sorted(set(STOP.split())))) / w,
         "s_distinct": F.size(F.array_distinct("_w")) / w,
         "s_same_lines": 1.0 - F.size(F.array_distinct("_l")) / lines,
         "s_line_words": w / lines,
@@ -108,27 +109,48 @@ def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth:
     _tree(x, g, h, rows[~left], depth - 1, (*path, (j, k, False)), out)
 
 
-def _lasso(r: np.ndarray, y: np.ndarray, lam: float, steps: int = 400) -> tuple[float, np.ndarray]:
+class _Bits:
+    """Which rows meet which rules, a bit each; products with it unpack some rows at a time, so memory stays small."""
+
+    def __init__(self, packed: np.ndarray, rules: int):
+        self.packed, self.rules = packed, rules
+        self.mean = sum(x.sum(0, dtype=np.float64) for _, x in self.blocks()) / max(1, len(packed))
+        self.sd = np.maximum(np.sqrt(self.mean * (1 - self.mean)), 1e-3)
+
+    def blocks(self):
+        for at in range(0, len(self.packed), 2048):
+            yield slice(at, at + 2048), np.unpackbits(self.packed[at : at + 2048], axis=1, count=self.rules).astype(np.float32)
+
+    def both(self, v: np.ndarray, inner) -> tuple[np.ndarray, float]:
+        """z.T @ e and sum(e) for e = inner(rows, z @ v), z being the standardized rules."""
+        x, out, total = (v / self.sd).astype(np.float32), np.zeros(self.rules), 0.0
+        base = float(self.mean @ (v / self.sd))
+        for rows, block in self.blocks():
+            e = inner(rows, block @ x - base)
+            out += e.astype(np.float32) @ block
+            total += float(e.sum())
+        return (out - total * self.mean) / self.sd, total
+
+
+def _lasso(r: _Bits, y: np.ndarray, lam: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an l1 penalty on standardized rules, by accelerated proximal gradient."""
-    mean, sd = r.mean(0), np.maximum(r.std(0), 1e-3)
-    z = r - mean
-    z /= sd
-    w, b = np.zeros(z.shape[1], z.dtype), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    w, b = np.zeros(r.rules), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     v, vb, t = w.copy(), b, 1.0
-    u = np.ones(z.shape[1], z.dtype)
+    u, norm = np.ones(r.rules), 1.0
     for _ in range(20):  # the greatest eigenvalue bounds the step
-        u = z.T @ (z @ u)
-        u /= max(np.linalg.norm(u), 1e-12)
-    step = 4.0 / (np.linalg.norm(z @ u) ** 2 / len(y) + 1.0)
+        u = r.both(u, lambda rows, s: s)[0]
+        norm = max(float(np.linalg.norm(u)), 1e-12)
+        u /= norm
+    step = 4.0 / (norm / len(y) + 1.0)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ v + vb, -30, 30)))
-        nw = v - step * (z.T @ (p - y).astype(z.dtype)) / len(y)
-        nb = vb - step * float(np.mean(p - y))
+        g, total = r.both(v, lambda rows, s: 1 / (1 + np.exp(-np.clip(s + vb, -30, 30))) - y[rows])
+        nw = v - step * g / len(y)
+        nb = vb - step * total / len(y)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * lam, 0)
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
         v, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    return float(b - (w / sd) @ mean), (w / sd).astype(float)
+    return float(b - (w / r.sd) @ r.mean), w / r.sd
 
 
 def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
@@ -137,9 +159,11 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return Ensemble(math.log(p / (1 - p)), ())
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)
+    binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1).astype(np.uint8)
     f = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
-    found: dict[tuple, np.ndarray] = {}
+    found: dict[tuple, bytes] = {}
+    turn = np.argsort(np.arange(len(y)) % 4 != 0, kind="stable")  # a quarter, which picks the penalty, comes first
+    part = int((np.arange(len(y)) % 4 == 0).sum())
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-f))
         nodes: list = []
@@ -151,26 +175,27 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray) -> Ensemble:
             for j, k, upto in path:  # the tightest bound of each side
                 terms[j, upto] = min(terms.get((j, upto), k), k) if upto else max(terms.get((j, upto), k), k)
             key = tuple(sorted((j, k, upto) for (j, upto), k in terms.items()))
-            if key not in found:
-                found[key] = np.isin(np.arange(len(y)), rows)
-    keys, seen = [], set()
-    for key, hit in found.items():
-        raw = hit.tobytes()
-        if raw not in seen and hit.any() and not hit.all():
-            seen.add(raw)
-            keys.append(key)
+            if key not in found and len(rows) < len(y):
+                hit = np.zeros(len(y), bool)
+                hit[rows] = True
+                found[key] = np.packbits(hit[turn]).tobytes()
+    keys = list({raw: key for key, raw in reversed(found.items())}.values())[::-1]  # of rules that the same rows meet, the first
     if not keys:
         p = y.mean()
         return Ensemble(math.log(p / (1 - p)), ())
-    r = np.stack([found.pop(k) for k in keys], 1).astype(np.float32)  # the driver's largest array
-    found.clear()
-    part = np.arange(len(y)) % 4 == 0  # a quarter picks the penalty
+    columns = [np.unpackbits(np.frombuffer(found.pop(k), np.uint8), count=len(y)) for k in keys]
+    packed = np.concatenate([np.packbits(np.stack([c[a : a + 2048] for c in columns], 1), axis=1) for a in range(0, len(y), 2048)])
+    del columns
+    y = y[turn]
+    held, learn = _Bits(packed[:part], len(keys)), _Bits(packed[part:], len(keys))
     loss = {}
     for lam in (0.03, 0.01, 0.003, 0.001):
-        b, w = _lasso(r[~part], y[~part], lam, 150)
-        q = np.clip(1 / (1 + np.exp(-np.clip(b + r[part] @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss[lam] = -np.mean(y[part] * np.log(q) + (1 - y[part]) * np.log(1 - q))
+        b, w = _lasso(learn, y[part:], lam, 150)
+        q = np.concatenate([x @ w.astype(np.float32) for _, x in held.blocks()])
+        q = np.clip(1 / (1 + np.exp(-np.clip(b + q, -30, 30))), 1e-6, 1 - 1e-6)
+        loss[lam] = -np.mean(y[:part] * np.log(q) + (1 - y[:part]) * np.log(1 - q))
     lam = min(loss, key=loss.get)
+    r = _Bits(packed, len(keys))
     while True:
         b, w = _lasso(r, y, lam)
         if np.count_nonzero(w) <= RULES:
@@ -186,19 +211,27 @@ def remainder(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int = MOST) -> Ensemble:
     """From labels (doc_id, target) whose crc32(doc_id as text) mod 3 is not 1. Rows without a label or document do not
-    count; of rows that share an id, one of the labels and one of the texts does."""
+    count; of rows that share an id, the least label and the text with the least SHA-256 do."""
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
     use = use.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(use), "doc_id")  # at most `most` rows of two numbers
     stats = prepared(rows)
     names = [c for c in stats.columns if c != "row"]
-    got = stats.groupBy("row.doc_id").agg(F.max("row.y").alias("y"), *[F.max(n).alias(n) for n in names]).orderBy(F.xxhash64("doc_id")).toPandas()
-    return fit_rules(names, got[names].to_numpy(float), got["y"].to_numpy(float))
+    digest = F.sha2(F.coalesce(F.col("row.text").cast("string"), F.lit("")), 256)  # equal texts have equal statistics
+    one = stats.groupBy("row.doc_id").agg(F.min(F.struct(digest.alias("t"), F.col("row.y").alias("y"), *names)).alias("x"))
+    got = one.select("doc_id", "x.y", *[f"x.{n}" for n in names]).orderBy(F.xxhash64("doc_id")).toArrow()
+    x = np.stack([got.column(n).to_numpy() for n in names], 1) if got.num_rows else np.zeros((0, len(names)))
+    return fit_rules(names, x.astype(float), got.column("y").to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, model: Ensemble) -> DataFrame:
-    """(row, score): every row of docs with the score of its whole text."""
-    return prepared(docs).select("row", model.score().alias("score"))
+    """(row, score): every row of docs with the score of its whole text.
+
+    The score is a value, not an expression that a filter on it may take down to the scan: there each of its rules would
+    hold the statistics' expressions once more. The partition's number, which is not deterministic, keeps it in place.
+    """
+    out = prepared(docs).select("row", model.score().alias("score"), F.spark_partition_id().alias("part"))
+    return out.where("part >= 0").select("row", "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

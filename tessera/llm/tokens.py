@@ -2,7 +2,7 @@
 
 Texts split at blanks, and plain ASCII runs further into letters, digits and signs: the tokenizer treats such pieces
 alone, so a piece's ids are found once and then looked up by its 64-bit name. Anything else (apostrophes, bytes above
-127) stays whole between blanks and goes through the tokenizer itself. Only for files whose pre-tokenizer splits at
+127, the file's added tokens) stays whole between blanks, as it is, and goes through the tokenizer itself. Only for files whose pre-tokenizer splits at
 every blank and drops it, and folds ASCII case (word_bpe_49k.json).
 """
 
@@ -44,7 +44,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.digits: dict[str, list[int]] = {}
         self._forget()
         self.up = self.down = np.ones(1, np.uint64)
@@ -65,7 +65,7 @@ class Encoder:
         tokenize = self.tokenizer.model.tokenize
         for i, p in enumerate(pieces):
             c = _CLASS[p[0]]
-            if p.isascii() and b"'" not in p and (c in (1, 2) or (min(p) > 32 and max(p) < 127)):
+            if p.isascii() and b"'" not in p and not any(x in p for x in self.added) and (c in (1, 2) or (min(p) > 32 and max(p) < 127)):
                 s = p.decode()
                 if c == 2:
                     ids[i] = [y for x in s for y in self._digit(x)]
@@ -108,6 +108,12 @@ class Encoder:
         at = np.flatnonzero(first)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        whole = data.tobytes()
+        for x in self.added:
+            place = whole.find(x)
+            while place >= 0:
+                kind[place] = 4
+                place = whole.find(x, place + 1)
         hard = np.repeat(np.add.reduceat(kind >= 4, at, dtype=np.int32) > 0, np.diff(np.append(at, n)))
         begin = first.copy()
         inner = word[1:].copy()
@@ -121,6 +127,7 @@ class Encoder:
         with np.errstate(over="ignore"):
             self._powers(n + 1)
             low = _LOWER[data]
+            low[at[0] :][hard] = data[at[0] :][hard]
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[low] * self.up[:n], out=sums[1:])
             names = splitmix((sums[b] - sums[a]) * self.down[a] + (b - a).astype(np.uint64))

@@ -19,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, SHARD, SQUAD = 128, 4096, 8192
+BLOCK, SHARD, SQUAD = 128, 16384, 8192
 FOUND = "query_id long, vec_id long, score long"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(256 x) of each component; without vectors that are null or hold a null or non-finite component, or have no id."""
+    """(vec_id, v): floor(256 x) of each component; without vectors that are null or hold a null or non-finite component, or
+    have no id. Components are taken up to 2^40 in size, where 256 x is still a whole 64-bit number with room to be summed."""
     x = F.col("embedding").cast("array<double>")
     ok = x.isNotNull() & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda y: F.floor(y * 256.0)).alias("v"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda y: F.floor(F.greatest(F.least(y, F.lit(2.0**40)), F.lit(-(2.0**40))) * 256.0)).alias("v"))
 
 
 def _matrix(t: pa.Table, width: int) -> np.ndarray:
@@ -48,6 +49,8 @@ def _search(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, q: np.ndarray, k:
     top = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * m.shape[1]
     if top < 2.0**53:  # whole numbers stay exact in floating point, which multiplies matrices faster
         m, q = m.astype(np.float64), q.astype(np.float64)
+    elif top >= 2.0**62:  # beyond 64 bits: whole numbers of any size
+        m, q = m.astype(object), q.astype(object)
     cuts = list(range(0, len(ids), BLOCK))
     hi = np.stack([m[a : a + BLOCK].max(0) for a in cuts])
     lo = np.stack([m[a : a + BLOCK].min(0) for a in cuts])
@@ -106,4 +109,5 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """top_k() of (vec_id, embedding) with the rows whose id is divisible by ``every`` as queries."""
     q = quantized(vectors)
-    return top_k(q, q.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]), k)
+    asked = q.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))  # of rows that share an id, the least vector asks
+    return top_k(q, asked, k)

@@ -17,13 +17,12 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
 def texts(seed, n=120, top=900):
     r = random.Random(seed)
-    odd = ["don't", "L'été", "it's", "!!'s", "naïve…", "x9y", "12345", "ÀB", "日本語", "é", " ", "\x1f", "A.B,c", "#$%", "İ", "ſ", "ΣΑΣ", " ", "'tis", "a'", "😀!"]
+    odd = ["don't", "L'été", "it's", "!!'s", "naïve…", "x9y", "12345", "ÀB", "日本語", "é", " ", "\x1f", "A.B,c", "#$%", "İ", "ſ", "ΣΑΣ", " ", "'tis", "a'", "😀!", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "é<|EndOfText|>É", "<|endoftext", "é<|endoftext|>"]
     word = lambda: r.choice(odd) if r.random() < 0.2 else "".join(r.choice("abcDEfg.,!") for _ in range(r.randint(1, 9)))
     out = [None, "", "   ", "one", "<|endoftext|> x"]
     for _ in range(n):
@@ -59,6 +58,26 @@ def test_online_pieces_are_whole(spark, reference, size, parts, monkeypatch):
     assert used.sum() / (len(used) * size) > (0.95 if size == 64 else 0.9)
 
 
+def test_ids_null_large_and_repeated(spark):
+    big = 2**53 + 1
+    rows = [(big, "a b c"), (None, "d e"), (None, None), (5, "x y"), (5, "x y"), (-big, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in pack_online(df, PATH).collect()]
+    key = lambda x: (x is None, x or 0)
+    assert sorted(got, key=key) == sorted([r[0] for r in rows], key=key)
+    got = [d for r in pack_matrix(df, PATH).collect() for d in r.doc_ids]
+    assert sorted(got, key=key) == sorted([r[0] for r in rows], key=key)
+
+
+def test_a_text_above_a_slice(spark, reference):
+    t = " ".join(f"w{i % 977} é{i % 13}" for i in range(150_000))
+    assert len(t.encode()) > 1 << 20
+    rows = pack_online(spark.createDataFrame([(1, t), (2, "a")], "doc_id long, text string"), PATH).toPandas()
+    ids = np.array([*reference(t), 2], "<u4")
+    own = rows[rows.doc_id == 1].sort_values("start")
+    assert own.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(own.start, own.length)] and own.length.sum() == len(ids)
+
+
 def test_online_empty(spark):
     assert pack_online(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

@@ -9,11 +9,11 @@ def brute(rows, every=50, k=5):
     ok = {}
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            ok.setdefault(i, []).append([math.floor(256 * x) for x in v])
+            ok.setdefault(i, []).append([math.floor(256 * max(min(x, 2.0**40), -(2.0**40))) for x in v])
     out = []
     for q, vs in ok.items():
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(vs[0], w)), i) for i, ws in ok.items() if i != q for w in ws)[:k]
+            s = sorted((-sum(a * b for a, b in zip(min(vs), w)), i) for i, ws in ok.items() if i != q for w in ws)[:k]
             out += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
     return sorted(out)
 
@@ -34,6 +34,14 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_repeated_queries_and_great_components(spark):
+    rows = [(0, [0.5, 1.0]), (0, [-0.5, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for n in (1, 5):
+        got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in neighbours(df.repartition(n)).collect())
+        assert got == brute(rows)
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [0.5]), (1, [-0.5]), (7, [0.25])], "vec_id long, embedding array<float>")
     assert [(x.vec_id, x.score) for x in neighbours(df).orderBy("rank").collect()] == [(7, 128 * 64), (1, -128 * 128)]

@@ -6,8 +6,6 @@ shared folder and reads them again, as a driver would between jobs.
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,54 +18,28 @@ from tessera.llm.quality import fit, scored
 from tessera.llm.repeats import strip_repeats
 
 
-_used: dict[int, list[Saved]] = {}
-
-
-def _stage(k: int):
-    """A stage that, once it begins, removes what the one before had saved: that one's rows have been written by then."""
-
-    def wrap(f):
-        @wraps(f)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            for x in _used.pop(k - 1, []):
-                x.drop()
-            with saved_here() as used:
-                out = f(spark, docs, sf_dir)
-            _used[k] = _used.get(k, []) + used
-            return out
-
-        return run_stage
-
-    return wrap
-
-
-@_stage(0)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives label 1; it learns from the labelled documents of sf_dir."""
     model = fit(docs, read(spark, sf_dir, "labels"))
     return scored(docs, model).where("score >= 0.5").select("row.*")
 
 
-@_stage(1)
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     return drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
-@_stage(2)
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 200 bytes or more that stand anywhere else; an empty text goes."""
     out = strip_repeats(docs, min_bytes=200)
     return out.where((F.length("text") > 0) | F.col("text").isNull())
 
 
-@_stage(3)
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixed(docs)
 
 
-@_stage(4)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of 4096 tokens."""
     return pack_online(docs, public_tokenizers.path("word_bpe_49k.json"), size=4096, last_id=2)
@@ -80,7 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. Each other stage is written and read again; then what it had saved and what it read go."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = Saved(stage(spark, docs, sf_dir)).df
+        with saved_here() as used:
+            out = stage(spark, docs, sf_dir)
+        now = Saved(out)
+        for x in [*used, before]:
+            if x is not None:
+                x.drop()
+        docs, before = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)

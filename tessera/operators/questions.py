@@ -1,4 +1,8 @@
-"""Questions, options and answers out of ordered paragraphs, as windows over (doc, seq, text)."""
+"""Questions, options and answers out of ordered paragraphs, as windows over (doc, seq, text).
+
+A paragraph's beginning is read in two steps: label() takes a number such as ``12`` or ``IV-12`` apart, and letters() reads
+a list of letters word by word. Single answers, lists of answers, bare labels and answers without a number all use these.
+"""
 
 from __future__ import annotations
 
@@ -6,43 +10,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Paragraph shapes (fixed values).
-QUESTION = r"^\s*(?:([IVXLC]{1,5})-)?(\d{1,3})\.\s+\S"
-OPTION = r"^\s*([A-E])\.\s+(?=\S)"
-ANSWER = r"(?i)^\s*(?:([IVXLC]{1,5})-)?(\d{1,3})\.\s+the\s+answers?\s+(?:is|are)\s+([A-J](?:\s*(?:,|and|&)\s*[A-J])*)\b"
-GROUP = r"(?i)^\s*((?:[IVXLC]{1,5}-)?\d{1,3}(?:\s*,\s*(?:[IVXLC]{1,5}-)?\d{1,3})*(?:\s*,?\s+and\s+(?:[IVXLC]{1,5}-)?\d{1,3})?)\.\s+the\s+answers\s+are\s+([A-J](?:\s*(?:,\s*and|,|and|&)\s*[A-J])*)(?![A-Za-z])"
+_SAYS = r"the\s+answers?\s+(?:is|are)\s+"
+
+
+def label(token: Column) -> Column:
+    """struct(section, number) of ``12`` or ``IV-12``, else null."""
+    parts = F.split(F.upper(F.trim(token)), "-")
+    number = F.element_at(parts, -1)
+    section = F.when(F.size(parts) == 2, F.get(parts, F.lit(0)))
+    ok = number.rlike("^[0-9]{1,3}$") & ((F.size(parts) == 1) | ((F.size(parts) == 2) & F.get(parts, F.lit(0)).rlike("^[IVXLC]{1,5}$")))
+    return F.when(ok, F.struct(section.alias("section"), number.cast("int").alias("number")))
 
 
 def letters(raw: Column) -> Column:
-    """Letters of a list such as "A, B and C"."""
-    parts = F.transform(F.split(raw, r"(?i)\s*(?:,\s*and|,|and|&)\s*"), lambda x: F.upper(F.trim(x)))
-    return F.filter(parts, lambda x: x.rlike("^[A-J]$"))
+    """Letters A to J that a text begins with, parted by commas, & or "and"; a letter with another mark is the last."""
+    words = F.filter(F.split(F.regexp_replace(raw, "[,&]", " , "), r"\s+"), lambda x: x != "")
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, w: Column) -> Column:
+        part = F.lower(w).isin(",", "and")
+        one = w.rlike(r"^[A-Ja-j](?!\w)")
+        got = F.struct(F.concat(acc["l"], F.array(F.upper(F.substring(w, 1, 1)))).alias("l"), F.when(F.length(w) == 1, 1).otherwise(2).alias("at"))
+        wait = F.struct(acc["l"].alias("l"), F.lit(0).alias("at"))
+        stop = F.struct(acc["l"].alias("l"), F.lit(2).alias("at"))
+        return F.when(acc["at"] == 2, acc).when((acc["at"] == 0) & one, got).when(part & (F.size(acc["l"]) > 0), wait).otherwise(stop)
+
+    return F.coalesce(F.aggregate(words, F.struct(none.alias("l"), F.lit(0).alias("at")), step)["l"], none)
+
+
+def _first(text: Column) -> tuple[Column, Column]:
+    """The first word without its full stop (null if it has none), and what follows (null if nothing does)."""
+    words = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+", 2)
+    return F.when(F.get(words, F.lit(0)).endswith("."), F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")), F.when(F.size(words) == 2, F.nullif(F.get(words, F.lit(1)), F.lit("")))
+
+
+def question_label(text: Column) -> Column:
+    """struct(section, number) of a paragraph that a number and a full stop begin, and that goes on."""
+    first, rest = _first(text)
+    return F.when(rest.isNotNull(), label(first))
+
 
+def bare_label(text: Column) -> Column:
+    """struct(section, number) of a paragraph that is nothing but a number and a full stop."""
+    first, rest = _first(text)
+    return F.when(rest.isNull(), label(first))
 
-def _section(text: Column, shape: str) -> Column:
-    return F.nullif(F.upper(F.regexp_extract(text, shape, 1)), F.lit(""))
+
+def option_letter(text: Column) -> Column:
+    first, rest = _first(text)
+    return F.when(rest.isNotNull() & first.rlike("^[A-E]$"), first)
+
+
+def headless_answer(text: Column) -> Column:
+    """Letters of "The answer is A", which no number begins; null for anything else."""
+    parts = F.split(text, rf"(?i)^\s*{_SAYS}", 2)
+    got = letters(F.get(parts, F.lit(1)))
+    return F.when((F.size(parts) == 2) & (F.size(got) > 0), got)
+
+
+def answer_list(text: Column) -> Column:
+    """array(struct(section, number, letters)) of "3. The answers are A and C" or "1, 2 and 3. The answers are A, B and C";
+    a list needs as many letters as numbers, and all or none of them with a section. Null for anything else."""
+    parts = F.split(text, rf"(?i)\.\s+{_SAYS}", 2)
+    tokens = F.filter(F.split(F.get(parts, F.lit(0)), r"(?i)\s*(?:,|\band\b)\s*"), lambda x: F.trim(x) != "")
+    named = F.transform(tokens, label)
+    got = letters(F.get(parts, F.lit(1)))
+    right = (F.size(parts) == 2) & (F.size(got) > 0) & F.forall(named, lambda x: x.isNotNull())
+    roman = F.size(F.filter(named, lambda x: x["section"].isNotNull()))
+    n = F.size(named)
+    one = F.transform(named, lambda x: F.struct(x["section"].alias("section"), x["number"].alias("number"), got.alias("letters")))
+    many = F.zip_with(named, got, lambda x, y: F.struct(x["section"].alias("section"), x["number"].alias("number"), F.array(y).alias("letters")))
+    return F.when(right & (n == 1), one).when(right & (n > 1) & (n == F.size(got)) & ((roman == 0) | (roman == n)), many)
 
 
 def answers(paras: DataFrame) -> DataFrame:
-    """doc, seq, section, number, letters: single answers, and those of lists "1, 2 and 3. The answers are A, B and C",
-    which are taken apart only if there are as many letters as numbers and either all or none name a section."""
+    """doc, seq, section, number, letters of the paragraphs that name answers."""
+    return paras.select("doc", "seq", F.inline(answer_list(F.col("text"))))
+
+
+def orphan_answers(paras: DataFrame) -> DataFrame:
+    """doc, seq, section, number, letters of answers that lost their numbers; paras has page and kind besides.
+
+    On one page, bare labels stand first, with headings at most between them, of one section and in unbroken order; after
+    the last, answers without a number follow, up to the next question or numbered answer. As many labels as answers:
+    they belong together in order. Else none does.
+    """
     t = F.col("text")
-    single = paras.where(t.rlike(ANSWER)).select("doc", "seq", _section(t, ANSWER).alias("section"), F.regexp_extract(t, ANSWER, 2).cast("int").alias("number"), letters(F.regexp_extract(t, ANSWER, 3)).alias("letters"))
-    g = paras.where(t.rlike(GROUP) & ~t.rlike(ANSWER)).select("doc", "seq", F.transform(F.split(F.regexp_extract(t, GROUP, 1), r"(?i)\s*(?:,\s*and\s|,|\sand\s)\s*"), lambda x: F.upper(F.trim(x))).alias("n"), letters(F.regexp_extract(t, GROUP, 2)).alias("l"))
-    roman = F.size(F.filter("n", lambda x: x.contains("-")))
-    g = g.where((F.size("n") > 1) & (F.size("n") == F.size("l")) & roman.isin(0) | (F.size("n") > 1) & (F.size("n") == F.size("l")) & (roman == F.size("n")))
-    g = g.select("doc", "seq", F.inline(F.arrays_zip("n", "l"))).select("doc", "seq", F.nullif(F.regexp_extract("n", "^([IVXLC]+)-", 1), F.lit("")).alias("section"), F.regexp_extract("n", r"(\d+)$", 1).cast("int").alias("number"), F.array("l").alias("letters"))
-    return single.unionByName(g)
+    page = Window.partitionBy("doc", "page")
+    rows = paras.withColumn("_label", bare_label(t)).withColumn("_answer", answer_list(t)).withColumn("_head", headless_answer(t))
+    rows = rows.withColumn("_other", F.col("_answer").isNotNull() | question_label(t).isNotNull() | option_letter(t).isNotNull())
+    rows = rows.withColumn("_label", F.when(~F.col("_other"), F.col("_label")))
+    at = F.when(F.col("_label").isNotNull(), F.col("seq"))
+    rows = rows.withColumn("_from", F.min(at).over(page)).withColumn("_to", F.max(at).over(page))
+    end = F.min(F.when((F.col("seq") > F.col("_to")) & (F.col("_answer").isNotNull() | question_label(t).isNotNull()), F.col("seq"))).over(page)
+    rows = rows.withColumn("_end", end)
+    before = F.lag("_label").over(Window.partitionBy("doc", "page", F.col("_label").isNotNull()).orderBy("seq"))
+    torn = F.col("seq").between(F.col("_from"), F.col("_to")) & F.col("_label").isNull() & ~F.col("kind").eqNullSafe("heading")
+    leap = F.col("_label").isNotNull() & before.isNotNull() & ~((F.col("_label.number") == before["number"] + 1) & F.col("_label.section").eqNullSafe(before["section"]))
+    rows = rows.withColumn("_bad", (torn | leap).cast("int"))
+    found = (F.col("seq") > F.col("_to")) & F.col("_head").isNotNull() & (F.col("_end").isNull() | (F.col("seq") < F.col("_end")))
+    rows = rows.withColumn("_found", F.coalesce(found, F.lit(False)))
+    n = F.count(at).over(page)
+    rows = rows.withColumn("_good", (F.max("_bad").over(page) == 0) & (n > 0) & (n == F.count(F.when(F.col("_found"), 1)).over(page))).where("_good")
+    place = lambda c: F.row_number().over(Window.partitionBy("doc", "page").orderBy("seq")).alias(c)
+    names = rows.where("_label IS NOT NULL").select("doc", "page", place("_k"), "_label.section", "_label.number")
+    heads = rows.where("_found").select("doc", "page", place("_k"), "seq", F.col("_head").alias("letters"))
+    return heads.join(names, ["doc", "page", "_k"]).select("doc", "seq", "section", "number", "letters")
 
 
 def questions(paras: DataFrame) -> DataFrame:
     """doc, seq, section, number, stem, options (letter, text): a question goes on to its options, which must run from A
     without a gap; a plain paragraph between two options belongs to the one before; a question has two options at least."""
     t = F.col("text")
-    answer = t.rlike(ANSWER) | t.rlike(GROUP)
-    p = paras.withColumn("letter", F.when(t.rlike(OPTION), F.regexp_extract(t, OPTION, 1))).withColumn("kind", F.when(answer, "answer").when(t.rlike(QUESTION), "question").when(F.col("letter").isNotNull(), "option").otherwise("plain"))
+    answer = F.col("_answer")
+    p = paras.withColumn("_answer", answer_list(t)).withColumn("_label", question_label(t)).withColumn("letter", option_letter(t))
+    p = p.withColumn("kind", F.when(answer.isNotNull(), "answer").when(F.col("_label").isNotNull(), "question").when(F.col("letter").isNotNull(), "option").otherwise("plain"))
+    p = p.withColumn("letter", F.when(F.col("kind") == "option", F.col("letter")))
     w = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("head", F.max(F.when(F.col("kind").isin("question", "answer"), F.struct("seq", "kind"))).over(w)).where("head.kind = 'question'")
+    p = p.withColumn("head", F.max(F.when(F.col("kind").isin("question", "answer"), F.struct("seq", "kind", "_label"))).over(w)).where("head.kind = 'question'")
     q = Window.partitionBy("doc", "head.seq").orderBy("seq")
     run = q.rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("n", F.count("letter").over(run))  # options so far
@@ -50,18 +135,27 @@ def questions(paras: DataFrame) -> DataFrame:
     p = p.withColumn("ok", F.min(F.col("right").cast("int")).over(run) == 1).where("ok")
     p = p.withColumn("more", F.max("n").over(q.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     p = p.where((F.col("n") < F.col("more")) | (F.col("letter").isNotNull()) | (F.col("n") == 0))  # what follows the last option is not its
-    body = F.when(F.col("letter").isNotNull(), F.trim(F.regexp_replace(t, OPTION, ""))).otherwise(F.trim(t))
-    part = p.groupBy("doc", F.col("head.seq").alias("seq"), "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", body.alias("x")))), lambda r: r["x"]), " ").alias("x"))
-    out = part.groupBy("doc", "seq").agg(F.max(F.when(F.col("n") == 0, F.col("x"))).alias("stem"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(F.char(F.col("n") + 64).alias("letter"), F.col("x").alias("text"))))).alias("options"))
-    out = out.where(F.size("options") >= 2)
-    return out.select("doc", "seq", _section(F.col("stem"), QUESTION).alias("section"), F.regexp_extract("stem", QUESTION, 2).cast("int").alias("number"), F.trim(F.regexp_replace("stem", r"^\s*(?:[IVXLC]{1,5}-)?\d{1,3}\.\s+", "")).alias("stem"), "options")
+    body = F.when(F.col("kind").isin("option", "question"), _first(t)[1]).otherwise(F.trim(t))
+    part = p.groupBy("doc", F.col("head.seq").alias("seq"), F.col("head._label").alias("label"), "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", body.alias("x")))), lambda r: r["x"]), " ").alias("x"))
+    out = part.groupBy("doc", "seq", "label").agg(F.max(F.when(F.col("n") == 0, F.col("x"))).alias("stem"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(F.char(F.col("n") + 64).alias("letter"), F.col("x").alias("text"))))).alias("options"))
+    return out.where(F.size("options") >= 2).select("doc", "seq", "label.section", "label.number", "stem", "options")
 
 
 def verified(paras: DataFrame) -> DataFrame:
-    """questions() with answer and status: verified if one answer names them and all its letters are options."""
-    a = answers(paras).groupBy("doc", "section", "number").agg(F.first("letters").alias("answer"), F.count("*").alias("n"))
+    """questions() with answer and status: verified if one answer names them and all its letters are options. Where paras
+    has page and kind, answers that lost their numbers count too."""
+    found = answers(paras)
+    if {"page", "kind"} <= set(paras.columns):
+        found = found.unionByName(orphan_answers(paras))
+        paras = paras.drop("kind")
+    a = found.groupBy("doc", "section", "number").agg(F.min_by("letters", "seq").alias("answer"), F.count("*").alias("n"))
     a = a.select(F.col("doc").alias("d"), F.col("section").alias("s"), F.col("number").alias("k"), "answer", "n")
     q = questions(paras)
     j = q.join(a, (q.doc == a.d) & q.section.eqNullSafe(a.s) & (q.number == a.k), "left")
     good = (F.col("n") == 1) & (F.size("answer") > 0) & (F.size(F.array_except("answer", F.col("options.letter"))) == 0)
     return j.select("doc", "seq", "section", "number", "stem", "options", "answer", F.when(good, "verified").otherwise("unverified").alias("status"))
+
+
+def gradable(status: Column, answer: Column) -> Column:
+    """Only a verified question with an answer is graded."""
+    return (status == "verified") & (F.size(answer) > 0)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +77,28 @@ class Saved:
         _delete(self.spark, self.path)
 
 
+def lean(f):
+    """For functions that make batches out of batches: a worker gives memory back when its task ends, and does not keep
+    what the largest step took, as workers are used again by other tasks and stages."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: equal inputs only have equal outputs."""
     with np.errstate(over="ignore"):
@@ -133,6 +157,7 @@ def pack(docs: DataFrame, text: str = "text") -> Saved:
     """Every row of ``docs``, many to a row, as compressed Arrow streams. ``batch`` names a packed row for good."""
     at = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import lean
+
 #: License texts and notices (fixed values): name, text, words that must be aligned.
 TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ""),
@@ -178,6 +180,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     """One row for each row of docs (doc_id, text): the best covered license with its coverage and place (in words), and
     all licenses found. None found, a null or an empty text: null, 0.0 and an empty list. Ties go to the first name."""
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(templates, least)
         for b in batches:

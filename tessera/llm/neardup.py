@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, buffers, saved_here, slices, splitmix
+from tessera.llm.common import Saved, buffers, lean, saved_here, slices, splitmix
 from tessera.llm.graph import components
-from tessera.llm.simhash import shingle_hashes
+from tessera.llm.simhash import majority, shingle_hashes
 
 SEGMENTS, BITS, SKETCH = 9, 16, 256
 #: Share of 64 bits that may differ in a pair worth verifying: similarity 0.8 has 0.15 in the mean, and 0.29 is three
@@ -40,17 +40,7 @@ _SEEDS = splitmix(np.arange(77, 77 + 8, dtype=np.uint64))
 
 def wide_fingerprints(h: np.ndarray, out: np.ndarray, words: int) -> np.ndarray:
     """(documents, words) of 64 bits each, from shingle hashes and each document's range in them."""
-    n = np.diff(out)
-    fp = np.zeros((len(n), words), np.uint64)
-    some = np.flatnonzero(n)
-    for k in range(0, len(some), 256):
-        own = some[k : k + 256]
-        a, b = out[own[0]], out[own[-1] + 1]
-        for w in range(words):
-            bits = np.unpackbits(splitmix(h[a:b] ^ _SEEDS[w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, out[own] - a, axis=0, dtype=np.int32)
-            fp[own, w] = np.packbits(2 * ones > n[own, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return fp
+    return np.stack([majority(splitmix(h ^ _SEEDS[w]), out) for w in range(words)], 1)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -139,26 +129,29 @@ def _apart_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.nda
 
 
 def _by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole keys, out of batches that are sorted by the first column."""
-    held: list[np.ndarray] | None = None
+    """Columns of whole keys, out of batches that are sorted by the first column. What is held of a key that goes on is
+    put together once, when the key ends."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
         if not b.num_rows:
             continue
         got = [c.to_numpy() for c in b.columns]
-        if held:
-            got = [np.concatenate(x) for x in zip(held, got, strict=True)]
-        at = int(np.searchsorted(got[0], got[0][-1]))
-        if at:
-            yield [x[:at] for x in got]
-        held = [x[at:] for x in got]
+        at = int(np.searchsorted(got[0], got[0][-1]))  # the last key may go on
+        if at == 0 and (not held or held[-1][0][-1] == got[0][0]):
+            held.append(got)
+            continue
+        held.append([x[:at] for x in got])
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        held = [[x[at:] for x in got]]
     if held:
-        yield held
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, thash, fp, sketch) of docs (doc_id, text, thash)."""
     wide = -(-SEGMENTS * BITS // 64)
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, 1):
             h, out = shingle_hashes(*buffers(t.column(1)), words)
@@ -175,6 +168,7 @@ def _candidates(prints: DataFrame) -> DataFrame:
     which other pairs are close. A row carries the fingerprint's last 64 bits, of which one segment at most is a key, to
     be compared by."""
 
+    @lean
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ~(np.uint64(1) << np.arange(BITS, dtype=np.uint64))
         for b in batches:
@@ -188,6 +182,7 @@ def _candidates(prints: DataFrame) -> DataFrame:
                 k = SEGMENTS * BITS
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, k)), pa.array(np.repeat(check, k))], ["key", "node", "bits"])
 
+    @lean
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, bits in _by_key(batches):
             a, b, left = _pairs(key, node, bits.view(np.uint64)[:, None], MOST)
@@ -201,6 +196,7 @@ def _candidates(prints: DataFrame) -> DataFrame:
 def _apart_links(left: DataFrame, roots: DataFrame, tried: DataFrame, every: bool) -> DataFrame:
     """Links (a, b) to verify between groups, among the rows that _candidates left (key, node, bits)."""
 
+    @lean
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, bits, root in _by_key(batches):
             a, b = _apart_pairs(key, node, bits.view(np.uint64)[:, None], root, MOST, every)
@@ -217,6 +213,7 @@ def _verified(links: DataFrame, prints: DataFrame, texts: DataFrame, words: int,
     side = lambda n: prints.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
     pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ok, sure = [], []
@@ -242,6 +239,7 @@ def _verified(links: DataFrame, prints: DataFrame, texts: DataFrame, words: int,
 def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (a, b) that have the similarity on all distinct shingles, which are dealt into PARTS by their hash."""
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, 1):
             h, out = shingle_hashes(*buffers(t.column(1)), words)
@@ -250,6 +248,7 @@ def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float)
                 cut = np.searchsorted(u >> np.uint64(60), np.arange(PARTS + 1, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array([node] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array([len(u)] * PARTS, pa.int64()), pa.array([u[c:d].tobytes() for c, d in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["node", "part", "n", "h"])
 
+    @lean
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             same = [len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), True)) for s, t in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)]

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, buffers, slices
+from tessera.llm.common import Saved, buffers, lean, slices
 from tessera.llm.tokens import SLICE, encoder
 
 PIECE = [("doc_id", "long"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
@@ -136,6 +136,7 @@ def pack_online(docs: DataFrame, path: str, size: int = 4096, last_id: int | Non
     if size < 2 or windows < 1:
         raise ValueError("size and windows must be positive")
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         w = Windows(size, windows, _count(part << 32))
@@ -240,6 +241,7 @@ def pack_matrix(docs: DataFrame, path: str, size: int = 4096, last_id: int | Non
     gives an empty result.
     """
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seqs = TaskContext.get().partitionId() << 32, 0
         enc = encoder(path)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, buffers, pack, partitions_for, splitmix, total, unpack
+from tessera.llm.common import Saved, buffers, lean, pack, partitions_for, splitmix, total, unpack
 
 Q = 32
 ASK = "r int, batch long, kind int, body binary"
@@ -268,6 +268,7 @@ def _refine(docs: DataFrame, text: str, least: int) -> tuple[Saved, DataFrame, i
     size = total(packed.df, "n_bytes")
     parts = partitions_for(size, 24 << 20)
 
+    @lean
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, body in zip(b.column("batch").to_pylist(), b.column("body"), strict=True):

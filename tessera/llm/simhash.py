@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, buffers, slices
+from tessera.llm.common import Saved, buffers, lean, slices
 from tessera.llm.graph import components
 
 _SPACE = np.zeros(256, bool)
@@ -28,10 +28,39 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: A crowd above this is searched by the bytes of the other segment, one of which is equal for linked fingerprints.
 CROWD = 20_000
+#: Bytes of one text that are read together; hashes whose bits are unpacked together.
+LONG, STEP = 1 << 21, 1 << 16
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 (seed 42) of every shingle of each document, A-Z lower-cased, and each document's range in them."""
+    """XXH64 (seed 42) of every shingle of each document, A-Z lower-cased, and each document's range in them. A text beyond
+    LONG bytes is read a part at a time, so that work on it takes little more than its hashes."""
+    if len(offs) == 2 and len(data) > LONG:
+        got = [_hashes(x, np.array([0, len(x)]), words)[0] for x in _parts(data, words)]
+        return np.concatenate(got), np.array([0, sum(map(len, got))])
+    return _hashes(data, offs, words)
+
+
+def _parts(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Parts of a text that have its shingles between them: each begins with a word and ends words - 1 words later than
+    the next begins."""
+    space = _SPACE[data]
+    begin = ~space
+    begin[1:] &= space[:-1]
+    at = np.flatnonzero(begin)
+    del space, begin
+    k = 0
+    while True:
+        to = max(k + 1, int(np.searchsorted(at, (at[k] if len(at) else 0) + LONG)))
+        end = to + words - 1
+        if end >= len(at):
+            yield data[at[k] if len(at) else 0 :]
+            return
+        yield data[at[k] : at[end]]
+        k = to
+
+
+def _hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offs[:-1]] = True
@@ -58,28 +87,42 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     return np.array([h(text[s:e], 42) for s, e in zip(a[i].tolist(), b[j].tolist(), strict=True)], np.uint64), out
 
 
+def bit_counts(h: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """How many of each document's hashes have each of the 64 bits; some hashes are unpacked at a time."""
+    n = len(out) - 1
+    ones = np.zeros((n, 64), np.int64)
+    unpacked = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    k = 0
+    while k < n:
+        to = int(np.searchsorted(out, out[k] + STEP, "right")) - 1
+        if to <= k:  # one document's
+            for a in range(out[k], out[k + 1], STEP):
+                ones[k] += unpacked(h[a : min(a + STEP, out[k + 1])]).sum(0, dtype=np.int64)
+            k += 1
+            continue
+        own = k + np.flatnonzero(np.diff(out[k : to + 1]))
+        if len(own):
+            ones[own] = np.add.reduceat(unpacked(h[out[k] : out[to]]), out[own] - out[k], axis=0, dtype=np.int32)
+        k = to
+    return ones
+
+
+def majority(h: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """A bit is 1 if over half of the document's hashes have it; no hash: 0."""
+    return np.packbits(2 * bit_counts(h, out) > np.diff(out)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(data: np.ndarray, offs: np.ndarray, words: int) -> np.ndarray:
-    """A bit is 1 if over half of the document's shingles have it; no shingle: 0."""
+    """The majority of each document's shingle hashes."""
     if not len(offs) - 1:
         return np.zeros(0, np.uint64)
-    h, out = shingle_hashes(data, offs, words)
-    n = np.diff(out)
-    fp = np.zeros(len(n), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        ones = np.zeros((len(some), 64), np.int64)
-        for k in range(0, len(some), 256):  # a few documents' bits at a time
-            own = some[k : k + 256]
-            a, b = out[own[0]], out[own[-1] + 1]
-            bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[k : k + 256] = np.add.reduceat(bits, out[own] - a, axis=0, dtype=np.int64)
-        fp[some] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return fp
+    return majority(*shingle_hashes(data, offs, words))
 
 
 def with_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text's xxhash64, fp) of docs (doc_id, text)."""
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(2).combine_chunks(), pa.array(fingerprints(*buffers(t.column(1)), words).view(np.int64))], ["doc_id", "thash", "fp"])
@@ -126,6 +169,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
         ((IF(i < 32, shiftrightunsigned(fp, 32), fp) & 4294967295L) & ~(1L << (i % 32))))""")
     rows = distinct.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
 
+    @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 

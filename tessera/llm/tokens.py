@@ -50,16 +50,16 @@ class Encoder:
         self.up = self.down = np.ones(1, np.uint64)
 
     def _forget(self) -> None:
-        self.row: dict[int, int] = {}
+        self.names, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, SLICE + 1)
             self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (_BASE, _BACK))
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, names: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds pieces under their names, which are sorted and new."""
         ids: list[list[int]] = [[]] * len(pieces)
         rest = []
         tokenize = self.tokenizer.model.tokenize
@@ -76,18 +76,16 @@ class Encoder:
         if rest:
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
                 ids[i] = e.ids
-        n = len(self.row)
         need = sum(map(len, ids))
         while self.used + need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) > len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         counts = np.fromiter(map(len, ids), np.int32, len(ids))
         self.flat[self.used : self.used + need] = np.fromiter((y for x in ids for y in x), np.uint32, need)
-        self.count[n : n + len(ids)] = counts
-        self.start[n : n + len(ids)] = self.used + np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(ids) else 0
+        at = np.searchsorted(self.names, names)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(counts) - counts)
+        self.count = np.insert(self.count, at, counts)
+        self.names = np.insert(self.names, at, names)
         self.used += need
-        self.row.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _digit(self, x: str) -> list[int]:
         if x not in self.digits:
@@ -132,18 +130,15 @@ class Encoder:
             np.cumsum(_BYTE[low] * self.up[:n], out=sums[1:])
             names = splitmix((sums[b] - sums[a]) * self.down[a] + (b - a).astype(np.uint64))
         u, some, inv = np.unique(names, return_index=True, return_inverse=True)
-        if len(self.row) + len(u) > REMEMBER:
+        if len(self.names) + len(u) > REMEMBER:
             self._forget()
-        keys = u.tolist()
-        get = self.row.get
-        rows = [get(k, -1) for k in keys]
-        new = [i for i, r in enumerate(rows) if r < 0]
-        if new:
+        at = np.searchsorted(self.names, u)
+        new = np.flatnonzero((at == len(self.names)) | (np.append(self.names, np.uint64(0))[at] != u))
+        if len(new):
             raw = low.tobytes()
-            self._learn([keys[i] for i in new], [raw[a[some[i]] : b[some[i]]] for i in new])
-            for i in new:
-                rows[i] = get(keys[i])
-        row = np.array(rows, np.int64)[inv]
+            self._learn(u[new], [raw[x:y] for x, y in zip(a[some[new]].tolist(), b[some[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.names, u)
+        row = at[inv]
         counts = self.count[row].astype(np.int64)
         out = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.repeat(self.start[row] - out[:-1], counts) + np.arange(out[-1])]

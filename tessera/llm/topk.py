@@ -26,7 +26,8 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): floor(256 x) of each component; without vectors that are null or hold a null or non-finite component, or
-    have no id. Components are taken up to 2^40 in size, where 256 x is still a whole 64-bit number with room to be summed."""
+    have no id. Components are taken up to 2^40 in size, where 256 x is still a whole 64-bit number with room to be summed; a score beyond 64 bits is the
+    greatest or least that 64 bits hold."""
     x = F.col("embedding").cast("array<double>")
     ok = x.isNotNull() & F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < F.lit(float("inf"))))
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(ok & F.col("vec_id").isNotNull()).select("vec_id", F.transform("x", lambda y: F.floor(F.greatest(F.least(y, F.lit(2.0**40)), F.lit(-(2.0**40))) * 256.0)).alias("v"))
@@ -73,7 +74,7 @@ def _search(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, q: np.ndarray, k:
                 best_s, best_id = s[keep], own[keep]
         out[0].extend([int(qids[i])] * len(best_s))
         out[1].extend(best_id.tolist())
-        out[2].extend(int(x) for x in best_s)
+        out[2].extend(max(min(int(x), 2**63 - 1), -(2**63)) for x in best_s)
     return out
 
 

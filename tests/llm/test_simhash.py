@@ -86,3 +86,21 @@ def test_null_ids_and_empty(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = simhash_components(spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in rows) == [(0, 7), (7, 7), (7, 7)]
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    from tessera.llm import simhash
+
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abcÄ") for _ in range(r.randint(1, 9))) for _ in range(n)) for n in (0, 1, 2, 3, 50, 900)]
+    texts += ["  " + texts[5] + " \n", "x" * 5000, " " * 700]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        offs = np.array([0, len(data)])
+        want, fp = simhash._hashes(data, offs, 3)[0], simhash.fingerprints(data, offs, 3)
+        monkeypatch.setattr(simhash, "LONG", 64)
+        monkeypatch.setattr(simhash, "STEP", 16)
+        got, out = simhash.shingle_hashes(data, offs, 3)
+        assert got.tolist() == want.tolist() and out.tolist() == [0, len(want)]
+        assert simhash.fingerprints(data, offs, 3).tolist() == fp.tolist()
+        monkeypatch.undo()

@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-#: Words after which a stop ends no sentence (fixed values).
-ABBREVIATIONS = frozenset("e.g. i.e. etc. vs. cf. dr. mr. mrs. ms. prof. st. fig. figs. no. vol. pp. approx. al. eq. sec. ch. ed. eds. jr. sr. inc. ltd. dept. univ.".split())
+#: Words after which a stop ends no sentence, and marks of list items (fixed values).
+ABBREVIATIONS = frozenset(
+    "e.g. i.e. vs. etc. cf. ca. approx. no. nos. al. fig. figs. tbl. chap. chaps. sec. ed. eds. vol. vols. p. pp. dr. mr. mrs. ms. prof. st. jr. sr. inc. ltd. min. max. wt. mg. kg.".split()
+)
+BULLETS = "•▪◦‣●■▸►"
 _CLOSERS = "\"”')]"
 
 
@@ -33,18 +36,32 @@ def starts_sentence(c: str, lang: str = "en") -> bool:
     return "A" <= c <= "Z" if lang == "en" else unicodedata.category(c) == "Lu"
 
 
+_CUT = re.compile(rf"""(?P<stop>[.!?…][\"”')\]]*)[ ](?=\S)|[ ](?P<item>[{BULLETS}])(?=[ ])|\[\s*(?i:PMC?ID|DOI)\b[^\[\]]*\][.;,]?(?P<id>[ ])(?=\S)""")
+
+
 def sentences_of(text: str | None, lang: str = "en") -> list[str]:
-    """Sentences: cut after a stop that ends one, where the next word looks like a beginning."""
+    """Sentences: cut after a stop that ends one, where the next word looks like a beginning; before a list item's mark;
+    after an identifier in brackets, where a sentence, a bracket or an item begins."""
     t = re.sub(r"\s+", " ", text or "").strip()
     out, start = [], 0
-    for m in re.finditer(r"[.!?…][\"”')\]]* (?=\S)", t):
-        end, nxt = m.end() - 1, t[m.end()]
-        if end <= start or not starts_sentence(nxt, lang) or not ends_sentence(t[max(start, end - 80) : end]):
-            continue
-        if nxt in "¿¡" and m.end() + 1 < len(t) and t[m.end() + 1].islower():
-            continue
-        out.append(t[start:end].strip())
-        start = m.end()
+    at = 0
+    while m := _CUT.search(t, at):
+        at = m.end() - bool(m["item"])
+        if m["item"]:
+            end, after = m.start(), m.start() + 1
+        else:
+            end, after = (m.end() - 1, m.end()) if m["stop"] else (m.start("id"), m.end())
+            nxt = t[after]
+            if m["stop"]:
+                good = starts_sentence(nxt, lang) and ends_sentence(t[max(start, end - 80) : end]) and not (nxt in "¿¡" and t[after + 1 : after + 2].islower())
+            else:
+                good = starts_sentence(nxt, lang) or nxt == "[" or nxt in BULLETS
+            if not good:
+                at = m.start() + 1 if not m["stop"] else after
+                continue
+        if end > start:
+            out.append(t[start:end].strip())
+            start = after
     return [x for x in [*out, t[start:].strip()] if x]
 
 

@@ -9,21 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Word parts that keep their hyphen at a line's end (fixed values).
-KEEP_BEFORE = ("non", "anti", "self", "well", "long", "short", "high", "low", "co", "pre", "post", "multi")
-KEEP_AFTER = ("based", "resistant", "dependent", "induced", "related", "specific", "positive", "negative")
+#: Beginnings and ends of words that keep their hyphen at a line's end (fixed values).
+KEEP_BEFORE = (
+    "anti", "non", "self", "post", "pre", "pro", "co", "re", "intra", "inter", "sub", "semi", "multi", "pseudo", "extra", "ultra", "cross", "long", "short",
+    "high", "low", "first", "second", "well", "x", "t", "b", "gram", "de", "ex",
+)
+KEEP_AFTER = (
+    "associated", "resistant", "susceptible", "converting", "induced", "mediated", "clavulanate", "tazobactam", "oophorectomy", "dependent", "related",
+    "negative", "positive", "specific", "based", "sparing", "releasing", "stimulating", "binding", "blocking", "deficient", "lowering", "onset",
+)
 
 
 def join_lines(lines: Column) -> Column:
-    """One text out of an array of lines: a hyphen before a small letter goes, unless the word keeps it."""
-
-    def step(acc: Column, line: Column) -> Column:
-        head, tail = F.lower(F.regexp_extract(acc, r"([A-Za-z]+)-$", 1)), F.regexp_extract(line, r"^([a-z]+)", 1)
-        broken = acc.rlike(r"[A-Za-z]-$") & line.rlike(r"^[a-z]")
+    """One text out of an array of lines. A hyphen at a line's end, after a letter and before a small one, goes with the
+    line break; a word that keeps its hyphen (KEEP_BEFORE as its last part, or KEEP_AFTER as the next line's first word)
+    only loses the break. Blank lines do not count. Each line looks at the next one alone, so a text takes time in
+    proportion to its length."""
+    real = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))), lambda x: x != "")
+
+    def piece(line: Column, at: Column) -> Column:
+        after = F.get(real, at + 1)
+        head, tail = F.lower(F.regexp_extract(line, "([A-Za-z]+)-$", 1)), F.regexp_extract(after, "^[a-z]+", 0)
+        broken = (head != "") & (tail != "")
         kept = head.isin(*KEEP_BEFORE) | tail.isin(*KEEP_AFTER)
-        return F.when(acc == "", line).when(line == "", acc).when(broken & kept, F.concat(acc, line)).when(broken, F.concat(F.regexp_replace(acc, "-$", ""), line)).otherwise(F.concat_ws(" ", acc, line))
+        return F.when(after.isNull() | (broken & kept), line).when(broken, F.regexp_replace(line, "-$", "")).otherwise(F.concat(line, F.lit(" ")))
 
-    return F.aggregate(lines, F.lit(""), step)
+    return F.array_join(F.transform(real, piece), "")
 
 
 def islands(df: DataFrame, key: str, order: list[str], new: Column, out: str = "island") -> DataFrame:

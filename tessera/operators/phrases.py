@@ -20,6 +20,12 @@ def stems(text: Column) -> Column:
     return F.transform(words, lambda x: F.when((F.length(x) > 3) & x.rlike("[^sui]s$"), F.regexp_replace(x, "s$", "")).otherwise(x))
 
 
+def ambiguous(stem_of: DataFrame, stem: str, concept: str) -> DataFrame:
+    """stem, ambiguous, concepts: how many concepts a stem names; one that names several is no entry to search by."""
+    g = stem_of.groupBy(stem).agg(F.countDistinct(concept).alias("concepts"))
+    return g.select(stem, (F.col("concepts") > 1).alias("ambiguous"), "concepts")
+
+
 def _gram(n: int):
     return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
 

@@ -39,3 +39,28 @@ def contains(points: DataFrame, ranges: DataFrame, key: str, at: str) -> DataFra
 
 def length(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     return union(df, key, lo, hi).groupBy(key).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"))
+
+
+def until_same_level(heads: DataFrame, key: str, at: str, level: str, levels: int = 5) -> DataFrame:
+    """heads with ``until``: the place before the next heading of its level or above, null for the last. For each level, one
+    running minimum from the end, so no heading meets all others."""
+    back = Window.partitionBy(key).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.lit(None).cast("long")
+    for n in range(1, levels + 1):
+        until = F.when(F.col(level) == n, F.min(F.when(F.col(level) <= n, F.col(at))).over(back) - 1).otherwise(until)
+    return heads.withColumn("until", until)
+
+
+def chapter_of(points: DataFrame, heads: DataFrame, key: str, at: str, start: str) -> DataFrame:
+    """points with chapter (its number from 0, -1 before the first), lo and hi (null for the last): chapters go from one
+    heading to the next, and of headings at one place one counts. One sweep over points and headings together."""
+    none = F.lit(None).cast("long")
+    h = heads.select(key, F.col(start).cast("long").alias("_at")).distinct()
+    w = Window.partitionBy(key).orderBy("_at")
+    h = h.select(key, "_at", F.row_number().over(w).cast("long").alias("_n"), F.col("_at").alias("_lo"), (F.lead("_at").over(w) - 1).alias("_hi"), F.lit(0).alias("_point"))
+    p = points.select(key, F.col(at).cast("long").alias("_at"), none.alias("_n"), none.alias("_lo"), none.alias("_hi"), F.lit(1).alias("_point"))
+    run = Window.partitionBy(key).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("_point") == 0, F.struct("_n", "_lo", "_hi"))).over(run)
+    first = F.min("_lo").over(Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0))  # before the first heading, a page's stretch ends at it
+    both = h.unionByName(p).withColumn("_last", last).withColumn("_next", first).where("_point = 1")
+    return both.select(key, F.col("_at").alias(at), F.coalesce(F.col("_last._n") - 1, F.lit(-1).cast("long")).alias("chapter"), F.col("_last._lo").alias("lo"), F.when(F.col("_last").isNull(), F.col("_next") - 1).otherwise(F.col("_last._hi")).alias("hi"))

@@ -14,11 +14,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.functions.text import fold, fold_char, head_key
+from tessera.operators.flow import KEEP_BEFORE
 
-SHORTEST, LONGEST, HITS, VARIANTS, AROUND, REPEATED = 2, 60, 1000, 8, 40, 10
-#: Greek letters by name (fixed values), and prefixes that may stand with or without a hyphen.
+SHORTEST, LONGEST, HITS, VARIANTS, AROUND, WORD, REPEATED = 2, 60, 1000, 8, 40, 200, 10
+#: Greek letters by name (fixed values), and beginnings of words that may stand with or without a hyphen.
 GREEK = {"alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "kappa": "κ"}
-PREFIXES = ("anti", "auto", "inter", "intra", "micro", "multi", "non", "over", "post", "semi", "trans", "under")
+PREFIXES = tuple(x for x in KEEP_BEFORE if len(x) >= 3)
 
 
 def word_char(c: str) -> bool:
@@ -84,6 +85,12 @@ def find(hay: str, q: Query) -> list[tuple[int, int]]:
 
 def hits(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", limit: int = HITS) -> DataFrame:
     """key, at, len, n: the first ``limit`` hits of each text, and how many there are. A query that is no good finds none."""
+    found = counted(docs, query, key, text)
+    return found.select(key, "n", F.explode(F.slice("h", 1, limit)).alias("x")).select(key, "x.at", "x.len", "n")
+
+
+def counted(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n, h (array of at, len): one row for each text that has a hit."""
     q = parse(query)
     kind = ArrayType(StructType([StructField("at", IntegerType()), StructField("len", IntegerType())]))
 
@@ -100,8 +107,7 @@ def hits(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", l
         for v in q.variants:
             some = some | F.col("hay").contains(v)
         rows = rows.where(some)
-    found = rows.select(key, look("hay").alias("h")).where(F.size("h") > 0)
-    return found.select(key, F.size("h").alias("n"), F.explode(F.slice("h", 1, limit)).alias("x")).select(key, "x.at", "x.len", "n")
+    return rows.select(key, look("hay").alias("h")).where(F.size("h") > 0).select(key, F.size("h").alias("n"), "h")
 
 
 def groups(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -110,11 +116,12 @@ def groups(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def snippet(text: Column, at: Column, length: Column, around: int = AROUND) -> Column:
-    """The hit with some text about it, inside its line and widened to whole words."""
-    before = F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)
-    after = F.substring_index(text.substr(at + length + 1, F.lit(1 << 30)), "\n", 1)
+    """The hit with some text about it, inside its line and widened to whole words. Only as much of the text as may be
+    shown is cut out: WORD characters are room enough for the word that an end falls into."""
+    reach = around + WORD
+    before = F.substring_index(text.substr(F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))), "\n", -1)
+    after = F.substring_index(text.substr(at + length + 1, F.lit(reach)), "\n", 1)
     word = r"[\p{L}\p{N}]"
-    left = F.regexp_extract(before, rf"(?:{word}*.{{0,{around}}}|.*)$", 0)
     left = F.when(F.length(before) <= around, before).otherwise(F.regexp_extract(before, rf"{word}*.{{{around}}}$", 0))
     right = F.when(F.length(after) <= around, after).otherwise(F.regexp_extract(after, rf"^.{{{around}}}{word}*", 0))
     return F.concat(left, F.lit("["), text.substr(at + 1, length), F.lit("]"), right)

@@ -57,7 +57,7 @@ def queue(cards: DataFrame, key: str, end: Column, room: int) -> DataFrame:
 def session_order(questions: DataFrame, key: str, seed: int) -> DataFrame:
     """questions (key, id, last) with ``place``: untried, then wrong, then the rest; at random, but repeatable, in each."""
     tier = F.when(F.col("last").isNull(), 0).when(~F.col("last"), 1).otherwise(2)
-    return questions.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(tier, F.xxhash64(F.lit(seed), "id"), "id")))
+    return questions.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(tier, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id")))
 
 
 @pandas_udf(DoubleType())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import parse
-from tessera.operators import flow
+from tessera.operators import flow, phrases
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -18,13 +18,26 @@ def sentence_rows(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "n", F.length("sentence").alias("chars"), F.md5("sentence").alias("digest"))
 
 
-@query("SELECT doc_id, replace(text, chr(10), ' ') AS joined FROM documents WHERE NOT regexp_matches(text, '-\\n') AND NOT regexp_matches(text, '\\n\\n|^\\n|\\n$')")
+_KEPT = {k: "('" + "','".join(v) + "')" for k, v in (("before", flow.KEEP_BEFORE), ("after", flow.KEEP_AFTER))}
+
+
+@query(rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, '. ', '-' || chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
+p AS (SELECT doc_id, list_transform(generate_series(1, len(l)), lambda i: CASE WHEN i = len(l) THEN l[i]
+  WHEN NOT regexp_matches(l[i], '[A-Za-z]-$') OR NOT regexp_matches(l[i + 1], '^[a-z]') THEN l[i] || ' '
+  WHEN lower(regexp_extract(l[i], '([A-Za-z]+)-$', 1)) IN {_KEPT['before']} OR regexp_extract(l[i + 1], '^[a-z]+') IN {_KEPT['after']} THEN l[i]
+  ELSE l[i][:-2] END) AS p FROM l)
+SELECT doc_id, array_to_string(p, '') AS joined FROM p""")
 def joined_lines(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "documents").where(~F.col("text").rlike("-\n") & ~F.col("text").rlike("\n\n|^\n|\n$"))
-    return t.select("doc_id", flow.join_lines(F.split("text", "\n")).alias("joined"))
+    """All documents, with a hyphen and a line break after each sentence besides their own."""
+    t = F.replace(F.col("text"), F.lit(". "), F.lit("-\n"))
+    return table(s, d, "documents").select("doc_id", flow.join_lines(F.split(t, "\n")).alias("joined"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id, length(text) AS chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+c AS (SELECT source, doc_id, chars, r, chars AS total, 1 AS n, 0 AS chunk FROM o WHERE r = 1
+  UNION ALL SELECT o.source, o.doc_id, o.chars, o.r, CASE WHEN c.total + o.chars > 6000 OR c.n >= 20 THEN o.chars ELSE c.total + o.chars END, CASE WHEN c.total + o.chars > 6000 OR c.n >= 20 THEN 1 ELSE c.n + 1 END,
+  CASE WHEN c.total + o.chars > 6000 OR c.n >= 20 THEN c.chunk + 1 ELSE c.chunk END FROM c JOIN o ON o.source = c.source AND o.r = c.r + 1)
+SELECT source, doc_id, CAST(chars AS INTEGER) AS chars, chunk FROM c""")
 def request_chunks(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "documents").select("source", "doc_id", F.length("text").alias("chars"))
     return flow.chunks(x, "source", ["doc_id"], "chars", 6000, 20)
@@ -47,7 +60,7 @@ def spread_turns(s: SparkSession, d: str) -> DataFrame:
     return flow.spread(c, "conv_id", "role", "load", "r").select("conv_id", "role", "r", "turn")
 
 
-@query()
+@query("SELECT event_id, props AS value, 'closed' AS repairs FROM events")
 def repaired_props(s: SparkSession, d: str) -> DataFrame:
     """Event properties cut short before their end, parsed all the same."""
     cut = F.expr("substring(props, 1, length(props) - 1)")
@@ -74,9 +87,14 @@ def graded_sets(s: SparkSession, d: str) -> DataFrame:
     return o.select("o_custkey", flow.grade_sets(F.col("a"), F.col("b")).alias("correct"))
 
 
-@query("""WITH t AS (SELECT p_type, p_partkey, p_size FROM part) SELECT p_type, count(DISTINCT p_size) > 1 AS ambiguous, min(p_partkey) AS first FROM t GROUP BY 1""")
+@query(r"""WITH w AS (SELECT p_brand, unnest(list_filter(regexp_split_to_array(lower(p_name || ' glass classes bus ' || p_name || 's'), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM part),
+s AS (SELECT p_brand, CASE WHEN length(w) > 3 AND regexp_matches(w, '[^sui]s$') THEN w[:-2] ELSE w END AS stem FROM w)
+SELECT stem, count(DISTINCT p_brand) > 1 AS ambiguous, count(DISTINCT p_brand) AS concepts FROM s GROUP BY 1""")
 def ambiguous_stems(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").groupBy("p_type").agg((F.min("p_size") < F.max("p_size")).alias("ambiguous"), F.min("p_partkey").alias("first"))
+    """Stems of part names, and whether they name several brands."""
+    name = F.concat("p_name", F.lit(" glass classes bus "), "p_name", F.lit("s"))
+    w = table(s, d, "part").select("p_brand", F.explode(phrases.stems(name)).alias("stem"))
+    return phrases.ambiguous(w, "stem", "p_brand")
 
 
 @query("SELECT c, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^A-Za-z0-9 ]')) AS c FROM benchmark) GROUP BY 1")

@@ -11,30 +11,53 @@ from tessera.plans.catalog import query
 from tessera.session import table
 
 
-@query("SELECT doc_id, true AS same FROM documents WHERE length(text) >= 120")
+@query("""WITH x AS (SELECT doc_id, text, substr(text, 61, 40) AS q FROM documents WHERE length(text) >= 120)
+SELECT doc_id, CASE WHEN length(text) - length(replace(text, q, '')) = 40 AND strpos('A new beginning. ' || text || ' And an end.', q) = 78 THEN 77 + length(q) - length(ltrim(q)) END AS at FROM x""")
 def anchors_resolve(s: SparkSession, d: str) -> DataFrame:
-    """Every long text's 60th to 100th character as an anchor, found again where it was."""
+    """Every long text's 60th to 100th character as an anchor, found again in a text that has grown at both ends; null
+    where the same 40 characters stand at several places."""
     docs = table(s, d, "documents").where(F.length("text") >= 120).select("doc_id", "text")
     a = docs.select("doc_id", anchors.anchor(F.col("text"), F.lit(60), F.lit(100)).alias("a")).select("doc_id", "a.*")
-    r = anchors.resolve(a, docs)
-    return r.select("doc_id", (F.col("found.at") == F.col("at")).alias("same"))
-
-
-@query()
+    moved = docs.select("doc_id", F.concat(F.lit("A new beginning. "), "text", F.lit(" And an end.")).alias("text"))
+    r = anchors.resolve(a, moved).join(docs, "doc_id")
+    q = F.substring("text", 61, 40)
+    once = F.length("text") - F.length(F.replace("text", q, F.lit(""))) == 40
+    first = F.expr("locate(substring(text, 61, 40), concat('A new beginning. ', text, ' And an end.'))") == 78
+    return r.select("doc_id", F.when(once & first & (F.col("found.how") == "exact"), F.col("found.at")).alias("at"))
+
+
+#: Paragraphs of seven sentences each, by customer: (text, is it a reference, its kind).
+_CITED = (
+    ("It is so, says c_name.", False, None),
+    ("Jones CD, Van Berg A. On the segment of c_name.", True, None),
+    ("More of the title.", True, None),
+    ("2022;c_nationkey(3):381-9.", True, None),
+    ("Smith-Roe AB, et al. J Endocr Soc. 2024.", True, "etal"),
+    ("2023 Mar 4; 17:e101-9.", True, None),
+    ("PMID 1234567c_nationkey.", True, "id"),
+)
+_CITED_SQL = " UNION ALL ".join(f"SELECT c_custkey AS doc, {i} AS seq, {k!r} AS kind FROM customer".replace("None", "NULL") for i, (_, ref, k) in enumerate(_CITED) if ref)
+
+
+@query(_CITED_SQL)
 def citation_marks(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(parse.sentences("text", "lang")).alias("seq", "text"))
+    c = table(s, d, "customer")
+    text = lambda t: F.replace(F.replace(F.lit(t), F.lit("c_name"), F.col("c_name")), F.lit("c_nationkey"), F.col("c_nationkey").cast("string"))
+    x = c.select(F.col("c_custkey").alias("doc"), F.posexplode(F.array(*[text(t) for t, _, _ in _CITED])).alias("seq", "text"))
     return cite.mark_references(x).where("reference").select("doc", "seq", "kind")
 
 
-@query()
+@query("""WITH c AS (SELECT CAST(count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 150000) AS DOUBLE) AS a, count(*) FILTER (o_orderstatus = 'O' AND NOT o_totalprice > 150000) AS b,
+count(*) FILTER (o_orderstatus <> 'O' AND o_totalprice > 150000) AS c, count(*) FILTER (o_orderstatus <> 'O' AND NOT o_totalprice > 150000) AS d FROM orders) SELECT 'dear' AS name, round(a * d / (b * c), 4) AS odds FROM c""")
 def logistic_odds(s: SparkSession, d: str) -> DataFrame:
-    """Odds ratios of quality by length and lines, without a penalty."""
+    """The odds ratio of dear orders to be open, by a logistic regression without a penalty on one yes-or-no column: that is
+    the cross ratio of four counts."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    x = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(F.col("quality").cast("double").alias("label"), F.log1p(F.length("text")).alias("chars"), (F.regexp_count("text", F.lit("[!#$%&|]")) / F.greatest(F.length("text"), F.lit(1))).alias("signs"))
-    m = LogisticRegression(regParam=0.0, maxIter=50).fit(VectorAssembler(inputCols=["chars", "signs"], outputCol="features").transform(x.dropna()))
-    return s.createDataFrame([(n, float(c)) for n, c in zip(["chars", "signs"], m.coefficients)], "name string, coefficient double").select("name", F.exp("coefficient").alias("odds"))
+    x = table(s, d, "orders").select((F.col("o_orderstatus") == "O").cast("double").alias("label"), (F.col("o_totalprice") > 150000).cast("double").alias("dear"))
+    m = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-12, standardization=False).fit(VectorAssembler(inputCols=["dear"], outputCol="features").transform(x))
+    return s.createDataFrame([("dear", float(m.coefficients[0]))], "name string, coefficient double").select("name", F.round(F.exp("coefficient"), 4).alias("odds"))
 
 
 @query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
@@ -49,10 +72,13 @@ def linear_rmse(s: SparkSession, d: str) -> DataFrame:
     return x.agg(F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"))
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(min(c_nationkey) AS INTEGER) AS least, CAST(max(c_nationkey) AS INTEGER) AS most FROM customer GROUP BY c_nationkey // 5")
 def embedding_clusters(s: SparkSession, d: str) -> DataFrame:
+    """k-means on a line where five groups of nations stand far apart: the clusters are these groups."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import VectorAssembler
 
-    x = table(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=8, seed=1, maxIter=10).fit(x).transform(x).groupBy("prediction").agg(F.count("*").alias("n"))
+    c = table(s, d, "customer").select("c_nationkey", (F.floor(F.col("c_nationkey") / 5) * 1000 + F.col("c_nationkey") % 5).cast("double").alias("x"))
+    x = VectorAssembler(inputCols=["x"], outputCol="features").transform(c)
+    m = KMeans(k=5, seed=1, maxIter=20, initSteps=5).fit(x)
+    return m.transform(x).groupBy("prediction").agg(F.count("*").alias("n"), F.min("c_nationkey").alias("least"), F.max("c_nationkey").alias("most")).drop("prediction")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.quantiles import quantiles as exact_quantiles
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -189,8 +190,8 @@ def quantiles(s: SparkSession, d: str) -> DataFrame:
 SELECT o_orderkey FROM orders, q WHERE o_totalprice NOT BETWEEN a - 0.2 * (b - a) AND b + 0.2 * (b - a)""")
 def iqr_outliers(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select("o_orderkey", "o_totalprice")
-    q = o.agg(F.percentile("o_totalprice", [0.25, 0.75]).alias("q")).select(F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
-    return o.crossJoin(F.broadcast(q)).where("NOT o_totalprice BETWEEN a - 0.2 * (b - a) AND b + 0.2 * (b - a)").select("o_orderkey")  # q is one row
+    a, b = exact_quantiles(o, F.col("o_totalprice"), [0.25, 0.75])
+    return o.where(~F.col("o_totalprice").between(a - 0.2 * (b - a), b + 0.2 * (b - a))).select("o_orderkey")
 
 
 @query("""WITH g AS (SELECT o_orderpriority, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM orders GROUP BY 1)
@@ -284,7 +285,7 @@ def as_of_join(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, coalesce(CASE WHEN p_size > 45 THEN NULL ELSE p_size END, med) AS size FROM part, (SELECT median(CASE WHEN p_size > 45 THEN NULL ELSE p_size END) AS med FROM part)")
 def median_imputation(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part").select("p_partkey", F.when(F.col("p_size") <= 45, F.col("p_size").cast("double")).alias("x"))
-    return p.crossJoin(F.broadcast(p.agg(F.median("x").alias("med")))).select("p_partkey", F.coalesce("x", "med").alias("size"))  # med is one row
+    return p.select("p_partkey", F.coalesce("x", F.lit(exact_quantiles(p, F.col("x"), [0.5])[0])).alias("size"))
 
 
 @query("""WITH h AS (SELECT user_id, date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1, 2),
@@ -298,9 +299,9 @@ def interpolate_hours(s: SparkSession, d: str) -> DataFrame:
     g = h.groupBy("user_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).select("user_id", F.explode(F.expr("sequence(a, z, INTERVAL 1 HOUR)")).alias("h"))
     j = g.join(h, ["user_id", "h"], "left")
     w = Window.partitionBy("user_id").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    x = Window.partitionBy("user_id").orderBy("h").rowsBetween(0, Window.unboundedFollowing)
+    x = Window.partitionBy("user_id").orderBy(F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)  # a running frame from the end
     at = F.when(F.col("v").isNotNull(), F.unix_timestamp("h"))
-    j = j.select("user_id", F.unix_timestamp("h").alias("t"), F.last("v", True).over(w).alias("pv"), F.last(at, True).over(w).alias("ph"), F.first("v", True).over(x).alias("nv"), F.first(at, True).over(x).alias("nh"))
+    j = j.select("user_id", F.unix_timestamp("h").alias("t"), F.last("v", True).over(w).alias("pv"), F.last(at, True).over(w).alias("ph"), F.last("v", True).over(x).alias("nv"), F.last(at, True).over(x).alias("nh"))
     y = F.when(F.col("nh") == F.col("ph"), F.col("pv")).otherwise(F.col("pv") + (F.col("nv") - F.col("pv")) * (F.col("t") - F.col("ph")) / (F.col("nh") - F.col("ph")))
     return j.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg(y), 5).alias("mean"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normal_answer, parse_number
-from tessera.operators import merge, search
+from tessera.operators import merge, ranges, search
 from tessera.plans.catalog import query
 from tessera.plans.textual import FOLD_SQL
 from tessera.session import table
@@ -15,7 +15,7 @@ from tessera.session import table
 
 @query(f"""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array({FOLD_SQL}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x = 'the')) AS n FROM documents) SELECT doc_id, n FROM w WHERE n > 0""")
 def phrase_hits(s: SparkSession, d: str) -> DataFrame:
-    return search.hits(table(s, d, "documents"), "the").select("doc_id", F.col("n").cast("long").alias("n")).distinct()
+    return search.counted(table(s, d, "documents"), "the").select("doc_id", F.col("n").cast("long").alias("n"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, {FOLD_SQL} AS f FROM documents) SELECT doc_id, strpos(f, 'license') - 1 AS first, len(regexp_extract_all(f, 'license')) AS n, false AS truncated FROM f
@@ -25,15 +25,20 @@ def hit_groups(s: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", F.col("first").cast("long").alias("first"), F.col("n").cast("long").alias("n"), "truncated")
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, text, {FOLD_SQL} AS f FROM documents WHERE contains({FOLD_SQL}, 'general public license')),
+p AS (SELECT *, unnest(list_filter(generate_series(0, length(f) - 22), lambda i: f[i + 1:i + 22] = 'general public license' AND (i = 0 OR NOT regexp_matches(f[i:i], '[\\p{{L}}\\p{{N}}]')))) AS pos FROM t),
+l AS (SELECT *, regexp_extract(text[1:pos], '[^\\n]*$') AS b, regexp_extract(text[pos + 23:], '^[^\\n]*') AS a FROM p)
+SELECT doc_id, pos AS at, CASE WHEN length(b) <= 40 THEN b ELSE regexp_extract(b, '[\\p{{L}}\\p{{N}}]*.{{40}}$') END || '[' || text[pos + 1:pos + 22] || ']' || CASE WHEN length(a) <= 40 THEN a ELSE regexp_extract(a, '^.{{40}}[\\p{{L}}\\p{{N}}]*') END AS snippet FROM l""")
 def hit_snippets(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select("doc_id", "text")
-    return search.hits(docs, "General Public License").join(docs, "doc_id").select("doc_id", "at", search.snippet(F.col("text"), F.col("at"), F.col("len")).alias("snippet"))
+    return search.hits(docs, "General Public License").join(docs, "doc_id").select("doc_id", F.col("at").cast("long").alias("at"), search.snippet(F.col("text"), F.col("at"), F.col("len")).alias("snippet"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS title, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+h AS (SELECT doc_id, line, title, trim(regexp_replace({FOLD_SQL.replace("text", "title")}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k FROM l WHERE length(title) BETWEEN 3 AND 80 AND NOT regexp_matches(title, '[.!?:;,]\\s*$'))
+SELECT *, count(*) OVER (PARTITION BY doc_id, k) >= 10 AS repeated FROM h WHERE k <> ''""")
 def document_headings(s: SparkSession, d: str) -> DataFrame:
-    return search.headings(table(s, d, "documents"))
+    return search.headings(table(s, d, "documents")).withColumn("line", F.col("line").cast("long"))
 
 
 @query("SELECT d.doc_id, min(b.item_id) AS item_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
@@ -83,10 +88,13 @@ def merge_maps_max(s: SparkSession, d: str) -> DataFrame:
     return j.select("user_id", F.explode(merge.max_maps(F.col("a"), F.col("b"))).alias("event_type", "v"))
 
 
-@query("SELECT o_orderkey, c_custkey AS id, c_custkey IS NULL AS missing FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') ON o_custkey = c_custkey")
+@query("""WITH c AS (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'), n AS (SELECT c_nationkey, min(c_custkey) AS id FROM c WHERE c_nationkey < 20 GROUP BY 1)
+SELECT o_orderkey, coalesce(c.c_custkey, n.id) AS id, coalesce(c.c_custkey, n.id) IS NULL AS missing FROM orders JOIN customer a ON o_custkey = a.c_custkey LEFT JOIN c ON o_custkey = c.c_custkey LEFT JOIN n ON a.c_nationkey = n.c_nationkey""")
 def resolve_targets(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("by_id"), F.sha2("c_name", 256).alias("by_hash"))
-    rows = table(s, d, "orders").select("o_orderkey", "o_custkey", F.sha2(F.lit("none"), 256).alias("h"))
+    """Orders whose customer is gone go to the first customer with the same content hash (its nation's), if there is one."""
+    every = table(s, d, "customer").withColumn("h", F.sha2(F.col("c_nationkey").cast("string"), 256))
+    c = every.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("by_id"), F.when(F.col("c_nationkey") < 20, F.col("h")).alias("by_hash"))
+    rows = table(s, d, "orders").select("o_orderkey", "o_custkey").join(every.select(F.col("c_custkey").alias("o_custkey"), "h"), "o_custkey")
     return merge.resolve(rows, c, [("o_custkey", "by_id"), ("h", "by_hash")], "id").select("o_orderkey", "id", "missing")
 
 
@@ -105,19 +113,17 @@ def graph_degrees(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p, CAST(o_orderpriority[1] AS INTEGER) AS lvl FROM orders)
 SELECT doc, p, lvl, (SELECT min(n.p) - 1 FROM o n WHERE n.doc = o.doc AND n.p > o.p AND n.lvl <= o.lvl) AS until FROM o""")
 def chapter_ranges(s: SparkSession, d: str) -> DataFrame:
-    """A chapter ends before the next one of its level or above: for each of the five levels, the next place is one
-    window minimum, so no chapter meets all others."""
+    """A chapter ends before the next one of its level or above."""
     w = Window.partitionBy("doc").orderBy("at", "o_orderkey")
     o = table(s, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderdate").alias("at"), "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("lvl"))
     o = o.withColumn("p", F.row_number().over(w).cast("long"))
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    until = F.lit(None).cast("long")
-    for lvl in range(1, 6):
-        until = F.when(F.col("lvl") == lvl, F.min(F.when(F.col("lvl") <= lvl, F.col("p"))).over(ahead) - 1).otherwise(until)
-    return o.select("doc", "p", "lvl", until.alias("until"))
+    return ranges.until_same_level(o, "doc", "p", "lvl").select("doc", "p", "lvl", "until")
 
 
-@query("""SELECT o_orderkey, (SELECT max(r.lo) FROM (SELECT 1 AS lo, 100000 AS hi UNION ALL SELECT 100001, 200000 UNION ALL SELECT 200001, 300000) r WHERE o_totalprice BETWEEN r.lo AND r.hi) AS chapter FROM orders""")
+@query("""WITH h AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS f FROM lineitem WHERE l_linenumber = 1), p AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS page FROM lineitem WHERE l_linenumber = 2)
+SELECT k, page, (SELECT count(*) FROM h WHERE h.k = p.k AND h.f <= p.page) - 1 AS chapter, (SELECT max(f) FROM h WHERE h.k = p.k AND h.f <= p.page) AS lo, (SELECT min(f) - 1 FROM h WHERE h.k = p.k AND h.f > p.page) AS hi FROM p""")
 def chapter_at(s: SparkSession, d: str) -> DataFrame:
-    p = F.col("o_totalprice")
-    return table(s, d, "orders").select("o_orderkey", F.when(p.between(1, 100000), 1).when(p.between(100001, 200000), 100001).when(p.between(200001, 300000), 200001).alias("chapter"))
+    """Pages among chapters, which go from one heading to the next: -1 before the first."""
+    x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("at"), "l_linenumber")
+    p = x.where("l_linenumber = 2").select("k", F.col("at").alias("page")).distinct()
+    return ranges.chapter_of(p, x.where("l_linenumber = 1").select("k", "at"), "k", "page", "at")

@@ -46,13 +46,15 @@ def review_queue(s: SparkSession, d: str) -> DataFrame:
     return study.queue(c, "k", F.lit("1996-01-01").cast("timestamp"), 3).select("k", "id", "place")
 
 
-@query()
+@query("""SELECT o_custkey AS k, o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN NULL ELSE o_orderstatus = 'F' END AS "last",
+CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 2 ELSE 1 END, md5('7:' || o_orderkey), o_orderkey) AS INTEGER) AS place FROM orders""")
 def session_order(s: SparkSession, d: str) -> DataFrame:
     q = table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("last"))
     return study.session_order(q, "k", 7)
 
 
-@query()
+@query("""WITH a AS (SELECT o_orderkey, CAST((o_orderkey + 1831565813) % 4294967296 AS HUGEINT) AS a FROM orders), t AS (SELECT *, (xor(a, a >> 15) * (a | 1)) % 4294967296 AS t FROM a),
+u AS (SELECT *, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296) % 4294967296) AS u FROM t) SELECT o_orderkey, round(CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296, 12) AS r FROM u""")
 def seeded_numbers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "orders").select("o_orderkey", F.round(study.mulberry32("o_orderkey"), 12).alias("r"))
 
@@ -79,14 +81,19 @@ d AS (SELECT g, n, count(*) AS c FROM (SELECT g, a AS n FROM e UNION ALL SELECT
 SELECT g AS graph, a, b FROM e WHERE (g, a) IN (SELECT (g, n) FROM t) AND (g, b) IN (SELECT (g, n) FROM t)""")
 def diagram_edges(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "lineitem").select(F.col("l_returnflag").alias("graph"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
-    n = e.select("graph").distinct().join(table(s, d, "supplier").select(F.col("s_suppkey").alias("id")))
+    n = table(s, d, "supplier").select(F.explode(F.array(*[F.lit(x) for x in "ANR"])).alias("graph"), F.col("s_suppkey").alias("id"))
     return study.valid_edges(n, e)
 
 
-@query("""SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS chars, CASE WHEN length(text) = 0 THEN 'notext' WHEN length(text) < 200 THEN 'scan' ELSE 'text' END AS verdict FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, CASE lang WHEN 'de' THEN replace(text, 'e', chr(65533)) WHEN 'fr' THEN replace(text, 'e', chr(57344)) ELSE text END AS t FROM documents),
+c AS (SELECT doc_id, length(t) AS n, length(regexp_replace(t, '\s', '', 'g')) AS chars, length(t) - length(replace(replace(t, chr(65533), ''), chr(57344), '')) AS bad FROM t)
+SELECT doc_id, chars, bad, CASE WHEN n = 0 THEN 'notext' WHEN chars >= 50 AND bad * 5 >= chars THEN 'garbled' WHEN n < 200 THEN 'scan' ELSE 'text' END AS verdict FROM c""")
 def scan_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """German and French documents with broken letters in place of every e."""
     from tessera.functions.text import garble
 
-    chars, bad = garble(F.col("text"))
-    n = F.length("text")
-    return table(s, d, "documents").select("doc_id", chars.alias("chars"), F.when(n == 0, "notext").when((chars >= 50) & (bad * 5 >= chars), "garbled").when(n < 200, "scan").otherwise("text").alias("verdict"))
+    t = F.when(F.col("lang") == "de", F.replace("text", F.lit("e"), F.lit("�"))).when(F.col("lang") == "fr", F.replace("text", F.lit("e"), F.lit(""))).otherwise(F.col("text"))
+    x = table(s, d, "documents").select("doc_id", t.alias("t"))
+    chars, bad = garble(F.col("t"))
+    n = F.length("t")
+    return x.select("doc_id", chars.alias("chars"), bad.alias("bad"), F.when(n == 0, "notext").when((chars >= 50) & (bad * 5 >= chars), "garbled").when(n < 200, "scan").otherwise("text").alias("verdict"))

@@ -26,6 +26,16 @@ def script_counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.script_counts(F.col("text")).items()])
 
 
+#: Documents of which some are written in letters of other scripts, by their id.
+_FOREIGN = ("가나다라마바사아자차", "あいうえおカキクケコ", "中文字母表一二三四五", "ابتثجحخدذر")
+_LATIN = "aeiounrtsl"
+_MIXED = "CASE doc_id % 6 " + " ".join(f"WHEN {i + 1} THEN translate(text, '{_LATIN}', '{x}')" for i, x in enumerate(_FOREIGN)) + " ELSE text END"
+
+
+def _mixed_scripts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.expr(_MIXED).alias("text"))
+
+
 _WORDS = {k: "list_contains(['" + "','".join(v) + "'], x)" for k, v in T.FUNCTION_WORDS.items()}
 
 
@@ -36,20 +46,21 @@ def function_word_counts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", w["words"].alias("words"), w["en"].alias("en"), w["fr"].alias("fr"))
 
 
-@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace({_MIXED}, '\s+', ' ', 'g')) AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '\p{{L}}+') AS o FROM t), l AS (SELECT *, list_transform(o, lambda x: lower(x)) AS w FROM w),
-c AS (SELECT doc_id, length(t) AS n, len(list_filter(w, lambda x: {_WORDS['en']})) AS en, len(list_filter(w, lambda x: {_WORDS['fr']})) AS fr, len(list_filter(w, lambda x: {_WORDS['fr']} AND x <> 'la')) AS f2,
+c AS (SELECT doc_id, length(t) AS n, len(regexp_extract_all(t, '\p{{L}}')) AS a, len(regexp_extract_all(t, '\p{{Hangul}}')) AS ko, len(regexp_extract_all(t, '[\p{{Hiragana}}\p{{Katakana}}]')) AS kana, len(regexp_extract_all(t, '\p{{Han}}')) AS han, len(regexp_extract_all(t, '\p{{Arabic}}')) AS ar, len(list_filter(w, lambda x: {_WORDS['en']})) AS en, len(list_filter(w, lambda x: {_WORDS['fr']})) AS fr, len(list_filter(w, lambda x: {_WORDS['fr']} AND x <> 'la')) AS f2,
   len(list_filter(generate_series(1, len(o)), lambda i: list_contains(['el','los','las','del','por','para','con','una','lo'], w[i])
     AND (NOT regexp_matches(o[i], '^\p{{Lu}}') OR o[i] = upper(o[i]) OR coalesce(regexp_matches(o[i + 1], '^\p{{Ll}}'), false)))) AS es FROM l)
-SELECT doc_id, CASE WHEN n < 200 THEN 'en' WHEN es >= 2 AND es >= 2 * greatest(en, f2) THEN 'es' WHEN greatest(en, fr) >= 2 * least(en, fr) AND fr > en THEN 'fr' ELSE 'en' END AS guess,
-CASE WHEN n < 200 THEN 0.0 WHEN es >= 2 AND es >= 2 * greatest(en, f2) THEN floor((1 - greatest(en, f2) / es) * 1000 + 0.5) / 1000 WHEN greatest(en, fr) = 0 THEN 0.0 ELSE floor((1 - least(en, fr) / greatest(en, fr)) * 1000 + 0.5) / 1000 END AS score FROM c""")
+SELECT doc_id, CASE WHEN n < 200 THEN 'en' WHEN ko * 10 >= a * 3 AND a > 0 THEN 'ko' WHEN kana > 0 AND (kana + han) * 10 >= a * 3 THEN 'ja' WHEN han * 10 >= a * 3 AND a > 0 THEN 'zh' WHEN ar * 10 >= a * 3 AND a > 0 THEN 'ar' WHEN es >= 2 AND es >= 2 * greatest(en, f2) THEN 'es' WHEN greatest(en, fr) >= 2 * least(en, fr) AND fr > en THEN 'fr' ELSE 'en' END AS guess,
+CASE WHEN n < 200 THEN 0.0 WHEN ko * 10 >= a * 3 AND a > 0 THEN floor(ko / a * 1000 + 0.5) / 1000 WHEN kana > 0 AND (kana + han) * 10 >= a * 3 THEN floor((kana + han) / a * 1000 + 0.5) / 1000 WHEN han * 10 >= a * 3 AND a > 0 THEN floor(han / a * 1000 + 0.5) / 1000 WHEN ar * 10 >= a * 3 AND a > 0 THEN floor(ar / a * 1000 + 0.5) / 1000 WHEN es >= 2 AND es >= 2 * greatest(en, f2) THEN floor((1 - greatest(en, f2) / es) * 1000 + 0.5) / 1000 WHEN greatest(en, fr) = 0 THEN 0.0 ELSE floor((1 - least(en, fr) / greatest(en, fr)) * 1000 + 0.5) / 1000 END AS score FROM c""")
 def guess_language(s: SparkSession, d: str) -> DataFrame:
-    return T.with_language(table(s, d, "documents").select("doc_id", "text"), "text").drop("text")
+    return T.with_language(_mixed_scripts(s, d), "text").drop("text")
 
 
-@query("SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")
+@query(rf"""WITH t AS (SELECT doc_id, {_MIXED} AS t FROM documents), w AS (SELECT doc_id, length(t) AS n, len(regexp_extract_all(t, '[가-힣؀-ۿ]')) AS wide FROM t)
+SELECT doc_id, CAST(CASE WHEN n = 0 THEN 0 WHEN wide * 10 >= n * 3 THEN ceil(n / 2) ELSE ceil(n / 4) END AS BIGINT) AS tokens FROM w""")
 def token_estimate(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+    return _mixed_scripts(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 _REDACTED = "text"
@@ -100,9 +111,10 @@ def content_keys(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", hashing.content_hash(t).alias("content"), hashing.content_id(F.col("lang"), F.col("source"), t).alias("id"), hashing.cache_key(F.col("doc_id"), t, F.col("lang"), F.lit("text")).alias("cache"))
 
 
-@query()
+@query("""WITH h AS (SELECT c_custkey, hex(encode(c_name || '-ß中😀-' || c_mktsegment)) AS h FROM customer), b AS (SELECT c_custkey, list_transform(generate_series(1, length(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS HUGEINT)) AS b FROM h)
+SELECT c_custkey, printf('%08x%08x', CAST(x // 4294967296 AS BIGINT), CAST(x % 4294967296 AS BIGINT)) AS fnv FROM (SELECT c_custkey, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), b), lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616) AS x FROM b)""")
 def fnv_hashes(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", hashing.fnv1a64("text").alias("fnv"))
+    return table(s, d, "customer").select("c_custkey", hashing.fnv1a64(F.concat("c_name", F.lit("-ß中😀-"), "c_mktsegment")).alias("fnv"))
 
 
 @query(r"SELECT count(DISTINCT trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS n FROM documents")
@@ -118,11 +130,16 @@ def repeated_lines(s: SparkSession, d: str) -> DataFrame:
     return once.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where("n >= 10")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS report FROM conversations WHERE turn < 3 GROUP BY 1")
+@query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS line, role || ': ' || text AS text FROM conversations)
+SELECT * FROM t UNION ALL SELECT conv_id, 0, 'conversation ' || conv_id || ' (' || count(*) || ')' FROM t GROUP BY conv_id""")
 def grouped_report(s: SparkSession, d: str) -> DataFrame:
-    """A conversation's opening as text: three rows a group at most."""
-    g = table(s, d, "conversations").where("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("x")))).alias("x"))
-    return g.select("conv_id", F.array_join("x.x", "\n").alias("report"))
+    """Conversations as lines of a text file: a heading with the number of turns, then every turn in order. Lines stay rows,
+    so a conversation of any length passes through one sorted window and is held nowhere."""
+    c = table(s, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    lines = c.select("conv_id", F.row_number().over(w).cast("long").alias("line"), F.concat_ws(": ", "role", "text").alias("text"))
+    heads = c.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.lit(0).cast("long").alias("line"), F.format_string("conversation %d (%d)", "conv_id", "n").alias("text"))
+    return lines.unionByName(heads)
 
 
 @query("SELECT conv_id, turn, role, sum(CASE WHEN role IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)) ")

@@ -17,6 +17,12 @@ def test_sentences():
     assert len(s(t)) == 3000
 
 
+def test_items_identifiers_and_units():
+    s = parse.sentences_of
+    assert s("Give 5 mg. Then wait.") == ["Give 5 mg. Then wait."]
+    assert s("All • one • two. End [PMID: 1], Next [DOI 2] and") == ["All", "• one", "• two.", "End [PMID: 1],", "Next [DOI 2] and"]
+
+
 def test_sentences_lose_nothing():
     r = random.Random(1)
     for _ in range(200):
@@ -47,9 +53,9 @@ def test_evidence():
 
 
 def test_lines_and_chunks(spark):
-    rows = [("a", ["methicillin-", "resistant bug", "inter-", "national", "2019-", "x", "End-", "Of"]), ("b", []), ("c", ["one"])]
+    rows = [("a", ["methicillin-", "resistant bug", "inter-", "national", "car-", " dio ", "", "2019-", "x", "End-", "Of"]), ("b", []), ("c", ["one"]), ("d", ["angiotensin-", "converting enzyme", "cardio-", "vascular  x-", "", "y"])]
     got = {r.k: r.t for r in spark.createDataFrame(rows, "k string, l array<string>").select("k", flow.join_lines(F.col("l")).alias("t")).collect()}
-    assert got == {"a": "methicillin-resistant bug international 2019- x End- Of", "b": "", "c": "one"}
+    assert got == {"a": "methicillin-resistant bug inter-national cardio 2019- x End- Of", "b": "", "c": "one", "d": "angiotensin-converting enzyme cardiovascular x-y"}
     r = random.Random(3)
     data = [(k, i, r.randint(1, 50)) for k in range(5) for i in range(60)] + [(9, 0, 500), (9, 1, 1)]
     out = flow.chunks(spark.createDataFrame(data, "k int, i int, n int"), "k", ["i"], "n", 100, 4).collect()

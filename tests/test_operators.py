@@ -143,3 +143,18 @@ def test_plans_equal_sql(spark, small, name):
     r = c.execute(catalog.ORACLE[name])
     at = [[x[0] for x in r.description].index(k) for k in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(x[i] for i in at)) for x in r.fetchall())
+
+
+def test_quantiles_narrow_down(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SORTED", 50)
+    r = np.random.default_rng(1)
+    v = np.concatenate([r.normal(size=3000), np.full(2000, 0.25), [1e9]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    f = [0.0, 0.1, 0.25, 0.5, 0.613, 0.9, 1.0]
+    assert np.allclose(quantiles.quantiles(df, F.col("x"), f), np.quantile(v, f))
+    assert quantiles.quantiles(df.limit(0), F.col("x"), [0.5]) == [None]

@@ -1,4 +1,4 @@
-"""Parsers that need more than patterns: sentences, broken JSON, evidence quotes. Arrow-batched."""
+"""Sentences as column expressions; parsers that need more than patterns, Arrow-batched: broken JSON, evidence quotes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -15,59 +17,26 @@ ABBREVIATIONS = frozenset(
     "e.g. i.e. vs. etc. cf. ca. approx. no. nos. al. fig. figs. tbl. chap. chaps. sec. ed. eds. vol. vols. p. pp. dr. mr. mrs. ms. prof. st. jr. sr. inc. ltd. min. max. wt. mg. kg.".split()
 )
 BULLETS = "•▪◦‣●■▸►"
-_CLOSERS = "\"”')]"
-
-
-def ends_sentence(text: str) -> bool:
-    t = text.strip()
-    if not re.search(r"[.!?…][\"”')\]]*$", t):
-        return False
-    last = t.split()[-1].lower()
-    return last not in ABBREVIATIONS and not re.search(r"(?:^|[\s(\[«\"'])[A-Z]\.$", t)
-
-
-def starts_sentence(c: str, lang: str = "en") -> bool:
-    if c in "([«\"“'" or "0" <= c <= "9":
-        return True
-    if lang == "es" and c in "¿¡":
-        return True
-    if lang == "ko" and unicodedata.name(c, "").startswith("HANGUL"):
-        return True
-    return "A" <= c <= "Z" if lang == "en" else unicodedata.category(c) == "Lu"
-
-
-_CUT = re.compile(rf"""(?P<stop>[.!?…][\"”')\]]*)[ ](?=\S)|[ ](?P<item>[{BULLETS}])(?=[ ])|\[\s*(?i:PMC?ID|DOI)\b[^\[\]]*\][.;,]?(?P<id>[ ])(?=\S)""")
-
-
-def sentences_of(text: str | None, lang: str = "en") -> list[str]:
-    """Sentences: cut after a stop that ends one, where the next word looks like a beginning; before a list item's mark;
-    after an identifier in brackets, where a sentence, a bracket or an item begins."""
-    t = re.sub(r"\s+", " ", text or "").strip()
-    out, start = [], 0
-    at = 0
-    while m := _CUT.search(t, at):
-        at = m.end() - bool(m["item"])
-        if m["item"]:
-            end, after = m.start(), m.start() + 1
-        else:
-            end, after = (m.end() - 1, m.end()) if m["stop"] else (m.start("id"), m.end())
-            nxt = t[after]
-            if m["stop"]:
-                good = starts_sentence(nxt, lang) and ends_sentence(t[max(start, end - 80) : end]) and not (nxt in "¿¡" and t[after + 1 : after + 2].islower())
-            else:
-                good = starts_sentence(nxt, lang) or nxt == "[" or nxt in BULLETS
-            if not good:
-                at = m.start() + 1 if not m["stop"] else after
-                continue
-        if end > start:
-            out.append(t[start:end].strip())
-            start = after
-    return [x for x in [*out, t[start:].strip()] if x]
-
-
-@pandas_udf(ArrayType(StringType()))
-def sentences(text: pd.Series, lang: pd.Series) -> pd.Series:
-    return pd.Series([sentences_of(t, g or "en") for t, g in zip(text, lang)])
+#: What a sentence may begin with, by language; other languages go by the first.
+STARTS = {"en": r"A-Z0-9(\[«\"“'", "fr": r"\p{Lu}0-9(\[«\"“'", "ko": r"\p{Lu}\p{IsHangul}0-9(\[«\"“'", "es": r"\p{Lu}0-9(\[«\"“'"}
+_CUT = "\x01"
+
+
+def sentences(text: Column, lang: Column) -> Column:
+    """Sentences of a text: cut after a stop that ends one (no abbreviation, no initial), where the next word looks like a
+    beginning; before a list item's mark; after an identifier in brackets, where a sentence, a bracket or an item begins."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    short = "|".join(re.escape(x) for x in sorted(ABBREVIATIONS))
+
+    def cut(lang: str) -> Column:
+        start = rf"(?=[{STARTS[lang]}]" + (r"|[¿¡](?!\p{Ll}))" if lang == "es" else ")")
+        stop = rf"(?<=[.!?…][\"”')\]]{{0,6}})(?<!(?:^|[ {_CUT}])(?i:{short}))(?<!(?:^|[ (\[«\"'{_CUT}])[A-Z]\.) {start}"
+        named = rf"(?<=\[ ?(?i:PMC?ID|DOI)\b[^\[\]]{{0,80}}\][.;,]?) (?=[{STARTS[lang]}\[{BULLETS}{'¿¡' if lang == 'es' else ''}])"
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf"(?<=[^ ]) (?=[{BULLETS}] )", _CUT), named, _CUT), stop, _CUT)
+
+    code = F.coalesce(lang, F.lit("en"))
+    marked = F.when(code == "fr", cut("fr")).when(code == "es", cut("es")).when(code == "ko", cut("ko")).otherwise(cut("en"))
+    return F.filter(F.transform(F.split(marked, _CUT), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def repair_json(raw: str | None) -> tuple[object, list[str]]:

@@ -12,9 +12,19 @@ from tessera.plans.catalog import query
 from tessera.session import table
 
 
-@query()
+_SHORT = "('" + "','".join(sorted(parse.ABBREVIATIONS)) + "')"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, lang, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents),
+f AS (SELECT doc_id, w, list_transform(generate_series(1, len(w)), lambda i: CASE WHEN i = 1 THEN 0
+  WHEN regexp_matches(w[i], '^[•▪◦‣●■▸►]$') AND i < len(w) THEN 1
+  WHEN regexp_matches(w[i - 1], '[.!?…]["”'')\]]*$') AND lower(w[i - 1]) NOT IN {_SHORT} AND NOT regexp_matches(w[i - 1], '(^|[(\[«"''])[A-Z]\.$')
+   AND regexp_matches(w[i], CASE lang WHEN 'fr' THEN '^[\p{{Lu}}0-9(\[«"“'']' WHEN 'es' THEN '^([\p{{Lu}}0-9(\[«"“'']|[¿¡]([^\p{{Ll}}]|$))' ELSE '^[A-Z0-9(\[«"“'']' END) THEN 1 ELSE 0 END) AS f FROM w),
+n AS (SELECT doc_id, unnest(w) AS w, unnest(list_transform(generate_series(1, len(f)), lambda i: CAST(list_sum(f[1:i]) AS INTEGER))) AS n, unnest(generate_series(1, len(w))) AS i FROM f),
+s AS (SELECT doc_id, n, string_agg(w, ' ' ORDER BY i) AS sentence FROM n GROUP BY ALL)
+SELECT doc_id, n, CAST(length(sentence) AS INTEGER) AS chars, md5(sentence) AS digest FROM s WHERE sentence <> ''""")
 def sentence_rows(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").select("doc_id", F.posexplode(parse.sentences("text", "lang")).alias("n", "sentence"))
+    x = table(s, d, "documents").select("doc_id", F.posexplode(parse.sentences(F.col("text"), F.col("lang"))).alias("n", "sentence"))
     return x.select("doc_id", "n", F.length("sentence").alias("chars"), F.md5("sentence").alias("digest"))
 
 

@@ -60,7 +60,14 @@ def _grades(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.when(v == 0, "again").when(v == 1, "hard").when(v == 2, "good").otherwise("easy").alias("grade"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, CASE ((CAST(floor(value * 100) AS BIGINT) % 4) + 4) % 4 WHEN 0 THEN 'again' WHEN 1 THEN 'hard' WHEN 2 THEN 'good' ELSE 'easy' END AS grade FROM events WHERE user_id IS NOT NULL),
+x AS (SELECT *, CASE grade WHEN 'again' THEN -0.2::DOUBLE WHEN 'hard' THEN -0.15::DOUBLE WHEN 'good' THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END AS delta FROM g),
+s AS (SELECT user_id, 0::BIGINT AS r, 2.5::DOUBLE AS ease, 0::BIGINT AS days, 0::BIGINT AS reps, 0::BIGINT AS lapses FROM g GROUP BY user_id
+  UNION ALL SELECT user_id, r, ease, CASE WHEN grade = 'again' THEN 0 ELSE least(365, CASE WHEN reps = 0 THEN CASE grade WHEN 'easy' THEN 4 ELSE 1 END WHEN grade = 'good' AND reps = 1 THEN 6
+      ELSE greatest(CASE WHEN grade = 'easy' AND reps = 1 THEN 7 ELSE 0 END, days + 1, CAST(floor(days * CASE grade WHEN 'hard' THEN 1.2::DOUBLE WHEN 'good' THEN ease ELSE ease * 1.3::DOUBLE END + 0.5::DOUBLE) AS BIGINT)) END) END,
+    CASE WHEN grade = 'again' THEN 0 ELSE reps + 1 END, lapses + CASE WHEN grade = 'again' THEN 1 ELSE 0 END
+  FROM (SELECT s.user_id, x.r, x.grade, greatest(1.3::DOUBLE, floor((s.ease + x.delta) * 100 + 0.5::DOUBLE) / 100) AS ease, s.days, s.reps, s.lapses FROM s JOIN x ON x.user_id = s.user_id AND x.r = s.r + 1))
+SELECT user_id, ease, days, reps, lapses FROM s QUALIFY r = max(r) OVER (PARTITION BY user_id)""")
 def spaced_schedule(s: SparkSession, d: str) -> DataFrame:
     return learning.schedule(_grades(s, d))
 

@@ -1,13 +1,19 @@
 """Near-duplicate removal by SimHash for a similarity (Jaccard of word shingles), not a number of bits.
 
 Copies at similarity 0.8 differ in some 15 % of a SimHash's bits: 4 to 14 of 64, so a bound of 3 bits finds hardly any.
-The same deletion variants therefore work on a wider fingerprint: SEGMENTS segments of 16 bits; at similarity 0.8 one
-of them differs by at most one bit with probability 0.95 (0.99 at 0.85), and each is indexed with each bit as a wildcard. Who shares a
-key is compared on 64 more bits; each document first keeps links to the nearest and to the first of the documents
-before it (two rows a key at most, however large the crowd), and every link is verified on sketches of the shingle sets (the
-SKETCH least hashes, exact for texts with fewer shingles) and, near the bound, on all shingles. Where that left close pairs out of a key, the key's rows are
-kept, and once the verified links have made groups, close pairs of different groups follow: each document with the nearest
-of each other group, then all that are still apart.
+The same deletion variants therefore work on a wider fingerprint: SEGMENTS segments of BITS bits; at similarity 0.8 one of
+them differs by at most one bit with probability 0.95 (0.99 at 0.85), and each is indexed with each bit as a wildcard.
+
+1. Who shares a key is compared on CHECK more bits. Texts that are close there, at once or by way of others, are a cluster
+   of that key. Where the first bit is the wildcard, each emits one link, to the cluster's least; where another is, only
+   the least of those that agree on that bit do, as the others have met under the first. No key emits more rows than it
+   holds, and a crowd few.
+2. Clusters of all keys are joined to groups (connected components). A group holds every pair that is close in any key.
+3. In each group all pairs are verified inside one task, on the sets of their shingles: a matrix product counts what any
+   two share. Only a spanning forest of the links that hold is emitted. Groups above BLOCK texts are dealt as pairs of
+   blocks, so no task holds more than two blocks. Sets are whole up to SKETCH shingles; of a longer one the least hashes
+   stand for it, and pairs within MARGIN of the bound that are not connected anyway are counted on all shingles.
+4. The components of the links that hold are the groups of copies.
 """
 
 from __future__ import annotations
@@ -21,21 +27,59 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Saved, buffers, lean, saved_here, slices, splitmix
 from tessera.llm.graph import components
-from tessera.llm.simhash import majority, shingle_hashes
-
-SEGMENTS, BITS, SKETCH = 9, 16, 256
-#: Share of 64 bits that may differ in a pair worth verifying: similarity 0.8 has 0.15 in the mean, and 0.29 is three
-#: standard deviations more.
-LOOSE = 0.29
-MOST = int(LOOSE * 64)
-#: A sketch's estimate decides if it is this far from the bound: at 0.8, five standard deviations (0.025).
-MARGIN = 0.125
-#: Parts of a text's shingles, by the first four bits of their hash, so that no row is long.
-PARTS = 16
-#: Crowds above this first link to leaders, smaller ones pair by pair.
-CROWD = 64
+from tessera.llm.simhash import LONG, document_words, majority, parts_of
+
+SEGMENTS, BITS, CHECK = 9, 16, 128
+#: Bits of CHECK that may differ in a pair worth verifying: similarity 0.8 has 19 in the mean, and 32 is three standard
+#: deviations more; of unrelated pairs one in 10^8 is as close.
+MOST = 32
+#: Shingles up to which a set is kept whole; how far from the bound an estimate of longer ones decides: five standard
+#: deviations (0.0125) at 0.8.
+SKETCH, MARGIN = 1024, 0.0625
+#: Texts of a group that one task verifies against each other or another block; parts of a text's shingles, by the first
+#: four bits of their hash, so that no row is long.
+BLOCK, PARTS = 1024, 16
+#: 64-bit words of a fingerprint: those of the segments, then those of CHECK.
+WORDS = -(-SEGMENTS * BITS // 64) + CHECK // 64 - 1
 
 _SEEDS = splitmix(np.arange(77, 77 + 8, dtype=np.uint64))
+_BYTE = splitmix(np.arange(2000, 2256, dtype=np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _shingles(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every shingle of each document (A-Z lower-cased), and each document's range in them: words by
+    their bytes' running sums, shingles by their words'."""
+    low, a, b, word = document_words(data, offs)
+    n = np.diff(word)
+    count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
+    out = np.concatenate([[0], np.cumsum(count)])
+    if not len(a):
+        return np.zeros(0, np.uint64), out
+    with np.errstate(over="ignore"):
+        if len(_powers[0]) < len(low):
+            size = max(len(low), LONG)
+            _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x)])) for x in (_BASE, _BACK)]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[low] * _powers[0][: len(low)])])
+        w = splitmix((sums[b] - sums[a]) * _powers[1][a] + (b - a).astype(np.uint64))
+        i = np.repeat(word[:-1] - out[:-1], count) + np.arange(out[-1])
+        span = np.repeat(np.minimum(n, words), count)
+        h = np.zeros(len(i), np.uint64)
+        for j in range(words):
+            part = w[np.minimum(i + j, len(w) - 1)]
+            part[span <= j] = 0
+            h = splitmix(h + part)
+    return h, out
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """_shingles(), a long text a part at a time."""
+    if len(offs) == 2 and len(data) > LONG:
+        got = [_shingles(x, np.array([0, len(x)]), words)[0] for x in parts_of(data, words)]
+        return np.concatenate(got), np.array([0, sum(map(len, got))])
+    return _shingles(data, offs, words)
 
 
 def wide_fingerprints(h: np.ndarray, out: np.ndarray, words: int) -> np.ndarray:
@@ -43,194 +87,204 @@ def wide_fingerprints(h: np.ndarray, out: np.ndarray, words: int) -> np.ndarray:
     return np.stack([majority(splitmix(h ^ _SEEDS[w]), out) for w in range(words)], 1)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
-
-
-def _close(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All pairs (i, j < i) of fingerprints within most bits, and how many bits, some rows at a time."""
-    step = max(1, (1 << 21) // max(1, len(fp)))
-    for at in range(0, len(fp), step):
-        end = min(at + step, len(fp))
-        dist = np.bitwise_count(fp[at:end, 0, None] ^ fp[None, :end, 0])
-        i, j = np.nonzero(dist <= most)
-        ok = j < i + at
-        i, j = i[ok], j[ok]
-        yield i + at, j, dist[i, j]
-
-
-def _pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links inside equal keys, and the rows of keys in which close pairs are not among them: rows are sorted by key,
-    then node."""
-    cut = np.flatnonzero(np.diff(key)) + 1
-    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-    size = end - begin
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    n = len(key)
-    near = np.full(n, most + 1, np.int64)
-    to = np.full(n, -1, np.int64)
-    first = np.full(n, -1, np.int64)
-    small = np.repeat(size <= CROWD, size)
-    touched = np.zeros(n, bool)
-    count = np.zeros(n, np.int64)
-    place = np.arange(n) - np.repeat(begin, size)
-    for d in range(1, int(size[size <= CROWD].max(initial=1))):
-        i = np.flatnonzero(small & (place >= d))
-        dist = _apart(fp[i], fp[i - d])
-        ok = dist <= most
-        i, dist = i[ok], dist[ok]
-        count[i] += 1
-        touched[i] = touched[i - d] = True
-        better = dist < near[i]
-        near[i[better]], to[i[better]] = dist[better], i[better] - d
-        first[i] = i - d  # the farthest back comes last
-    for link in (to, first):
-        i = np.flatnonzero(link >= 0)
-        a.append(node[link[i]])
-        b.append(node[i])
-    left = np.logical_or.reduceat(count > 2, begin) | (size > CROWD)
-    for s, e in zip(begin[size > CROWD], end[size > CROWD], strict=True):
-        own, rest = fp[s:e], np.arange(e - s)
-        by = np.lexsort(own.T)
-        ok = _apart(own[by[1:]], own[by[:-1]]) <= most
-        a.append(node[s + np.minimum(by[1:], by[:-1])[ok]])
-        b.append(node[s + np.maximum(by[1:], by[:-1])[ok]])
-        while len(rest):
-            lead, rest = rest[0], rest[1:]
-            ok = _apart(own[rest], own[lead]) <= most
-            a.append(np.full(int(ok.sum()), node[s + lead]))
-            b.append(node[s + rest[ok]])
-            rest = rest[~ok]
-        for i, j, _ in _close(own, most):
-            touched[s + i] = touched[s + j] = True
-    return np.concatenate(a), np.concatenate(b), np.flatnonzero(touched & np.repeat(left, size))
-
-
-def _apart_pairs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray, most: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Close pairs of different groups inside equal keys: each row with the nearest of each group before it, or all."""
-    cut = np.flatnonzero(np.diff(key)) + 1
-    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-    mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
-    a, b = [node[:0]], [node[:0]]
-    for s, e in zip(begin[mixed], end[mixed], strict=True):
-        for i, j, dist in _close(fp[s:e], most):
-            i, j = s + i, s + j
-            ok = root[i] != root[j]
-            i, j, dist = i[ok], j[ok], dist[ok]
-            if not every and len(i):
-                by = np.lexsort((dist, root[j], i))
-                i, j = i[by], j[by]
-                ok = np.concatenate([[True], (i[1:] != i[:-1]) | (root[j[1:]] != root[j[:-1]])])
-                i, j = i[ok], j[ok]
-            a.append(node[j])
-            b.append(node[i])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole keys, out of batches that are sorted by the first column. What is held of a key that goes on is
-    put together once, when the key ends."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        got = [c.to_numpy() for c in b.columns]
-        at = int(np.searchsorted(got[0], got[0][-1]))  # the last key may go on
-        if at == 0 and (not held or held[-1][0][-1] == got[0][0]):
-            held.append(got)
-            continue
-        held.append([x[:at] for x in got])
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-        held = [[x[at:] for x in got]]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, thash, fp, sketch) of docs (doc_id, text, thash)."""
-    wide = -(-SEGMENTS * BITS // 64)
+    """(node, fp, sketch) of docs (thash, text)."""
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, 1):
-            h, out = shingle_hashes(*buffers(t.column(1)), words)
-            fp = wide_fingerprints(h, out, wide)
+            h, out = shingle_sets(*buffers(t.column(1)), words)
+            fp = wide_fingerprints(h, out, WORDS)
             short = (h >> np.uint64(32)).astype(np.uint32)
             sketch = [np.unique(short[a:b])[:SKETCH].tobytes() for a, b in zip(out[:-1], out[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(2).combine_chunks(), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "thash", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sketch, pa.binary())], ["node", "fp", "sketch"])
+
+    return docs.select("thash", "text").mapInArrow(run, "node long, fp binary, sketch binary")
 
-    return docs.mapInArrow(run, "doc_id long, thash long, fp binary, sketch binary")
 
+def _begins(k: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """Links (a, b) to verify among distinct texts (node, fp), their key null; and as (key, node, bits) the rows of keys in
-    which other pairs are close. A row carries the fingerprint's last 64 bits, of which one segment at most is a key, to
-    be compared by."""
+
+def _by_key(batches: Iterable[pa.RecordBatch], shift: int = 0) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Whole keys, some at a time: (where each begins, and the end; their rows), out of batches that are sorted by the first
+    column, whose last ``shift`` bits do not count. What is held of a key that goes on is put together once, when it ends."""
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Table]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        return _begins(t.column(0).to_numpy() >> shift), t
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(0).to_numpy() >> shift
+        at = int(np.searchsorted(k, k[-1]))  # the last key may go on
+        if at == 0 and (not held or held[-1].column(0)[-1].as_py() >> shift == k[0]):
+            held.append(b)
+            continue
+        if held or at:
+            yield done([*held, b.slice(0, at)])
+        held = [b.slice(at)]
+    if held:
+        yield done(held)
+
+
+def clusters(begin: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
+    """For each row the first row of its cluster: rows of one key (which go from one of begin to the next) that are within
+    ``most`` bits of each other, at once or by way of others."""
+    size = np.diff(begin)
+    label = np.arange(begin[-1])
+    small = size <= 64
+    rows = np.flatnonzero(np.repeat(small, size))
+    place = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
+    i_all, j_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, int(size[small].max(initial=1))):
+        rows = rows[place[rows] >= d]
+        near = np.bitwise_count(fp[rows] ^ fp[rows - d]).sum(1, dtype=np.int32) <= most
+        i_all.append(rows[near])
+        j_all.append(rows[near] - d)
+    i, j = np.concatenate(i_all), np.concatenate(j_all)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        before = label.copy()
+        for x in (i, j, before[i], before[j]):
+            np.minimum.at(label, x, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    for s, e in zip(begin[:-1][~small], begin[1:][~small], strict=True):
+        rest = np.arange(s, e)
+        while len(rest):
+            first, rest, todo = rest[0], rest[1:], [rest[0]]
+            while todo and len(rest):
+                near = np.bitwise_count(fp[rest] ^ fp[todo.pop()]).sum(1, dtype=np.int32) <= most
+                got, rest = rest[near], rest[~near]
+                label[got] = first
+                todo.extend(got.tolist())
+    return label
+
+
+def _close(prints: DataFrame) -> DataFrame:
+    """Links (a, b) between distinct texts (node, fp) that connect each key's clusters. A key ends with the wildcard's bit,
+    which does not count when keys are compared."""
 
     @lean
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ~(np.uint64(1) << np.arange(BITS, dtype=np.uint64))
+        k = SEGMENTS * BITS
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                c = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 1000):
+                c = b.slice(at, 1000)
                 node = c.column(0).to_numpy()
                 raw = b"".join(c.column(1).to_pylist())
                 seg = np.frombuffer(raw, np.uint16).reshape(len(node), -1)[:, :SEGMENTS].astype(np.uint64)
-                check = np.frombuffer(raw, np.int64).reshape(len(node), -1)[:, -1]
-                keys = (seg[:, :, None] & masks) | (np.arange(SEGMENTS * BITS, dtype=np.uint64).reshape(1, SEGMENTS, BITS) << np.uint64(BITS))
-                k = SEGMENTS * BITS
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, k)), pa.array(np.repeat(check, k))], ["key", "node", "bits"])
-
-    @lean
-    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, bits in _by_key(batches):
-            a, b, left = _pairs(key, node, bits.view(np.uint64)[:, None], MOST)
-            keys = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[left])])
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([a, node[left]])), pa.array(np.concatenate([b, bits[left]]))], ["key", "a", "b"])
-
-    rows = prints.select("node", "fp").mapInArrow(spread, "key long, node long, bits long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "key long, a long, b long")
-
-
-def _apart_links(left: DataFrame, roots: DataFrame, tried: DataFrame, every: bool) -> DataFrame:
-    """Links (a, b) to verify between groups, among the rows that _candidates left (key, node, bits)."""
+                check = np.frombuffer(raw, np.int64).reshape(len(node), -1)[:, -(CHECK // 64) :]
+                keys = (seg[:, :, None] & masks) | (np.arange(k, dtype=np.uint64).reshape(1, SEGMENTS, BITS) << np.uint64(BITS))
+                keys = keys << np.uint64(1) | (seg[:, :, None] & ~masks != 0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, k)), *[pa.array(np.repeat(x, k)) for x in check.T]], ["key", "node", "c0", "c1"])
 
     @lean
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, bits, root in _by_key(batches):
-            a, b = _apart_pairs(key, node, bits.view(np.uint64)[:, None], root, MOST, every)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = left.join(roots, "node", "left").select("key", "node", "bits", F.coalesce("root", "node").alias("root"))
-    pairs = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(join, "a long, b long").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def _verified(links: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts are as similar as that. Sketches decide where they hold all shingles, or are further
-    than MARGIN from the bound; the others are counted on all distinct shingles."""
-    side = lambda n: prints.select(F.col("node").alias(n), F.col("sketch").alias(f"s{n}"))
-    pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+        for begin, t in _by_key(batches, 1):
+            key, node = t.column(0).to_numpy(), t.column(1).to_numpy()
+            fp = np.stack([t.column(x).to_numpy() for x in (2, 3)], 1).view(np.uint64)
+            own = np.arange(len(node))
+            label, side = clusters(begin, fp, MOST), clusters(_begins(key), fp, MOST)
+            other = np.flatnonzero((label != own) & ((side == own) | ((key >> 1 + BITS) % BITS == 0)))
+            if len(other):
+                links = np.unique(np.stack([node[label[other]], node[other]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    rows = prints.select("node", "fp").mapInArrow(spread, "key long, node long, c0 long, c1 long")
+    return rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "node").mapInArrow(join, "a long, b long").distinct()
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of some sets share: products of 0/1 matrices, over values that stand in two sets at least."""
+    m = len(sets)
+    value = np.concatenate(sets)
+    of = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, place, n = np.unique(value, return_inverse=True, return_counts=True)
+    keep = n[place] > 1
+    column = (np.cumsum(n > 1) - 1)[place[keep]]
+    of = of[keep]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    out = np.zeros((m, m), np.float32)
+    step = max(64, min(2048, (1 << 22) // m))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        lo, hi = np.searchsorted(column, [a, a + step])
+        x = np.zeros((m, step), np.float32)
+        x[of[lo:hi], column[lo:hi] - a] = 1
+        out += x @ x.T
+    return out
+
+
+def verify(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (i, j, is it sure) among sets of at most SKETCH values, those with SKETCH being samples: a spanning forest of the
+    sure ones, and what is open between its trees."""
+    m = len(sets)
+    n = np.array([len(x) for x in sets], np.float32)
+    both = _shared(sets)
+    ok = both >= similarity * (n[:, None] + n - both) - 1e-4
+    np.fill_diagonal(ok, False)
+    open_ = np.zeros((0, 2), np.int64)
+    long = n >= SKETCH
+    if long.any():
+        ok[long] = ok[:, long] = False
+        maybe = np.triu((long[:, None] | long) & (both >= 0.4 * np.minimum(n[:, None], n)), 1)
+        pairs = np.argwhere(maybe)
+        share = np.zeros(len(pairs))
+        for k, (i, j) in enumerate(pairs):
+            u = np.union1d(sets[i], sets[j])[:SKETCH]
+            top = u[-1] if len(u) >= SKETCH else np.iinfo(np.uint32).max
+            share[k] = len(np.intersect1d(sets[i][: np.searchsorted(sets[i], top, "right")], sets[j][: np.searchsorted(sets[j], top, "right")], True)) / len(u)
+        sure = pairs[share >= similarity + MARGIN]
+        ok[sure[:, 0], sure[:, 1]] = ok[sure[:, 1], sure[:, 0]] = True
+        open_ = pairs[np.abs(share - similarity) < MARGIN]
+    tree = np.full(m, -1)
+    a: list[int] = []
+    b: list[int] = []
+    for s in range(m):
+        if tree[s] >= 0:
+            continue
+        tree[s], todo = s, [s]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(ok[i] & (tree < 0))
+            tree[new] = s
+            a += [i] * len(new)
+            b += new.tolist()
+            todo += new.tolist()
+    open_ = open_[tree[open_[:, 0]] != tree[open_[:, 1]]]
+    sure = np.arange(len(a) + len(open_)) < len(a)
+    return np.concatenate([np.array(a, np.int64), open_[:, 0]]), np.concatenate([np.array(b, np.int64), open_[:, 1]]), sure
+
+
+def _verified(groups: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) that hold inside groups (node, root)."""
+    size = groups.groupBy("root").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = groups.join(size, "root").join(prints.select("node", "sketch"), "node").withColumn("x", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    # block x meets every other block y once; a group of one block meets itself
+    other = F.filter(F.sequence(F.lit(0), blocks - 1), lambda y: (y != F.col("x")) | (blocks == 1))
+    rows = rows.select("node", "sketch", "root", "x", F.explode(other).alias("y"))
+    rows = rows.select(F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("key"), "node", "sketch")
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            ok, sure = [], []
-            for s, t in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)
-                both = np.union1d(p, q)
-                margin = 0.0
-                if len(p) >= SKETCH or len(q) >= SKETCH:
-                    both, margin = both[:SKETCH], MARGIN
-                same = len(np.intersect1d(np.intersect1d(p, q, True), both, True))
-                ok.append(same >= (similarity - margin) * len(both))
-                sure.append(same >= (similarity + margin) * len(both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep), pa.array(sure, pa.bool_()).filter(keep)], ["a", "b", "sure"])
-
-    found = Saved(pairs.mapInArrow(run, "a long, b long, sure boolean")).df
-    sure, open_ = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b")
+        for begin, t in _by_key(batches):
+            node, raw = t.column(1).to_numpy(), t.column(2)
+            for s, e in zip(begin[:-1], begin[1:], strict=True):
+                i, j, sure = verify([np.frombuffer(x.as_buffer(), np.uint32) for x in raw[s:e]], similarity)
+                if len(i):
+                    own = node[s:e]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j]), pa.array(sure)], ["a", "b", "sure"])
+
+    found = Saved(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")).df
+    sure, open_ = found.where("sure").select("a", "b"), found.where("NOT sure").select("a", "b").distinct()
     if open_.isEmpty():
         return sure
     return sure.unionByName(_counted(open_, texts, words, similarity))
@@ -242,7 +296,7 @@ def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, 1):
-            h, out = shingle_hashes(*buffers(t.column(1)), words)
+            h, out = shingle_sets(*buffers(t.column(1)), words)
             for node, a, b in zip(t.column(0).to_pylist(), out[:-1], out[1:], strict=True):
                 u = np.unique(h[a:b])
                 cut = np.searchsorted(u >> np.uint64(60), np.arange(PARTS + 1, dtype=np.uint64))
@@ -250,9 +304,11 @@ def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     @lean
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            same = [len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), True)) for s, t in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(same, pa.int64())], ["a", "b", "na", "nb", "same"])
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                x = b.slice(at, 200)
+                same = [len(np.intersect1d(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), True)) for s, t in zip(x.column(4), x.column(5), strict=True)]
+                yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(same, pa.int64())], ["a", "b", "na", "nb", "same"])
 
     nodes = links.select(F.col("a").alias("thash")).unionByName(links.select(F.col("b").alias("thash"))).distinct()
     one = texts.join(nodes, "thash", "left_semi").groupBy("thash").agg(F.first("text").alias("text"))
@@ -263,30 +319,13 @@ def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return n.where(F.col("same") >= similarity * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
-def _roots(prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, root) of the texts that verified links connect."""
-    found = Saved(_candidates(prints)).df
-    tried = Saved(found.where("key IS NULL").select("a", "b").distinct()).df
-    left = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), F.col("b").alias("bits"))
-    roots = components(_verified(tried, prints, texts, words, similarity))
-    if left.isEmpty():
-        return roots
-    for every in (False, True):
-        more = Saved(_apart_links(left, roots, tried, every)).df
-        tree = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(tree.unionByName(_verified(more, prints, texts, words, similarity)))
-        tried = tried.unionByName(more)
-    return roots
-
-
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, thash, group): every row's group of near copies; group is the text hash (xxhash64) that stands for it."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("thash", F.xxhash64("text"))
-    prints = Saved(_prints(texts, words)).df
-    once = Saved(prints.groupBy(F.col("thash").alias("node")).agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df
-    some = once.where(F.length("sketch") > 0)
-    roots = _roots(some, texts, words, similarity)
-    got = prints.select("doc_id", "thash").join(roots, F.col("thash") == F.col("node"), "left")
+    prints = Saved(_prints(texts, words).groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df
+    groups = components(_close(prints.where(F.length("sketch") > 0)))
+    roots = components(_verified(groups, prints, texts, words, similarity))
+    got = texts.select("doc_id", "thash").join(roots, F.col("thash") == F.col("node"), "left")
     return got.select("doc_id", "thash", F.coalesce("root", "thash").alias("group"))
 
 

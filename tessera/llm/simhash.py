@@ -36,12 +36,12 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     """XXH64 (seed 42) of every shingle of each document, A-Z lower-cased, and each document's range in them. A text beyond
     LONG bytes is read a part at a time, so that work on it takes little more than its hashes."""
     if len(offs) == 2 and len(data) > LONG:
-        got = [_hashes(x, np.array([0, len(x)]), words)[0] for x in _parts(data, words)]
+        got = [_hashes(x, np.array([0, len(x)]), words)[0] for x in parts_of(data, words)]
         return np.concatenate(got), np.array([0, sum(map(len, got))])
     return _hashes(data, offs, words)
 
 
-def _parts(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
+def parts_of(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """Parts of a text that have its shingles between them: each begins with a word and ends words - 1 words later than
     the next begins."""
     space = _SPACE[data]
@@ -60,7 +60,8 @@ def _parts(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
         k = to
 
 
-def _hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def document_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased, where words begin and end in them, and each document's range of words."""
     space = _SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[offs[:-1]] = True
@@ -69,22 +70,25 @@ def _hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray,
     begin[1:] &= space[:-1] | first[1:]
     end = ~space
     end[:-1] &= space[1:] | first[1:]
-    keep = ~space
-    keep[1:] |= ~space[:-1]  # one blank after each word
-    low = _LOWER[data]
-    low[space] = 32
-    at = np.cumsum(keep) - 1
-    text = low[keep].tobytes()
-    a, b = at[begin], at[end] + 1
     word = np.concatenate([[0], np.cumsum(begin)])[offs]
+    return _LOWER[data], np.flatnonzero(begin), np.flatnonzero(end) + 1, word
+
+
+def _hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    low, a, b, word = document_words(data, offs)
+    # words with one blank between them, in one string
+    size = b - a
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    text = np.full(at[-1], 32, np.uint8)
+    text[np.arange(size.sum()) + np.repeat(np.arange(len(a)), size)] = low[np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)]
+    text = text.tobytes()
     n = np.diff(word)
     count = np.where(n >= words, n - words + 1, np.minimum(n, 1))
-    span = np.minimum(n, words)
     out = np.concatenate([[0], np.cumsum(count)])
     i = np.repeat(word[:-1] - out[:-1], count) + np.arange(out[-1])
-    j = i + np.repeat(span, count) - 1
+    j = i + np.repeat(np.minimum(n, words), count) - 1
     h = xxhash.xxh64_intdigest
-    return np.array([h(text[s:e], 42) for s, e in zip(a[i].tolist(), b[j].tolist(), strict=True)], np.uint64), out
+    return np.array([h(text[s:e], 42) for s, e in zip(at[i].tolist(), (at[j] + size[j]).tolist(), strict=True)], np.uint64), out
 
 
 def bit_counts(h: np.ndarray, out: np.ndarray) -> np.ndarray:

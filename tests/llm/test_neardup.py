@@ -53,20 +53,67 @@ def test_edges(spark):
     assert drop_near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [20, 150])
-def test_every_close_pair_of_two_groups_is_proposed(n):
-    r = np.random.default_rng(n)
-    base = r.integers(0, 2**63, dtype=np.uint64)
-    flip = (np.uint64(1) << np.argsort(r.random((n, 64)), axis=1)[:, :8].astype(np.uint64)).sum(1, dtype=np.uint64)
-    fp, key, node = (base ^ flip)[:, None], np.zeros(n, np.int64), np.arange(n)
-    want = {(j, i) for i in range(n) for j in range(i) if int(fp[i, 0] ^ fp[j, 0]).bit_count() <= neardup.MOST}
-    a, b, left = neardup._pairs(key, node, fp, neardup.MOST)
-    first = set(zip(a.tolist(), b.tolist()))
-    assert first < want and {x for p in want - first for x in p} <= set(left.tolist())
-    more = set(zip(*(x.tolist() for x in neardup._apart_pairs(key[left], node[left], fp[left], node[left], neardup.MOST, True))))
-    assert first | more == want
-    same = neardup._apart_pairs(key[left], node[left], fp[left], np.zeros(len(left), np.int64), neardup.MOST, True)
-    assert not len(same[0])
+def test_clusters_are_components_of_close_rows():
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 2**63, (700, 2), dtype=np.uint64)
+    for i in range(1, 700):
+        if r.random() < 0.7:
+            bits = r.choice(128, r.integers(1, 14), replace=False)
+            fp[i] = fp[i - 1] if r.random() < 0.5 else fp[max(0, i - 40)]
+            for x in bits:
+                fp[i, x // 64] ^= np.uint64(1) << np.uint64(x % 64)
+    begin = np.array([0, 1, 30, 31, 90, 400, 700])
+    got = neardup.clusters(begin, fp, 10)
+    for s, e in zip(begin[:-1], begin[1:]):
+        near = np.bitwise_count(fp[s:e, None] ^ fp[None, s:e]).sum(2) <= 10
+        label = np.arange(s, e)
+        while True:
+            new = np.where(near, label[None], 10**6).min(1)
+            if (new == label).all():
+                break
+            label = new
+        assert got[s:e].tolist() == label.tolist()
+
+
+def test_verify_equals_all_pairs(monkeypatch):
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(20):
+        base = r.integers(0, 2**32, r.integers(1, 400), dtype=np.uint32)
+        for _ in range(r.integers(1, 6)):
+            x = base.copy()
+            k = r.integers(0, len(x) // 6 + 1)
+            x[:k] = r.integers(0, 2**32, k, dtype=np.uint32)
+            sets.append(np.unique(x))
+    i, j, sure = neardup.verify(sets, 0.8)
+    assert sure.all()
+    m = len(sets)
+    jac = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert all(jac(a, b) >= 0.8 for a, b in zip(i, j))
+
+    def roots(links):
+        root = list(range(m))
+        for a, b in links:
+            root = [root[a] if x == root[b] else x for x in root]
+        return root
+
+    want, got = roots([(a, b) for a in range(m) for b in range(a) if jac(a, b) >= 0.8]), roots(zip(i.tolist(), j.tolist()))
+    assert all((want[a] == want[b]) == (got[a] == got[b]) for a in range(m) for b in range(a))
+    assert len(i) == m - len(set(got))
+
+
+def test_groups_above_a_block(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        t[r.randrange(200)] = word()
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len({x.group for x in near_groups(df).collect()}) == 1
 
 
 def test_copies_among_texts_with_one_boilerplate(spark):

@@ -46,3 +46,4 @@ from tessera.plans import retrieval as _retrieval  # noqa: E402,F401
 from tessera.plans import flows as _flows  # noqa: E402,F401
 from tessera.plans import studies as _studies  # noqa: E402,F401
 from tessera.plans import quotes as _quotes  # noqa: E402,F401
+from tessera.plans import trainer as _trainer  # noqa: E402,F401

@@ -47,3 +47,7 @@ from tessera.plans import flows as _flows  # noqa: E402,F401
 from tessera.plans import studies as _studies  # noqa: E402,F401
 from tessera.plans import quotes as _quotes  # noqa: E402,F401
 from tessera.plans import trainer as _trainer  # noqa: E402,F401
+from tessera.plans import library as _library  # noqa: E402,F401
+from tessera.plans import quizzes as _quizzes  # noqa: E402,F401
+from tessera.plans import outlines as _outlines  # noqa: E402,F401
+from tessera.plans import content as _content  # noqa: E402,F401

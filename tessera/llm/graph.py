@@ -23,16 +23,21 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+#: Links that one file of a round holds, about.
+ROWS = 250_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of links (a, b): root is the least node that it reaches. Self links are ignored.
 
     Every round at least halves the distance to the root in practice; rounds are written to the shared folder, so a lost
-    executor costs one round at most.
+    executor costs one round at most. A round has about as many links as the one before, which says how many files it fills.
     """
     now = Saved(links.select("a", "b").where("a <> b"))
     state = None
     while True:
-        after = Saved(_small(_large(now.df)))
+        after = _small(_large(now.df))
+        after = Saved(after.coalesce(state[0] // ROWS + 1) if state else after)
         is_now = tuple(after.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         now.drop()
         now = after

@@ -41,3 +41,9 @@ def study_days(first: Column, exam: Column, weekdays: list[int], reserve: int =
     rest = (exam - first) - full * 7
     n = full * len(set(weekdays)) + sum((F.when(F.pmod(F.lit(w) - weekday(first), F.lit(7)) < rest, 1).otherwise(0) for w in sorted(set(weekdays))), F.lit(0))
     return F.when(exam > first, F.greatest(F.lit(0), n - reserve)).otherwise(0).cast("long")
+
+
+def label(day: Column) -> Column:
+    """A date in words, as blogs show it; what is no date stays as it is, nothing is empty."""
+    at = day.try_cast("date")
+    return F.coalesce(F.when(at.isNotNull(), F.date_format(at, "yyyy'년' M'월' d'일'")), day, F.lit(""))

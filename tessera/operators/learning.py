@@ -6,8 +6,9 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Days until a box is due again; the fourth box is done.
 BOX_DAYS = {1: 1, 2: 3, 3: 7}
@@ -66,3 +67,32 @@ def schedule(reviews: DataFrame, key: str = "user_id") -> DataFrame:
 
     rows = reviews.where(F.col("grade").isin(*DELTA) & F.col(key).isNotNull())
     return rows.repartition(key).sortWithinPartitions(key, "at", "seq").select(key, "grade").mapInPandas(fold, f"{key} {dict(reviews.dtypes)[key]}, ease double, days long, reps long, lapses long")
+
+
+def previews(ease: Column, days: Column, reps: Column) -> Column:
+    """array(grade, days): the interval that each grade would give a card, without a fold."""
+
+    def after(grade: str) -> Column:
+        e = F.greatest(F.lit(EASE_MIN), F.floor((ease + F.lit(DELTA[grade])) * 100 + 0.5) / 100)
+        if grade == "again":
+            return F.lit(0).cast("long")
+        rate = {"hard": F.lit(1.2), "good": e, "easy": e * 1.3}[grade]
+        more = F.greatest(days + 1, F.floor(days * rate + 0.5))
+        if grade == "easy":
+            more = F.when(reps == 1, F.greatest(F.lit(7), more)).otherwise(more)
+        if grade == "good":
+            more = F.when(reps == 1, 6).otherwise(more)
+        return F.least(F.when(reps == 0, 4 if grade == "easy" else 1).otherwise(more), F.lit(LONGEST)).cast("long")
+
+    return F.array(*[F.struct(F.lit(g).alias("grade"), after(g).alias("days")) for g in DELTA])
+
+
+def unit_key(doc: Column, line: Column, source: Column, index: Column) -> Column:
+    """What makes two events one unit: the line and the text, or where there is no line the number."""
+    return F.concat_ws("|", doc, F.when(line.isNotNull() & (line != ""), F.concat_ws("|", F.concat(F.lit("L"), line), source)).otherwise(F.concat(F.lit("i"), index.cast("string"))))
+
+
+def shuffled(rows: DataFrame, key: str, id_: str, seed: int) -> DataFrame:
+    """rows with ``place``: an order by chance inside each key that the seed repeats on any number of machines."""
+    dice = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(dice, id_)))

@@ -66,3 +66,18 @@ def resolve(rows: DataFrame, targets: DataFrame, candidates: list[tuple[str, str
         rows = rows.join(by.withColumnRenamed(theirs, f"_k{i}"), F.col(mine) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         found.append(F.col(f"_{i}"))
     return rows.withColumn(out, F.coalesce(*found)).withColumn("missing", F.col(out).isNull()).drop(*[f"_{i}" for i in range(len(candidates))])
+
+
+def counts(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def recount(now: DataFrame, come: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """Counts (key, n) after some rows came and some went; a key without any is gone."""
+    change = counts(come, key).unionByName(counts(gone, key).withColumn("n", -F.col("n")))
+    return now.unionByName(change).groupBy(*key).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def same(a: Column, b: Column) -> Column:
+    """Nested values that say the same: as JSON without nulls, a map's keys in order."""
+    return F.to_json(F.parse_json(F.to_json(a))).eqNullSafe(F.to_json(F.parse_json(F.to_json(b))))

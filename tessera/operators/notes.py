@@ -120,7 +120,16 @@ def summary_target(units: DataFrame, key: str) -> DataFrame:
     real = F.col("seg").isNotNull()
     run = units.withColumn("_new", real & ~F.col("seg").eqNullSafe(F.last(F.when(real, F.col("seg")), True).over(before)))
     run = run.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    heads = run.where("_new").select(key, F.col("_run").alias("_r"), F.lag("para").over(Window.partitionBy(key).orderBy("_run")).alias("_before"))
-    j = run.join(heads, (run[key] == heads[key]) & (run["_run"] == heads["_r"]), "left").drop(heads[key])
+    ends = run.where(real).groupBy(key, "_run").agg(F.max_by("para", "at").alias("_p"))
+    heads = ends.select(F.col(key).alias("_k"), F.col("_run").alias("_r"), F.lag("_p").over(Window.partitionBy(key).orderBy("_run")).alias("_before"))
+    j = run.join(heads, (F.col(key) == F.col("_k")) & (F.col("_run") == F.col("_r")), "left").drop("_k")
     nearest = F.last(F.when(real, F.col("para")), True).over(before)
     return j.withColumn("target", F.when(~real, nearest).when(F.col("_before").isNotNull() & (F.col("_before") != F.col("para")), F.col("_before")).otherwise(F.col("para"))).drop("_new", "_run", "_r", "_before")
+
+
+def cards_of(cards: DataFrame, live: DataFrame, doc: str, file: str, name_of) -> DataFrame:
+    """Cards (doc, id, front, name) of one document, and those of documents that are gone (not in live) whose name is what
+    name_of(file, front) makes of this document's file."""
+    here = cards.where(F.col("doc") == doc)
+    gone = cards.where(F.col("name") == name_of(F.lit(file), F.col("front"))).join(live.select("doc").distinct(), "doc", "left_anti")
+    return here.select("doc", "id").unionByName(gone.select("doc", "id"))

@@ -64,3 +64,11 @@ def chapter_of(points: DataFrame, heads: DataFrame, key: str, at: str, start: st
     first = F.min("_lo").over(Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0))  # before the first heading, a page's stretch ends at it
     both = h.unionByName(p).withColumn("_last", last).withColumn("_next", first).where("_point = 1")
     return both.select(key, F.col("_at").alias(at), F.coalesce(F.col("_last._n") - 1, F.lit(-1).cast("long")).alias("chapter"), F.col("_last._lo").alias("lo"), F.when(F.col("_last").isNull(), F.col("_next") - 1).otherwise(F.col("_last._hi")).alias("hi"))
+
+
+def marked(read: DataFrame, marks: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Read ranges (key, lo, hi) after some were marked as read or unread (key, lo, hi, on); marks of keys that are not live do
+    nothing."""
+    m = marks.join(live.select(key).distinct(), key, "left_semi")
+    more = read.select(key, "lo", "hi").unionByName(m.where("on").select(key, "lo", "hi"))
+    return subtract(more, m.where("NOT on").select(key, "lo", "hi"), key)

@@ -133,3 +133,11 @@ def headings(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
     rows = rows.where((F.length("title").between(3, most)) & ~F.col("title").rlike(r"[.!?:;,]\s*$")).withColumn("k", head_key(F.col("title"))).where("k <> ''")
     w = Window.partitionBy(key, "k")
     return rows.withColumn("repeated", F.count("*").over(w) >= REPEATED)
+
+
+def line_ranges(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """key, at, seq, lo, hi: hits (key, at, len) as stretches of the lines (key, seq, base, text) that they touch."""
+    j = found.join(lines.select(key, "seq", "base", F.length("text").alias("_n")), key)
+    a, b = F.col("at"), F.col("at") + F.col("len")
+    j = j.where((F.col("base") < b) & (F.col("base") + F.col("_n") > a))
+    return j.select(key, "at", "seq", (F.greatest(a, "base") - F.col("base")).alias("lo"), (F.least(b, F.col("base") + F.col("_n")) - F.col("base")).alias("hi"))

@@ -52,3 +52,5 @@ from tessera.plans import quizzes as _quizzes  # noqa: E402,F401
 from tessera.plans import outlines as _outlines  # noqa: E402,F401
 from tessera.plans import content as _content  # noqa: E402,F401
 from tessera.plans import pages as _pages  # noqa: E402,F401
+from tessera.plans import models as _models  # noqa: E402,F401
+from tessera.plans import more as _more  # noqa: E402,F401

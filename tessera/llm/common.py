@@ -108,6 +108,29 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BYTE = splitmix(np.arange(1000, 1256, dtype=np.uint64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class Spans:
+    """Hashes of any stretches of some bytes, out of one running sum: equal stretches have equal ones wherever they lie."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        with np.errstate(over="ignore"):
+            if len(_powers[0]) <= n:
+                size = max(n, 1 << 20) + 1
+                _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x)])) for x in (_BASE, _BACK)]
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE[data] * _powers[0][:n], out=self.sums[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return splitmix((self.sums[b] - self.sums[a]) * _powers[1][a] + (b - a).astype(np.uint64))
+
+
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, nulls as empty: (all bytes, n + 1 offsets)."""
     if isinstance(col, pa.ChunkedArray):
@@ -175,7 +198,7 @@ def unpack(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(body)).read_all()
 
 
-def partitions_for(n_bytes: int, each: int, least: int = 16, most: int = 65536) -> int:
+def partitions_for(n_bytes: int, each: int, least: int = 16, most: int = 1 << 20) -> int:
     """How many pieces to deal work into: in proportion to the input."""
     return int(max(least, min(most, -(-n_bytes // each))))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, buffers, lean, saved_here, slices, splitmix
+from tessera.llm.common import Saved, Spans, buffers, lean, saved_here, slices, splitmix
 from tessera.llm.graph import components
 from tessera.llm.simhash import LONG, document_words, majority, parts_of
 
@@ -43,10 +43,6 @@ BLOCK, PARTS = 1024, 16
 WORDS = -(-SEGMENTS * BITS // 64) + CHECK // 64 - 1
 
 _SEEDS = splitmix(np.arange(77, 77 + 8, dtype=np.uint64))
-_BYTE = splitmix(np.arange(2000, 2256, dtype=np.uint64))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _shingles(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +54,8 @@ def _shingles(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarra
     out = np.concatenate([[0], np.cumsum(count)])
     if not len(a):
         return np.zeros(0, np.uint64), out
+    w = Spans(low).of(a, b)
     with np.errstate(over="ignore"):
-        if len(_powers[0]) < len(low):
-            size = max(len(low), LONG)
-            _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x)])) for x in (_BASE, _BACK)]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[low] * _powers[0][: len(low)])])
-        w = splitmix((sums[b] - sums[a]) * _powers[1][a] + (b - a).astype(np.uint64))
         i = np.repeat(word[:-1] - out[:-1], count) + np.arange(out[-1])
         span = np.repeat(np.minimum(n, words), count)
         h = np.zeros(len(i), np.uint64)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tessera.llm.common import splitmix
+from tessera.llm.common import Spans
 
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -20,9 +20,6 @@ _CLASS[128:] = 4
 _CLASS[39] = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = splitmix(np.arange(1000, 1256, dtype=np.uint64))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 #: Bytes of text that are encoded together: the arrays of a step take about 50 times as much.
 SLICE = 1 << 20
@@ -47,17 +44,11 @@ class Encoder:
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.digits: dict[str, list[int]] = {}
         self._forget()
-        self.up = self.down = np.ones(1, np.uint64)
 
     def _forget(self) -> None:
         self.names, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, SLICE + 1)
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (_BASE, _BACK))
-
     def _learn(self, names: np.ndarray, pieces: list[bytes]) -> None:
         """Adds pieces under their names, which are sorted and new."""
         ids: list[list[int]] = [[]] * len(pieces)
@@ -122,13 +113,9 @@ class Encoder:
         end = word.copy()
         end[:-1] &= ~word[1:] | begin[1:]
         a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        with np.errstate(over="ignore"):
-            self._powers(n + 1)
-            low = _LOWER[data]
-            low[at[0] :][hard] = data[at[0] :][hard]
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE[low] * self.up[:n], out=sums[1:])
-            names = splitmix((sums[b] - sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+        low = _LOWER[data]
+        low[at[0] :][hard] = data[at[0] :][hard]
+        names = Spans(low).of(a, b)
         u, some, inv = np.unique(names, return_index=True, return_inverse=True)
         if len(self.names) + len(u) > REMEMBER:
             self._forget()

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tessera.llm.repeats import measure_repeats, strip_repeats
@@ -86,3 +87,36 @@ def test_lone_periodic_texts(spark, n):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
         got = {x.doc_id: tuple(x)[1:] for x in measure_repeats(df).collect()}
         assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_windows_and_checks(monkeypatch):
+    from tessera.llm import repeats
+
+    r = random.Random(8)
+    t = "".join(r.choice("abé ") for _ in range(4000)) + "xy" * 700 + "".join(r.choice("abé ") for _ in range(1500))
+    data = np.frombuffer((t + t[200:900]).encode(), np.uint8)
+    offs = np.array([0, len(data)])
+    whole = repeats.Runs(data, offs, 200)
+    covered = lambda x: np.concatenate([np.arange(a, b + 1) for a, b in zip(x.first, x.last)])
+    want = dict(zip(*[np.concatenate(c).tolist() for c in list(zip(*repeats._starts(data, whole.first, whole.last, 200)))[:2]]))
+    monkeypatch.setattr(repeats, "LONG", 700)
+    parts = repeats.Runs(data, offs, 200)
+    assert covered(parts).tolist() == covered(whole).tolist() == list(range(len(data) - 199))
+    got = list(repeats._starts(data, parts.first, parts.last, 200))
+    assert len(got) > 5 and dict(zip(*[np.concatenate(c).tolist() for c in list(zip(*got))[:2]])) == want
+    # one name by chance for two strings: the check tells them apart
+    x = np.array([(7, 1, 0), (5, 3, 0), (7, 2, 0), (7, 1, 1), (5, 3, 0)], repeats.NAME)
+    inv, first, n = repeats._same(x)
+    assert n[inv].tolist() == [2, 2, 1, 2, 2] and inv[0] == inv[3] != inv[2] and sorted(first.tolist()) == [0, 1, 2]
+    assert repeats._same(x[[0, 1, 3]])[2].tolist() == [1, 2]
+
+
+def test_a_long_text_and_null_ids(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    t = " ".join(word() for _ in range(330_000))
+    assert len(t) > 5 << 19
+    texts = [t, t[1_000_000:1_000_500], "z" + t[-400:], word()]
+    df = spark.createDataFrame([(None if i == 1 else i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.n_removed for x in measure_repeats(df).collect()}
+    assert got == {0: 900, None: 500, 2: 400, 3: 0}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lean
+from tessera.llm.common import lean, slices
 
 #: License texts and notices (fixed values): name, text, words that must be aligned.
 TEMPLATES = (
@@ -117,7 +117,9 @@ class Scanner:
         self.any.make_automaton()
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, word after the last) of every passage that a template covers, best first."""
+        """(license, coverage, first word, word after the last) of the best passage of each license found, best first. Of
+        passages that overlap, the one with most words of its template counts; a license whose passage gives way so may
+        still have another."""
         if not text:
             return []
         low = text.lower()
@@ -128,49 +130,71 @@ class Scanner:
         for i, w in enumerate(own):
             for k in self.of.get(w, ()):
                 hits.setdefault(k, []).append(i)
-        found: dict[str, tuple[float, int, int, int]] = {}
-        for k, at in hits.items():
-            name, t, key = self.templates[k]
-            reach = len(t) + len(t) // 2 + 2
-            need = max(1, int(len(self.telling[k]) - (1 - self.least) * len(t)))
-            i = 0
-            while i < len(at):
-                j = i
-                while j + 1 < len(at) and at[j + 1] - at[j] <= reach:
-                    j += 1
-                if len({own[x] for x in at[i : j + 1]}) >= need:
-                    for lo, hi in self._windows(own, at[i : j + 1], t, reach):
-                        pairs = align(own[lo:hi], t)
-                        cover = len(pairs) / len(t)
-                        if cover >= self.least and key <= {t[y] for _, y in pairs} and pairs[-1][0] - pairs[0][0] < reach:
-                            got = (cover, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs))
-                            if name not in found or (-got[0], got[1]) < (-found[name][0], found[name][1]):
-                                found[name] = got
-                            if cover == 1:
-                                break
-                i = j + 1
+        found = [p for k, at in hits.items() for p in self._passages(own, k, at)]
         kept: list[tuple[str, float, int, int]] = []
-        for n, v in sorted(found.items(), key=lambda x: (-x[1][3], -x[1][0], x[0])):  # of templates that share a passage, the one with most words
-            if all(v[2] <= x[2] or x[3] <= v[1] for x in kept):
-                kept.append((n, *v[:3]))
-        return sorted(kept, key=lambda x: (-x[1], x[0]))
+        ends: list[int] = []  # kept passages by where they begin; as they do not overlap, their ends rise too
+        starts: list[int] = []
+        for _, _, name, cover, a, b in sorted(((-n, -cover, name, cover, a, b) for name, cover, a, b, n in found), key=lambda x: (x[0], x[1], x[2], x[4])):
+            i = bisect_left(starts, a)
+            if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or b <= starts[i]):
+                starts.insert(i, a)
+                ends.insert(i, b)
+                kept.append((name, cover, a, b))
+        best: dict[str, tuple[str, float, int, int]] = {}
+        for x in kept:
+            if x[0] not in best or (-x[1], x[2]) < (-best[x[0]][1], best[x[0]][2]):
+                best[x[0]] = x
+        return sorted(best.values(), key=lambda x: (-x[1], x[0]))
+
+    def _passages(self, own: list[str], k: int, at: list[int]) -> Iterator[tuple[str, float, int, int, int]]:
+        """(license, coverage, first word, word after the last, aligned words) of the passages of one template, each once. at:
+        where its telling words stand. A place inside a passage that is covered whole is not looked at again, and no window
+        without enough different telling words is aligned."""
+        name, t, key = self.templates[k]
+        reach = len(t) + len(t) // 2 + 2
+        need = max(1, int(len(self.telling[k]) - (1 - self.least) * len(t)))
+        seen: set[tuple] = set()
+        done = -1  # the end of the last whole passage
+        i = 0
+        while i < len(at):
+            j = i
+            while j + 1 < len(at) and at[j + 1] - at[j] <= reach:
+                j += 1
+            group = at[i : j + 1]
+            if len({own[x] for x in group}) >= need:
+                for x, lo, hi in self._windows(own, group, t, reach):
+                    if x < done or (lo, hi) in seen:
+                        continue
+                    seen.add((lo, hi))
+                    inside = group[bisect_left(group, lo) : bisect_left(group, hi)]
+                    if len({own[y] for y in inside}) < need:
+                        continue
+                    pairs = align(own[lo:hi], t)
+                    if len(pairs) >= self.least * len(t) and key <= {t[y] for _, y in pairs} and pairs[-1][0] - pairs[0][0] < reach:
+                        a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                        if len(pairs) == len(t):
+                            done = max(done, b)
+                        if (a, b, "p") not in seen:
+                            seen.add((a, b, "p"))
+                            yield name, len(pairs) / len(t), a, b, len(pairs)
+            i = j + 1
 
     @staticmethod
-    def _windows(own: list[str], at: list[int], t: list[str], reach: int) -> Iterator[tuple[int, int]]:
-        """Passages to align: wide ones that overlap, then, as a license told twice has no unique words there, those
-        where a telling word stands at its place in the template."""
+    def _windows(own: list[str], at: list[int], t: list[str], reach: int) -> Iterator[tuple[int, int, int]]:
+        """(place, from, to) of passages to align: those where a telling word stands at its place in the template, exactly and
+        with some room, then wide ones that overlap."""
+        slack = len(t) // 10
+        for x in at:
+            for j, w in enumerate(t):
+                if w == own[x]:
+                    yield x, max(0, x - j), max(0, x - j + len(t))
+                    if slack:
+                        yield x, max(0, x - j - slack), max(0, x - j + len(t) + slack)
         last = None
         for x in at:
             if last is None or x - last >= max(1, reach // 2):
                 last = x
-                yield max(0, x - reach), min(len(own), x + reach)
-        slack = len(t) // 10
-        seen = set()
-        for x in at:
-            for j, w in enumerate(t):
-                if w == own[x] and x - j not in seen:
-                    seen.add(x - j)
-                    yield max(0, x - j - slack), max(0, x - j + len(t) + slack)
+                yield x, max(0, x - reach), min(len(own), x + reach)
 
 
 RESULT = "doc_id long, license string, coverage double, first_word int, end_word int, licenses array<string>"
@@ -178,16 +202,18 @@ RESULT = "doc_id long, license string, coverage double, first_word int, end_word
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row for each row of docs (doc_id, text): the best covered license with its coverage and place (in words), and
-    all licenses found. None found, a null or an empty text: null, 0.0 and an empty list. Ties go to the first name."""
+    all licenses found. None found, a null or an empty text: null, 0.0 and an empty list. Ties go to the first name. Rows
+    with one doc_id each have a row, a null doc_id stays null; an empty table gives an empty result. A text takes memory in
+    proportion to its words, and time in proportion to its telling words."""
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(templates, least)
-        for b in batches:
-            got = [s.scan(x.as_py()) for x in b.column(1)]
+        for t in slices(batches, 1):
+            got = [s.scan(x.as_py()) for x in t.column(1)]
             best = [g[0] if g else (None, 0.0, None, None) for g in got]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in best], pa.string()), pa.array([float(x[1]) for x in best], pa.float64()), pa.array([x[2] for x in best], pa.int32()), pa.array([x[3] for x in best], pa.int32()), pa.array([sorted(x[0] for x in g) for g in got], pa.list_(pa.string()))],
+                [t.column(0).combine_chunks(), pa.array([x[0] for x in best], pa.string()), pa.array([float(x[1]) for x in best], pa.float64()), pa.array([x[2] for x in best], pa.int32()), pa.array([x[3] for x in best], pa.int32()), pa.array([sorted(x[0] for x in g) for g in got], pa.list_(pa.string()))],
                 ["doc_id", "license", "coverage", "first_word", "end_word", "licenses"],
             )
 

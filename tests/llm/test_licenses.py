@@ -46,3 +46,65 @@ def test_place_is_exact():
     s = Scanner()
     name, cover, a, b = s.scan("one two three Licensed under CC BY-NC 4.0. and more")[0]
     assert (name, cover, a, b) == ("CC-BY-NC-4.0", 1.0, 3, 8)
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_against_brute_force():
+    """Every passage of every text against every template by longest common subsequences; then the same choice."""
+    r = random.Random(6)
+    few = [x for x in TEMPLATES if len(words(x[1])) <= 40]
+    s = Scanner(few)
+    for _ in range(25):
+        own = []
+        for _ in range(r.randint(1, 3)):
+            own += [r.choice(["river", "stone", "license", "the", "of", "version", "work"]) for _ in range(r.randint(0, 12))]
+            t = words(r.choice(few)[1])
+            for _ in range(r.randint(0, len(t) // 12)):
+                t[r.randrange(len(t))] = "other"
+            own += t
+        own += ["end"] * 5
+        want = []
+        for name, text, key in few:
+            t, need = words(text), frozenset(key.split())
+            for a in range(len(own)):
+                for b in range(a + int(0.8 * len(t)), min(len(own), a + len(t) + 2) + 1):
+                    p = own[a:b]
+                    if p[0] in t and p[-1] in t and need <= set(p):
+                        n = common(p, t)
+                        if n >= 0.8 * len(t):
+                            want.append((-n, b - a, name, a, b))
+        kept = []
+        for n, _, name, a, b in sorted(want):
+            if all(b <= x or y <= a for _, x, y in kept):
+                kept.append((name, a, b))
+        assert {x[0] for x in s.scan(" ".join(own))} == {x[0] for x in kept}, " ".join(own)
+
+
+def test_a_notice_after_one_that_holds_it():
+    by = {n: t for n, t, _ in TEMPLATES if n in ("GPL-3.0", "LGPL-3.0", "AGPL-3.0")}
+    s, rest = Scanner(), " and then some quite different words. "
+    for other in ("LGPL-3.0", "AGPL-3.0"):
+        assert [x[0] for x in s.scan(by[other])] == [other]
+        assert sorted(x[0] for x in s.scan(by[other] + rest + by["GPL-3.0"])) == sorted([other, "GPL-3.0"])
+        full = next(t for n, t, _ in TEMPLATES if n == "GPL-3.0")
+        assert s.scan(by[other] + rest + full)[0][0] in (other, "GPL-3.0") and len(s.scan(by[other] + rest + full)) == 2
+
+
+def test_repeated_words_null_ids_and_rows(spark):
+    import time
+
+    at = time.perf_counter()
+    assert Scanner().scan("permission merge sublicense " * 20_000) == [] and Scanner().scan("mit " * 50_000 + "x") == []
+    assert time.perf_counter() - at < 60
+    rows = [(None, "Licensed under CC BY 4.0."), (3, "Licensed under CC BY 4.0."), (3, "Licensed under CC BY 4.0."), (2**53 + 1, "none")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(((x.doc_id or 0), x.license) for x in got if x.license) == [(0, "CC-BY-4.0"), (3, "CC-BY-4.0"), (3, "CC-BY-4.0")] and {x.doc_id for x in got} == {None, 3, 2**53 + 1}

@@ -1,10 +1,12 @@
 """Document fingerprints of closed syncmers. DataFrame functions only.
 
-A text's letters are its words, cut into at most 8 characters each. A k-mer is 5 of them in a row, its inner substrings
-are the 4 pairs in it, and a closed syncmer is a k-mer whose least pair (by hash) is its first or last. Whether a k-mer
-is one depends on itself alone, so equal passages have equal anchors wherever they stand.
+A text's letters are its words; where no blank parts them (ideographs, kana, runs of more than LONGEST characters) they are
+single characters, so what stands before a passage does not change how it is read. A k-mer is 5 letters in a row, its inner
+substrings are the 4 pairs in it, and a closed syncmer is a k-mer whose least pair (by hash) is its first or last. Whether a
+k-mer is one depends on itself alone, so equal passages have equal anchors wherever they stand.
 
-A fingerprint is the 64 least anchor hashes of a text, in order, 8 hex digits each; a text without one (any of under 5 words) is one anchor.
+The likeness of two texts is that of the sets of all their anchors. A fingerprint, as a text to be stored, is the 64 least
+anchor hashes, in order, 8 hex digits each; a text without an anchor (any of under 5 letters) is one anchor.
 """
 
 from __future__ import annotations
@@ -18,8 +20,14 @@ SKETCH = 64
 RANGE_ROWS, RANGES = 500, 1024
 
 
+#: Characters of a word that is one letter at most.
+LONGEST = 24
+_BLANK, _IDEOGRAPHS = r"\x20\x09-\x0D", r"\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+LETTER = rf"[^{_BLANK}{_IDEOGRAPHS}]{{1,{LONGEST}}}(?![^{_BLANK}{_IDEOGRAPHS}])|[^{_BLANK}]"
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(LETTER), F.lit(0))
 
 
 def _hashed(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -41,32 +49,31 @@ def anchors(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "at", F.expr("xxhash64(t_p[at - 1], t_p[at + 1], t_p[at + 2])").alias("anchor"))
 
 
-def _sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds out: an ordered array of the least anchor hashes, 32 bits each. A column at a time, so that none is computed twice."""
+def _anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds out: the set of anchor hashes. A column at a time, so that none is computed twice."""
     df = _hashed(df, text, out)
-    anchor = f"transform({_places(out + '_p')}, i -> xxhash64({out}_p[i - 1], {out}_p[i + 1], {out}_p[i + 2]) & 4294967295L)"
+    anchor = f"transform({_places(out + '_p')}, i -> xxhash64({out}_p[i - 1], {out}_p[i + 1], {out}_p[i + 2]))"
     df = df.withColumn(out, F.expr(f"IF(size({out}_p) < 5, cast(array() AS array<bigint>), {anchor})")).drop(f"{out}_p")
-    whole = f"array({out}_h & 4294967295L)"
-    df = df.withColumn(out, F.expr(f"IF(size({out}) = 0, {whole}, {out})")).drop(f"{out}_h")
-    return df.withColumn(out, F.slice(F.array_sort(F.array_distinct(F.col(out))), 1, SKETCH))
+    return df.withColumn(out, F.array_distinct(F.expr(f"IF(size({out}) = 0, array({out}_h), {out})"))).drop(f"{out}_h")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: of the least anchors of both together, how many are in both."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both).cast("double")
+    """0 to 1: of the anchors of both texts together, how many are in both."""
+    both = F.size(F.array_intersect(a, b)).cast("double")
+    return both / (F.size(a) + F.size(b) - both)
 
 
-def _hex(sketch: Column) -> Column:
-    return F.concat_ws("", F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))))
+def _hex(anchors: Column) -> Column:
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))))), 1, SKETCH)
+    return F.concat_ws("", F.transform(least, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text): the next document's text in descending doc_id, and the first's after the last.
 
     Ids fall into ranges of about RANGE_ROWS rows by their quantiles; a range's rows are put in order together, and what
-    follows its last row is the head of the next range that has rows. Null ids come last; rows with one id stand in the
-    order of their texts.
+    follows its last row is the head of the next range that has rows. Null ids come last, in the order of their texts' hashes
+    and dealt by them; rows that share an id stand in the order of their texts and are put in order by one task.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = docs.count()
@@ -82,8 +89,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         width = F.greatest(F.element_at(ends, i) - F.element_at(lower, i), F.lit(1)).cast("double")
         sub = F.floor((F.col("doc_id") - F.element_at(lower, i)) / width * inner)
         part = part * F.lit(inner + 1) + F.least(F.greatest(sub, F.lit(0)), F.lit(inner))
-    rows = docs.withColumn("part", F.coalesce(part.cast("long"), F.lit(-1).cast("long")))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    nulls = -1 - F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * (m * inner)).cast("long")  # rows without an id, by their texts' hashes
+    rows = docs.withColumn("part", F.coalesce(part.cast("long"), nulls))
+    order = [F.col("doc_id").desc_nulls_last(), F.when(F.col("doc_id").isNull(), F.xxhash64("text")), F.col("text")]
     within = Window.partitionBy("part").orderBy(*order)
     rows = rows.withColumn("rank", F.row_number().over(within)).withColumn("next_text", F.lead("text").over(within)).withColumn("last", F.lead(F.lit(1)).over(within).isNull())
 
@@ -98,11 +106,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
     """The fingerprint of each text and of its edited text (its last third is the next document's beginning), and how
-    like the first is to the second and to the next document's. Null texts are empty; an empty table gives an empty result."""
+    like the first is to the second and to the next document's. Null texts are empty; rows that share an id, or have none,
+    each have a row; an empty table gives an empty result."""
     d = with_next(docs)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     d = d.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.col("text").substr(F.lit(1), n - third), F.col("next_text").substr(F.lit(1), third)))
     for text, out in (("text", "f"), ("edited", "e"), ("next_text", "x")):
-        d = _sketch(d, text, out)
+        d = _anchors(d, text, out)
     return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _hex(F.col("f")).alias("fingerprint"), _hex(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("x")).alias("near_next"))

@@ -79,3 +79,28 @@ def test_mix_and_pack(steps):
 def test_run_equals_the_stages(spark, small, steps):
     random.seed(0)
     assert corpus_pipeline.run(spark, small).count() == steps[5].count()
+
+
+def test_odd_rows_go_through_every_stage(spark, small):
+    """Nulls in any column, empty and long texts, ties, repeated rows, no rows, extra columns with clashing names."""
+    long = " ".join(f"word{i * 7919 % 10007}" for i in range(200_000))
+    rows = [(None, None, None, None, None), (1, "", "en", "web", 0), (2, long, "en", None, len(long)), (3, "a b c d e f g", None, "web", 13), (3, "a b c d e f g", None, "web", 13), (None, "a b c d e f g", "de", "", 13), (4, "tie one", "en", "web", 7), (5, "tie two", "en", "web", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.selectExpr("*", "1 AS row", "'x' AS part", "2 AS key", "3 AS node", "'b' AS body", "4 AS batch", "5 AS copies", "6 AS size", "7 AS score", "8 AS bundle", "'y' AS thash")
+    for df in (docs, extra):
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, df, small)
+            assert out.columns == df.columns, name
+            got = out.collect()
+            assert len(got) <= len(rows) * 3
+            none = f(spark, df.limit(0), small)
+            assert none.count() == 0 and none.columns == df.columns, name
+        pieces = corpus_pipeline.pack(spark, df, small).toPandas()
+        assert len(pieces[pieces.start == 0]) == len(rows)
+    # equal texts are one, and the least id stays; a null id comes last
+    left = corpus_pipeline.near_copies(spark, docs, small).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in left if r.text and r.text.startswith("a b")) == [(False, 3)]
+    assert len([r for r in left if not r.text]) == 1
+    # stages can be chained without writing
+    chained = corpus_pipeline.pack(spark, corpus_pipeline.mix(spark, corpus_pipeline.near_copies(spark, docs, small), small), small)
+    assert chained.count() > 0

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.text import number_tokens
+from tessera.functions.text import let, number_tokens
 from tessera.operators.vocab import POS, one_line
 
 #: Characters from which lengths are compared, how many times they may differ, failures of a chunk beyond one in so many;
@@ -92,7 +92,7 @@ def simple_sentences(text: Column) -> Column:
 
 def explanation(text: Column, source: Column) -> Column:
     """The first sentences of an explanation that name no number the source lacks, so many sentences and characters at most."""
-    ok = F.filter(simple_sentences(text), lambda x: F.size(F.array_except(number_tokens(x), number_tokens(source))) == 0)
+    ok = let(number_tokens(source), lambda known: F.filter(simple_sentences(text), lambda x: F.size(F.array_except(number_tokens(x), known)) == 0))
     first = F.slice(ok, 1, SENTENCES)
     joined = F.aggregate(first, F.lit(""), lambda acc, x: F.when(acc == "", x).when(F.length(acc) + 1 + F.length(x) > CHARS, acc).otherwise(F.concat_ws(" ", acc, x)))
     return F.nullif(F.when(F.length(joined) > CHARS, F.regexp_replace(F.substring(joined, 1, CHARS), r"\s+\S*$", "")).otherwise(joined), F.lit(""))

@@ -19,6 +19,11 @@ _DASHES = "-­‐‑‒–—―−"
 _QUOTES = {"‘’‛′": "'", "“”‟″": '"'}
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value found once: what a lambda takes from outside as an expression is found anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fold_char(c: str) -> str:
     """One character to one: wide forms to ASCII, lower case, Latin accents off, dashes to blanks, quotes to straight ones."""
     k = ord(c)

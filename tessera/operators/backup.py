@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from tessera.functions.text import SECRETS
+from tessera.functions.text import SECRETS, let
 
 #: Fields of a document that are the user's own (fixed values).
 DOC_FIELDS = (
@@ -106,14 +106,14 @@ def doc_times(opened: Column, now: Column, is_new: Column) -> tuple[Column, Colu
 
 def clean_links(links: Column) -> Column:
     """links (id, ...) with a new id, ``i`` and its place, for each whose id is missing, ill-formed or taken before."""
-    ids = F.transform(links, lambda x: F.coalesce(x["id"], F.lit("")))
-    fine = lambda i: F.get(ids, i).rlike(_LINK_ID) & (F.array_position(ids, F.get(ids, i)) == i + 1)
+    fine = lambda ids, i: F.get(ids, i).rlike(_LINK_ID) & (F.array_position(ids, F.get(ids, i)) == i + 1)
 
-    def fresh(i: Column) -> Column:
+    def fresh(ids: Column, i: Column) -> Column:
         name = F.concat(F.lit("i"), i.cast("string"))
         return F.when(F.array_contains(ids, name), F.concat(name, F.lit("_"))).otherwise(name)
 
-    return F.transform(links, lambda x, i: F.when(fine(i), x).otherwise(x.withField("id", fresh(i))))
+    ids = F.transform(links, lambda x: F.coalesce(x["id"], F.lit("")))
+    return let(ids, lambda known: F.transform(links, lambda x, i: F.when(fine(known, i), x).otherwise(x.withField("id", fresh(known, i)))))
 
 
 _SECRET = re.compile("|".join(SECRETS))

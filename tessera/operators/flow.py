@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import let
+
 #: Beginnings and ends of words that keep their hyphen at a line's end (fixed values).
 KEEP_BEFORE = (
     "anti", "non", "self", "post", "pre", "pro", "co", "re", "intra", "inter", "sub", "semi", "multi", "pseudo", "extra", "ultra", "cross", "long", "short",
@@ -27,14 +29,13 @@ def join_lines(lines: Column) -> Column:
     proportion to its length."""
     real = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))), lambda x: x != "")
 
-    def piece(line: Column, at: Column) -> Column:
-        after = F.get(real, at + 1)
+    def piece(line: Column, after: Column) -> Column:
         head, tail = F.lower(F.regexp_extract(line, "([A-Za-z]+)-$", 1)), F.regexp_extract(after, "^[a-z]+", 0)
         broken = (head != "") & (tail != "")
         kept = head.isin(*KEEP_BEFORE) | tail.isin(*KEEP_AFTER)
         return F.when(after.isNull() | (broken & kept), line).when(broken, F.regexp_replace(line, "-$", "")).otherwise(F.concat(line, F.lit(" ")))
 
-    return F.array_join(F.transform(real, piece), "")
+    return let(real, lambda all_: F.array_join(F.transform(all_, lambda x, i: piece(x, F.get(all_, i + 1))), ""))
 
 
 def islands(df: DataFrame, key: str, order: list[str], new: Column, out: str = "island") -> DataFrame:

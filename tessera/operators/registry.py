@@ -13,6 +13,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tessera.functions.text import let
+
 _NODE = "[a-z0-9]+(?:-[a-z0-9]+)*"
 
 
@@ -87,8 +89,9 @@ def linked(texts: DataFrame, terms_: DataFrame, key: str, text: str = "text") ->
 def plain(text: Column, most: int = 0) -> Column:
     """Marked-up text as plain text: code blocks as a word, code, bold and links without their marks, on one line."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```[a-zA-Z]*\n.*?```", " [code] ")
-    parts = F.split(t, "`")  # every second part is code, in which nothing is a mark
-    bare = F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), x).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\*\*([^*]+)\*\*", "$1"), r"\[\[[a-z0-9-]+\|([^\]]*)\]\]", "$1"), r"\[\[([a-z0-9-]+)\]\]", "$1")))
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\*\*([^*]+)\*\*", "$1"), r"\[\[[a-z0-9-]+\|([^\]]*)\]\]", "$1"), r"\[\[([a-z0-9-]+)\]\]", "$1")
+    # every second part is code, in which nothing is a mark
+    bare = let(F.split(t, "`"), lambda parts: F.transform(parts, lambda x, i: F.when((i % 2 == 1) & (i < F.size(parts) - 1), x).otherwise(clean(x))))
     out = F.trim(F.regexp_replace(F.array_join(bare, ""), r"(?U)\s+", " "))
     return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most - 1), F.lit("…"))).otherwise(out) if most else out
 

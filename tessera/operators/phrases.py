@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-from tessera.functions.text import fold, number_tokens
+from tessera.functions.text import fold, let, number_tokens
 
 
 def stems(text: Column) -> Column:
@@ -26,19 +26,18 @@ def ambiguous(stem_of: DataFrame, stem: str, concept: str) -> DataFrame:
     return g.select(stem, (F.col("concepts") > 1).alias("ambiguous"), "concepts")
 
 
-def _gram(n: int):
-    return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
-
-
 def phrase_matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
     """key, at, n, concept: dictionary phrases (term, concept) in texts, longest first and each word used once. Phrases
     that name several concepts are ambiguous and do not count. Word n-grams meet the dictionary in an equality join."""
     terms = dictionary.select(F.array_join(stems(F.col("term")), " ").alias("gram"), "concept").where("gram <> ''").groupBy("gram").agg(F.min("concept").alias("concept"), F.max("concept").alias("_c")).where("concept = _c").drop("_c")
-    w = docs.select(key, stems(F.col(text)).alias("w"))
-    grams = None
-    for n in range(1, most + 1):
-        g = w.where(F.size("w") >= n).select(key, F.lit(n).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), _gram(n))).alias("at", "gram"))
-        grams = g if grams is None else grams.unionByName(g)
+
+    def of_length(w: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+        made = F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
+        return F.when(F.size(w) >= n, made).otherwise(F.slice(made, 1, 0))
+
+    every = let(stems(F.col(text)), lambda w: F.flatten(F.array(*[of_length(w, n) for n in range(1, most + 1)])))
+    grams = docs.select(key, F.inline(every))
     found = grams.join(terms, "gram").select(key, "at", "n", "concept")
     # a phrase stays unless a longer one (or, of equal ones, an earlier one that stays) covers one of its words: phrases
     # of one length are settled together, so four rounds at most

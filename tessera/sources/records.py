@@ -33,7 +33,11 @@ def write_dump(tables: dict[str, DataFrame], path: str) -> None:
 
 def read_lines(spark: SparkSession, path: str, longest: int = LINE) -> DataFrame:
     """kind (head, rec, end, bad, long), name, value: every line of a dump, classified."""
-    lines = spark.read.text(path).select("value")
+    return classified(spark.read.text(path).select("value"), longest)
+
+
+def classified(lines: DataFrame, longest: int = LINE) -> DataFrame:
+    """The same of lines (value) from anywhere."""
     p = F.try_parse_json("value")
     t = F.try_variant_get(p, "$.t", "string")
     kind = F.when(F.length("value") > longest, "long").when(t.isin("head", "rec", "end"), t).otherwise("bad")
@@ -42,13 +46,21 @@ def read_lines(spark: SparkSession, path: str, longest: int = LINE) -> DataFrame
 
 def read_dump(spark: SparkSession, path: str, name: str, schema: StructType | str) -> DataFrame:
     text = schema if isinstance(schema, str) else schema.simpleString()
-    rows = read_lines(spark, path).where((F.col("kind") == "rec") & (F.col("name") == name))
+    return records(read_lines(spark, path), name, text)
+
+
+def records(lines: DataFrame, name: str, text: str) -> DataFrame:
+    """A table's records out of classified lines."""
+    rows = lines.where((F.col("kind") == "rec") & (F.col("name") == name))
     return rows.select(F.from_json("value", f"struct<v:{text}>" if text.startswith("struct") else f"v struct<{','.join(x.strip().replace(' ', ':', 1) for x in text.split(','))}>").alias("x")).select("x.v.*")
 
 
 def dump_report(spark: SparkSession, path: str) -> DataFrame:
     """name, n, said: records read of each table against the end line; no end line means that the dump is cut short."""
-    lines = read_lines(spark, path)
+    return report(read_lines(spark, path))
+
+
+def report(lines: DataFrame) -> DataFrame:
     n = lines.where("kind = 'rec'").groupBy("name").agg(F.count("*").alias("n"))
     end = lines.where("kind = 'end'").select(F.explode(F.from_json(F.get_json_object("value", "$.counts"), "map<string,long>")).alias("name", "said"))
     bad = lines.groupBy().agg(F.count_if(F.expr("kind = 'bad'")).alias("bad"), F.count_if(F.expr("kind = 'long'")).alias("long"), (F.count_if(F.expr("kind = 'end'")) == 0).alias("truncated"))

@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     everything = Window.partitionBy()
     rows = (
         rows.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("w_left", F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+        .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("all", F.sum("source_size").over(everything))
     )
     # the level if all sources before this one are full; the true one is the first that does not fill its own source

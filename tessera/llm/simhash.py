@@ -175,7 +175,8 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_x = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_k: list[np.ndarray] = []  # of the last key, which may go on; put together once it ends
+        held_x: list[np.ndarray] = []
 
         def done(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.diff(k)) + 1
@@ -187,16 +188,18 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(s) for s in sides], ["a", "b"])
 
         for b in batches:
-            k = np.concatenate([held_k, b.column(1).to_numpy(zero_copy_only=False)])
-            x = np.concatenate([held_x, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(k):
+            if not b.num_rows:
                 continue
-            at = int(np.searchsorted(k, k[-1]))  # the last key may go on
-            if at:
-                yield done(k[:at], x[:at])
-            held_k, held_x = k[at:], x[at:]
-        if len(held_k):
-            yield done(held_k, held_x)
+            k, x = b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            at = int(np.searchsorted(k, k[-1]))
+            if at == 0 and (not held_k or held_k[-1][-1] == k[0]):
+                held_k.append(k)
+                held_x.append(x)
+                continue
+            yield done(np.concatenate([*held_k, k[:at]]), np.concatenate([*held_x, x[:at]]))
+            held_k, held_x = [k[at:]], [x[at:]]
+        if held_k:
+            yield done(np.concatenate(held_k), np.concatenate(held_x))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 

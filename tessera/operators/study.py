@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
+from tessera.functions.text import let
+
 #: Days a speed is measured over, the least time for it, characters a minute where it cannot be, a page's characters
 #: where none is known, days of slack below which a plan is tight.
 SPEED_DAYS, MEASURED_MS, DEFAULT_CPM, PAGE_CHARS, TIGHT = 14, 30 * 60 * 1000, 840.0, 1800.0, 2
@@ -60,14 +58,23 @@ def session_order(questions: DataFrame, key: str, seed: int) -> DataFrame:
     return questions.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(tier, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id")))
 
 
-@pandas_udf(DoubleType())
-def mulberry32(seed: pd.Series) -> pd.Series:
-    """The first number in 0..1 of the 32-bit generator with each seed."""
-    with np.errstate(over="ignore"):
-        a = seed.to_numpy().astype(np.int64).astype(np.uint32) + np.uint32(0x6D2B79F5)
-        t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
-        t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
-        return pd.Series((t ^ (t >> np.uint32(14))) / 4294967296.0)
+def mulberry32(seed: str) -> Column:
+    """The first number in 0..1 of the 32-bit generator with each seed. Products of 32-bit numbers are made of two of 48 bits,
+    so nothing overflows."""
+    mask = F.lit(0xFFFFFFFF)
+    low = lambda x: x.bitwiseAND(mask)
+    right = lambda x, n: F.shiftrightunsigned(x, n)
+
+    def times(x: Column, y: Column) -> Column:
+        return low(x.bitwiseAND(F.lit(0xFFFF)) * y + F.shiftleft((right(x, 16) * y).bitwiseAND(F.lit(0xFFFF)), 16))
+
+    def last(t: Column) -> Column:
+        return low(t.bitwiseXOR(right(t, 14))) / F.lit(4294967296.0)
+
+    def middle(t: Column) -> Column:
+        return let(low(t.bitwiseXOR(low(t + times(t.bitwiseXOR(right(t, 7)), t.bitwiseOR(F.lit(61)))))), last)
+
+    return let(low(F.col(seed).cast("long") + F.lit(0x6D2B79F5)), lambda a: let(times(a.bitwiseXOR(right(a, 15)), a.bitwiseOR(F.lit(1))), middle))
 
 
 def probes(n: Column, most: int = 12) -> Column:

@@ -84,7 +84,24 @@ class Encoder:
         return self.digits[x]
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some documents' UTF-8 bytes, and n + 1 places of the documents in them."""
+        """All ids of some documents' UTF-8 bytes, and n + 1 places of the documents in them. One long text is encoded in parts,
+        cut at blanks."""
+        n = len(data)
+        if len(offs) == 2 and n > 2 * SLICE:
+            got, a = [], 0
+            while a < n:
+                b = min(n, a + SLICE)
+                while b < n:
+                    blank = np.flatnonzero(_CLASS[data[b : b + 4096]] == 0)
+                    b = min(n, b + (int(blank[0]) if len(blank) else 4096))
+                    if len(blank):
+                        break
+                got.append(self._encode(data[a:b], np.array([0, b - a]))[0])
+                a = b
+            return np.concatenate(got), np.array([0, sum(map(len, got))])
+        return self._encode(data, offs)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)

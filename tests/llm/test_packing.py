@@ -40,6 +40,16 @@ def test_encoder_equals_the_tokenizer(reference):
             assert ids[at[i] : at[i + 1]].tolist() == reference(x), repr(x)[:200]
 
 
+def test_long_texts_are_encoded_in_parts(reference, monkeypatch):
+    from tessera.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    for t in [" ".join(x for x in texts(7, 40) if x), "é" * 300 + " a" * 90, "x" * 5000, " " * 400, "ab " * 70 + "<|endoftext|>" * 12]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        ids, at = Encoder(PATH).encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == reference(t) and at.tolist() == [0, len(ids)]
+
+
 @pytest.mark.parametrize("size,parts", [(64, 3), (4096, 7)])
 def test_online_pieces_are_whole(spark, reference, size, parts, monkeypatch):
     t = texts(2)

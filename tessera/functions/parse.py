@@ -63,6 +63,7 @@ def repair_json(raw: str | None) -> tuple[object, list[str]]:
     if ok:
         return v, done
     out, stack, text, escape, i = [], [], False, False, 0
+    marks: list[tuple[int, int, str]] = []  # what is whole up to here: (parts of out, the open bracket's place or -1, what closes it)
     good = 0  # where the last complete value ends
     while i < len(t):
         c = t[i]
@@ -92,6 +93,7 @@ def repair_json(raw: str | None) -> tuple[object, list[str]]:
         elif c in "{[":
             stack.append("}" if c == "{" else "]")
             out.append(c)
+            marks.append((len(out), len(out) - 1, "".join(reversed(stack))))
         elif c in "}]":
             while out and out[-1].isspace():
                 out.pop()
@@ -105,32 +107,35 @@ def repair_json(raw: str | None) -> tuple[object, list[str]]:
                 good = len(out)
                 break
         else:
+            if c == "," and stack:
+                marks.append((len(out), -1, "".join(reversed(stack))))
             out.append(c)
         i += 1
     if good:
         ok, v = attempt("".join(out[:good]))
         return (v, sorted(set(done))) if ok else (None, [*sorted(set(done)), "failed"])
+    done = sorted(set(done))
     x = "".join(out)
-    for _ in range(len(x) + 1):  # drop what is not complete, from the end
-        y = x + '"' * (len(re.findall(r'(?<!\\)"', x)) % 2)
-        y = re.sub(r"[,:]\s*$", "", y)
-        opened: list[str] = []
-        inside = False
-        for k, c in enumerate(y):
-            if c == '"' and (not k or y[k - 1] != "\\"):
-                inside = not inside
-            elif not inside and c in "{[":
-                opened.append("}" if c == "{" else "]")
-            elif not inside and c in "}]" and opened:
-                opened.pop()
-        ok, v = attempt(y + "".join(reversed(opened)))
+    ok, v = attempt(re.sub(r"[,:]\s*$", "", (x[:-1] if escape else x) + '"' * text) + "".join(reversed(stack)))
+    if ok:
+        return v, [*done, "closed"]
+    # the longest beginning that can be closed: if one can, so can every shorter one, so halving finds it
+    lo, hi, best = 0, len(marks), None
+    while lo < hi:
+        mid = (lo + hi) // 2
+        ok, v = attempt("".join(out[: marks[mid][0]]) + marks[mid][2])
+        if ok:
+            lo, best = mid + 1, (mid, v)
+        else:
+            hi = mid
+    if best is None:
+        return None, [*done, "failed"]
+    at, opened, closers = marks[best[0]]
+    if opened > 0:  # nothing stands in the last bracket: rather without it
+        ok, v = attempt(re.sub(r",\s*$", "", "".join(out[:opened])) + closers[1:])
         if ok:
-            return v, [*sorted(set(done)), "closed"]
-        cut = max(x.rfind(","), x.rfind("{"), x.rfind("["))
-        if cut <= 0:
-            break
-        x = x[:cut]
-    return None, [*sorted(set(done)), "failed"]
+            return v, [*done, "closed"]
+    return (None, [*done, "failed"]) if opened == 0 else (best[1], [*done, "closed"])
 
 
 @pandas_udf(StructType([StructField("value", StringType()), StructField("repairs", ArrayType(StringType()))]))

@@ -141,3 +141,37 @@ def line_ranges(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     a, b = F.col("at"), F.col("at") + F.col("len")
     j = j.where((F.col("base") < b) & (F.col("base") + F.col("_n") > a))
     return j.select(key, "at", "seq", (F.greatest(a, "base") - F.col("base")).alias("lo"), (F.least(b, F.col("base") + F.col("_n")) - F.col("base")).alias("hi"))
+
+
+#: Words of a passage that it is looked up by; passages of one or two words that every task may hold.
+INNER, FEW = 8, 10_000
+
+
+def containing(docs: DataFrame, passages: DataFrame, key: str, item: str) -> DataFrame:
+    """key, item: texts (key, text) that contain a passage (item, passage) as it stands.
+
+    A passage's words but the first and the last stand whole in any text that holds it, so texts are joined by hashes of
+    those (INNER of them at most), a join for each number of words that occurs, and then verified. A passage of one or two
+    words has none: those, FEW at most, are sought by every task.
+    """
+    p = passages.withColumn("_w", F.split("passage", r"\s+"))
+    inner = F.least(F.lit(INNER), F.size("_w") - 2)
+    p = p.select(item, "passage", inner.alias("_n"), F.when(inner >= 1, F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.greatest(inner, F.lit(1))), " "))).alias("_k"))
+    lengths = sorted(r[0] for r in p.select("_n").distinct().collect())  # INNER + 2 numbers at most
+    words = docs.select(key, F.split("text", r"\s+").alias("_w"))
+    found = None
+    for n in (x for x in lengths if x >= 1):
+        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, n), " ")))  # noqa: B023
+        k = words.where(F.size("_w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("_k"))
+        near = k.join(p.where(F.col("_n") == n), "_k").select(key, item, "passage").distinct()
+        hit = near.join(docs, key).where("contains(text, passage)").select(key, item)
+        found = hit if found is None else found.unionByName(hit)
+    if any(x < 1 for x in lengths):
+        short = p.where("_n < 1").select(item, "passage")
+        if short.limit(FEW + 1).count() > FEW:
+            raise ValueError(f"more than {FEW} passages of one or two words")
+        hit = docs.join(F.broadcast(short), F.expr("contains(text, passage)")).select(key, item)  # FEW rows at most
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        return docs.limit(0).select(key, F.lit(None).cast(dict(passages.dtypes)[item]).alias(item))
+    return found.distinct()

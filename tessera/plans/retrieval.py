@@ -43,17 +43,10 @@ def document_headings(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT d.doc_id, min(b.item_id) AS item_id, count(*) AS n FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY 1")
 def evidence_containment(s: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: joined on the hash of a passage's second to ninth word, which stand whole
-    in any text that contains it, then verified. Passages under 10 words are sought in every document."""
-    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w"))
-    docs = table(s, d, "documents").select("doc_id", "text")
-    long = b.where("size(w) >= 10").select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 8), " ")).alias("k"))
-    w = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where("size(w) >= 8")
-    k = w.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 8), " "))))).alias("k"))
-    near = k.join(long, "k").select("doc_id", "item_id", "passage").distinct()
-    found = near.join(docs, "doc_id").where("contains(text, passage)").select("doc_id", "item_id")
-    short = docs.join(F.broadcast(b.where("size(w) < 10")), F.expr("contains(text, passage)")).select("doc_id", "item_id")
-    return found.unionByName(short).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
+    """Documents that hold a benchmark passage."""
+    b = table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    found = search.containing(table(s, d, "documents").select("doc_id", "text"), b, "doc_id", "item_id")
+    return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n"))
 
 
 @query("""WITH u AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS seen FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 1 FROM supplier) SELECT k, arg_max(v, seen) AS v, CAST(max(seen) AS INTEGER) AS seen FROM u GROUP BY 1""")

@@ -9,3 +9,20 @@ def test_evidence_in_quotes_and_short_passages(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {d: (min(h), len(h)) for d, t in docs if (h := [i for i, p in items if t and p in t])}
     assert {r.doc_id: (r.item_id, r.n) for r in evidence_containment(spark, str(tmp_path)).collect()} == want
+
+
+def test_passages_of_every_length(spark):
+    import random
+
+    from tessera.operators import search
+
+    r = random.Random(3)
+    words = "alpha beta gamma delta eps".split()
+    texts = [" ".join(r.choice(words) + r.choice(["", "", ",", "."]) for _ in range(r.randint(0, 30))) for _ in range(120)]
+    items = ["beta", "ta gam", "alpha beta gam", "“no", "x" * 5] + [" ".join(r.choice(words) for _ in range(n)) for n in range(1, 13) for _ in range(4)]
+    items += [t[3 : 3 + r.randint(5, 90)].strip() or "z" for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    p = spark.createDataFrame(list(enumerate(items)), "item_id long, passage string")
+    got = {(x.doc_id, x.item_id) for x in search.containing(docs, p, "doc_id", "item_id").collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if x in t}
+    assert search.containing(docs, p.limit(0), "doc_id", "item_id").count() == 0

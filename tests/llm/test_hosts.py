@@ -62,3 +62,11 @@ def test_against_brute_force(spark):
         assert abs(g.host_bound - w[4]) < 1e-9
     assert {w[3] for w in want if w[2] is None} == {"allow", "block"}
     assert judge(df.limit(0)).count() == 0
+
+
+def test_repeated_pages_and_null_ids(spark):
+    from tessera.llm.hosts import judge
+
+    rows = [(1, "http://a.com/en/x", "p"), (1, "http://a.com/en/x", "p"), (None, "http://b.org/y", "p"), (2, None, "p"), (2, "no scheme", "p")]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string, host string")).collect()
+    assert sorted((r.page_id or 0, r.host) for r in got) == [(0, "b.org"), (1, "a.com"), (1, "a.com"), (2, ""), (2, "")]

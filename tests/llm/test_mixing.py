@@ -66,3 +66,12 @@ def test_mixed_rows(spark):
     assert mixed(df.limit(0)).count() == 0 and mix_digest(df.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [r.taken for r in mix_digest(empty).collect()] == [0, 0]
+
+
+def test_rows_that_share_id_and_size_are_taken_alike_on_reruns(spark):
+    from tessera.llm.mixing import mixed
+
+    rows = [(i % 7, f"{w} {i} x", "a" if i % 3 else "b") for i in range(400) for w in ("p", "q")] + [(None, None, None), (None, "a b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two, three = (sorted(map(repr, mixed(x).collect())) for x in (df, df.repartition(7), df.orderBy("text").coalesce(1)))
+    assert one == two == three and len(one) > 0

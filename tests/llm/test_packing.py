@@ -133,3 +133,12 @@ def test_matrix_round_trip(spark, reference):
             assert pos[a:b].tolist() == list(range(b - a))
     assert rows.sequence_id.is_unique
     assert pack_matrix(df.limit(0), PATH).count() == 0
+
+
+def test_written_matrix_reads_again(spark, reference, tmp_path):
+    from tessera.llm.packing import write_packed
+
+    t = texts(5, 20)
+    write_packed(pack_matrix(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), PATH, size=64), f"file://{tmp_path}/m")
+    rows = spark.read.parquet(f"file://{tmp_path}/m").toPandas()
+    assert unpack_matrix(rows) == {i: [*reference(x), 2] for i, x in enumerate(t)}

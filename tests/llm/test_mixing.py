@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 from collections import defaultdict
 
@@ -75,3 +76,60 @@ def test_rows_that_share_id_and_size_are_taken_alike_on_reruns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     one, two, three = (sorted(map(repr, mixed(x).collect())) for x in (df, df.repartition(7), df.orderBy("text").coalesce(1)))
     assert one == two == three and len(one) > 0
+
+
+def h64(*parts):
+    """Spark's xxhash64 of ints, longs and strings; a null does not count."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for kind, x in parts:
+        if x is not None:
+            h = xxhash.xxh64_intdigest(x.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", x), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_taken_by_brute_force(spark):
+    """Each source's documents in one list, a step for each, and a document wherever a step crosses a whole number."""
+    import math
+    import random
+    import re
+
+    from tessera.llm import mixing
+
+    r = random.Random(12)
+    rows = [(r.choice([None, i, i - 5000]), r.choice([None, "", " ", *[" ".join("w" * r.randint(1, 5) for _ in range(r.randint(1, 400))) for _ in range(6)]]), r.choice(["a", "b", "c", None, "d"] if i > 300 else ["a", "e"])) for i in range(900)]
+    rows.append((10**12, " ".join("z" for _ in range(30_000)), "b"))
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows if s is not None}) + [None]
+    total = {s: sum(n for n, x in zip(size, rows) if x[2] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    while True:
+        left = sum(total.values()) - sum(target.values())
+        w = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / w > 3 * total[s]]
+        if not full:
+            target |= {s: left * weight[s] / w for s in open_}
+            break
+        for s in full:
+            target[s] = 3.0 * total[s]
+            open_.remove(s)
+    got = Counter((x.doc_id, x.size, x.source_size, round(x.target, 6), x.taken) for x in mixing.mix_digest(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect())
+    want = Counter()
+    for s in sources:
+        own = []
+        for (i, t, x), n in zip(rows, size):
+            if x == s:
+                dice = h64(("i", 17), ("q", i))
+                up, step = (dice % (1 << 64) >> 40) % 2 == 0, math.floor(8 * math.log2(n + 1))
+                kind = step if up else mixing.TURN - step
+                own.append((kind, dice % 64, n if kind < mixing.TURN // 2 else -n, dice, (i is not None, i), (t is not None, h64(("s", t))), i, n))
+        rate = target[s] / total[s] if total[s] else 0.0
+        off = h64(("i", 17), ("s", "\u0000" if s is None else s)) % (1 << 30) / (1 << 30)
+        for k, x in enumerate(sorted(own), 1):
+            copies = min(3, math.floor(k * rate + off) - math.floor((k - 1) * rate + off))
+            want[x[-2], x[-1], total[s], round(target[s], 6), copies * x[-1]] += 1
+    assert got == want

@@ -71,6 +71,24 @@ def chunks(df: DataFrame, key: str, order: list[str], size: str, most: int, item
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
 
+#: Values of an order that make a block of a running total.
+WIDTH = 10_000
+
+
+def running(df: DataFrame, key: str, order: str, amount: str, most: float, descending: bool = False, width: int = WIDTH) -> DataFrame:
+    """The rows of each key, in a whole-number order, before whose ``amount`` the total of those before is under ``most``, with
+    that total as ``before``. Blocks of the order are summed first, and only blocks that begin under the limit are looked
+    into, each by itself: no task sees a whole key."""
+    at = -F.col(order) if descending else F.col(order)
+    rows = df.withColumn("_at", at).withColumn("_block", F.floor(at / width))
+    sums = rows.groupBy(key, "_block").agg(F.sum(amount).alias("_sum"))
+    head = F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("_head", head).where(F.col("_head") < most).select(F.col(key).alias("_k"), F.col("_block").alias("_b"), "_head")
+    near = rows.join(sums, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
+    inner = F.coalesce(F.sum(amount).over(Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return near.withColumn("before", F.col("_head") + inner).where(F.col("before") < most).drop("_at", "_block", "_k", "_b", "_head")
+
+
 def spread(df: DataFrame, group: str, page: str, load: str, order: str, out: str = "turn") -> DataFrame:
     """A round-robin over pages: least load first, then by the bits of the page's place reversed, so neighbours part."""
     pages = df.select(group, page, load).groupBy(group, page).agg(F.max(load).alias("_load"))

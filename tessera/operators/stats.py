@@ -69,7 +69,7 @@ def two_means(df: DataFrame, group: Column, value: Column) -> tuple[float, float
 
 def spread_test(df: DataFrame, group: str, value: str, centers: DataFrame) -> DataFrame:
     """Levene's statistic (w): do groups spread alike? centers: group, center (median or mean)."""
-    z = df.join(F.broadcast(centers), group).select(group, F.abs(F.col(value) - F.col("center")).alias("z"))  # a row for each group
+    z = df.join(centers, group).select(group, F.abs(F.col(value) - F.col("center")).alias("z"))
     g = z.groupBy(group).agg(F.count("*").alias("n"), F.avg("z").alias("m"), F.var_pop("z").alias("v"))
     g = g.withColumn("all", F.sum(F.col("n") * F.col("m")).over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy()))
     between, within = F.sum(F.col("n") * F.pow(F.col("m") - F.col("all"), 2)), F.sum(F.col("n") * F.col("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import dates, text as T
-from tessera.operators import learning, ranges
+from tessera.operators import flow, learning, ranges
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -101,18 +101,17 @@ def reading_time(s: SparkSession, d: str) -> DataFrame:
 SELECT source, doc_id FROM c WHERE before < 20000""")
 def todays_pages(s: SparkSession, d: str) -> DataFrame:
     """In order, documents of each source until 20,000 characters are reached."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.length("text")
-    return table(s, d, "documents").select("source", "doc_id", n.alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n")).where("before < 20000").select("source", "doc_id")
+    x = table(s, d, "documents").select("source", "doc_id", F.length("text").alias("n"))
+    return flow.running(x, "source", "doc_id", "n", 20000).select("source", "doc_id")
 
 
 @query("""WITH o AS (SELECT doc_id, source, length(text) AS bytes FROM documents), r AS (SELECT *, sum(bytes) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS kept FROM o)
 SELECT source, count(*) AS n, sum(bytes) AS bytes FROM r WHERE kept <= 50000 GROUP BY 1""")
 def cache_eviction(s: SparkSession, d: str) -> DataFrame:
     """The newest entries that fit a byte limit; older ones are evicted."""
-    w = Window.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0)
-    o = table(s, d, "documents").select("source", "doc_id", F.length("text").alias("bytes")).withColumn("kept", F.sum("bytes").over(w))
-    return o.where("kept <= 50000").groupBy("source").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    o = table(s, d, "documents").select("source", "doc_id", F.length("text").alias("bytes"))
+    kept = flow.running(o, "source", "doc_id", "bytes", 50001, descending=True).where("before + bytes <= 50000")
+    return kept.groupBy("source").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 @query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders) SELECT o_orderkey, CAST(day AS VARCHAR) AS day, day - DATE '1970-01-01' AS n, dayofweek(day) AS weekday,

@@ -137,3 +137,19 @@ def test_spread_and_grades(spark):
     assert [p for p, _ in order] == [1, 5, 3, 4, 2] * 2 and [i for _, i in order] == [0] * 5 + [1] * 5
     g = spark.createDataFrame([(["A", "B"], ["B", "A"]), (["A"], ["A", "B"]), ([], [])], "a array<string>, b array<string>")
     assert [r[0] for r in g.select(flow.grade_sets(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+
+
+def test_running_totals_by_blocks(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), i, r.randint(0, 40)) for i in r.sample(range(-500, 5000), 900)]
+    df = spark.createDataFrame(rows, "k string, i long, n int")
+    for down in (False, True):
+        want = {}
+        for k in ("a", "b", None):
+            total = 0
+            for _, i, n in sorted((x for x in rows if x[0] == k), key=lambda x: -x[1] if down else x[1]):
+                if total < 1500:
+                    want[k, i] = total
+                total += n
+        got = {(x.k, x.i): x.before for x in flow.running(df, "k", "i", "n", 1500, down, 70).collect()}
+        assert got == want

@@ -173,3 +173,26 @@ def label_rows(lines: DataFrame) -> DataFrame:
 def flow(lines: DataFrame) -> DataFrame:
     """The lines that a page's text flows through: bodies and headings."""
     return lines.where(F.col("role").isin("body", "heading"))
+
+
+def absorbed(lines: DataFrame) -> DataFrame:
+    """lines with ``into``: the line that a small one (a note's number, an index) belongs to: the next if it is larger and begins
+    less than its size below, else the one before on the same terms; null for a line of its own."""
+    w = Window.partitionBy(*PAGE, "col").orderBy("y", "line")
+    near = lambda other, dy: F.when((F.col("size") < RAISED * other["size"]) & (dy < 0.8 * other["size"]), other["line"])
+    here = F.struct("line", "y", "size")
+    after, before = F.lead(here).over(w), F.lag(here).over(w)
+    j = lines.withColumn("_a", after).withColumn("_b", before)
+    return j.withColumn("into", F.coalesce(near(F.col("_a"), F.col("_a.y") - F.col("y")), near(F.col("_b"), F.col("y") - F.col("_b.y")))).drop("_a", "_b")
+
+
+def described(lines: DataFrame, gap: float = 1.5) -> DataFrame:
+    """doc, page, para, kind, lines, chars: a page as paragraphs, in reading order (place): a line of another role, or further
+    below than ``gap`` sizes, begins one. Kinds: heading, body, and aside for what does not flow (runners, folios)."""
+    kind = F.when(F.col("role").isin("heading", "body"), F.col("role")).otherwise("aside")
+    w = Window.partitionBy(*PAGE).orderBy("place")
+    d = lines.withColumn("kind", kind)
+    step = F.col("y") - F.lag("y").over(w)
+    new = F.when((F.col("kind") == F.lag("kind").over(w)) & step.between(0, gap * F.col("size")), 0).otherwise(1)
+    d = d.withColumn("_new", new).withColumn("para", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*PAGE, "para").agg(F.first("kind").alias("kind"), F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"))

@@ -111,3 +111,20 @@ def page_tables(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH l AS ({_LINES}) SELECT doc, page, label, line FROM (SELECT *, last_value(CASE WHEN col = 1 THEN line END IGNORE NULLS) OVER (PARTITION BY doc, page ORDER BY y, col, line ROWS UNBOUNDED PRECEDING) AS label FROM l WHERE col > 0) WHERE col > 1 AND label IS NOT NULL""")
 def label_rows(s: SparkSession, d: str) -> DataFrame:
     return layout.label_rows(_lines(s, d))
+
+
+@query(f"""WITH l AS (SELECT * REPLACE (CASE WHEN line % 6 = 0 THEN 5.0 ELSE size END AS size) FROM ({_LINES})), n AS (SELECT *, lead(size) OVER w AS ns, lead(y) OVER w AS ny, lead(line) OVER w AS nl, lag(size) OVER w AS ps, lag(y) OVER w AS py, lag(line) OVER w AS pl FROM l WINDOW w AS (PARTITION BY doc, page, col ORDER BY y, line))
+SELECT doc, page, line, CASE WHEN size < 0.8 * ns AND ny - y < 0.8 * ns THEN nl WHEN size < 0.8 * ps AND y - py < 0.8 * ps THEN pl END AS "into" FROM n""")
+def absorbed_lines(s: SparkSession, d: str) -> DataFrame:
+    x = _lines(s, d).withColumn("size", F.when(F.col("line") % 6 == 0, 5.0).otherwise(F.col("size")))
+    return layout.absorbed(x).select("doc", "page", "line", "into")
+
+
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY y, line) AS place, CASE line % 9 WHEN 0 THEN 'aside' WHEN 1 THEN 'heading' ELSE 'body' END AS kind FROM ({_LINES})), n AS (SELECT *, CASE WHEN kind = lag(kind) OVER w AND y - lag(y) OVER w BETWEEN 0 AND 15 * size THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY doc, page ORDER BY place)),
+p AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY place) AS para FROM n) SELECT doc, page, CAST(para AS BIGINT) AS para, min(kind) AS kind, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY 1, 2, 3""")
+def described_pages(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    m = F.col("line") % 9
+    x = _lines(s, d).withColumn("place", F.row_number().over(Window.partitionBy("doc", "page").orderBy("y", "line"))).withColumn("role", F.when(m == 0, "folio").when(m == 1, "heading").otherwise("body"))
+    return layout.described(x, 15.0)

@@ -1,8 +1,10 @@
 """Near-duplicate removal by SimHash for a similarity (Jaccard of word shingles), not a number of bits.
 
 Copies at similarity 0.8 differ in some 15 % of a SimHash's bits: 4 to 14 of 64, so a bound of 3 bits finds hardly any.
-The same deletion variants therefore work on a wider fingerprint: SEGMENTS segments of BITS bits; at similarity 0.8 one of
-them differs by at most one bit with probability 0.95 (0.99 at 0.85), and each is indexed with each bit as a wildcard.
+The same deletion variants therefore work on a wider fingerprint: 9 segments of 16 bits; at similarity 0.8 one of them
+differs by at most one bit with probability 0.95 (0.99 at 0.85), and each is indexed with each bit as a wildcard. From 2^27
+texts on segments are longer and more, by one rule (shape_for), so that buckets of unrelated texts stay small and the
+probability stays as it is.
 
 1. Who shares a key is compared on CHECK more bits. Texts that are close there, at once or by way of others, are a cluster
    of that key. Where the first bit is the wildcard, each emits one link, to the cluster's least; where another is, only
@@ -18,6 +20,7 @@ them differs by at most one bit with probability 0.95 (0.99 at 0.85), and each i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +32,9 @@ from tessera.llm.common import Saved, Spans, buffers, lean, saved_here, slices,
 from tessera.llm.graph import components
 from tessera.llm.simhash import LONG, document_words, majority, parts_of
 
-SEGMENTS, BITS, CHECK = 9, 16, 128
+#: Shortest segment, bits beside the segments that pairs are compared on, unrelated texts that share a bucket at most, about,
+#: and the probability that a pair at the similarity shares one.
+BITS, CHECK, BUCKET, RECALL = 16, 128, 4096, 0.945
 #: Bits of CHECK that may differ in a pair worth verifying: similarity 0.8 has 19 in the mean, and 32 is three standard
 #: deviations more; of unrelated pairs one in 10^8 is as close.
 MOST = 32
@@ -39,12 +44,18 @@ SKETCH, MARGIN = 1024, 0.0625
 #: Texts of a group that one task verifies against each other or another block; parts of a text's shingles, by the first
 #: four bits of their hash, so that no row is long.
 BLOCK, PARTS = 1024, 16
-#: 64-bit words of a fingerprint: those of the segments, then those of CHECK.
-WORDS = -(-SEGMENTS * BITS // 64) + CHECK // 64 - 1
 
 _SEEDS = splitmix(np.arange(77, 77 + 8, dtype=np.uint64))
 
 
+def shape_for(texts: int, similarity: float) -> tuple[int, int]:
+    """(segments, bits of one) for so many texts. A bit of two SimHashes differs with the angle between the sets, in half turns."""
+    bits = max(BITS, math.ceil(math.log2(max(1, texts) / BUCKET)) + 1)
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    close = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - close)), bits
+
+
 def _shingles(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every shingle of each document (A-Z lower-cased), and each document's range in them: words by
     their bytes' running sums, shingles by their words'."""
@@ -79,14 +90,16 @@ def wide_fingerprints(h: np.ndarray, out: np.ndarray, words: int) -> np.ndarray:
     return np.stack([majority(splitmix(h ^ _SEEDS[w]), out) for w in range(words)], 1)
 
 
-def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(node, fp, sketch) of docs (thash, text)."""
+def _prints(docs: DataFrame, words: int, shape: tuple[int, int]) -> DataFrame:
+    """(node, fp, sketch) of docs (thash, text). A fingerprint has the words of the segments, then those of CHECK, which begin in
+    the segments' last."""
+    wide = -(-shape[0] * shape[1] // 64) + CHECK // 64 - 1
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in slices(batches, 1):
             h, out = shingle_sets(*buffers(t.column(1)), words)
-            fp = wide_fingerprints(h, out, WORDS)
+            fp = wide_fingerprints(h, out, wide)
             short = (h >> np.uint64(32)).astype(np.uint32)
             sketch = [np.unique(short[a:b])[:SKETCH].tobytes() for a, b in zip(out[:-1], out[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(sketch, pa.binary())], ["node", "fp", "sketch"])
@@ -158,23 +171,24 @@ def clusters(begin: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
     return label
 
 
-def _close(prints: DataFrame) -> DataFrame:
+def _close(prints: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Links (a, b) between distinct texts (node, fp) that connect each key's clusters. A key ends with the wildcard's bit,
     which does not count when keys are compared."""
+    segments, bits = shape
 
     @lean
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = ~(np.uint64(1) << np.arange(BITS, dtype=np.uint64))
-        k = SEGMENTS * BITS
+        ones = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+        k = segments * bits
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 c = b.slice(at, 1000)
                 node = c.column(0).to_numpy()
                 raw = b"".join(c.column(1).to_pylist())
-                seg = np.frombuffer(raw, np.uint16).reshape(len(node), -1)[:, :SEGMENTS].astype(np.uint64)
+                seg = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(node), -1), axis=1, count=k, bitorder="little").reshape(-1, segments, bits) @ ones
                 check = np.frombuffer(raw, np.int64).reshape(len(node), -1)[:, -(CHECK // 64) :]
-                keys = (seg[:, :, None] & masks) | (np.arange(k, dtype=np.uint64).reshape(1, SEGMENTS, BITS) << np.uint64(BITS))
-                keys = keys << np.uint64(1) | (seg[:, :, None] & ~masks != 0)
+                keys = (seg[:, :, None] & ~ones) | (np.arange(k, dtype=np.uint64).reshape(1, segments, bits) << np.uint64(bits))
+                keys = keys << np.uint64(1) | (seg[:, :, None] & ones != 0)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(node, k)), *[pa.array(np.repeat(x, k)) for x in check.T]], ["key", "node", "c0", "c1"])
 
     @lean
@@ -184,7 +198,7 @@ def _close(prints: DataFrame) -> DataFrame:
             fp = np.stack([t.column(x).to_numpy() for x in (2, 3)], 1).view(np.uint64)
             own = np.arange(len(node))
             label, side = clusters(begin, fp, MOST), clusters(_begins(key), fp, MOST)
-            other = np.flatnonzero((label != own) & ((side == own) | ((key >> 1 + BITS) % BITS == 0)))
+            other = np.flatnonzero((label != own) & ((side == own) | ((key >> 1 + bits) % bits == 0)))
             if len(other):
                 links = np.unique(np.stack([node[label[other]], node[other]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
@@ -311,11 +325,12 @@ def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return n.where(F.col("same") >= similarity * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
 
-def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, shape: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, thash, group): every row's group of near copies; group is the text hash (xxhash64) that stands for it."""
+    shape = shape or shape_for(docs.count(), similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("thash", F.xxhash64("text"))
-    prints = Saved(_prints(texts, words).groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df
-    groups = components(_close(prints.where(F.length("sketch") > 0)))
+    prints = Saved(_prints(texts, words, shape).groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df
+    groups = components(_close(prints.where(F.length("sketch") > 0), shape))
     roots = components(_verified(groups, prints, texts, words, similarity))
     got = texts.select("doc_id", "thash").join(roots, F.col("thash") == F.col("node"), "left")
     return got.select("doc_id", "thash", F.coalesce("root", "thash").alias("group"))

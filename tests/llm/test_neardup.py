@@ -157,3 +157,27 @@ def test_long_texts_at_the_bound(spark):
     for i in range(0, 80, 4):
         assert got[i] != got[i + 1]  # under 0.8
     assert sum(got[i] != got[i + 1] for i in range(2, 80, 4)) <= 3  # over 0.8, but for segments that all differ
+
+
+def test_shapes_keep_the_chance(spark):
+    import math
+
+    for n, want in ((0, (9, 16)), (10**6, (9, 16)), (2**27, (9, 16)), (2**28, None), (10**10, None)):
+        segments, bits = neardup.shape_for(n, 0.8)
+        assert want is None or (segments, bits) == want
+        p = math.acos(1.6 / 1.8) / math.pi
+        close = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+        assert 0.945 <= 1 - (1 - close) ** segments < 0.97 and n <= neardup.BUCKET << bits - 1 or n == 0
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(40):
+        t = [word() for _ in range(300)]
+        u = list(t)
+        for _ in range(3):
+            u[r.randrange(300)] = word()
+        texts += [" ".join(t), " ".join(u)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for shape in (None, (13, 19)):
+        got = {x.doc_id: x.group for x in near_groups(df, shape=shape).collect()}
+        assert sum(got[i] == got[i + 1] for i in range(0, 80, 2)) >= 39 and len(set(got.values())) <= 41

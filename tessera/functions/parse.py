@@ -28,11 +28,12 @@ def sentences(text: Column, lang: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
     short = "|".join(re.escape(x) for x in sorted(ABBREVIATIONS))
 
+    # a blank and what follows it are looked at first, what stands before only where these fit
     def cut(lang: str) -> Column:
-        start = rf"(?=[{STARTS[lang]}]" + (r"|[¿¡](?!\p{Ll}))" if lang == "es" else ")")
-        stop = rf"(?<=[.!?…][\"”')\]]{{0,6}})(?<!(?:^|[ {_CUT}])(?i:{short}))(?<!(?:^|[ (\[«\"'{_CUT}])[A-Z]\.) {start}"
-        named = rf"(?<=\[ ?(?i:PMC?ID|DOI)\b[^\[\]]{{0,80}}\][.;,]?) (?=[{STARTS[lang]}\[{BULLETS}{'¿¡' if lang == 'es' else ''}])"
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf"(?<=[^ ]) (?=[{BULLETS}] )", _CUT), named, _CUT), stop, _CUT)
+        start = rf" (?=[{STARTS[lang]}]" + (r"|[¿¡](?!\p{Ll}))" if lang == "es" else ")")
+        stop = rf"{start}(?<=[.!?…\"”')\]] )(?<=[.!?…][\"”')\]]{{0,6}} )(?<!(?:^|[ {_CUT}])(?i:{short}) )(?<!(?:^|[ (\[«\"'{_CUT}])[A-Z]\. )"
+        named = rf" (?=[{STARTS[lang]}\[{BULLETS}{'¿¡' if lang == 'es' else ''}])(?<=\][.;,]? )(?<=\[ ?(?i:PMC?ID|DOI)\b[^\[\]]{{0,80}}\][.;,]? )"
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf" (?=[{BULLETS}] )(?<=[^ ] )", _CUT), named, _CUT), stop, _CUT)
 
     code = F.coalesce(lang, F.lit("en"))
     marked = F.when(code == "fr", cut("fr")).when(code == "es", cut("es")).when(code == "ko", cut("ko")).otherwise(cut("en"))

@@ -63,37 +63,51 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
 
 
-def script_counts(text: Column) -> dict[str, Column]:
-    """Letters by script; a letter of several counts once, in the order Hangul, kana, Han, Arabic, Latin."""
+def characters_of(text: Column, kind: str) -> Column:
+    """How many characters of a text are of a kind (a pattern for one): by what is left without them, as a match for each run
+    costs far less than one for each character."""
+    return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, f"(?:{kind})+", "")), F.lit(0))
+
+
+def beyond_latin(text: Column) -> Column:
+    """Does a text hold any character from Arabic on? If not, no script but Latin needs counting."""
+    return F.coalesce(text.rlike(r"[\x{0600}-\x{10FFFF}]"), F.lit(False))
+
+
+def script_counts(text: Column, beyond: Column | None = None) -> dict[str, Column]:
+    """Letters by script; a letter of several counts once, in the order Hangul, kana, Han, Arabic, Latin. ``beyond`` is
+    beyond_latin() where it is at hand as a column."""
     letter = lambda s: rf"[\p{{L}}&&{s}]"
+    some = beyond_latin(text) if beyond is None else beyond
+    other = lambda s: F.when(some, characters_of(text, letter(s))).otherwise(0)
     return {
-        "letters": count_of(text, r"\p{L}"),
-        "hangul": count_of(text, letter(r"\p{IsHangul}")),
-        "kana": count_of(text, letter(r"[\p{IsHiragana}\p{IsKatakana}]")),
-        "han": count_of(text, letter(r"\p{IsHan}")),
-        "arabic": count_of(text, letter(r"\p{IsArabic}")),
-        "latin": count_of(text, letter(r"\p{IsLatin}")),
+        "letters": characters_of(text, r"\p{L}"),
+        "hangul": other(r"\p{IsHangul}"),
+        "kana": other(r"[\p{IsHiragana}\p{IsKatakana}]"),
+        "han": other(r"\p{IsHan}"),
+        "arabic": other(r"\p{IsArabic}"),
+        "latin": characters_of(text, letter(r"\p{IsLatin}")),
     }
 
 
-def _listed(words: list[str]) -> str:
-    return r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
+def letter_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def function_words(text: Column) -> dict[str, Column]:
-    """Words, and how many of them are function words of each language. A Spanish one that begins with a capital (and is
-    not all capitals) counts only before a word in lower case; fr_es is French without the word it shares with Spanish."""
-    low = F.lower(text)
-    es = FUNCTION_WORDS["es"]
-    titled = [w.capitalize() for w in es]
-    mixed = r"(?<!\p{L})(?:" + "|".join(titled) + r")(?!\p{L})"
-    return {
-        "words": count_of(text, r"\p{L}+"),
-        "en": count_of(low, _listed(FUNCTION_WORDS["en"])),
-        "fr": count_of(low, _listed(FUNCTION_WORDS["fr"])),
-        "fr_es": count_of(low, _listed([w for w in FUNCTION_WORDS["fr"] if w != "la"])),
-        "es": count_of(low, _listed(es)) - count_of(text, mixed) + count_of(text, mixed + r"(?=[^\p{L}]+\p{Ll})"),
-    }
+def function_words(words: Column) -> dict[str, Column]:
+    """Of the words of letter_words(): how many, and how many are function words of each language. A Spanish one that begins
+    with a capital (and is not all capitals) counts only before a word in lower case; fr_es is French without the word it
+    shares with Spanish."""
+    among = lambda xs: F.size(F.filter(words, lambda x: F.lower(x).isin(*xs)))
+
+    def spanish(all_: Column) -> Column:
+        def counts(x: Column, i: Column) -> Column:
+            titled = F.substring(x, 1, 1).rlike(r"\p{Lu}") & (x != F.upper(x))
+            return F.lower(x).isin(*FUNCTION_WORDS["es"]) & (~titled | F.coalesce(F.get(all_, i + 1).rlike(r"^\p{Ll}"), F.lit(False)))
+
+        return F.size(F.filter(all_, counts))
+
+    return {"words": F.size(words), "en": among(FUNCTION_WORDS["en"]), "fr": among(FUNCTION_WORDS["fr"]), "fr_es": among([w for w in FUNCTION_WORDS["fr"] if w != "la"]), "es": let(words, spanish)}
 
 
 def with_language(df: DataFrame, text: str) -> DataFrame:
@@ -101,7 +115,8 @@ def with_language(df: DataFrame, text: str) -> DataFrame:
     rate. Counts are columns of their own below, so each pattern passes a text once."""
     t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
     d = df.withColumn("_t", t)
-    counts = script_counts(F.col("_t")) | {f"w_{k}": c for k, c in function_words(F.col("_t")).items()}
+    d = d.withColumn("_beyond", beyond_latin(F.col("_t"))).withColumn("_all", letter_words(F.col("_t")))
+    counts = script_counts(F.col("_t"), F.col("_beyond")) | {f"w_{k}": c for k, c in function_words(F.col("_all")).items()}
     d = d.withColumns({f"_{k}": c for k, c in counts.items()})
     c = {k: F.col(f"_{k}") for k in counts}
     enough = lambda x: (c["letters"] > 0) & (x * 10 >= c["letters"] * 3)
@@ -124,7 +139,7 @@ def with_language(df: DataFrame, text: str) -> DataFrame:
     lang, score = F.lit("en"), three(1 - small / big)
     for when, code, x in reversed(cases):
         lang, score = F.when(when, code).otherwise(lang), F.when(when, x).otherwise(score)
-    return d.withColumns({"guess": lang, "score": score.cast("double")}).drop("_t", *[f"_{k}" for k in counts])
+    return d.withColumns({"guess": lang, "score": score.cast("double")}).drop("_t", "_beyond", "_all", *[f"_{k}" for k in counts])
 
 
 _WIDE = r"[\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"
@@ -196,7 +211,7 @@ def repeat_key(text: Column) -> Column:
 def garble(text: Column) -> tuple[Column, Column]:
     """(characters that are not blank, those of them that are broken)."""
     bad = r"[\x{FFFD}\x{E000}-\x{F8FF}\x{F0000}-\x{10FFFD}\x00-\x1F\x7F-\x9F&&[^\s\x85]]"
-    return count_of(text, r"(?U)\S"), count_of(text, bad)
+    return characters_of(text, r"(?U:\S)"), characters_of(text, bad)
 
 
 def mask(key: Column) -> Column:

@@ -23,7 +23,8 @@ def fold_text(s: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '\p{Hangul}')) AS hangul, len(regexp_extract_all(text, '[\p{Hiragana}\p{Katakana}]')) AS kana,
 len(regexp_extract_all(text, '\p{Han}')) AS han, len(regexp_extract_all(text, '\p{Arabic}')) AS arabic, len(regexp_extract_all(text, '[A-Za-zªºÀ-ÖØ-öø-ʸ]')) AS latin FROM documents""")
 def script_counts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.script_counts(F.col("text")).items()])
+    x = table(s, d, "documents").select("doc_id", "text", T.beyond_latin(F.col("text")).alias("beyond"))
+    return x.select("doc_id", *[c.alias(k) for k, c in T.script_counts(F.col("text"), F.col("beyond")).items()])
 
 
 #: Documents of which some are written in letters of other scripts, by their id.
@@ -42,8 +43,8 @@ _WORDS = {k: "list_contains(['" + "','".join(v) + "'], x)" for k, v in T.FUNCTIO
 @query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents)
 SELECT doc_id, len(w) AS words, len(list_filter(w, lambda x: {_WORDS['en']})) AS en, len(list_filter(w, lambda x: {_WORDS['fr']})) AS fr FROM w""")
 def function_word_counts(s: SparkSession, d: str) -> DataFrame:
-    w = T.function_words(F.col("text"))
-    return table(s, d, "documents").select("doc_id", w["words"].alias("words"), w["en"].alias("en"), w["fr"].alias("fr"))
+    w = T.function_words(F.col("w"))
+    return table(s, d, "documents").select("doc_id", T.letter_words(F.col("text")).alias("w")).select("doc_id", w["words"].alias("words"), w["en"].alias("en"), w["fr"].alias("fr"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace({_MIXED}, '\s+', ' ', 'g')) AS t FROM documents),

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import FOLD
 from tessera.session import table
 
+_FROM, _TO = (x.replace("'", "''") for x in FOLD)
+#: The search fold of a column ``text`` in SQL.
+FOLD_SQL = f"translate(text, '{_FROM}', '{_TO}')"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 

@@ -8,8 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.text import normal_answer, parse_number
 from tessera.operators import merge, ranges, search
-from tessera.plans.catalog import query
-from tessera.plans.textual import FOLD_SQL
+from tessera.plans.catalog import FOLD_SQL, query
 from tessera.session import table
 
 

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import hashing, text as T
-from tessera.plans.catalog import query
+from tessera.plans.catalog import FOLD_SQL, query
 from tessera.session import table
 
-_FROM, _TO = (x.replace("'", "''") for x in T.FOLD)
-FOLD_SQL = f"translate(text, '{_FROM}', '{_TO}')"
 
 
 @query(f"SELECT doc_id, md5({FOLD_SQL}) AS folded, length({FOLD_SQL}) AS n FROM documents")

@@ -24,8 +24,17 @@ from tessera.session import ship
 PACK_BYTES = 1 << 20
 
 
+#: Rows that a Python worker is sent at once: whole texts, of which many make a batch that both sides hold.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

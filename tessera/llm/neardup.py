@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Saved, Spans, buffers, lean, saved_here, slices, splitmix
+from tessera.llm.common import Saved, Spans, buffers, lean, saved_here, slices, small_batches, splitmix
 from tessera.llm.graph import components
 from tessera.llm.simhash import LONG, document_words, majority, parts_of
 
@@ -44,6 +44,8 @@ SKETCH, MARGIN = 1024, 0.0625
 #: Texts of a group that one task verifies against each other or another block; parts of a text's shingles, by the first
 #: four bits of their hash, so that no row is long.
 BLOCK, PARTS = 1024, 16
+#: Rows of keys that are looked at together, at least.
+AT_ONCE = 10_000
 
 _SEEDS = splitmix(np.arange(77, 77 + 8, dtype=np.uint64))
 
@@ -116,22 +118,32 @@ def _by_key(batches: Iterable[pa.RecordBatch], shift: int = 0) -> Iterator[tuple
     """Whole keys, some at a time: (where each begins, and the end; their rows), out of batches that are sorted by the first
     column, whose last ``shift`` bits do not count. What is held of a key that goes on is put together once, when it ends."""
     held: list[pa.RecordBatch] = []
+    rows = 0
+    keys = lambda b: b.column(0).to_numpy() >> shift
 
     def done(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Table]:
         t = pa.Table.from_batches(rows).combine_chunks()
-        return _begins(t.column(0).to_numpy() >> shift), t
+        return _begins(keys(t)), t
 
     for b in batches:
         if not b.num_rows:
             continue
-        k = b.column(0).to_numpy() >> shift
-        at = int(np.searchsorted(k, k[-1]))  # the last key may go on
-        if at == 0 and (not held or held[-1].column(0)[-1].as_py() >> shift == k[0]):
-            held.append(b)
+        held.append(b)
+        rows += b.num_rows
+        last = keys(b)[-1]  # its key may go on
+        if rows < AT_ONCE or keys(held[0])[0] == last:
             continue
-        if held or at:
-            yield done([*held, b.slice(0, at)])
-        held = [b.slice(at)]
+        rest: list[pa.RecordBatch] = []
+        while held:
+            b = held.pop()
+            at = int(np.searchsorted(keys(b), last))
+            if at < b.num_rows:
+                rest.insert(0, b.slice(at))
+            if at:
+                held.append(b.slice(0, at))
+                break
+        yield done(held)
+        held, rows = rest, sum(x.num_rows for x in rest)
     if held:
         yield done(held)
 
@@ -327,6 +339,7 @@ def _counted(links: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, shape: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, thash, group): every row's group of near copies; group is the text hash (xxhash64) that stands for it."""
+    small_batches(docs.sparkSession)
     shape = shape or shape_for(docs.count(), similarity)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("thash", F.xxhash64("text"))
     prints = Saved(_prints(texts, words, shape).groupBy("node").agg(F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "uncompressed").df

@@ -175,8 +175,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k: list[np.ndarray] = []  # of the last key, which may go on; put together once it ends
-        held_x: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []  # keys and fingerprints; the last key may go on
 
         def done(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.diff(k)) + 1
@@ -187,19 +186,20 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
             sides = [np.concatenate([f[j] for f in found]).view(np.int64) if found else np.zeros(0, np.int64) for j in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(s) for s in sides], ["a", "b"])
 
+        n = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            k, x = b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            at = int(np.searchsorted(k, k[-1]))
-            if at == 0 and (not held_k or held_k[-1][-1] == k[0]):
-                held_k.append(k)
-                held_x.append(x)
+            held.append([b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+            n += b.num_rows
+            if n < 10_000 or held[0][0][0] == held[-1][0][-1]:
                 continue
-            yield done(np.concatenate([*held_k, k[:at]]), np.concatenate([*held_x, x[:at]]))
-            held_k, held_x = [k[at:]], [x[at:]]
-        if held_k:
-            yield done(np.concatenate(held_k), np.concatenate(held_x))
+            k, x = (np.concatenate([h[j] for h in held]) for j in (0, 1))
+            at = int(np.searchsorted(k, k[-1]))
+            yield done(k[:at], x[:at])
+            held, n = [[k[at:], x[at:]]], len(k) - at
+        if held:
+            yield done(*(np.concatenate([h[j] for h in held]) for j in (0, 1)))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 

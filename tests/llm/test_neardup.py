@@ -181,3 +181,27 @@ def test_shapes_keep_the_chance(spark):
     for shape in (None, (13, 19)):
         got = {x.doc_id: x.group for x in near_groups(df, shape=shape).collect()}
         assert sum(got[i] == got[i + 1] for i in range(0, 80, 2)) >= 39 and len(set(got.values())) <= 41
+
+
+def test_whole_keys_out_of_any_batches(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    for at_once in (1, 5, 40):
+        monkeypatch.setattr(neardup, "AT_ONCE", at_once)
+        keys = sorted(r.choice([1, 2, 3, 50, 51, 52, 53]) for _ in range(200))
+        rows = list(zip(keys, range(200)))
+        batches, at = [], 0
+        while at < 200:
+            n = r.randint(0, 17)
+            batches.append(pa.RecordBatch.from_pydict({"k": [x[0] for x in rows[at : at + n]], "v": [x[1] for x in rows[at : at + n]]}, schema=pa.schema([("k", pa.int64()), ("v", pa.int64())])))
+            at += n
+        for shift in (0, 1):
+            seen, out = set(), []
+            for begin, t in neardup._by_key(batches, shift):
+                k = t.column(0).to_numpy() >> shift
+                assert begin[0] == 0 and begin[-1] == len(k) and all(len(set(k[a:b])) == 1 for a, b in zip(begin[:-1], begin[1:]))
+                assert not seen & set(k.tolist()) and len(begin) - 1 == len(set(k.tolist()))
+                seen |= set(k.tolist())
+                out += t.column(1).to_pylist()
+            assert out == list(range(200))

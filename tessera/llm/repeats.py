@@ -328,7 +328,7 @@ def _refine(docs: DataFrame, text: str, least: int) -> tuple[DataFrame, DataFram
     parts = partitions_for(size, PART)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
     dealt = lambda df, by: df.repartition(tasks, by).groupBy(by)
-    packed = packed.select((F.col("batch") / BUNDLE).cast("long").alias("bundle"), "batch", "body")
+    packed = packed.select(F.expr(f"batch div {BUNDLE}").alias("bundle"), "batch", "body")
 
     def ask(key: tuple, t: pa.Table) -> pa.Table:
         runs_out, buckets_out = _Out(parts), _Out(parts)

@@ -76,6 +76,18 @@ def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.audit import audit
+
+    return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the text decoded from them."""
     import public_tokenizers
@@ -125,4 +137,20 @@ l0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM c),
 {_level("c.suffix, c.domain", "l1", "l1.suffix = c.suffix", "m1", 2)},
 {_level("c.suffix, c.domain, c.host", "l2", "l2.suffix = c.suffix AND l2.domain = c.domain", "m2", 3)}
 SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN m3 - 1.64 * sd > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN l3 ON l3.host = v.host""",
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) a, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) b, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) d, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) e, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+s AS (SELECT c.*, filter_order, step, fails[strpos('ABCDE', substr(filter_order, step, 1))] AS own,
+  len(list_filter(generate_series(1, step - 1), lambda i: fails[strpos('ABCDE', substr(filter_order, i, 1))])) > 0 AS gone, len(list_filter(fails, lambda y: y)) AS many
+  FROM c, x, (SELECT CAST(unnest(generate_series(1, 5)) AS INTEGER) AS step)),
+r AS (SELECT part, filter_order, step, CAST(sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN own AND many = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN own AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM s GROUP BY 1, 2, 3)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)) AS BIGINT) AS shapley FROM r""",
 }

@@ -12,8 +12,6 @@ depend on all of them. For files whose pre-tokenizer splits at every blank and d
 
 from __future__ import annotations
 
-import heapq
-import json
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, lean, shared_dir, slices
+from tessera.llm.common import Saved, buffers, lean, shared_dir, slices
 from tessera.llm.lexicon import Lexicon, compiled
 
 #: Words of the lexicon at most, and bytes of a word at most: they bound what the driver and a file hold (some 10 MB).
@@ -41,8 +39,6 @@ _KIND[128:] = _KIND[39] = 4
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_END = "</w>"
-
 
 class Merges:
     """The tokenizer file's own rules: any word to ids by merging, ids to tokens."""
@@ -53,35 +49,14 @@ class Merges:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(x.split(" ") if isinstance(x, str) else x): i for i, x in enumerate(model["merges"])}
         self.token = [b""] * (max(self.tokenizer.get_vocab(True).values()) + 1)
         for t, i in self.tokenizer.get_vocab(True).items():
             self.token[i] = t.encode()
+        self.complete = all(self.token)
 
     def merged(self, symbols: str) -> list[int]:
         """Of a word's byte symbols the pair of least rank is merged, the leftmost first, until no pair has a rank."""
-        s = [x for x in (*symbols[:-1], symbols[-1] + _END) if x in self.vocab]
-        n = len(s)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        todo = [(self.ranks[p], i) for i, p in enumerate(zip(s, s[1:])) if p in self.ranks]
-        heapq.heapify(todo)
-        while todo:
-            rank, i = heapq.heappop(todo)
-            j = after[i]
-            if not s[i] or j >= n or self.ranks.get((s[i], s[j])) != rank:
-                continue  # one of the two has been merged since
-            s[i] += s[j]
-            s[j] = ""
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y < n and (r := self.ranks.get((s[x], s[y]))) is not None:
-                    heapq.heappush(todo, (r, x))
-        return [self.vocab[x] for x in s if x]
+        return [x.id for x in self.tokenizer.model.tokenize(symbols)]
 
     def ids(self, word: bytes) -> list[int]:
         """Of a piece as cut() makes them, or of any text without an added token."""
@@ -93,6 +68,14 @@ class Merges:
         return [y for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) for y in self.merged(x)]
 
 
+    def text(self, ids: np.ndarray) -> bytes:
+        """The tokens with a space between; ids without a token say nothing."""
+        if not self.complete or len(ids) and ids.max() >= len(self.token):
+            ids = np.array([i for i in ids.tolist() if i < len(self.token) and self.token[i]], np.int64)
+        token = self.token
+        return b" ".join([token[i] for i in ids.tolist()])
+
+
 def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Some texts' bytes into pieces whose ids do not depend on each other: (folded bytes, starts, ends)."""
     n = len(data)
@@ -162,9 +145,7 @@ class Codec:
         return ids, out[np.searchsorted(a, offs)]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The tokens with a space between; ids without a token say nothing."""
-        token = self.rules.token
-        return b" ".join([token[i] for i in ids.tolist() if i < len(token) and token[i]])
+        return self.rules.text(ids)
 
 
 _open: dict[tuple[str, str], Codec] = {}
@@ -179,14 +160,22 @@ def _codec(path: str, name: str) -> Codec:
 
 
 def frequent(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(piece, n): the pieces of words, as cut() makes them, that occur most often in all texts; ties to the lesser one. Words
-    are counted first, so pieces are only cut from distinct words."""
+    """(piece, n): the pieces of words, as cut() makes them, that occur most often in all texts, ``most`` at most. Words are
+    counted first, so pieces are only cut from distinct words. How many pieces have which count (in steps of a sixteenth of
+    a doubling) gives the count from which on pieces are taken, so no task sends more than it has of these."""
     word = F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     words = docs.select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     parted = F.col("w").rlike(r"\A[\x00-\x26\x28-\x7f]+\z") & ~F.col("w").contains("<|")
     piece = F.when(parted, F.regexp_extract_all(F.lower("w"), F.lit("[a-z]+|[0-9]|[^a-z0-9]+"), F.lit(0))).otherwise(F.array("w"))
     pieces = words.select(F.explode(piece).alias("piece"), "n").where((F.octet_length("piece") <= LONGEST) & ~F.col("piece").contains("<|"))
-    return pieces.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
+    pieces = Saved(pieces.groupBy("piece").agg(F.sum("n").alias("n")).withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    least, taken = 1 << 30, 0
+    for step, k in pieces.df.groupBy("step").count().orderBy(F.desc("step")).collect():  # some 16 x 64 rows at most
+        taken += k
+        if taken > most:
+            break
+        least = step
+    return pieces.df.where(F.col("step") >= least).select("piece", "n")
 
 
 def send_lexicon(spark: SparkSession, words: Iterable[str], path: str) -> str:
@@ -234,12 +223,9 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     @lean
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Merges(path).token
+        rules = Merges(path)
         for t in batches:
-            texts = []
-            for x in t.column(1):
-                ids = np.frombuffer(x.as_py() or b"", "<u4").tolist()
-                texts.append(b" ".join([token[i] for i in ids if i < len(token) and token[i]]).decode())
+            texts = [rules.text(np.frombuffer(x.as_py() or b"", "<u4")).decode() for x in t.column(1)]
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")

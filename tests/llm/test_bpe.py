@@ -75,17 +75,24 @@ def test_table_against_the_tokenizer(spark, small, tokenizer):
     more = spark.createDataFrame([(i, t) for i, t in enumerate([None, *ODD, ODD[2]])] + [(None, "a"), (7, "a")], "doc_id long, text string")
     rows = docs.unionByName(more).repartition(3)
     full = rows.selectExpr("*", "1 AS ids", "2 AS n_tokens", "text AS decoded")
-    got = sorted(((x.doc_id or -1, x.n_tokens, bytes(x.ids), x.decoded) for x in encode(full, PATH, most=500).collect()))
+    got = sorted(((x.doc_id or -1, x.n_tokens, bytes(x.ids), x.decoded) for x in encode(full, PATH, most=700).collect()))
     want = []
     for x in rows.collect():
         ids = tokenizer.encode(x.text or "", add_special_tokens=False).ids
         want.append((x.doc_id or -1, len(ids), np.array(ids, "<u4").tobytes(), tokenizer.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
-    back = decode(encode(rows, PATH, most=500), PATH)
+    back = decode(encode(rows, PATH, most=700), PATH)
     assert sorted((x.doc_id or -1, x.text) for x in back.collect()) == sorted((i, t) for i, _, _, t in want)
     assert encode(docs.limit(0), PATH).count() == 0
 
 
+def test_frequent_words_of_all_texts(spark):
+    docs = spark.createDataFrame([(1, "a b. a A it's"), (2, "a " * 9 + "<|x|> " + "y" * 50), (3, None)], "doc_id long, text string")
+    assert {(r.piece, r.n) for r in bpe.frequent(docs).collect()} == {("a", 12), ("b", 1), (".", 1), ("it's", 1)}
+    assert [(r.piece, r.n) for r in bpe.frequent(docs, 3).collect()] == [("a", 12)]
+    assert bpe.frequent(docs.limit(0)).count() == 0
+
+
 def test_query_digests(spark, small, tokenizer):
     from tessera.llm.queries import op13_bpe_lexicon
 

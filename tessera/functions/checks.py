@@ -38,8 +38,8 @@ def number_chunks(text: Column) -> Column:
 
 
 def number_units(text: Column) -> Column:
-    """array(k, u): numeric expressions with the unit that follows, in small letters; empty where none does, null where the
-    number is a name's part, as in CD4."""
+    """array(k, u): numeric expressions with the unit that follows, in small letters; empty where none does or a percent
+    sign is the unit, null where the number is a name's part, as in CD4."""
     unit = r"(?: ?(/?\p{L}[\p{L}\p{M}\p{N}/µ]*))?"
     full = F.regexp_extract_all(_plain(text), F.lit(rf"((?:\p{{L}}-?(?=[0-9]))?{_CHUNK}{unit})"), F.lit(1))
 
@@ -48,7 +48,7 @@ def number_units(text: Column) -> Column:
         body = F.regexp_replace(x, r"^\p{L}-?(?=[0-9])", "")
         number = F.regexp_extract(body, f"^({_CHUNK})", 1)
         u = F.lower(F.trim(F.substring(body, F.length(number) + 1, F.length(body))))
-        return F.struct(chunk_key(number).alias("k"), F.when(~name, u).alias("u"))
+        return F.struct(chunk_key(number).alias("k"), F.when(~name, F.when(number.rlike("[%％]$"), "").otherwise(u)).alias("u"))
 
     return F.transform(full, split)
 

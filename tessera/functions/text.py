@@ -164,10 +164,11 @@ def redact(text: Column, literals: list[str] = []) -> Column:  # noqa: B006
 
 def excerpt(body: Column, most: int = 160) -> Column:
     """The first block as plain text, cut with an ellipsis."""
-    first = F.split(F.trim(body), r"\r?\n\s*\r?\n")[0]
-    for p, r in ((r"(?s)```.*?```", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[#>*_`~-]", ""), (r"(?U)\s+", " ")):
-        first = F.regexp_replace(first, p, r)
-    plain = F.trim(first)
+    block = F.split(F.trim(body), r"\n[ \t\r]*\n", 2)[0]
+    target = r"\]\([^)]*\)"
+    shown = F.regexp_replace(block, rf"(?s)```.*?```|!\[[^\]]*{target}|\[([^\]]*){target}", "$1")  # a link keeps its text
+    words = F.filter(F.split(F.translate(shown, "#>*_`~-", ""), r"(?U)\s"), lambda w: w != "")
+    plain = F.array_join(words, " ")
     return F.when(F.length(plain) > most, F.concat(F.substring(plain, 1, most), F.lit("…"))).otherwise(plain)
 
 

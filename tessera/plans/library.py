@@ -100,7 +100,7 @@ def new_cards(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "c.id", "c.front", "c.sm2.reps")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_brand] ELSE [p_brand, 'b'] END AS ids, CASE WHEN p_size % 2 = 0 THEN 'https://x.org/?q={q}&s=' || p_size ELSE 'https://x.org/{q}' END AS first, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS n FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_brand] ELSE [p_brand, 'b'] END AS ids, CASE WHEN p_size % 2 = 0 THEN 'https://x.org/?q={q}&s=' || p_size ELSE 'https://x.org/{q}' END AS first, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 3 END AS n FROM part""")
 def search_links(s: SparkSession, d: str) -> DataFrame:
     """Links of which some are no good, and one put in the place of the one with its id."""
     link = lambda i, n, u: F.struct(i.alias("id"), F.lit(n).alias("name"), u.alias("url"))
@@ -110,7 +110,7 @@ def search_links(s: SparkSession, d: str) -> DataFrame:
     e = p.select("p_partkey", "p_brand", "p_size", vocab.effective_links(links).alias("l"))
     target = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("new")
     e = e.withColumn("u", vocab.upsert_link(F.col("l"), link(target, "four", own)))
-    return e.select("p_partkey", F.col("l.id").alias("ids"), F.get(F.col("u"), F.lit(0))["url"].alias("first"), (F.size("u") + F.when(F.col("p_size") % 2 == 0, 1).otherwise(0)).alias("n"))
+    return e.select("p_partkey", F.col("l.id").alias("ids"), F.get(F.col("u"), F.lit(0))["url"].alias("first"), F.size("u").alias("n"))
 
 
 _SECRET_SQL = "|".join(p.replace("'", "''") for p in SECRETS)

@@ -100,14 +100,14 @@ def language_samples(s: SparkSession, d: str) -> DataFrame:
     return scripts.sample(x, "k").select("k", F.md5("text").alias("sample"), "pages")
 
 
-@query("""SELECT c_custkey, 5 AS n, 'قال (' || c_name || ')' AS head, 'العاصمة' AS folded, 'the big ' || lower(c_mktsegment) AS candidate, 'see link for 5 percent or more greater than or equal to 3, blank of STAR*D' AS spoken FROM customer""")
+@query("""SELECT c_custkey, 6 AS n, 'قال (' || c_name || ')' AS head, 'العاصمه' AS folded, 'the big ' || lower(c_mktsegment) AS candidate, 'see link for 5 percent or more greater than or equal to 3, blank of STAR*D' AS spoken FROM customer""")
 def two_directions(s: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("قال ("), F.col("c_name"), F.lit(") ثم IL-6 و ABC"))
     runs = scripts.direction_runs(t)
     c = table(s, d, "customer")
     say = F.lit("see https://x.org/a?b for 5% or more ≥ 3†, ______ of STAR∗D")
     called = scripts.term_in_translation(F.lit("Acme"), F.concat(F.lit("So, the big "), F.lower("c_mktsegment"), F.lit(" (the ACME thing) grew")))
-    return c.select("c_custkey", (F.size(runs) - 1).alias("n"), F.concat(F.get(runs, F.lit(0))["text"], F.get(runs, F.lit(1))["text"]).alias("head"), scripts.fold_arabic(F.lit("العَاصمــة")).alias("folded"), called.alias("candidate"), scripts.speech(say).alias("spoken")).withColumn("folded", F.translate("folded", "ه", "ة"))
+    return c.select("c_custkey", F.size(runs).alias("n"), F.concat(F.get(runs, F.lit(0))["text"], F.get(runs, F.lit(1))["text"]).alias("head"), scripts.fold_arabic(F.lit("العَاصمــة")).alias("folded"), called.alias("candidate"), scripts.speech(say).alias("spoken"))
 
 
 @query("""SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 1 THEN 'stop' WHEN 2 THEN 'next' END AS command, CASE c_custkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS rank FROM customer WHERE c_custkey % 3 <> 0""")
@@ -124,7 +124,7 @@ def number_expressions(s: SparkSession, d: str) -> DataFrame:
     t = F.lit("give 3 – 5, of 1,200.5 to ≤ −2.5 % or 1.5 x 10^-6 and 10⁹ at ≈40.")
     u = F.concat(F.lit("40 mg/kg/일; 30% of 7 "), F.when(F.col("o_orderkey") % 2 == 0, "L").otherwise("µg"), F.lit(", CD4."))
     units = checks.number_units(u)
-    return table(s, d, "orders").select("o_orderkey", checks.number_chunks(t).alias("chunks"), units["u"].alias("units")).withColumn("units", F.transform("units", lambda x, i: F.when((i == 1) & (x == "of"), "").otherwise(x)))
+    return table(s, d, "orders").select("o_orderkey", checks.number_chunks(t).alias("chunks"), units["u"].alias("units"))
 
 
 @query("""WITH a AS (SELECT conv_id AS k, turn AS i, max(text) || ' 12' AS text FROM conversations GROUP BY 1, 2), r AS (SELECT *, CASE i % 5 WHEN 4 THEN 'missing' WHEN 1 THEN 'ratio' WHEN 2 THEN 'digits' END AS reason FROM a)
@@ -147,11 +147,11 @@ def checked_terms(s: SparkSession, d: str) -> DataFrame:
     return checks.terms(c, got, "k", "Hangul")
 
 
-@query("""SELECT c_custkey, 'It is so. There are 12 of them!' AS kept, 4 AS sentences, c_custkey % 2 = 0 AS none, 'w' || (CASE WHEN c_custkey % 2 = 0 THEN 496 ELSE 497 END) AS first, 19 AS words FROM customer""")
+@query("""SELECT c_custkey, 'It is so. There are 12 of them!' AS kept, 5 AS sentences, c_custkey % 2 = 0 AS none, 'w' || (CASE WHEN c_custkey % 2 = 0 THEN 496 ELSE 497 END) AS first, 19 AS words FROM customer""")
 def explained(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer")
     text = F.lit("It is so. There are 12 of them! But 13 are not. 끝났다。그러나")
     odd = F.when(F.col("c_custkey") % 2 == 0, "Only 99.").otherwise("None.")
     para = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(999)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
     cut = checks.context(F.when(F.col("c_custkey") % 2 == 0, "w505").otherwise("w506"), para, 100)
-    return c.select("c_custkey", checks.explanation(F.substring(text, 1, 47), F.lit("12 in all")).alias("kept"), (F.size(checks.simple_sentences(text)) - 1).alias("sentences"), checks.explanation(odd, F.lit("")).isNull().alias("none"), F.substring_index(cut, " ", 1).alias("first"), F.size(F.split(cut, " ")).alias("words"))
+    return c.select("c_custkey", checks.explanation(F.substring(text, 1, 47), F.lit("12 in all")).alias("kept"), F.size(checks.simple_sentences(text)).alias("sentences"), checks.explanation(odd, F.lit("")).isNull().alias("none"), F.substring_index(cut, " ", 1).alias("first"), F.size(F.split(cut, " ")).alias("words"))

@@ -274,11 +274,11 @@ def pricing_summary(s: SparkSession, d: str) -> DataFrame:
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, (SELECT max(o.event_id) FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'signup' AND o.event_id <= e.event_id) AS last_signup FROM events e WHERE event_type = 'purchase'""")
+@query("""SELECT event_id, last_signup FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_signup FROM events) WHERE event_type = 'purchase'""")
 def as_of_join(s: SparkSession, d: str) -> DataFrame:
     """The last sign-up at or before each purchase: one sorted pass over each user's union of both sides."""
-    e = table(s, d, "events").where(F.col("event_type").isin("purchase", "signup")).select("user_id", "event_id", "event_type")
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = table(s, d, "events").where(F.col("event_type").isin("purchase", "signup")).select("user_id", "ts", "event_id", "event_type")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return e.withColumn("last_signup", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), True).over(w)).where("event_type = 'purchase'").select("event_id", "last_signup")
 
 

@@ -17,8 +17,8 @@ def phrase_hits(s: SparkSession, d: str) -> DataFrame:
     return search.counted(table(s, d, "documents"), "the").select("doc_id", F.col("n").cast("long").alias("n"))
 
 
-@query(f"""WITH f AS (SELECT doc_id, {FOLD_SQL} AS f FROM documents) SELECT doc_id, strpos(f, 'license') - 1 AS first, len(regexp_extract_all(f, 'license')) AS n, false AS truncated FROM f
-WHERE len(regexp_extract_all(f, '(^|[^\\p{{L}}\\p{{N}}])license')) = len(regexp_extract_all(f, 'license')) AND contains(f, 'license')""")
+@query(f"""WITH f AS (SELECT doc_id, {FOLD_SQL} AS f FROM documents) SELECT doc_id, hits[1] AS first, len(hits) AS n, len(hits) > 1000 AS truncated FROM (SELECT doc_id,
+list_filter(generate_series(0, length(f) - 7), lambda i: f[i + 1:i + 7] = 'license' AND (i = 0 OR NOT regexp_matches(f[i:i], '[\\p{{L}}\\p{{N}}]'))) AS hits FROM f WHERE contains(f, 'license')) WHERE len(hits) > 0""")
 def hit_groups(s: SparkSession, d: str) -> DataFrame:
     g = search.groups(search.hits(table(s, d, "documents"), "license"))
     return g.select("doc_id", F.col("first").cast("long").alias("first"), F.col("n").cast("long").alias("n"), "truncated")

@@ -73,9 +73,8 @@ def redact_secrets(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.md5(T.redact(t)).alias("redacted"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, string_split(trim(text, E' \t\n\r'), E'\n')[1] AS b FROM (SELECT doc_id, replace(regexp_replace(text, '\r?\n\s*\r?\n', chr(1), 'g'), E'\n', ' ') AS t0, text FROM documents)),
-g AS (SELECT doc_id, string_split(replace(regexp_replace(trim(text, ' '), '\r?\n\s*\r?\n', chr(1), 'g'), E'\n', ' '), chr(1))[1] AS b FROM documents),
-p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '(?s)```.*?```', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#>*_`~-]', '', 'g'), '\s+', ' ', 'g')) AS x FROM g)
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(trim(text, ' '), '(?s)\n[ \t\r]*\n.*$', '') AS b FROM documents),
+p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(b, '(?s)```.*?```|!\[[^\]]*\]\([^)]*\)|\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[#>*_`~-]', '', 'g'), '\s+', ' ', 'g')) AS x FROM b)
 SELECT doc_id, CASE WHEN length(x) > 160 THEN substr(x, 1, 160) || '…' ELSE x END AS excerpt FROM p""")
 def excerpts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))

@@ -60,3 +60,4 @@ from tessera.plans import pages as _pages  # noqa: E402,F401
 from tessera.plans import models as _models  # noqa: E402,F401
 from tessera.plans import more as _more  # noqa: E402,F401
 from tessera.plans import shapes as _shapes  # noqa: E402,F401
+from tessera.plans import streams as _streams  # noqa: E402,F401

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Where that is unset, a new local one, on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, True)
+        at = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def filesystem(spark: SparkSession, folder: str):
+    """(file system, path maker) of a folder, for what DataFrames do not do: listing, renaming, deleting."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder in work_dir() that goes when the program ends."""
+    at = f"{work_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            fs, path = filesystem(spark, at)
+            fs.delete(path(at), True)
+        except Exception:  # the session has gone
+            pass
+
+    atexit.register(remove)
+    return at

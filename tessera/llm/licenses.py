@@ -18,33 +18,78 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lean, slices
 
-#: License texts and notices (fixed values): name, text, words that must be aligned.
-TEMPLATES = (
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ""),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ""),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ""),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ""),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ""),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "2"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ""),
-    ("MIT", "Released under the MIT License.", "mit license"),
-    ("MIT", "Licensed under the MIT License.", "mit license"),
-    ("BSD", "Released under the BSD License.", "bsd license"),
-    ("BSD", "Licensed under the BSD License.", "bsd license"),
-    ("ISC", "Released under the ISC License.", "isc license"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache license 2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license 3"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public license 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public license 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero general public license 3"),
-    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0.", "mozilla public license 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by-sa 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by-nc 4.0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by-nd 4.0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by-nc-sa 4.0"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0.", "cc0 1.0"),
+#: License texts and notices (fixed values): name, text, words that must be aligned, words that may not stand in the passage.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ADVERT = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_GNU = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+_VERBATIM = "GNU {kind} PUBLIC LICENSE Version {version}, {date} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_WHOLE = (
+    ("MIT", _MIT + ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "above", ""),
+    ("MIT-0", _MIT + ".", "", "above"),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.", "provided", ""),
+    ("0BSD", _ISC + ".", "", "provided"),
+    ("BSD-2-Clause", _BSD, "", "neither endorse"),
+    ("BSD-3-Clause", f"{_BSD} {_NAMES}", "neither endorse", "advertising"),
+    ("BSD-4-Clause", f"{_BSD} {_ADVERT} {_NAMES}", "advertising endorse", ""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "", ""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "apache 2.0", ""),
+    ("GPL-3.0", _GNU.format(what="program", kind="General", version="3"), "general 3", "affero lesser library"),
+    ("GPL-2.0", _GNU.format(what="program", kind="General", version="2"), "general 2", "affero lesser library"),
+    ("LGPL-3.0", _GNU.format(what="library", kind="Lesser General", version="3"), "lesser 3", "affero"),
+    ("LGPL-2.1", _GNU.format(what="library", kind="Lesser General", version="2.1"), "lesser 2.1", "affero"),
+    ("AGPL-3.0", _GNU.format(what="program", kind="Affero General", version="3"), "affero 3", "lesser"),
+    ("GPL-3.0", _VERBATIM.format(kind="GENERAL", version="3", date="29 June 2007"), "general 3", "affero lesser"),
+    ("GPL-2.0", _VERBATIM.format(kind="GENERAL", version="2", date="June 1991"), "general 2", "affero lesser"),
+    ("LGPL-3.0", _VERBATIM.format(kind="LESSER GENERAL", version="3", date="29 June 2007"), "lesser 3", "affero"),
+    ("LGPL-2.1", _VERBATIM.format(kind="LESSER GENERAL", version="2.1", date="February 1999"), "lesser 2.1", "affero"),
+    ("AGPL-3.0", _VERBATIM.format(kind="AFFERO GENERAL", version="3", date="19 November 2007"), "affero 3", "lesser"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "", ""),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "eclipse 2.0", ""),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", "eclipse v1.0", ""),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence.", "eupl 1.2", ""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unencumbered", ""),
 )
+_PHRASES = (
+    ("MIT", "Released under the MIT License.", "mit license", ""),
+    ("MIT", "Licensed under the MIT License.", "mit license", ""),
+    ("BSD", "Released under the BSD License.", "bsd license", ""),
+    ("BSD", "Licensed under the BSD License.", "bsd license", ""),
+    ("ISC", "Released under the ISC License.", "isc license", ""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache license 2.0", ""),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license 3", "affero lesser"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public license 2", "affero lesser"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public license 3", "affero"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero general public license 3", "lesser"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0.", "mozilla public license 2.0", ""),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4.0", ""),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by-sa 4.0", ""),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by-nc 4.0", ""),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by-nd 4.0", ""),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by-nc-sa 4.0", ""),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0.", "cc0 1.0", ""),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1.", "gnu lesser general public license 2.1", "affero"),
+    ("Unlicense", "Released under the Unlicense.", "unlicense", ""),
+)
+#: The long names of the Creative Commons licenses (fixed values).
+_COMMONS = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+
+
+def _catalog() -> tuple[tuple[str, str, str, str], ...]:
+    """Texts and phrases, the long names, and an identifier line for each license that has a version-exact name."""
+    long = tuple((f"CC-{x}-4.0", f"This work is licensed under a Creative Commons {y} 4.0 International License.", f"creative commons {y.lower()} 4.0", "") for x, y in _COMMONS)
+    base = _WHOLE + _PHRASES + long
+    names = dict.fromkeys(x[0] for x in base if x[0] != "BSD")
+    lines = []
+    for name in names:
+        for end in ("", "-only", "-or-later") if "GPL" in name else ("",):
+            lines.append((name, f"SPDX-License-Identifier: {name}{end}", f"spdx-license-identifier {name.lower()}{end}", ""))
+    return base + tuple(lines)
+
+
+TEMPLATES = _catalog()
 #: Words too common to point at a template (fixed values).
 COMMON = frozenset("a above all and any appear are as at be by can code copies copy do either file files following for form forms free general granted if in included including is it later list may met must not notice obtain of on one option or other permitted person persons program provided public released rights shall so software source subject terms that the this to under use version with without work you your".split())
 LEAST = 0.8
@@ -102,9 +147,9 @@ class Scanner:
         import ahocorasick
 
         self.least = least
-        self.templates = [(name, words(text), frozenset(key.split())) for name, text, key in templates]
-        self.telling = [frozenset(t) - COMMON - {"license", "licensed"} or frozenset(t) - COMMON for _, t, _ in self.templates]
-        for (name, t, _), w in zip(self.templates, self.telling, strict=True):
+        self.templates = [(name, words(text), frozenset(key.split()), frozenset(no.split())) for name, text, key, no in templates]
+        self.telling = [frozenset(t) - COMMON - {"license", "licensed"} or frozenset(t) - COMMON for _, t, _, _ in self.templates]
+        for (name, t, _, _), w in zip(self.templates, self.telling, strict=True):
             if not w:
                 raise ValueError(f"no telling word in {name}")
         self.of: dict[str, list[int]] = {}
@@ -150,7 +195,7 @@ class Scanner:
         """(license, coverage, first word, word after the last, aligned words) of the passages of one template, each once. at:
         where its telling words stand. A place inside a passage that is covered whole is not looked at again, and no window
         without enough different telling words is aligned."""
-        name, t, key = self.templates[k]
+        name, t, key, no = self.templates[k]
         reach = len(t) + len(t) // 2 + 2
         need = max(1, int(len(self.telling[k]) - (1 - self.least) * len(t)))
         seen: set[tuple] = set()
@@ -172,6 +217,8 @@ class Scanner:
                     pairs = align(own[lo:hi], t)
                     if len(pairs) >= self.least * len(t) and key <= {t[y] for _, y in pairs} and pairs[-1][0] - pairs[0][0] < reach:
                         a, b = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                        if not no.isdisjoint(own[a:b]):
+                            continue
                         if len(pairs) == len(t):
                             done = max(done, b)
                         if (a, b, "p") not in seen:

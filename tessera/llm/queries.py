@@ -49,7 +49,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.topk import neighbours
 
-    return neighbours(read(spark, sf_dir, "embeddings"), every=50, k=5)
+    return neighbours(read(spark, sf_dir, "embeddings"), every=50, k=5).drop("digits")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,10 +37,10 @@ def quantized(vectors: DataFrame) -> DataFrame:
 SCALE = 256
 
 
-def _matrix(t: pa.Table, width: int) -> np.ndarray:
+def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of floor(SCALE x), exact: whole doubles, or numbers of any size where SCALE x is beyond doubles. Shorter vectors
     end in zeros."""
-    col = t.column("v").combine_chunks()
+    col = col.combine_chunks()
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks)
     n = np.diff(col.offsets.to_numpy())
@@ -118,15 +118,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     else:
         shard = F.pmod(F.expr(f"vec_id div {BLOCK}"), F.lit(shards)).cast("int")
     rows = vectors.select("vec_id", "v", shard.cast("int").alias("shard")).withColumn("squad", F.explode(F.sequence(F.lit(0), F.lit(squads - 1))))
-    asks = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(squads)).cast("int").alias("squad")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # under names of their own: where both sides are made of one table, a cogroup takes equal columns for one
+    asks = queries.select(F.col("vec_id").alias("asked_id"), F.col("v").alias("asked"), F.pmod(F.xxhash64("vec_id"), F.lit(squads)).cast("int").alias("squad")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _FOUND.empty_table()
-        width = 0
-        for t in (left, right):
-            width = max([width, *(len(x) for x in t.column("v") if x.is_valid)])
-        asked, found, scores = _search(left.column("vec_id").to_numpy(), _matrix(left, width), right.column("vec_id").to_numpy(), _matrix(right, width), k)
+        width = max(len(x) for c in (left.column("v"), right.column("asked")) for x in c)
+        asked, found, scores = _search(left.column("vec_id").to_numpy(), _matrix(left.column("v"), width), right.column("asked_id").to_numpy(), _matrix(right.column("asked"), width), k)
         fits = [x if -(2**63) <= x < 2**63 else None for x in scores]
         return pa.Table.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.int64()), pa.array(fits, pa.int64()), pa.array(list(map(str, scores)), pa.string()), pa.array(list(map(sort_key, scores)), pa.string())], schema=_FOUND)
 

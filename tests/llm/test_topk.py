@@ -71,3 +71,10 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [0.5]), (1, [-0.5]), (7, [0.25])], "vec_id long, embedding array<float>")
     assert [(x.vec_id, x.score) for x in neighbours(df).orderBy("rank").collect()] == [(7, 128 * 64), (1, -128 * 128)]
     assert neighbours(df.limit(0)).count() == 0
+
+
+def test_given_table(spark, small):
+    from tessera.llm.common import read
+
+    df = read(spark, small, "embeddings")
+    assert exact(neighbours(df)) == brute([(r.vec_id, r.embedding) for r in df.collect()])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import read
+from tessera.llm.hosts import ADDRESSES, TAIL
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +107,19 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def _level(keys: str, above: str, join: str, m: str, n: int) -> str:
-    """SQL of one level of the host reputation: counts shrunk to the level above."""
-    return f"""g{n} AS (SELECT {keys}, sum(c.n) AS n, sum(c.bad) AS bad, max({m}) AS p FROM c JOIN {above} ON {join} GROUP BY {keys}),
-k{n} AS (SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN s > e THEN d / (s - e) - 1 END, 1000.0))) AS k FROM (SELECT sum(n * (bad / n - p) ** 2) AS s, sum(p * (1 - p)) AS e, sum(p * (1 - p) * (n - 1)) AS d FROM g{n} WHERE n > 0)),
-l{n} AS (SELECT g{n}.*, (bad + p * k) / (n + k) AS m{n}, sqrt((bad + p * k) / (n + k) * (1 - (bad + p * k) / (n + k)) / (n + k + 1)) AS sd FROM g{n}, k{n})"""
+def _up(members: str, above: str, name: str) -> str:
+    """SQL of one level of the host reputation, going up: the strength that siblings share, and the level above."""
+    on, group = (f"USING ({above})", f"GROUP BY {above}") if above else ("ON true", "")
+    cols = f"{above}, " if above else ""
+    return f"""p{name} AS (SELECT {cols}sum(n) AS total, sum(bad) AS total_bad FROM {members} {group}),
+j{name} AS (SELECT n, bad, total, total_bad / total AS p, 1 - n / total AS rest FROM {members} JOIN p{name} {on} WHERE n > 0),
+k{name} AS (SELECT greatest(0.5, least(1000.0, CAST(count(*) FILTER (rest > 0) AS DOUBLE), coalesce(CASE WHEN sum(n * (bad / n - p) ** 2) > sum(p * (1 - p) * rest) THEN sum(p * (1 - p) * rest * greatest(n - 1, 0.0)) / (sum(n * (bad / n - p) ** 2) - sum(p * (1 - p) * rest)) - 1 END, 1000.0))) AS k FROM j{name}),
+u{name} AS (SELECT {cols}sum(n * (k + 1) / (n + k)) AS n, sum(CASE WHEN n > 0 THEN n * (k + 1) / (n + k) * bad / n ELSE 0.0 END) AS bad FROM {members}, k{name} {group})"""
+
+
+def _down(members: str, keys: str, above: str, on: str, k: str, name: str) -> str:
+    """SQL of one level, going down: each member's mean and variance, with the doubt about the level above."""
+    return f"""{name} AS (SELECT *, m * (1 - m) / (n + k + 1) + (k / (n + k)) ** 2 * above_v AS v, n + above_seen AS seen FROM (SELECT {keys}, g.n, g.bad, {k}.k, (g.bad + a.m * {k}.k) / (g.n + {k}.k) AS m, a.v AS above_v, a.seen AS above_seen FROM {members} g JOIN {above} a ON {on}, {k}))"""
 
 
 SQL = {
@@ -130,13 +139,16 @@ r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
   WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h),
 v AS (SELECT *, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' ELSE 'block' END AS ruled FROM r),
-b AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS bad FROM v GROUP BY 1, 2),
-c AS (SELECT host, n, bad, regexp_extract(name, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(name, '[^.]*$') AS suffix FROM b),
-l0 AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m0 FROM c),
-{_level("c.suffix", "l0", "true", "m0", 1)},
-{_level("c.suffix, c.domain", "l1", "l1.suffix = c.suffix", "m1", 2)},
-{_level("c.suffix, c.domain, c.host", "l2", "l2.suffix = c.suffix AND l2.domain = c.domain", "m2", 3)}
-SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN m3 - 1.64 * sd > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN l3 ON l3.host = v.host""",
+b AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS name, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(*) FILTER (ruled = 'block') AS DOUBLE) AS bad FROM v GROUP BY 1, 2),
+c AS (SELECT host, n, bad, CASE WHEN address THEN '#' ELSE regexp_extract(name, '(?:^|\\.)({TAIL})$', 1) END AS suffix, CASE WHEN address THEN name ELSE regexp_extract(name, '((?:[^.]*\\.)?(?:{TAIL}))$', 1) END AS domain FROM (SELECT *, regexp_matches(name, '{ADDRESSES}') AS address FROM b)),
+{_up("c", "suffix, domain", "3")},
+{_up("u3", "suffix", "2")},
+{_up("u2", "", "1")},
+r0 AS (SELECT m, m * (1 - m) / (n + 3) AS v, 0.0 AS seen FROM (SELECT n, (bad + 1) / (n + 2) AS m FROM u1)),
+{_down("u2", "g.suffix", "r0", "true", "k1", "l1")},
+{_down("u3", "g.suffix, g.domain", "l1", "a.suffix = g.suffix", "k2", "l2")},
+{_down("c", "g.suffix, g.domain, g.host", "l2", "a.suffix = g.suffix AND a.domain = g.domain", "k3", "l3")}
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN l3.m - 1.64 * sqrt(l3.v) > 0.5 AND l3.seen >= 3 THEN 'block' ELSE 'allow' END) AS verdict FROM v JOIN l3 ON l3.host = v.host""",
     "op12_filter_audit": r"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),

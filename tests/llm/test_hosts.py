@@ -2,7 +2,7 @@ import math
 import re
 from collections import defaultdict
 
-from tessera.llm.hosts import LEAST, LIMIT, MOST, RULES, Z, judge
+from tessera.llm.hosts import ENOUGH, LEAST, LIMIT, MOST, RULES, SECOND, Z, judge, reputation
 
 
 def parts(url):
@@ -12,6 +12,16 @@ def parts(url):
     return re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
 
 
+def sites(host):
+    """(suffix, registered domain)."""
+    b = re.sub(r":\d*$", "", re.sub(r"^.*@", "", host)).rstrip(".")
+    if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", b) or b.startswith("["):
+        return "#", b
+    labels = b.split(".")
+    n = 2 if len(labels) > 1 and labels[-2] in SECOND and re.fullmatch("[a-z]{2}", labels[-1]) else 1
+    return ".".join(labels[-n:]), ".".join(labels[-n - 1 :])
+
+
 def brute(urls):
     rows = []
     for u in urls:
@@ -23,31 +33,41 @@ def brute(urls):
     for h, _, r in rows:
         count[h][0] += r is not None
         count[h][1] += r is not None and r.verdict == "block"
-    up = {}
-    for h in count:
-        b = re.sub(r":\d*$", "", re.sub(r"^.*@", "", h))
-        up[h] = ((b.rpartition(".")[2],), (b.rpartition(".")[2], ".".join(b.split(".")[-2:])), (b.rpartition(".")[2], ".".join(b.split(".")[-2:]), h))
-    n, bad = (sum(c[i] for c in count.values()) for i in (0, 1))
-    mean, sd = {(): (bad + 1) / (n + 2)}, {}
-    for level in range(3):
-        g = defaultdict(lambda: [0.0, 0.0])
-        for h, c in count.items():
-            for i in (0, 1):
-                g[up[h][level]][i] += c[i]
-        s = c_ = d = 0.0
-        for k, (x, y) in g.items():
-            p = mean[k[:-1]]
-            if x > 0:
-                s, c_, d = s + x * (y / x - p) ** 2, c_ + p * (1 - p), d + p * (1 - p) * (x - 1)
-        k0 = max(LEAST, min(MOST, d / (s - c_) - 1 if s > c_ else MOST))
-        for k, (x, y) in g.items():
-            m = (y + mean[k[:-1]] * k0) / (x + k0)
-            mean[k], sd[k] = m, math.sqrt(m * (1 - m) / (x + k0 + 1))
-    bound = {h: mean[up[h][2]] - Z * sd[up[h][2]] for h in count}
-    return [(h, p, r.name if r else None, r.verdict if r else ("block" if bound[h] > LIMIT else "allow"), bound[h]) for h, p, r in rows]
-
-
-URLS = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7x?q=1#f", "http://example.com/en/6", "http://a.com/en/", "x://b.net/de/1", "x://example.net/de/8/9", "x://sub.example.net/de/81", "x://org/es/", "x://k.org:80/es/1", "x://u@k.org/es/", "http://h.com?x=/en/", "http://h.com#/en/", "a://b://c.com/en/1", "http://notexample.com/en/7", "http://h.com/EN/", "http://é.com/en/1"]
+    up = {h: (sites(h)[:1], sites(h), (*sites(h), h)) for h in count}
+    levels = [{up[h][2]: c for h, c in count.items()}]
+    strength = []
+    for depth in (2, 1, 0):
+        pool = defaultdict(lambda: [0.0, 0.0])
+        for k, (n, bad) in levels[0].items():
+            pool[k[:depth]][0] += n
+            pool[k[:depth]][1] += bad
+        s = e = d = siblings = 0
+        for k, (n, bad) in levels[0].items():
+            total, total_bad = pool[k[:depth]]
+            if n > 0:
+                p, rest = total_bad / total, 1 - n / total
+                s, e, d, siblings = s + n * (bad / n - p) ** 2, e + p * (1 - p) * rest, d + p * (1 - p) * rest * max(n - 1, 0), siblings + (rest > 0)
+        k0 = max(LEAST, min(MOST, siblings, d / (s - e) - 1 if s > e else MOST))
+        strength.insert(0, k0)
+        above = defaultdict(lambda: [0.0, 0.0])
+        for k, (n, bad) in levels[0].items():
+            w = n * (k0 + 1) / (n + k0)
+            above[k[:depth]][0] += w
+            above[k[:depth]][1] += w * bad / n if n else 0
+        levels.insert(0, above)
+    n, bad = levels[0][()]
+    m = (bad + 1) / (n + 2)
+    mean, var, seen = {(): m}, {(): m * (1 - m) / (n + 3)}, {(): 0}
+    for k0, g in zip(strength, levels[1:]):
+        for k, (n, bad) in g.items():
+            m = mean[k] = (bad + mean[k[:-1]] * k0) / (n + k0)
+            var[k] = m * (1 - m) / (n + k0 + 1) + (k0 / (n + k0)) ** 2 * var[k[:-1]]
+            seen[k] = n + seen[k[:-1]]
+    bound = {h: mean[up[h][2]] - Z * math.sqrt(var[up[h][2]]) for h in count}
+    return [(h, p, r.name if r else None, r.verdict if r else ("block" if bound[h] > LIMIT and seen[up[h][2]] >= ENOUGH else "allow"), bound[h]) for h, p, r in rows]
+
+
+URLS = [None, "", "no scheme", "http://", "https://A.Example.COM/en/7x?q=1#f", "http://example.com/en/6", "http://a.com/en/", "x://b.net/de/1", "x://example.net/de/8/9", "x://sub.example.net/de/81", "x://org/es/", "x://k.org:80/es/1", "x://u@k.org/es/", "http://h.com?x=/en/", "http://h.com#/en/", "a://b://c.com/en/1", "http://notexample.com/en/7", "http://h.com/EN/", "http://é.com/en/1", "http://a.b.co.uk/x", "http://co.uk/", "http://10.0.0.1:80/en/", "http://[::1]:8/x", "http://h.com./en/1", "http://x.ne.jp", "http://google.co/"]
 
 
 def test_against_brute_force(spark):
@@ -64,6 +84,26 @@ def test_against_brute_force(spark):
     assert judge(df.limit(0)).count() == 0
 
 
+def outcomes(spark, *counts):
+    rows = [(h, 1 if i < bad else 0) for h, n, bad in counts for i in range(n)] + [(h, None) for h, n, _ in counts if not n]
+    return {r.host: r for r in reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+
+
+def test_hosts_without_outcomes_under_few_are_not_blocked(spark):
+    got = outcomes(spark, ("a.co.uk", 30, 30), ("c.com", 30, 0), ("b.co.uk", 0, 0), ("w.a.co.uk", 0, 0), ("10.0.0.1", 50, 50), ("10.0.0.2", 0, 0), ("d.com.", 0, 0))
+    assert {h for h, r in got.items() if r.blocked} == {"a.co.uk", "10.0.0.1"}
+    assert got["c.com"].mean < 0.1
+    alone = outcomes(spark, ("x.spam.net", 3, 3), ("y.spam.net", 0, 0))
+    assert not alone["y.spam.net"].blocked
+
+
+def test_many_bad_siblings_block_a_new_one(spark):
+    bad = [(f"h{i}.spam.net", 20, 20) for i in range(40)]
+    good = [(f"s{i}.org", 20, 0) for i in range(40)]
+    got = outcomes(spark, *bad, *good, ("new.spam.net", 0, 0), ("new.org", 0, 0), ("one.other.net", 2, 1))
+    assert got["new.spam.net"].blocked and not got["new.org"].blocked and not got["one.other.net"].blocked
+
+
 def test_repeated_pages_and_null_ids(spark):
     from tessera.llm.hosts import judge
 

@@ -143,35 +143,42 @@ def line_ranges(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     return j.select(key, "at", "seq", (F.greatest(a, "base") - F.col("base")).alias("lo"), (F.least(b, F.col("base") + F.col("_n")) - F.col("base")).alias("hi"))
 
 
-#: Words of a passage that it is looked up by; passages of one or two words that every task may hold.
-INNER, FEW = 8, 10_000
+#: Passages that every task is sent (by their number); short ones in as many rounds as they take.
+FEW = 10_000
 
 
 def containing(docs: DataFrame, passages: DataFrame, key: str, item: str) -> DataFrame:
     """key, item: texts (key, text) that contain a passage (item, passage) as it stands.
 
-    A passage's words but the first and the last stand whole in any text that holds it, so texts are joined by hashes of
-    those (INNER of them at most), a join for each number of words that occurs, and then verified. A passage of one or two
-    words has none: those, FEW at most, are sought by every task.
+    A passage's words but the first and the last stand whole in any text that holds it, so each passage is looked up by one
+    of those: the two neighbours that are longest together, or the only one. Texts meet passages by the hashes of their
+    words and pairs of words, in one pass, and hold them where they meet. Up to FEW passages every task has them all and
+    texts do not move; beyond, words are shuffled alone and only texts that meet a passage follow. Passages of one or two
+    words have no inner word: they are sought in every text, FEW at a time.
     """
-    p = passages.withColumn("_w", F.split("passage", r"\s+"))
-    inner = F.least(F.lit(INNER), F.size("_w") - 2)
-    p = p.select(item, "passage", inner.alias("_n"), F.when(inner >= 1, F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.greatest(inner, F.lit(1))), " "))).alias("_k"))
-    lengths = sorted(r[0] for r in p.select("_n").distinct().collect())  # INNER + 2 numbers at most
-    words = docs.select(key, F.split("text", r"\s+").alias("_w"))
-    found = None
-    for n in (x for x in lengths if x >= 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, n), " ")))  # noqa: B023
-        k = words.where(F.size("_w") >= n).select(key, F.explode(F.array_distinct(grams)).alias("_k"))
-        near = k.join(p.where(F.col("_n") == n), "_k").select(key, item, "passage").distinct()
-        hit = near.join(docs, key).where("contains(text, passage)").select(key, item)
-        found = hit if found is None else found.unionByName(hit)
-    if any(x < 1 for x in lengths):
-        short = p.where("_n < 1").select(item, "passage")
-        if short.limit(FEW + 1).count() > FEW:
-            raise ValueError(f"more than {FEW} passages of one or two words")
-        hit = docs.join(F.broadcast(short), F.expr("contains(text, passage)")).select(key, item)  # FEW rows at most
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        return docs.limit(0).select(key, F.lit(None).cast(dict(passages.dtypes)[item]).alias(item))
+    w = F.split("passage", r"\s+")
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat(F.get("_w", i), F.lit(" "), F.get("_w", i + 1)))
+    longest = lambda a: F.aggregate(a, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
+    p = passages.select(item, "passage", F.when(F.size(w) > 2, inner).alias("_w"))
+    p = p.withColumn("_k", F.when(F.size("_w") == 1, F.get("_w", F.lit(0))).when(F.size("_w") > 1, longest(pairs)))
+    known = p.where("_k IS NOT NULL").select(item, "passage", F.xxhash64("_k").alias("_k"))
+    short = p.where("_k IS NULL").select(item, "passage")
+    n_known, n_short = p.agg(F.count("_k"), F.count("*") - F.count("_k")).first()
+    found = docs.limit(0).select(key, F.lit(None).cast(dict(passages.dtypes)[item]).alias(item))
+    if n_known:
+        words = F.split("text", r"\s+")
+        both = F.concat(F.col("_t"), F.when(F.size("_t") > 1, F.zip_with(F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>")))
+        grams = F.explode(F.array_distinct(F.transform(both, lambda x: F.xxhash64(x)))).alias("_k")
+        if n_known <= FEW:
+            near = docs.select(key, "text", words.alias("_t")).select(key, "text", grams).join(F.broadcast(known), "_k")
+        else:
+            near = docs.select(key, words.alias("_t")).select(key, grams).join(known, "_k").select(key, item, "passage").distinct().join(docs.select(key, "text"), key)
+        found = found.unionByName(near.where("contains(text, passage)").select(key, item))
+    if n_short:
+        rounds = -(-2 * n_short // FEW) if n_short > FEW else 1
+        dealt = short.distinct().withColumn("_r", F.pmod(F.xxhash64(item, "passage"), F.lit(rounds)))
+        for r in range(rounds):
+            own = F.broadcast(dealt.where(F.col("_r") == r).drop("_r"))  # some FEW / 2 rows, or FEW in one round
+            found = found.unionByName(docs.join(own, F.expr("contains(text, passage)")).select(key, item))
     return found.distinct()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a stated query set that every task may hold.
-ASKED = 10_000
+#: Rows of either side that a task of nearest() holds.
+BLOCK = 4096
 
 
 def t_cdf(t: float, df: float) -> float:
@@ -83,27 +82,30 @@ def normality(df: DataFrame, value: str) -> DataFrame:
 
 def nearest(train: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """id, label: by the majority of the k nearest rows of train (id, x array, label) for a stated set of rows (id, x); ties go
-    to the nearer. The set, ASKED rows at most, is held by every task; each sends its k best on."""
-    q = asked.select("id", "x").limit(ASKED + 1).toPandas()
-    if len(q) > ASKED:
-        raise ValueError(f"more than {ASKED} rows are asked about")
-    ids, points = q["id"].to_numpy(), np.array(q["x"].tolist(), float)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"q": [], "d": [], "id": [], "label": []})
-        for b in batches:
-            if not len(b) or not len(points):
-                continue
-            x = np.array(b["x"].tolist(), float)
-            d = np.sqrt(np.maximum(((points[:, None] - x[None]) ** 2).sum(2), 0)) if len(points) * len(x) < 1 << 22 else np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in points])
-            d[ids[:, None] == b["id"].to_numpy()[None]] = np.inf  # a row is no neighbour of its own
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            own = pd.DataFrame({"q": np.repeat(ids, at.shape[1]), "d": np.take_along_axis(d, at, 1).ravel(), "id": b["id"].to_numpy()[at].ravel(), "label": b["label"].to_numpy()[at].ravel()})
-            best = pd.concat([best, own]).sort_values(["q", "d", "id"]).groupby("q").head(k)
-        yield best[np.isfinite(best["d"].astype(float))]
-
+    to the nearer, then to the smaller id. Both sides are dealt into blocks of BLOCK rows by their ids; a task holds one
+    block of each and sends its k best on, so any number of rows can be asked about."""
+    shards, squads = (max(1, -(-x.count() // BLOCK)) for x in (train, asked))
     t = dict(train.dtypes)
-    found = train.select("id", "x", "label").mapInPandas(run, f"q {t['id']}, d double, id {t['id']}, label {t['label']}")
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    rows = train.select(F.col("id").alias("tid"), F.col("x").alias("tx"), F.col("label").alias("tl"), spread("id", shards).alias("ts")).withColumn("tq", F.explode(F.sequence(F.lit(0), F.lit(squads - 1))))
+    points = asked.select("id", "x", spread("id", squads).alias("squad")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["q", "d", "id", "label"])
+        left = left.sort_values("tid")
+        x, p = np.array(left["tx"].tolist(), float), np.array(right["x"].tolist(), float)
+        ids = left["tid"].to_numpy()
+        best = []
+        for q, own in zip(right["id"], p):
+            d = np.sqrt(((x - own) ** 2).sum(1))
+            d[ids == q] = np.inf  # a row is no neighbour of its own
+            at = np.argsort(d, kind="stable")[:k]
+            best += [(q, d[i], i) for i in at if np.isfinite(d[i])]
+        at = [i for _, _, i in best]
+        return pd.DataFrame({"q": [q for q, _, _ in best], "d": [d for _, d, _ in best], "id": ids[at], "label": [left["tl"].iloc[i] for i in at]})
+
+    found = rows.groupBy("ts", "tq").cogroup(points.groupBy("shard", "squad")).applyInPandas(run, f"q {t['id']}, d double, id {t['id']}, label {t['label']}")
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
     votes = top.groupBy(F.col("q").alias("id"), "label").agg(F.count("*").alias("n"), F.min("r").alias("r"))
     return votes.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "r")).alias("label"))

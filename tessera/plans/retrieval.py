@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normal_answer, parse_number
-from tessera.operators import merge, ranges, search
+from tessera.operators import merge, passages, ranges, search
 from tessera.plans.catalog import FOLD_SQL, query
 from tessera.session import table
 
@@ -119,3 +119,24 @@ def chapter_at(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("at"), "l_linenumber")
     p = x.where("l_linenumber = 2").select("k", F.col("at").alias("page")).distinct()
     return ranges.chapter_of(p, x.where("l_linenumber = 1").select("k", "at"), "k", "page", "at")
+
+
+@query("""WITH l AS (SELECT source AS k, doc_id AS page, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS t FROM documents),
+p AS (SELECT k, page, page || ':' || pos AS para, pos, length(t) AS chars, (page * 7 + pos) % 3 AS sent, pos % 4 = 0 AS summarised, page % 5 <> 0 AND length(t) > 0 AS candidate FROM l),
+load AS (SELECT k, page, sum(sent) AS load FROM p GROUP BY 1, 2),
+c AS (SELECT *, sent * 2 + CASE WHEN summarised THEN 0 ELSE 1 END AS g FROM p WHERE candidate),
+n AS (SELECT k, g, page, row_number() OVER (PARTITION BY k, g ORDER BY page) - 1 AS i FROM (SELECT DISTINCT k, g, page FROM c)),
+o AS (SELECT c.k, c.para, c.page, c.chars, row_number() OVER (PARTITION BY c.k ORDER BY c.g, c.round, load, list_sum(list_transform(generate_series(0, 29), lambda b: CASE WHEN (i >> b) & 1 = 1 THEN pow(0.5, b + 1) ELSE 0 END)), i) AS pl
+  FROM (SELECT *, row_number() OVER (PARTITION BY k, g, page ORDER BY pos) AS round FROM c) c JOIN n ON n.k = c.k AND n.g = c.g AND n.page = c.page JOIN load ON load.k = c.k AND load.page = c.page),
+f AS (SELECT k, list_reduce(list_prepend({'used': CAST(0 AS BIGINT), 'took': CAST([] AS BIGINT[])}, list({'used': CAST(chars AS BIGINT), 'took': [pl]} ORDER BY pl)), lambda a, x: CASE WHEN a.used + x.used <= 6000 THEN {'used': a.used + x.used, 'took': list_concat(a.took, x.took)} ELSE a END) AS r, count(*) AS n FROM o GROUP BY 1),
+t AS (SELECT k, n - len(r.took) AS "left", unnest(r.took) AS pl FROM f)
+SELECT t.k, row_number() OVER w AS place, o.para, o.page, CAST(sum(o.chars) OVER w AS BIGINT) AS total, "left" FROM t JOIN o ON o.k = t.k AND o.pl = t.pl WINDOW w AS (PARTITION BY t.k ORDER BY t.pl)""")
+def passages_within(s: SparkSession, d: str) -> DataFrame:
+    """Lines of each source's documents to send next, 6,000 characters of them: those that do not fit are skipped."""
+    lines = table(s, d, "documents").select(F.col("source").alias("k"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "t")).withColumn("pos", F.col("pos") + 1)
+    p = lines.select(
+        "k", "page", "pos", F.concat_ws(":", "page", "pos").alias("para"), F.length("t").alias("chars"), F.pmod(F.col("page") * 7 + F.col("pos"), F.lit(3)).alias("sent"), (F.col("pos") % 4 == 0).alias("summarised"),
+        ((F.col("page") % 5 != 0) & (F.length("t") > 0)).alias("candidate"),
+    )
+    out = passages.chosen(passages.ordered(p, "k"), "k", 6000)
+    return out.select("k", F.col("place").cast("long").alias("place"), "para", "page", "total", "left")

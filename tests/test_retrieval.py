@@ -1,3 +1,5 @@
+import pytest
+
 from tessera.plans.retrieval import evidence_containment
 
 
@@ -11,11 +13,13 @@ def test_evidence_in_quotes_and_short_passages(spark, tmp_path):
     assert {r.doc_id: (r.item_id, r.n) for r in evidence_containment(spark, str(tmp_path)).collect()} == want
 
 
-def test_passages_of_every_length(spark):
+@pytest.mark.parametrize("few", [10_000, 7])
+def test_passages_of_every_length(spark, monkeypatch, few):
     import random
 
     from tessera.operators import search
 
+    monkeypatch.setattr(search, "FEW", few)
     r = random.Random(3)
     words = "alpha beta gamma delta eps".split()
     texts = [" ".join(r.choice(words) + r.choice(["", "", ",", "."]) for _ in range(r.randint(0, 30))) for _ in range(120)]
@@ -26,3 +30,23 @@ def test_passages_of_every_length(spark):
     got = {(x.doc_id, x.item_id) for x in search.containing(docs, p, "doc_id", "item_id").collect()}
     assert got == {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if x in t}
     assert search.containing(docs, p.limit(0), "doc_id", "item_id").count() == 0
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    import random
+
+    from tessera.operators import stats
+
+    monkeypatch.setattr(stats, "BLOCK", 16)
+    r = random.Random(4)
+    rows = [(i, [r.randint(0, 9) * 1.0, r.randint(0, 9) * 1.0], r.choice("abc")) for i in range(100)]
+    train = spark.createDataFrame(rows, "id long, x array<double>, label string")
+    got = {x.id: x.label for x in stats.nearest(train, train.where("id % 3 = 0"), 4).collect()}
+    want = {}
+    for i, x, _ in rows:
+        if i % 3 == 0:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5, j, l) for j, y, l in rows if j != i)[:4]
+            labels = [l for _, _, l in near]
+            want[i] = min(labels, key=lambda l: (-labels.count(l), labels.index(l)))
+    assert got == want
+    assert stats.nearest(train, train.limit(0), 4).count() == 0

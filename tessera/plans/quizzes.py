@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators import questions as Q, quiz
+from tessera.operators import questions as Q, quiz, sections
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -173,3 +173,27 @@ def grounded_questions(s: SparkSession, d: str) -> DataFrame:
     made = F.array(*[F.struct(F.lit(n).alias("seq"), F.lit(t).alias("stem"), F.array(*map(F.lit, o)).alias("options"), F.lit(a).alias("answer"), F.lit(e).alias("quote")) for n, t, o, a, e in rows])
     m = table(s, d, "customer").select(F.col("c_custkey").alias("k"), src.alias("source"), F.inline(made))
     return quiz.grounded(m, "k").select("k", "seq", "reason")
+
+
+_ROMAN = "['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII']"
+
+
+@query(f"""WITH p AS (SELECT l_suppkey % 10 AS doc, l_orderkey % 400 + 1 AS page, row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey % 400, l_orderkey, l_linenumber) AS seq, l_linenumber AS n, l_partkey % 97 AS number, {_ROMAN}[l_partkey % 12 + 1] AS named, {_ROMAN}[(l_orderkey % 400) // 36 + 1] AS head FROM lineitem),
+x AS (SELECT *, CASE WHEN n = 1 THEN head END AS h, CASE WHEN n = 3 THEN named END AS own, n > 1 AS item, n >= 4 AS answer FROM p),
+a AS (SELECT *, coalesce(own, last_value(h IGNORE NULLS) OVER (PARTITION BY doc, (page - 1) // 32 ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS section FROM x),
+s AS (SELECT doc, section, min(page) AS start, max(page) AS "end", count(*) AS w FROM a WHERE item AND section IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY count(*) DESC, min(page), section) <= 9),
+z AS (SELECT doc, max(page) AS last FROM p GROUP BY 1),
+j AS (SELECT x.*, s.section AS want FROM x JOIN s USING (doc) JOIN z USING (doc) WHERE page BETWEEN greatest(1, start - 1) AND least(last, "end" + 1)),
+b AS (SELECT *, coalesce(own, last_value(h IGNORE NULLS) OVER (PARTITION BY doc, want ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS section FROM j),
+n AS (SELECT doc, section, number, bool_or(NOT answer) AS asked, bool_or(answer) AS answered FROM b WHERE item AND section = want GROUP BY 1, 2, 3),
+c AS (SELECT doc, section, count(*) FILTER (asked) AS questions, count(*) FILTER (asked AND answered) AS answered FROM n GROUP BY 1, 2)
+SELECT doc, section, start, "end", coalesce(questions, 0) AS questions, coalesce(answered, 0) AS answered FROM s LEFT JOIN c USING (doc, section)""")
+def sections_in_two_passes(s: SparkSession, d: str) -> DataFrame:
+    """Books of 400 pages: headings, questions, questions that name a section, and answers, which may stand far from them."""
+    roman = F.split(F.lit("I II III IV V VI VII VIII IX X XI XII"), " ")
+    x = table(s, d, "lineitem").select((F.col("l_suppkey") % 10).alias("doc"), (F.col("l_orderkey") % 400 + 1).alias("page"), "l_orderkey", "l_linenumber", (F.col("l_partkey") % 97).cast("string").alias("number"), F.get(roman, (F.col("l_partkey") % 12).cast("int")).alias("named"))
+    seq = F.row_number().over(Window.partitionBy("doc").orderBy("page", "l_orderkey", "l_linenumber"))
+    text = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Section "), F.get(roman, F.floor((F.col("page") - 1) / 36).cast("int")), F.lit(" of it")))
+    text = text.when(F.col("l_linenumber") == 2, F.concat("number", F.lit(". What is it?"))).when(F.col("l_linenumber") == 3, F.concat_ws("-", "named", F.concat("number", F.lit(". And this?"))))
+    paras = x.select("doc", "page", seq.alias("seq"), text.otherwise(F.concat("number", F.lit(". The answer is B"))).alias("text"))
+    return sections.index(paras, 9)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normal_answer, parse_number
-from tessera.operators import merge, passages, ranges, search
+from tessera.operators import evidence, merge, passages, ranges, search
 from tessera.plans.catalog import FOLD_SQL, query
 from tessera.session import table
 
@@ -140,3 +140,17 @@ def passages_within(s: SparkSession, d: str) -> DataFrame:
     )
     out = passages.chosen(passages.ordered(p, "k"), "k", 6000)
     return out.select("k", F.col("place").cast("long").alias("place"), "para", "page", "total", "left")
+
+
+_WRITTEN = "replace(replace(replace({0}, 'm', 'ｍ'), 'e', 'e' || chr(173)), ' ', ' ' || chr(160))"
+
+
+@query(f"""WITH h AS (SELECT doc_id, item_id, d.text, b.text AS q, strpos(d.text, b.text) AS pl FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+SELECT doc_id AS para, item_id AS quote_id, 'exact' AS how, length({_WRITTEN.format("substr(text, 1, pl - 1)")}) AS start, length({_WRITTEN.format("substr(text, 1, pl - 1) || q")}) - CAST(ends_with(q, 'e') AS INTEGER) AS "end" FROM h""")
+def quote_offsets(s: SparkSession, d: str) -> DataFrame:
+    """Where benchmark passages stand in documents that are written with wide letters, soft hyphens and doubled blanks."""
+    t = F.replace(F.replace(F.replace("text", F.lit("m"), F.lit("ｍ")), F.lit("e"), F.lit("e\u00ad")), F.lit(" "), F.lit(" \u00a0"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("para"), t.alias("text"))
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    p = evidence.places(docs, b)
+    return p.select("para", "quote_id", "how", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))

@@ -1,4 +1,10 @@
-"""Quotes with context: making an anchor, and finding it again in a text that has changed."""
+"""Notes' anchors: quotes with context, found again in texts that have changed, and written back where they moved.
+
+An anchor names its paragraph by a hash. Anchors and paragraphs meet by that hash in an equality join; only anchors that
+find nothing so are sought in their document's paragraphs that hold the quote, then in those that hold it without case,
+accents, blanks and hyphens, and at last across the ends of paragraphs. The JVM drops paragraphs that cannot hold a quote;
+places and their contexts are compared in Arrow batches of what is left.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +14,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
-from tessera.functions.text import fold_char
+from tessera.functions.text import fold, fold_char
+from tessera.session import stored
 
 CONTEXT, QUOTE = 32, 400
+#: A loose quote shorter than this (without blanks) is only taken if so much of its context agrees.
+SHORT, AGREES = 8, 8
+_GAPS = r"(?U)[\s­‐‑-]+"
 
 
 def anchor(text: Column, start: Column, end: Column) -> Column:
@@ -23,15 +34,32 @@ def anchor(text: Column, start: Column, end: Column) -> Column:
     return F.struct(exact.alias("exact"), text.substr(F.greatest(at - CONTEXT, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT))).alias("prefix"), text.substr(at + F.length(exact) + 1, F.lit(CONTEXT)).alias("suffix"), at.alias("at"))
 
 
+def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, para, base, text, hash: lines of each text, where they begin in it, and a hash of what they say."""
+    lines = F.split(text, "\n")
+    sizes = F.transform(lines, lambda x: F.length(x) + 1)
+    bases = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    rows = docs.select(key, F.posexplode(F.arrays_zip(lines.alias("text"), bases.alias("base"))).alias("para", "x")).where("x.text IS NOT NULL")
+    return rows.select(key, "para", "x.base", "x.text", paragraph_hash(F.col("x.text")).alias("hash"))
+
+
+def paragraph_hash(text: Column) -> Column:
+    return F.md5(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+
+
+def squeezed(text: Column) -> Column:
+    """Without case, accents, blanks and hyphens."""
+    return F.regexp_replace(fold(text), _GAPS, "")
+
+
+def _gap(c: str) -> bool:
+    return c.isspace() or c in "­‐‑-"
+
+
 def _loose(text: str) -> tuple[str, list[int]]:
-    """Folded, without blanks and hyphens, and where each character came from."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        f = fold_char(c)
-        if not f.isspace():
-            out.append(f)
-            at.append(i)
-    return "".join(out), at
+    """As squeezed(), and where each character came from."""
+    at = [i for i, c in enumerate(text) if not _gap(c)]
+    return "".join(fold_char(text[i]) for i in at), at
 
 
 def _common(a: str, b: str) -> int:
@@ -41,39 +69,88 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def locate(text: str, exact: str, prefix: str, suffix: str, at: int) -> tuple[int, int, int, str, bool] | None:
-    """(offset, length, score, how, tie): the place whose context agrees most; of several, the nearest to where it was."""
-    if not text or not exact:
-        return None
-    found = []
-    for how in ("exact", "fuzzy"):
-        if how == "exact":
-            spots = [(m.start(), m.start() + len(exact)) for m in re.finditer(f"(?={re.escape(exact)})", text)]
-        else:
-            hay, where = _loose(text)
-            needle, _ = _loose(exact)
-            spots = [(where[m.start()], where[m.start() + len(needle) - 1] + 1) for m in re.finditer(f"(?={re.escape(needle)})", hay)] if needle else []
-        for a, b in spots:
-            before, after, p, s = text[max(0, a - 2 * CONTEXT) : a], text[b : b + 2 * CONTEXT], prefix, suffix
-            if how == "fuzzy":
-                before, after, p, s = (_loose(x)[0] for x in (before, after, p, s))
-            found.append((_common(before[::-1], p[::-1]) + _common(after, s), -abs(a - at), a, b))
-        if found:
-            best = max(found)
-            return best[2], best[3] - best[2], best[0], how, sum(f[0] == best[0] for f in found) > 1
-    return None
+def spots(text: str, exact: str, prefix: str, suffix: str, as_is: bool) -> list[tuple[int, int, int]]:
+    """(offset, length, score) of every place of a quote in a text; the score is how much of the context agrees."""
+    if as_is:
+        found = [(m.start(), m.start() + len(exact)) for m in re.finditer(f"(?={re.escape(exact)})", text)]
+        clean = lambda x: x
+    else:
+        hay, where = _loose(text)
+        needle = _loose(exact)[0]
+        found = [(where[m.start()], where[m.start() + len(needle) - 1] + 1) for m in re.finditer(f"(?={re.escape(needle)})", hay)] if needle else []
+        clean = lambda x: _loose(x)[0]
+    p, s = clean(prefix)[::-1], clean(suffix)
+    return [(a, b - a, _common(clean(text[max(0, a - 2 * CONTEXT) : a])[::-1], p) + _common(clean(text[b : b + 2 * CONTEXT]), s)) for a, b in found]
+
+
+_SPOTS = ArrayType(StructType([StructField("at", IntegerType()), StructField("len", IntegerType()), StructField("score", IntegerType())]))
+
 
+def _udf(as_is: bool):
+    @pandas_udf(_SPOTS)
+    def places(text: pd.Series, exact: pd.Series, prefix: pd.Series, suffix: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": a, "len": n, "score": s} for a, n, s in spots(t, e, p or "", q or "", as_is)] for t, e, p, q in zip(text, exact, prefix, suffix)])
 
-_PLACE = StructType([StructField("at", IntegerType()), StructField("len", IntegerType()), StructField("score", IntegerType()), StructField("how", StringType()), StructField("tie", BooleanType())])
+    return places
 
 
-@pandas_udf(_PLACE)
-def place(text: pd.Series, exact: pd.Series, prefix: pd.Series, suffix: pd.Series, at: pd.Series) -> pd.DataFrame:
-    rows = [locate(*x) if x[0] and x[1] else None for x in zip(text, exact, prefix.fillna(""), suffix.fillna(""), at.fillna(0).astype(int))]
-    return pd.DataFrame([r or (None,) * 5 for r in rows], columns=_PLACE.names)
+def _sought(pairs: DataFrame, how: str, ids: list[str]) -> DataFrame:
+    """ids, found: of pairs (anchor, para, base, text) the place whose context agrees most; of several the nearest to where it
+    was, and then ``tie`` is true."""
+    found = pairs.withColumn("x", F.explode(_udf(how in ("para", "page"))("text", "exact", "prefix", "suffix")))
+    if how not in ("para", "page"):
+        small = F.length(squeezed(F.col("exact"))) < SHORT
+        found = found.where(~small | (F.col("x.score") >= AGREES))
+    found = found.withColumn("place", F.col("base") + F.col("x.at"))
+    w = Window.partitionBy(*ids)
+    found = found.withColumn("_best", F.max("x.score").over(w)).where(F.col("x.score") == F.col("_best"))
+    near = F.struct(F.abs(F.col("place") - F.col("at")), "place")
+    place = F.struct(F.col("place").alias("at"), F.col("x.len").alias("len"), F.col("x.score").alias("score"), F.lit(how).alias("how"))
+    out = found.groupBy(*ids).agg(F.min_by(place, near).alias("p"), (F.count_distinct("place") > 1).alias("tie"))
+    return out.select(*ids, F.struct("p.at", "p.len", "p.score", "p.how", "tie").alias("found"))
 
 
 def resolve(anchors: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """anchors (key, exact, prefix, suffix, at) with ``found``: where each stands in docs (key, text) now, null if nowhere."""
-    j = anchors.join(docs.select(key, F.col("text").alias("_t")), key, "left")
-    return j.withColumn("found", place("_t", "exact", "prefix", "suffix", F.col("at").cast("int"))).drop("_t")
+    """anchors (key, exact, prefix, suffix, at, and hash if they name a paragraph) with ``found``: (at, len, score, how, tie) of
+    each in docs (key, text) now, null if nowhere. How: ``para``, as it is in a paragraph of the same hash; ``page``, as it is
+    in any paragraph; ``fuzzy``, without case, accents, blanks and hyphens; ``across``, likewise over paragraphs' ends.
+
+    Null or empty quotes and null texts find nothing; rows of one anchor each are found. A quote that holds line ends is
+    sought across paragraphs."""
+    a = anchors if "hash" in anchors.columns else anchors.withColumn("hash", F.lit(None).cast("string"))
+    ids = [key, "exact", "prefix", "suffix", "at", "hash"]
+    left = a.where(F.length("exact") > 0).select(*ids).distinct()
+    paras = stored(paragraphs(docs, key))
+    p = paras.select(key, "para", "base", "text")
+    loose = squeezed(F.col("exact"))
+    whole = docs.select(key, F.lit(0).alias("para"), F.lit(0).alias("base"), "text")
+    steps = [
+        ("para", lambda x: x.where("hash IS NOT NULL").join(paras, [key, "hash"]).where("contains(text, exact)")),
+        ("page", lambda x: x.join(p, key).where("contains(text, exact)")),
+        ("fuzzy", lambda x: x.withColumn("_l", loose).where("_l <> ''").join(p.withColumn("_t", squeezed(F.col("text"))), key).where("contains(_t, _l)").drop("_l", "_t")),
+        ("across", lambda x: x.withColumn("_l", loose).where("_l <> ''").join(whole.withColumn("_t", squeezed(F.col("text"))), key).where("contains(_t, _l)").drop("_l", "_t")),
+    ]
+    found = None
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ids]
+    for how, pairs in steps:
+        own = stored(_sought(pairs(left), how, ids))
+        found = own if found is None else found.unionByName(own)
+        left = left.alias("l").join(own.alias("r"), same, "left_anti")
+    out = a.alias("l").join(found.alias("r"), same, "left").select("l.*", "r.found")
+    return out if "hash" in anchors.columns else out.drop("hash")
+
+
+def write_back(resolved: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Anchors as they should be stored: those found at another place or in another form take the text, context, place and
+    paragraph hash of where they are now; those that are not found, and those between which a tie had to choose, stay as
+    they are. ``changed`` tells which were written anew."""
+    paras = paragraphs(docs, key).select(key, F.col("base").alias("_base"), F.col("hash").alias("_hash"), F.length("text").alias("_n"))
+    moves = resolved.withColumn("_id", F.monotonically_increasing_id())
+    moved = F.col("found").isNotNull() & ~F.col("found.tie") & ((F.col("found.at") != F.col("at")) | (F.col("found.how") != "para"))
+    j = moves.where(moved).join(docs.select(key, F.col("text").alias("_text")), key)
+    now = anchor(F.col("_text"), F.col("found.at"), F.col("found.at") + F.col("found.len"))
+    j = j.withColumn("_now", now).join(paras, [key]).where((F.col("_base") <= F.col("found.at")) & (F.col("found.at") <= F.col("_base") + F.col("_n")))
+    old = ["exact", "prefix", "suffix", "at", "hash"]
+    changed = j.select(*[F.col(c) for c in resolved.columns if c not in old and c != "found"], *(F.col(f"_now.{c}") for c in old[:-1]), F.col("_hash").alias("hash"), F.lit(True).alias("changed"))
+    kept = moves.where(~F.coalesce(moved, F.lit(False))).select(*[c for c in resolved.columns if c not in old and c != "found"], *old, F.lit(False).alias("changed"))
+    return kept.unionByName(changed)

@@ -11,19 +11,28 @@ from tessera.plans.catalog import query
 from tessera.session import table
 
 
-@query("""WITH x AS (SELECT doc_id, text, substr(text, 61, 40) AS q FROM documents WHERE length(text) >= 120)
-SELECT doc_id, CASE WHEN length(text) - length(replace(text, q, '')) = 40 AND strpos('A new beginning. ' || text || ' And an end.', q) = 78 THEN 77 + length(q) - length(ltrim(q)) END AS at FROM x""")
+_CHANGED = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+c AS (SELECT doc_id, i, t, CASE i % 3 WHEN 1 THEN '* ' || t WHEN 2 THEN translate(t, 'abcdefghijklmnopqrstuvwxyz ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ-') ELSE t END AS now FROM l),
+n AS (SELECT doc_id, 'A new beginning.' || chr(10) || string_agg(now, chr(10) ORDER BY i) AS text FROM c GROUP BY 1)"""
+
+
+@query(f"""WITH {_CHANGED}, q AS (SELECT doc_id, i, t, trim(substr(t, 1, 24), ' ') AS q FROM l WHERE length(t) >= 40 AND regexp_full_match(t, '[A-Za-z0-9 ,.]*'))
+SELECT q.doc_id, q.i AS line, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.doc_id = q.doc_id AND trim(regexp_replace(c.now, '\\s+', ' ', 'g')) = trim(regexp_replace(q.t, '\\s+', ' ', 'g')) AND contains(c.now, q.q)) THEN 'para'
+WHEN contains(n.text, q.q) THEN 'page' ELSE 'fuzzy' END AS how, CASE WHEN length(n.text) - length(replace(n.text, q.q, '')) = length(q.q) THEN strpos(n.text, q.q) - 1 END AS once FROM q JOIN n ON n.doc_id = q.doc_id""")
 def anchors_resolve(s: SparkSession, d: str) -> DataFrame:
-    """Every long text's 60th to 100th character as an anchor, found again in a text that has grown at both ends; null
-    where the same 40 characters stand at several places."""
-    docs = table(s, d, "documents").where(F.length("text") >= 120).select("doc_id", "text")
-    a = docs.select("doc_id", anchors.anchor(F.col("text"), F.lit(60), F.lit(100)).alias("a")).select("doc_id", "a.*")
-    moved = docs.select("doc_id", F.concat(F.lit("A new beginning. "), "text", F.lit(" And an end.")).alias("text"))
-    r = anchors.resolve(a, moved).join(docs, "doc_id")
-    q = F.substring("text", 61, 40)
-    once = F.length("text") - F.length(F.replace("text", q, F.lit(""))) == 40
-    first = F.expr("locate(substring(text, 61, 40), concat('A new beginning. ', text, ' And an end.'))") == 78
-    return r.select("doc_id", F.when(once & first & (F.col("found.how") == "exact"), F.col("found.at")).alias("at"))
+    """The beginning of each longer plain line as an anchor, found again in texts that have a new first line, and of whose
+    lines a third were moved in and a third are written in capitals with hyphens: how each was found, and where those that
+    stand at one place only."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    old = anchors.paragraphs(docs)
+    plain = old.where((F.length("text") >= 40) & F.col("text").rlike(r"\A[A-Za-z0-9 ,.]*\z"))
+    a = plain.select("doc_id", F.col("para").alias("line"), "hash", anchors.anchor(F.col("text"), F.lit(0), F.lit(24)).alias("a"), "base").select("doc_id", "line", "hash", "a.exact", "a.prefix", "a.suffix", (F.col("base") + F.col("a.at")).alias("at"))
+    lower = "abcdefghijklmnopqrstuvwxyz "
+    now = lambda t, i: F.when(i % 3 == 1, F.concat(F.lit("* "), t)).when(i % 3 == 2, F.translate(t, lower, lower.upper().replace(" ", "-"))).otherwise(t)
+    new = docs.select("doc_id", F.concat(F.lit("A new beginning.\n"), F.array_join(F.transform(F.split("text", "\n"), now), "\n")).alias("text"))
+    r = anchors.resolve(a, new).join(new, "doc_id")
+    once = F.length("text") - F.length(F.replace("text", F.col("exact"), F.lit(""))) == F.length("exact")
+    return r.select("doc_id", F.col("line").cast("long").alias("line"), "found.how", F.when(once, F.col("found.at")).cast("long").alias("once"))
 
 
 #: Paragraphs of seven sentences each, by customer: (text, is it a reference, its kind).

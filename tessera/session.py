@@ -85,3 +85,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
     atexit.register(remove)
     return at
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to work_dir() and read again: what follows starts from them, whatever executors are lost."""
+    at = new_folder(df.sparkSession, "stored")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -27,8 +27,31 @@ def test_anchors(spark):
     assert (r.exact, r.at) == ("Red fish", 20) and t[:20].endswith(r.prefix) and t[28:].startswith(r.suffix)
     moved = spark.createDataFrame([(1, "New start. Red fish elsewhere. " + t)], "doc_id int, text string")
     f = anchors.resolve(a, moved).first().found
-    assert (f.at, f.len, f.how, f.tie) == (51, 8, "exact", False)
+    assert (f.at, f.len, f.how, f.tie) == (51, 8, "page", False)
     f = anchors.resolve(a, spark.createDataFrame([(1, "x two fish. RÉD-\nfish, blue")], "doc_id int, text string")).first().found
-    assert f.how == "fuzzy" and (f.at, f.len) == (12, 9)
-    assert anchors.resolve(a, spark.createDataFrame([(2, t)], "doc_id int, text string")).first().found.at is None
-    assert anchors.locate("ab ab", "ab", "", "", 3)[0::4] == (3, True)
+    assert f.how == "across" and (f.at, f.len) == (12, 9)
+    assert anchors.resolve(a, spark.createDataFrame([(2, t)], "doc_id int, text string")).first().found is None
+    assert anchors.spots("ab ab", "ab", "", "", True) == [(0, 2, 0), (3, 2, 0)]
+
+
+def test_anchors_by_paragraph_and_written_back(spark):
+    old = "Alpha one.\nBeta two and three.\nBeta two and three.\nGamma  four five.\nDelta six."
+    new = "Intro.\nBeta two and three.\nAlpha one, changed.\nGamma four\nfive.\nDELTA six!\nsame same"
+    docs = lambda t: spark.createDataFrame([(1, t), (2, None)], "doc_id int, text string")
+    where = {"two": (old.index("two"), 7), "one": (old.index("one"), 3), "four": (old.index("four"), 9), "delta": (old.index("Delta"), 9)}
+    a = None
+    for name, (at, n) in where.items():
+        own = docs(old).select("doc_id", F.lit(name).alias("name"), anchors.anchor(F.col("text"), F.lit(at), F.lit(at + n)).alias("a")).select("doc_id", "name", "a.*")
+        a = own if a is None else a.unionByName(own)
+    p = anchors.paragraphs(docs(old)).withColumn("end", F.col("base") + F.length("text"))
+    a = a.where("exact IS NOT NULL").join(p.select("doc_id", "base", "end", "hash"), "doc_id").where("at BETWEEN base AND end").drop("base", "end")
+    extra = spark.createDataFrame([(1, "tie", "same", "", "", 0, None), (1, "gone", "never", "", "", 0, None), (1, "none", None, None, None, None, None), (2, "null", "x", "", "", 0, None)], "doc_id int, name string, exact string, prefix string, suffix string, at int, hash string")
+    r = anchors.resolve(a.unionByName(extra), docs(new))
+    got = {x.name: (new[x.found.at : x.found.at + x.found.len], x.found.how, x.found.tie) if x.found else None for x in r.collect()}
+    assert got == {"two": ("two and", "para", False), "one": ("one", "page", False), "four": ("four\nfive", "across", False), "delta": ("DELTA six", "fuzzy", False), "tie": ("same", "page", True), "gone": None, "none": None, "null": None}
+    back = {x.name: x for x in anchors.write_back(r, docs(new)).collect()}
+    assert {k for k, x in back.items() if x.changed} == {"two", "one", "four", "delta"} and len(back) == 8
+    assert all(new[x.at : x.at + len(x.exact)] == x.exact and x.hash for x in back.values() if x.changed)
+    again = {x.name: x.found for x in anchors.resolve(anchors.write_back(r, docs(new)).drop("changed"), docs(new)).collect()}
+    assert {k: (again[k].how, again[k].at) for k in ("two", "one", "delta")} == {k: ("para", back[k].at) for k in ("two", "one", "delta")}
+    assert again["four"].how == "across" and again["tie"].tie

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import dates
 from tessera.functions.text import fill_query, head_key, safe_link
-from tessera.operators import backup, graphs, learning, merge, notes, ranges, search
+from tessera.operators import backup, graphs, learning, merge, notes, ranges, recurrence, search, shuffles
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -160,3 +160,35 @@ def scrubbed_texts(s: SparkSession, d: str) -> DataFrame:
     t = F.lit("use sk-0123456789abcdefghij or Bearer")
     u = F.when(F.col("c_nationkey") % 2 == 0, t).otherwise("none at all")
     return table(s, d, "customer").select("c_custkey", backup.scrub(t).alias("scrubbed"), backup.has_secret(u).alias("secret"))
+
+
+_RANDOM = """SELECT *, CAST(xor(u, u >> 14) AS DOUBLE) / 4294967296 AS r FROM (SELECT *, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % 4294967296) % 4294967296) AS u FROM
+(SELECT *, (xor(a, a >> 15) * (a | 1)) % 4294967296 AS t FROM (SELECT *, CAST((seed + nth * 1831565813) % 4294967296 AS HUGEINT) AS a FROM {0})))"""
+_SWAPS = "list_reduce(list_prepend({0}, list_filter({1}, lambda x: x[1] > 0)), lambda a, x: list_transform(generate_series(1, len(a)), lambda k: CASE WHEN k = x[1] + 1 THEN a[x[2] + 1] WHEN k = x[2] + 1 THEN a[x[1] + 1] ELSE a[k] END))"
+
+
+@query(f"""WITH e AS (SELECT r_regionkey AS exam, 1000 * r_regionkey + 7 AS seed, 40 + r_regionkey AS n FROM region), q AS (SELECT p_brand AS node, p_partkey AS id FROM part),
+p AS (SELECT node, count(*) AS size FROM q GROUP BY 1), s AS (SELECT exam, seed, n, node, size, coalesce(sum(size - 1) OVER (PARTITION BY exam ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip, sum(size - 1) OVER (PARTITION BY exam) AS done FROM p, e),
+x AS (SELECT s.*, id, row_number() OVER (PARTITION BY exam, q.node ORDER BY id) - 1 AS i FROM s JOIN q USING (node)),
+y AS ({_RANDOM.format("(SELECT *, skip + size - i AS nth FROM x)")}),
+o AS (SELECT exam, any_value(n) AS n, node, {_SWAPS.format("list(id ORDER BY i)", "list([CAST(i AS BIGINT), CAST(floor(r * (i + 1)) AS BIGINT)] ORDER BY i DESC)")} AS ids FROM y GROUP BY exam, node),
+v AS (SELECT exam, seed, done, node, row_number() OVER (PARTITION BY exam ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY exam) AS size FROM s),
+z AS ({_RANDOM.format("(SELECT *, done + size - i AS nth FROM v)")}),
+t AS (SELECT exam, {_SWAPS.format("list(i ORDER BY i)", "list([CAST(i AS BIGINT), CAST(floor(r * (i + 1)) AS BIGINT)] ORDER BY i DESC)")} AS turn, list(node ORDER BY i) AS nodes FROM z GROUP BY 1),
+l AS (SELECT exam, n, node, unnest(ids) AS id, generate_subscripts(ids, 1) AS round FROM o), m AS (SELECT exam, unnest(list_transform(turn, lambda k: nodes[k + 1])) AS node, generate_subscripts(turn, 1) AS turn FROM t)
+SELECT exam, row_number() OVER (PARTITION BY exam ORDER BY round, turn) AS place, node, id FROM l JOIN m USING (exam, node) QUALIFY row_number() OVER (PARTITION BY exam ORDER BY round, turn) <= n""")
+def seeded_exams(s: SparkSession, d: str) -> DataFrame:
+    """An exam for each region's seed: parts of all brands in the seeded order, brand after brand in a seeded turn."""
+    q = table(s, d, "part").select(F.col("p_brand").alias("node"), F.col("p_partkey").alias("id"))
+    e = table(s, d, "region").select(F.col("r_regionkey").alias("exam"), (F.col("r_regionkey") * 1000 + 7).alias("seed"), (F.col("r_regionkey") + 40).alias("n"))
+    return shuffles.exam(q, e).select("exam", F.col("place").cast("long").alias("place"), "node", "id")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, value, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+l AS (SELECT user_id, list(event_id ORDER BY i) AS ids, list(value ORDER BY i) AS xs FROM o GROUP BY 1),
+f AS (SELECT user_id, ids, list_reduce(list_prepend([[CAST(0 AS DOUBLE), 0]], list_transform(xs, lambda x: [[x, CASE WHEN x IS NULL THEN 0 ELSE 1 END]])), lambda a, x: list_append(a, [a[len(a)][1] * 0.75 + coalesce(x[1][1], 0), a[len(a)][2] * 0.75 + x[1][2]])) AS s FROM l)
+SELECT user_id, unnest(ids) AS event_id, round(unnest(list_transform(s[2:], lambda y: CASE WHEN y[2] > 0 THEN y[1] / y[2] END)), 6) AS mean FROM f""")
+def weighted_means(s: SparkSession, d: str) -> DataFrame:
+    """The mean of each user's values so far, later ones weighing more."""
+    e = table(s, d, "events").select("user_id", "ts", "event_id", "value")
+    return recurrence.ewm(e, ["user_id"], ["ts", "event_id"], "value", 0.25).select("user_id", "event_id", F.round("ewm", 6).alias("mean"))

@@ -19,7 +19,8 @@ def union(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
 
 def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, lo, hi): what of a's ranges is in none of b's. Both hold (key, lo, hi); one sweep over their edges."""
-    a, b = union(a, key, "lo", "hi"), union(b, key, "lo", "hi")
+    turned = lambda df: df.select(key, F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
+    a, b = turned(a), turned(b)  # ranges that overlap are counted, so nothing need be merged first
     edge = lambda df, da, db: df.select(key, F.col("lo").alias("at"), F.lit(da).alias("da"), F.lit(db).alias("db")).unionByName(df.select(key, (F.col("hi") + 1).alias("at"), F.lit(-da).alias("da"), F.lit(-db).alias("db")))
     e = edge(a, 1, 0).unionByName(edge(b, 0, 1)).groupBy(key, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     w = Window.partitionBy(key).orderBy("at")

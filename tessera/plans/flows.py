@@ -83,10 +83,17 @@ def box_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT o_custkey AS node, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS correct FROM orders GROUP BY 1)
-SELECT node, total, correct, substr('▁▂▃▄▅▆▇█', CAST(floor(correct / total * 7 + 0.5) AS INTEGER) + 1, 1) AS bar FROM a""")
+SELECT node, total, correct, substr('▁▂▃▄▅▆▇█', CAST(floor(correct / total * 7 + 0.5) AS INTEGER) + 1, 1) AS bar, row_number() OVER (ORDER BY correct / total, total DESC, node) AS place FROM a""")
 def weakest_nodes(s: SparkSession, d: str) -> DataFrame:
     a = table(s, d, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("correct"))
-    return a.select("node", "total", "correct", flow.sparkline(F.col("correct") / F.col("total")).alias("bar"))
+    """Nodes by their rate, the lowest first; of equal ones the one with most answers. Rates are counted first, so places are
+    found in each by itself."""
+    a = a.withColumn("rate", F.col("correct") / F.col("total"))
+    rates = a.groupBy("rate").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rate").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = a.join(rates.select("rate", before.alias("before")), "rate")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("rate").orderBy(F.desc("total"), "node"))
+    return a.select("node", "total", "correct", flow.sparkline(F.col("rate")).alias("bar"), place.alias("place"))
 
 
 @query("""WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS a, list_sort(list(DISTINCT CASE WHEN o_totalprice > 150000 THEN 'F' ELSE o_orderstatus END)) AS b FROM orders GROUP BY 1)

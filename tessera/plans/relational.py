@@ -332,3 +332,54 @@ def f1_from_counts(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
 def json_field(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")).where("k >= 50")
+
+
+@query("""SELECT count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS least, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS most FROM lineitem""")
+def described(s: SparkSession, d: str) -> DataFrame:
+    l = table(s, d, "lineitem")  # noqa: E741
+    c = F.col("l_quantity")
+    q = exact_quantiles(l, c, [0.25, 0.5, 0.75])
+    return l.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("least"), *(F.lit(float(x)).alias(f"q{i}") for i, x in enumerate(q, 1)), F.max(c).alias("most"))
+
+
+@query("""SELECT user_id, event_id, CASE WHEN p <> 0 THEN round(value / p - 1, 6) END AS change FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)""")
+def pct_change(s: SparkSession, d: str) -> DataFrame:
+    p = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(s, d, "events").withColumn("p", p).select("user_id", "event_id", F.when(F.col("p") != 0, F.round(F.col("value") / F.col("p") - 1, 6)).alias("change"))
+
+
+@query("""SELECT c_custkey, s_name, o_n, p_name FROM (SELECT c_custkey, s_name, o.n AS o_n, p_name FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey LEFT JOIN part ON p_partkey = c_custkey AND p_size > 25 LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey)
+WHERE CAST(s_name IS NOT NULL AS INTEGER) + CAST(o_n IS NOT NULL AS INTEGER) + CAST(p_name IS NOT NULL AS INTEGER) >= 2""")
+def dropped_by_threshold(s: SparkSession, d: str) -> DataFrame:
+    """Rows with at least two of three values."""
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("o_n"))
+    x = table(s, d, "customer").select("c_custkey").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name"), "c_custkey", "left")
+    x = x.join(table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("c_custkey"), "p_name"), "c_custkey", "left").join(o, "c_custkey", "left")
+    return x.na.drop(thresh=2, subset=["s_name", "o_n", "p_name"]).select("c_custkey", "s_name", "o_n", "p_name")
+
+
+@query("""WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders) SELECT o_orderkey, CAST(o_totalprice > a AS INTEGER) + CAST(o_totalprice > b AS INTEGER) + CAST(o_totalprice > c AS INTEGER) AS quarter FROM orders, q""")
+def quantile_cut(s: SparkSession, d: str) -> DataFrame:
+    """Orders by quarters of their price; a bin holds its upper edge."""
+    o = table(s, d, "orders")
+    edges = exact_quantiles(o, F.col("o_totalprice"), [0.25, 0.5, 0.75])
+    return o.select("o_orderkey", sum((F.when(F.col("o_totalprice") > float(x), 1).otherwise(0) for x in edges), F.lit(0)).alias("quarter"))
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY x DESC NULLS LAST, p_partkey) AS last, row_number() OVER (ORDER BY x NULLS FIRST, p_partkey) AS first FROM (SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN p_size END AS x FROM part)""")
+def null_placement(s: SparkSession, d: str) -> DataFrame:
+    """Places with nulls last and first: rows before a value's are counted by value, then numbered inside it."""
+    p = table(s, d, "part").select("p_partkey", F.when(F.col("p_size") % 7 > 0, F.col("p_size")).alias("x"))
+    n = p.groupBy("x").agg(F.count("*").alias("n"))  # a row a value
+    out = p
+    for name, order in (("last", F.desc_nulls_last("x")), ("first", F.asc_nulls_first("x"))):
+        before = F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        head = n.select(F.col("x").alias("_x"), before.alias(f"_{name}"))
+        out = out.join(F.broadcast(head), F.col("x").eqNullSafe(F.col("_x"))).drop("_x")
+    inner = F.row_number().over(Window.partitionBy("x").orderBy("p_partkey"))
+    return out.select("p_partkey", (F.col("_last") + inner).alias("last"), (F.col("_first") + inner).alias("first"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 35""")
+def page_of_rows(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(35).limit(20)

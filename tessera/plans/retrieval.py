@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import normal_answer, parse_number
-from tessera.operators import evidence, merge, passages, ranges, search
+from tessera.operators import evidence, flow, merge, passages, ranges, search
 from tessera.plans.catalog import FOLD_SQL, query
 from tessera.session import table
 
@@ -154,3 +154,18 @@ def quote_offsets(s: SparkSession, d: str) -> DataFrame:
     b = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     p = evidence.places(docs, b)
     return p.select("para", "quote_id", "how", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, source, lang, {FOLD_SQL} AS f FROM documents),
+h AS (SELECT doc_id, source, lang, unnest(list_filter(generate_series(0, length(f) - 2), lambda i: f[i + 1:i + 2] = 'de' AND (i = 0 OR NOT regexp_matches(f[i:i], '[\\p{{L}}\\p{{N}}]')) AND (i + 2 = length(f) OR NOT regexp_matches(f[i + 3:i + 3], '[\\p{{L}}\\p{{N}}]')))) AS pl FROM f WHERE contains(f, 'de')),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pl) AS r, count(*) OVER (PARTITION BY source) AS n FROM h)
+SELECT source, lang, doc_id, count(*) AS hits, min(pl) AS first, n > 1000 AS truncated FROM r WHERE r <= 1000 GROUP BY source, lang, doc_id, n""")
+def hits_by_kind(s: SparkSession, d: str) -> DataFrame:
+    """The first 1,000 hits of each source, by kind (language) and page (document), and whether there were more. Documents are
+    counted first; only those that begin under the limit give their hits."""
+    docs = table(s, d, "documents")
+    n = search.counted(docs.select("doc_id", "text"), "de").join(docs.select("doc_id", "source", "lang"), "doc_id")
+    total = n.groupBy("source").agg(F.sum("n").alias("_all"))
+    near = flow.running(n, "source", "doc_id", "n", search.HITS).withColumn("h", F.expr(f"slice(h, 1, int({search.HITS} - before))"))
+    g = near.join(total, "source").select("source", "lang", "doc_id", F.size("h").cast("long").alias("hits"), F.get("h", F.lit(0))["at"].cast("long").alias("first"), (F.col("_all") > search.HITS).alias("truncated"))
+    return g

@@ -113,10 +113,35 @@ def stored(lines: DataFrame, key: list[str]) -> DataFrame:
     return g.select(*key, F.lit(ALGO).alias("algo"), *[F.col(f"l.{c}").alias(c) for c in ("seq", "text", "x", "y", "size")])
 
 
+#: How a line was written before: version 0 kept a page as one JSON text of lines, with numbers in hundredths and no size
+#: where it was the page's own.
+_OLD_LINE = "array<struct<n:bigint,t:string,x:bigint,y:bigint,s:bigint>>"
+
+
+def stored_as_before(lines: DataFrame, key: list[str]) -> DataFrame:
+    """Pages of lines (key, seq, text, x, y, size) as version 0 wrote them: ``body`` and the page's commonest size."""
+    hundred = lambda c: F.round(F.col(c) * 100).cast("long")
+    sizes = lines.groupBy(*key, hundred("size").alias("_s")).agg(F.count("*").alias("_c")).groupBy(*key).agg(F.max_by("_s", F.struct("_c", -F.col("_s"))).alias("own"))
+    j = lines.join(sizes, key)
+    line = F.struct(F.col("seq").cast("long").alias("n"), F.col("text").alias("t"), hundred("x").alias("x"), hundred("y").alias("y"), F.when(hundred("size") != F.col("own"), hundred("size")).alias("s"))
+    g = j.groupBy(*key, "own").agg(F.array_sort(F.collect_list(line)).alias("l"))  # a page's lines
+    return g.select(*key, F.lit(0).alias("algo"), F.to_json("l").alias("body"), "own")
+
+
 def loaded(pages: DataFrame, key: list[str]) -> DataFrame:
-    """The lines out of stored pages of this format."""
+    """The lines out of stored pages, each by the version that wrote it: this one keeps columns, version 0 a ``body`` (with
+    ``own``, the size of lines that name none). Pages of a later version, or without one, are not read."""
     fields = ("seq", "text", "x", "y", "size")
-    return pages.where(F.col("algo") == ALGO).select(*key, F.inline(F.arrays_zip(*fields))).select(*key, *fields)
+    types = dict(pages.dtypes)
+    out = None
+    if "seq" in types:
+        out = pages.where(F.col("algo") == ALGO).select(*key, F.inline(F.arrays_zip(*fields))).select(*key, *fields)
+    if "body" in types:
+        old = pages.where(F.col("algo") == 0).select(*key, "own", F.explode(F.from_json("body", _OLD_LINE)).alias("l"))
+        part = lambda c: c.cast("double") / 100
+        old = old.select(*key, F.col("l.n").alias("seq"), F.col("l.t").alias("text"), part(F.col("l.x")).alias("x"), part(F.col("l.y")).alias("y"), part(F.coalesce("l.s", "own")).alias("size"))
+        out = old if out is None else out.unionByName(old)
+    return out
 
 
 def needs_scan(version: Column, now: int) -> Column:

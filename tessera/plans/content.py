@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import ingest, registry
 from tessera.plans.catalog import query
 from tessera.session import table
+from tessera.sources import records
 
 _Q = """SELECT p_partkey AS seq, concat('n', CAST(p_size AS VARCHAR(9)), CASE WHEN p_partkey % 17 = 3 THEN '-x' ELSE '-q' END, lpad(CAST(p_partkey % 100 AS VARCHAR(9)), 2, '0')) AS id, concat('n', CAST(CASE WHEN p_partkey % 13 = 5 THEN 99 ELSE p_size END AS VARCHAR(9))) AS node,
 CASE p_partkey % 4 WHEN 0 THEN 'mcq' WHEN 1 THEN 'ox' WHEN 2 THEN 'short' ELSE CASE WHEN p_partkey % 8 = 3 THEN 'essay' ELSE 'short' END END AS type, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey % 7 AS VARCHAR(9)) WHEN 1 THEN CASE WHEN p_partkey % 5 = 0 THEN 'yes' ELSE 'true' END ELSE p_name END AS answer,
@@ -156,3 +157,50 @@ def scan_records(s: SparkSession, d: str) -> DataFrame:
     before = c.select("k", F.when(F.col("c_custkey") % 2 == 0, "notext").otherwise("garbled").alias("verdict"), (F.col("c_custkey") % 4 != 3).alias("noticed"))
     r = ingest.scan_records(c.select("k", v.alias("verdict")), before, "k", 2)
     return r.join(c.select("k", ingest.needs_scan(F.when(F.col("c_nationkey") % 2 == 0, 1).otherwise(2), 2).alias("again")), "k")
+
+
+@query("""SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS seq, l_shipmode || l_returnflag AS text, round(l_extendedprice, 2) AS x, round(l_quantity, 2) AS y, round(l_tax, 2) AS size FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem) WHERE l_orderkey % 5 < 4""")
+def pages_of_all_versions(s: SparkSession, d: str) -> DataFrame:
+    """Pages of which some were written by the version before, and some by one to come."""
+    x = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("seq"), F.concat("l_linestatus", "l_returnflag").alias("text"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), F.col("l_tax").alias("size"))
+    old, now = ingest.stored_as_before(x.where("k % 5 = 1"), ["k"]), ingest.stored(x.where("k % 5 <> 1"), ["k"])
+    pages = now.unionByName(old, allowMissingColumns=True).withColumn("algo", F.when(F.col("k") % 5 == 4, ingest.ALGO + 1).otherwise(F.col("algo")))
+    return ingest.loaded(pages, ["k"]).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'newer' WHEN page_id % 4 < 3 AND length(html) % 3 > 0 THEN 'ok' ELSE 'not-dump' END AS gate FROM pages""")
+def dump_gates(s: SparkSession, d: str) -> DataFrame:
+    """First lines of files: dumps of this version and of a later one, other formats, pages that are no dump at all."""
+    p = table(s, d, "pages").withColumn("m", F.col("page_id") % 4)
+    named = F.when((F.col("m") == 0) | ((F.col("m") < 3) & (F.length("html") % 3 > 0)), records.FORMAT).otherwise(F.substring("url", 1, 9))
+    head = F.to_json(F.struct(F.lit("head").alias("t"), named.alias("format"), F.when(F.col("m") == 0, records.VERSION + 1).otherwise(records.VERSION).alias("version")))
+    return records.gates(p.select("page_id", F.when(F.col("m") == 3, F.substring("html", 1, 40)).otherwise(head).alias("value"))).select("page_id", "gate")
+
+
+@query("""SELECT 'ok' AS gate, count(*) AS n, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS known, true AS truncated FROM customer WHERE c_acctbal > 0""")
+def dump_preview(s: SparkSession, d: str) -> DataFrame:
+    """What a dump that was cut off would bring: customers, some of whom have orders here."""
+    c = table(s, d, "customer").where("c_acctbal > 0")
+    head = s.range(1).select(F.lit(f'{{"t":"head","format":"{records.FORMAT}","version":{records.VERSION}}}').alias("value"))
+    rec = c.select(F.to_json(F.struct(F.lit("rec").alias("t"), F.lit("customer").alias("s"), F.struct("c_custkey", "c_name").alias("v"))).alias("value"))
+    return records.preview(head.unionByName(rec), "customer", "c_custkey", table(s, d, "orders").select(F.col("o_custkey").alias("key")))
+
+
+@query(r"""SELECT 0 AS n, md5(chr(65279) || 'doc_id,source,lang' || chr(13)) AS line UNION ALL SELECT doc_id + 1, md5(doc_id || ',' || coalesce(source, '') || ',' || coalesce(lang, '') || chr(13)) FROM documents""")
+def csv_file_lines(s: SparkSession, d: str) -> DataFrame:
+    """A CSV file's lines: a mark at its beginning, carriage returns at the ends."""
+    x = table(s, d, "documents").select("doc_id", "source", "lang")
+    lines = records.csv_text(x)
+    n = F.when(F.col("at") == -1, 0).otherwise(F.split("value", ",")[0].try_cast("long") + 1)
+    return lines.select(n.alias("n"), F.md5("value").alias("line"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text FROM conversations), g AS (SELECT conv_id, list(role || '-' || turn || '.md' ORDER BY turn, role, text) AS names, min(turn) AS t FROM m GROUP BY 1)
+SELECT CAST(conv_id AS VARCHAR) AS path, unnest(names) AS name, generate_subscripts(names, 1) - 1 AS place FROM g WHERE conv_id % 3 < 2""")
+def manifest_names(s: SparkSession, d: str) -> DataFrame:
+    """Manifests of conversations' turns: a bare list, a list under posts, and an object without one."""
+    c = table(s, d, "conversations").select("conv_id", F.struct("turn", "role", "text", F.concat_ws("", "role", F.lit("-"), F.col("turn").cast("string"), F.lit(".md")).alias("name")).alias("x"))
+    g = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+    k = F.col("conv_id") % 3
+    value = F.when(k == 0, F.to_json("names")).when(k == 1, F.to_json(F.struct(F.col("names").alias("posts")))).otherwise(F.to_json(F.struct(F.col("conv_id").alias("other"))))
+    return records.manifest(g.select(F.col("conv_id").cast("string").alias("path"), value.alias("value"))).select("path", "name", F.col("place").cast("long").alias("place"))

@@ -44,6 +44,28 @@ def classified(lines: DataFrame, longest: int = LINE) -> DataFrame:
     return lines.select(kind.alias("kind"), F.try_variant_get(p, "$.s", "string").alias("name"), "value").where("length(trim(value)) > 0")
 
 
+def gates(heads: DataFrame) -> DataFrame:
+    """heads (value, and what else) with ``gate``: ok for the first line of a dump that this version reads, newer for one of a
+    later version, else not-dump."""
+    p = F.try_parse_json("value")
+    head = (F.try_variant_get(p, "$.t", "string") == "head") & (F.try_variant_get(p, "$.format", "string") == FORMAT)
+    version = F.try_variant_get(p, "$.version", "int")
+    return heads.withColumn("gate", F.when(F.coalesce(head & version.isNotNull(), F.lit(False)), F.when(version > VERSION, "newer").otherwise("ok")).otherwise("not-dump"))
+
+
+def preview(lines: DataFrame, name: str, record_key: str, there: DataFrame) -> DataFrame:
+    """One row of what a dump would bring, before any record is read in full: ``gate``, how many records of a table there are, how
+    many of them are in ``there`` (key) by now, and whether the dump is cut short."""
+    raw = lines.select("value")
+    gate = gates(raw.where(F.col("value").startswith('{"t":"head"')).limit(1)).agg(F.coalesce(F.first("gate"), F.lit("not-dump")).alias("gate"))
+    c = classified(raw)
+    keys = c.where((F.col("kind") == "rec") & (F.col("name") == name)).select(F.get_json_object("value", f"$.v.{record_key}").alias("key"))
+    known = there.select(F.col("key").cast("string").alias("key")).distinct().withColumn("_there", F.lit(1))
+    counts = keys.join(known, "key", "left").agg(F.count("*").alias("n"), F.count("_there").alias("known"))
+    cut = c.agg((F.count_if(F.col("kind") == "end") == 0).alias("truncated"))
+    return gate.crossJoin(counts).crossJoin(cut)  # one row each
+
+
 def read_dump(spark: SparkSession, path: str, name: str, schema: StructType | str) -> DataFrame:
     text = schema if isinstance(schema, str) else schema.simpleString()
     return records(read_lines(spark, path), name, text)
@@ -74,6 +96,26 @@ def to_csv_lines(df: DataFrame) -> DataFrame:
     return head.unionByName(rows)
 
 
+def csv_text(df: DataFrame) -> DataFrame:
+    """``at`` and ``value`` of the same lines as a file that spreadsheets open as UTF-8: a byte order mark before the header, a
+    carriage return at the end of each line (the writer adds the line feed)."""
+    mark = F.when(F.col("at") == -1, "\ufeff").otherwise("")
+    return to_csv_lines(df).select("at", F.concat(mark, "value", F.lit("\r")).alias("value"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Parts of a CSV file whose first one, in the order of their names, begins with the header."""
+    csv_text(df).repartitionByRange("at").sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """path, place, name of manifests (path, value): a JSON array of names, or an object that has one under ``posts``; names
+    that are empty or no strings are left out, and what is no manifest has none."""
+    p = F.try_parse_json("value")
+    names = F.coalesce(F.try_variant_get(p, "$.posts", "array<string>"), F.try_variant_get(p, "$", "array<string>"))
+    return files.select("path", F.posexplode(F.filter(names, lambda x: F.trim(x) != "")).alias("place", "name"))
+
+
 def parse_csv(files: DataFrame, columns: list[str], rewinds: int = 20) -> DataFrame:
     """(path, line, cells..., note) out of whole files (path, value): a quote that never closes is taken as a plain
     character, so the rows after it are not lost; ``note`` says quote, short or wide."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import layout
+from tessera.operators import columns, layout
 from tessera.plans.catalog import query
 from tessera.session import table
 
@@ -128,3 +128,41 @@ def described_pages(s: SparkSession, d: str) -> DataFrame:
     m = F.col("line") % 9
     x = _lines(s, d).withColumn("place", F.row_number().over(Window.partitionBy("doc", "page").orderBy("y", "line"))).withColumn("role", F.when(m == 0, "folio").when(m == 1, "heading").otherwise("body"))
     return layout.described(x, 15.0)
+
+
+_SET = """t AS (SELECT doc_id AS doc, doc_id % 3 + 1 AS k, regexp_extract_all(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), ' '), '(?s).{1,30}') AS pieces FROM documents),
+q AS (SELECT doc, k, unnest(pieces) AS t, generate_subscripts(pieces, 1) - 1 AS i FROM t),
+r AS (SELECT doc, i // k AS line, i % k AS run, length(t) AS chars, CAST((i % k) * (600.0 / k) + CASE WHEN doc % 4 = 0 AND i % k > 0 THEN (ascii(t) * 13 + i * 7) % 170 ELSE (i % 3) END AS DOUBLE) AS x0, (600.0 / k - 24) / 30 AS letter, k FROM q),
+runs AS (SELECT doc, line, run, chars, x0, CASE WHEN line % 7 = 3 AND run = 0 THEN 590.0 ELSE least(x0 + chars * letter, (run + 1) * 600.0 / k - 12) END AS x1 FROM r WHERE line % 7 <> 3 OR run = 0)"""
+
+
+@query(f"""WITH {_SET},
+gap AS (SELECT doc, line, lag(x1) OVER (PARTITION BY doc, line ORDER BY run) AS g0, x0 AS g1 FROM runs),
+h AS (SELECT doc, bin, count(DISTINCT line) AS parted FROM gap, (SELECT unnest(generate_series(30, 70)) AS bin) WHERE g1 > g0 AND (bin + 0.5) * 6.0 >= g0 AND (bin + 0.5) * 6.0 < g1 GROUP BY 1, 2),
+ends AS (SELECT doc, line, arg_min(x0, run) AS a, arg_max(x1, run) AS z FROM runs GROUP BY 1, 2),
+n AS (SELECT doc, bin, count(*) AS passing FROM ends, (SELECT unnest(generate_series(30, 70)) AS bin) WHERE (bin + 0.5) * 6.0 > a AND (bin + 0.5) * 6.0 < z GROUP BY 1, 2),
+v AS (SELECT n.doc, n.bin, parted, n.bin - row_number() OVER (PARTITION BY n.doc ORDER BY n.bin) AS run FROM n JOIN h ON h.doc = n.doc AND h.bin = n.bin WHERE passing >= 4 AND parted >= 0.55 * passing),
+b AS (SELECT doc, (min(bin) * 6.0 + (max(bin) + 1) * 6.0) / 2 AS x, sum(parted) AS depth, min(bin) AS a FROM v GROUP BY doc, run HAVING (max(bin) - min(bin) + 1) * 6.0 >= 12.0),
+g AS (SELECT doc, x, row_number() OVER (PARTITION BY doc ORDER BY depth DESC, a) AS rank, count(*) OVER (PARTITION BY doc) AS many FROM b),
+s AS (SELECT runs.doc, x0 > x AS side, count(*) AS starts, mad(x0) AS dev FROM runs JOIN g ON g.doc = runs.doc AND rank = 1 WHERE x0 <> x GROUP BY 1, 2),
+two AS (SELECT doc, count(*) FILTER (starts >= 4 AND dev <= 30) = 2 AS two FROM s GROUP BY 1),
+top AS (SELECT doc, min(x) AS l, max(x) AS r FROM g WHERE rank <= 2 AND many >= 2 GROUP BY 1),
+sg AS (SELECT runs.*, l, top.r, CAST((x0 + x1) / 2 >= l AS INTEGER) + CAST((x0 + x1) / 2 >= top.r AS INTEGER) AS k, x1 - x0 AS w FROM runs JOIN top ON top.doc = runs.doc),
+ok AS (SELECT * FROM sg WHERE NOT (k = 1 AND x0 < l) AND NOT (k = 2 AND x0 < r) AND NOT (k = 0 AND x1 > l) AND NOT (k = 1 AND x1 > r)),
+rf AS (SELECT doc, k, list_sort(list(w)) AS ws FROM ok GROUP BY 1, 2),
+st AS (SELECT ok.doc, ok.k, count(DISTINCT line) AS lines, avg(chars) AS prose, avg(CAST(w >= 0.85 * ws[least(len(ws) - 1, CAST(floor(len(ws) * 0.9) AS BIGINT)) + 1] AS INTEGER)) AS full_, count(*) AS starts, mad(x0) AS dev FROM ok JOIN rf ON rf.doc = ok.doc AND rf.k = ok.k GROUP BY 1, 2),
+th AS (SELECT doc, count(*) AS sides, min(lines) AS least_, max(lines) AS most, min(prose) AS prose, min(full_) AS full_, bool_and(starts >= 4 AND dev <= 30) AS edges FROM st GROUP BY 1),
+y AS (SELECT g.doc, g.x AS best, two, l, top.r, CASE WHEN many < 2 THEN 'one' WHEN top.r - l < 120 THEN 'apart' WHEN coalesce(sides, 0) < 3 OR least_ < 12 THEN 'lines' WHEN prose < 25 THEN 'prose' WHEN full_ < 0.5 THEN 'ragged' WHEN least_ < 0.4 * most THEN 'balance' WHEN NOT edges THEN 'edges' END AS why
+  FROM g LEFT JOIN two ON two.doc = g.doc LEFT JOIN top ON top.doc = g.doc LEFT JOIN th ON th.doc = g.doc WHERE rank = 1)
+SELECT t.doc, 1 AS page, CASE WHEN y.doc IS NULL THEN 1 WHEN why IS NULL THEN 3 WHEN two THEN 2 ELSE 1 END AS columns, CASE WHEN y.doc IS NULL THEN NULL WHEN why IS NULL THEN l WHEN two THEN best END AS "left", CASE WHEN why IS NULL THEN r END AS "right", why FROM t LEFT JOIN y ON y.doc = t.doc""")
+def column_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """Documents set in one to three columns of thirty letters, with spanning lines, some with starts out of line."""
+    squeezed = F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))
+    t = table(s, d, "documents").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 3 + 1).alias("k"), F.regexp_extract_all(squeezed, F.lit("(?s).{1,30}"), F.lit(0)).alias("pieces"))
+    r = t.select("doc", "k", F.posexplode("pieces").alias("i", "t")).withColumn("line", F.floor(F.col("i") / F.col("k"))).withColumn("run", F.col("i") % F.col("k")).withColumn("chars", F.length("t"))
+    off = F.when((F.col("doc") % 4 == 0) & (F.col("run") > 0), (F.ascii("t") * 13 + F.col("i") * 7) % 170).otherwise(F.col("i") % 3)
+    r = r.withColumn("x0", (F.col("run") * (F.lit(600.0) / F.col("k")) + off).cast("double")).where("line % 7 <> 3 OR run = 0")
+    end = F.least(F.col("x0") + F.col("chars") * ((F.lit(600.0) / F.col("k") - 24) / 30), (F.col("run") + 1) * 600.0 / F.col("k") - 12)
+    runs = r.select("doc", F.lit(1).alias("page"), "line", "run", "chars", "x0", F.when((F.col("line") % 7 == 3) & (F.col("run") == 0), 590.0).otherwise(end).alias("x1"))
+    pages = t.select("doc", F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(10.0).alias("font"))
+    return columns.verdicts(runs, pages)

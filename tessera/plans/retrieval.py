@@ -157,7 +157,9 @@ def quote_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH f AS (SELECT doc_id, source, lang, {FOLD_SQL} AS f FROM documents),
-h AS (SELECT doc_id, source, lang, unnest(list_filter(generate_series(0, length(f) - 2), lambda i: f[i + 1:i + 2] = 'de' AND (i = 0 OR NOT regexp_matches(f[i:i], '[\\p{{L}}\\p{{N}}]')) AND (i + 2 = length(f) OR NOT regexp_matches(f[i + 3:i + 3], '[\\p{{L}}\\p{{N}}]')))) AS pl FROM f WHERE contains(f, 'de')),
+u AS (SELECT doc_id, source, lang, unnest(string_split(f, 'de')) AS t, generate_subscripts(string_split(f, 'de'), 1) AS j, len(string_split(f, 'de')) AS parts FROM f WHERE contains(f, 'de')),
+w AS (SELECT *, CAST(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY j) - 2 AS BIGINT) AS pl, lead(t) OVER (PARTITION BY doc_id ORDER BY j) AS nx FROM u),
+h AS (SELECT * FROM w WHERE j < parts AND NOT (t = '' AND j > 1) AND NOT (nx = '' AND j + 1 < parts) AND NOT regexp_matches(right(t, 1), '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(left(nx, 1), '[\\p{{L}}\\p{{N}}]')),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pl) AS r, count(*) OVER (PARTITION BY source) AS n FROM h)
 SELECT source, lang, doc_id, count(*) AS hits, min(pl) AS first, n > 1000 AS truncated FROM r WHERE r <= 1000 GROUP BY source, lang, doc_id, n""")
 def hits_by_kind(s: SparkSession, d: str) -> DataFrame:

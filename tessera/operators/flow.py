@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import let
+from tessera.session import stored
 
 #: Beginnings and ends of words that keep their hyphen at a line's end (fixed values).
 KEEP_BEFORE = (
@@ -50,25 +50,77 @@ def gap_clusters(df: DataFrame, key: str, at: str, gap: float, out: str = "clust
     return df.withColumn("_d", F.col(at) - F.lag(at).over(w)).withColumn(out, F.sum(F.when(F.col("_d") > gap, 1).otherwise(0)).over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
-def chunks(df: DataFrame, key: str, order: list[str], size: str, most: int, items: int = 0) -> DataFrame:
+#: Rows of a block of chunks().
+ROWS = 4096
+
+
+def _filled(sizes: np.ndarray, most: float, items: int, total: float, n: int) -> tuple[np.ndarray, float, int]:
+    """Which rows begin a chunk, if the open one holds ``n`` rows of ``total``; and the same of the one open at the end. An open
+    chunk without rows takes the first."""
+    heads = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes.tolist()):
+        if n and (total + size > most or items and n >= items):
+            total, n, heads[i] = 0, 0, True
+        total, n = total + size, n + 1
+    return heads, total, n
+
+
+def chunks(df: DataFrame, key: str, order: list[str], size: str, most: int, items: int = 0, rows: int = ROWS) -> DataFrame:
     """df with ``chunk``: in order, rows fill a chunk until the next would pass ``most`` (or ``items`` rows). One row above
-    ``most`` is a chunk alone. Rows pass by in order; only a key's running totals are held."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, ("chunk", "int")])
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, total, n, chunk = object(), 0, 0, 0
-        for b in batches:
-            out = []
-            for k, s in zip(b[key], b[size]):
-                if k != now:
-                    now, total, n, chunk = k, 0, 0, 0
-                elif total + s > most or items and n >= items:
-                    total, n, chunk = 0, 0, chunk + 1
-                total, n = total + s, n + 1
-                out.append(chunk)
-            yield b.assign(chunk=pd.Series(out, index=b.index, dtype="int32"))
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
+    ``most`` is a chunk alone. A null size is none.
+
+    Keys are cut into blocks of ``rows``. How a block goes on from where its first new chunk begins does not depend on what came
+    before, so each block says, for each row at which that may be, how many chunks follow and what is open at its end. In
+    order of these summaries, which are as long as a chunk, it is found what each block starts from; then blocks are filled
+    apart. No task sees the rows of a whole key.
+    """
+    names = [c for c in df.columns]
+    parted = df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
+    n = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
+    parted = stored(parted.withColumn("_block", F.floor(n / rows).cast("int")).withColumn("_n", n).withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("double")))
+    by = [key, "_part", "_block"]
+    kind = dict(df.dtypes)[key]
+
+    def summary(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("_n")
+        sizes = t["_size"].to_numpy(float)
+        sums = np.cumsum(sizes)
+        m = len(sizes)
+        # after[p]: (chunks that begin from p on, total, rows) if one begins at p, from the end on
+        after: list[tuple[int, float, int]] = [(0, 0.0, 0)] * (m + 1)
+        for p in range(m - 1, -1, -1):
+            q = int(np.searchsorted(sums, most + (sums[p] - sizes[p]), "right"))
+            q = max(p + 1, min(q, p + items if items else m))
+            after[p] = (1 + after[q][0], after[q][1], after[q][2]) if q < m else (1, float(sums[-1] - sums[p] + sizes[p]), m - p)
+        reach = min(m, max(1, int(np.searchsorted(sums, most, "right"))) + 1, items + 1 if items else m)  # the first new chunk begins here at the latest
+        one = t.iloc[[0]][by].reset_index(drop=True)
+        return one.assign(m=m, all=float(sums[-1]), sums=[sums[:reach].tolist()], n=[[x[0] for x in after[:reach]]], total=[[x[1] for x in after[:reach]]], held=[[x[2] for x in after[:reach]]])
+
+    said = parted.select(*by, "_n", "_size").groupBy(*by).applyInPandas(summary, f"`{key}` {kind}, _part int, _block int, m int, all double, sums array<double>, n array<int>, total array<double>, held array<int>")
+
+    def begin(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["_part", "_block"])
+        total, held, chunk, out = 0.0, 0, 0, []
+        for m, all_, sums, n, totals, helds in zip(t["m"], t["all"], t["sums"], t["n"], t["total"], t["held"]):
+            out.append((total, held, chunk))
+            p = int(np.searchsorted(sums, most - total, "right")) if held else max(1, int(np.searchsorted(sums, most, "right")))
+            p = min(p, items - held) if items else p
+            if p < m:
+                chunk, total, held = chunk + n[p], totals[p], helds[p]
+            else:
+                total, held = total + all_, held + m
+        return t[by].assign(_total=[x[0] for x in out], _held=[x[1] for x in out], _chunk=[x[2] for x in out])
+
+    starts = said.groupBy(key).applyInPandas(begin, f"`{key}` {kind}, _part int, _block int, _total double, _held int, _chunk int")
+    same = F.col(f"a.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col("a._part") == F.col("c._part")) & (F.col("a._block") == F.col("c._block"))
+    j = parted.alias("a").join(starts.alias("c"), same).select("a.*", "c._total", "c._held", "c._chunk")
+
+    def fill(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("_n")
+        heads, _, _ = _filled(t["_size"].to_numpy(float), most, items, float(t["_total"].iloc[0]), int(t["_held"].iloc[0]))
+        return t[names].assign(chunk=(int(t["_chunk"].iloc[0]) + np.cumsum(heads)).astype("int32"))
+
+    return j.groupBy(*by).applyInPandas(fill, ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, ("chunk", "int")]))
 
 
 #: Values of an order that make a block of a running total.

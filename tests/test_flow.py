@@ -3,6 +3,7 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import parse
@@ -153,3 +154,22 @@ def test_running_totals_by_blocks(spark):
                 total += n
         got = {(x.k, x.i): x.before for x in flow.running(df, "k", "i", "n", 1500, down, 70).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("rows,most,items", [(1, 10, 0), (3, 10, 4), (4, 50, 0), (7, 50, 3), (4096, 50, 5), (5, 0, 0), (2, 1000, 0)])
+def test_chunks_by_blocks_are_those_of_a_loop(spark, rows, most, items):
+    r = random.Random(rows * 31 + most)
+    data = [(k, i, r.choice([0, 1, 3, 9, 10, 11, r.randrange(70), None]), "x") for k, n in (("a", 200), ("b", 1), ("c", 37)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, i int, size int, sums string").repartition(4)
+    got = {(x.k, x.i): x.chunk for x in flow.chunks(df, "k", ["i"], "size", most, items, rows).collect()}
+    want, now = {}, None
+    for k, i, s, _ in data:
+        s = s or 0
+        if k != now:
+            now, total, n, chunk = k, 0, 0, 0
+        elif total + s > most or items and n >= items:
+            total, n, chunk = 0, 0, chunk + 1
+        total, n = total + s, n + 1
+        want[k, i] = chunk
+    assert got == want
+    assert flow.chunks(df.limit(0), "k", ["i"], "size", most, items).count() == 0

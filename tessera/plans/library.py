@@ -94,9 +94,9 @@ def filled_backs(s: SparkSession, d: str) -> DataFrame:
     return vocab.fill_back(cards, answers, "c_nationkey").select("id", "back")
 
 
-@query("""SELECT doc_id, sha256(doc_id || chr(1) || trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g'))) AS id, trim(regexp_replace(substr(text, 1, 80), '\\s+', ' ', 'g')) AS front, 0 AS reps FROM documents""")
+@query("""SELECT doc_id, sha256(doc_id || chr(1) || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS front, 0 AS reps FROM documents""")
 def new_cards(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").select("doc_id", vocab.sentence_card(F.substring("text", 1, 80), F.col("lang"), F.col("doc_id"), F.current_timestamp()).alias("c"))
+    x = table(s, d, "documents").select("doc_id", vocab.sentence_card(F.col("text"), F.col("lang"), F.col("doc_id"), F.current_timestamp()).alias("c"))
     return x.select("doc_id", "c.id", "c.front", "c.sm2.reps")
 
 

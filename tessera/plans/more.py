@@ -38,12 +38,12 @@ def kept_counts(s: SparkSession, d: str) -> DataFrame:
     return merge.recount(now, p.where("p_size IN (7, 8)"), p.where("p_size < 8 AND p_size <> 7"), ["k"])
 
 
-@query("""WITH d AS (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0), r AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS lo, l_partkey + l_linenumber AS hi FROM lineitem WHERE l_quantity > 45), p AS (SELECT DISTINCT k, unnest(generate_series(lo, hi)) AS p FROM r),
+@query("""WITH d AS (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0), r AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS lo, l_partkey + l_linenumber AS hi FROM lineitem), p AS (SELECT DISTINCT k, unnest(generate_series(lo, hi)) AS p FROM r),
 m AS (SELECT k, p FROM p WHERE k NOT IN (SELECT k FROM d) OR (k % 2 = 0) OR NOT p BETWEEN 100 AND 900 UNION SELECT k, x FROM d, generate_series(100, 900) u(x) WHERE k % 2 = 0), n AS (SELECT *, p - row_number() OVER (PARTITION BY k ORDER BY p) AS g FROM m)
 SELECT k, min(p) AS lo, max(p) AS hi FROM n GROUP BY k, g""")
 def marked_read(s: SparkSession, d: str) -> DataFrame:
     """Pages 100 to 900 marked as read (even keys) or as unread, for documents that are there; others stay as they are."""
-    read = table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_linenumber")).alias("hi"))
+    read = table(s, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("lo"), (F.col("l_partkey") + F.col("l_linenumber")).alias("hi"))
     live = table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"))
     marks = s.range(1, 0).select(F.col("id").alias("k")).unionByName(table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))).select("k", F.lit(100).cast("long").alias("lo"), F.lit(900).cast("long").alias("hi"), (F.col("k") % 2 == 0).alias("on"))
     return ranges.marked(read, marks, live, "k")

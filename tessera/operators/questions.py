@@ -10,16 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.text import let
+
 _SAYS = r"the\s+answers?\s+(?:is|are)\s+"
+_LABEL = "(?:[IVXLC]{1,5}-)?[0-9]{1,3}"
+#: One label and one letter, after which no other may follow: what most answers are, read without splitting.
+_ONE = rf"(?i)\A *({_LABEL}) *\.\s+{_SAYS}([A-J])(?:[^\w\s,&]|\s++(?!and|[,&])|\s*\z)"
+
+
+def _label(x: Column) -> Column:
+    """struct(section, number) of a label in capitals."""
+    section = F.nullif(F.regexp_extract(x, "^([IVXLC]{1,5})-", 1), F.lit(""))
+    return F.struct(section.alias("section"), F.substring_index(x, "-", -1).cast("int").alias("number"))
 
 
 def label(token: Column) -> Column:
     """struct(section, number) of ``12`` or ``IV-12``, else null."""
-    parts = F.split(F.upper(F.trim(token)), "-")
-    number = F.element_at(parts, -1)
-    section = F.when(F.size(parts) == 2, F.get(parts, F.lit(0)))
-    ok = number.rlike("^[0-9]{1,3}$") & ((F.size(parts) == 1) | ((F.size(parts) == 2) & F.get(parts, F.lit(0)).rlike("^[IVXLC]{1,5}$")))
-    return F.when(ok, F.struct(section.alias("section"), number.cast("int").alias("number")))
+    return let(F.upper(F.trim(token)), lambda x: F.when(x.rlike(f"^{_LABEL}$"), _label(x)))
 
 
 def letters(raw: Column) -> Column:
@@ -38,49 +45,58 @@ def letters(raw: Column) -> Column:
     return F.coalesce(F.aggregate(words, F.struct(none.alias("l"), F.lit(0).alias("at")), step)["l"], none)
 
 
-def _first(text: Column) -> tuple[Column, Column]:
-    """The first word without its full stop (null if it has none), and what follows (null if nothing does)."""
-    words = F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+", 2)
-    return F.when(F.get(words, F.lit(0)).endswith("."), F.regexp_replace(F.get(words, F.lit(0)), r"\.$", "")), F.when(F.size(words) == 2, F.nullif(F.get(words, F.lit(1)), F.lit("")))
+def _rest(text: Column) -> Column:
+    """What follows the first word; null if nothing does."""
+    return F.nullif(F.get(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+", 2), F.lit(1)), F.lit(""))
+
+
+def _begins(text: Column, after: str) -> Column:
+    """The label of a first word that ends in a full stop, with ``after`` behind it."""
+    found = F.upper(F.regexp_extract(text, rf"(?iu)\A *({_LABEL})\.{after}", 1))
+    return F.when(found != "", _label(found))
 
 
 def question_label(text: Column) -> Column:
     """struct(section, number) of a paragraph that a number and a full stop begin, and that goes on."""
-    first, rest = _first(text)
-    return F.when(rest.isNotNull(), label(first))
+    return _begins(text, r"\s+\S")
 
 
 def bare_label(text: Column) -> Column:
     """struct(section, number) of a paragraph that is nothing but a number and a full stop."""
-    first, rest = _first(text)
-    return F.when(rest.isNull(), label(first))
+    return _begins(text, r"\s*\z")
 
 
 def option_letter(text: Column) -> Column:
-    first, rest = _first(text)
-    return F.when(rest.isNotNull() & first.rlike("^[A-E]$"), first)
+    return F.nullif(F.regexp_extract(text, r"\A *([A-E])\.\s+\S", 1), F.lit(""))
 
 
 def headless_answer(text: Column) -> Column:
     """Letters of "The answer is A", which no number begins; null for anything else."""
-    parts = F.split(text, rf"(?i)^\s*{_SAYS}", 2)
-    got = letters(F.get(parts, F.lit(1)))
-    return F.when((F.size(parts) == 2) & (F.size(got) > 0), got)
+    says = rf"(?i)^\s*{_SAYS}"
+    got = let(letters(F.get(F.split(text, says, 2), F.lit(1))), lambda x: F.when(F.size(x) > 0, x))
+    return F.when(text.rlike(says), got)
 
 
 def answer_list(text: Column) -> Column:
     """array(struct(section, number, letters)) of "3. The answers are A and C" or "1, 2 and 3. The answers are A, B and C";
-    a list needs as many letters as numbers, and all or none of them with a section. Null for anything else."""
-    parts = F.split(text, rf"(?i)\.\s+{_SAYS}", 2)
-    tokens = F.filter(F.split(F.get(parts, F.lit(0)), r"(?i)\s*(?:,|\band\b)\s*"), lambda x: F.trim(x) != "")
-    named = F.transform(tokens, label)
-    got = letters(F.get(parts, F.lit(1)))
-    right = (F.size(parts) == 2) & (F.size(got) > 0) & F.forall(named, lambda x: x.isNotNull())
-    roman = F.size(F.filter(named, lambda x: x["section"].isNotNull()))
-    n = F.size(named)
-    one = F.transform(named, lambda x: F.struct(x["section"].alias("section"), x["number"].alias("number"), got.alias("letters")))
-    many = F.zip_with(named, got, lambda x, y: F.struct(x["section"].alias("section"), x["number"].alias("number"), F.array(y).alias("letters")))
-    return F.when(right & (n == 1), one).when(right & (n > 1) & (n == F.size(got)) & ((roman == 0) | (roman == n)), many)
+    a list needs as many letters as numbers, and all or none of them with a section. Null for anything else; whatever
+    lacks the words is so at once."""
+    says = rf"(?i)\.\s+{_SAYS}"
+    tokens = lambda x: F.filter(F.split(x, r"(?i)\s*(?:,|\band\b)\s*"), lambda t: F.trim(t) != "")
+
+    def of(x: Column) -> Column:
+        named, got, n = x["named"], x["got"], F.size(x["named"])
+        right = (F.size(got) > 0) & F.forall(named, lambda k: k.isNotNull())
+        roman = F.size(F.filter(named, lambda k: k["section"].isNotNull()))
+        one = F.transform(named, lambda k: F.struct(k["section"].alias("section"), k["number"].alias("number"), got.alias("letters")))
+        many = F.zip_with(named, got, lambda k, y: F.struct(k["section"].alias("section"), k["number"].alias("number"), F.array(y).alias("letters")))
+        return F.when(right & (n == 1), one).when(right & (n > 1) & (n == F.size(got)) & ((roman == 0) | (roman == n)), many)
+
+    read = lambda parts: F.struct(F.transform(tokens(F.get(parts, F.lit(0))), label).alias("named"), letters(F.get(parts, F.lit(1))).alias("got"))
+    part = lambda i: F.upper(F.regexp_extract(text, _ONE, i))
+    k = _label(part(1))
+    single = F.array(F.struct(k["section"].alias("section"), k["number"].alias("number"), F.array(part(2)).alias("letters")))
+    return F.when(text.rlike(_ONE), single).when(text.rlike(says), let(let(F.split(text, says, 2), read), of))
 
 
 def answers(paras: DataFrame) -> DataFrame:
@@ -135,7 +151,7 @@ def questions(paras: DataFrame) -> DataFrame:
     p = p.withColumn("ok", F.min(F.col("right").cast("int")).over(run) == 1).where("ok")
     p = p.withColumn("more", F.max("n").over(q.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     p = p.where((F.col("n") < F.col("more")) | (F.col("letter").isNotNull()) | (F.col("n") == 0))  # what follows the last option is not its
-    body = F.when(F.col("kind").isin("option", "question"), _first(t)[1]).otherwise(F.trim(t))
+    body = F.when(F.col("kind").isin("option", "question"), _rest(t)).otherwise(F.trim(t))
     part = p.groupBy("doc", F.col("head.seq").alias("seq"), F.col("head._label").alias("label"), "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", body.alias("x")))), lambda r: r["x"]), " ").alias("x"))
     out = part.groupBy("doc", "seq", "label").agg(F.max(F.when(F.col("n") == 0, F.col("x"))).alias("stem"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(F.char(F.col("n") + 64).alias("letter"), F.col("x").alias("text"))))).alias("options"))
     return out.where(F.size("options") >= 2).select("doc", "seq", "label.section", "label.number", "stem", "options")

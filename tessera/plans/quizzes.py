@@ -192,7 +192,7 @@ def sections_in_two_passes(s: SparkSession, d: str) -> DataFrame:
     """Books of 400 pages: headings, questions, questions that name a section, and answers, which may stand far from them."""
     roman = F.split(F.lit("I II III IV V VI VII VIII IX X XI XII"), " ")
     x = table(s, d, "lineitem").select((F.col("l_suppkey") % 10).alias("doc"), (F.col("l_orderkey") % 400 + 1).alias("page"), "l_orderkey", "l_linenumber", (F.col("l_partkey") % 97).cast("string").alias("number"), F.get(roman, (F.col("l_partkey") % 12).cast("int")).alias("named"))
-    seq = F.row_number().over(Window.partitionBy("doc").orderBy("page", "l_orderkey", "l_linenumber"))
+    seq = F.struct("l_orderkey", "l_linenumber")  # the order in a page
     text = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Section "), F.get(roman, F.floor((F.col("page") - 1) / 36).cast("int")), F.lit(" of it")))
     text = text.when(F.col("l_linenumber") == 2, F.concat("number", F.lit(". What is it?"))).when(F.col("l_linenumber") == 3, F.concat_ws("-", "named", F.concat("number", F.lit(". And this?"))))
     paras = x.select("doc", "page", seq.alias("seq"), text.otherwise(F.concat("number", F.lit(". The answer is B"))).alias("text"))

@@ -21,3 +21,14 @@ def test_heaviest_are_kept_and_empty_goes_through(spark):
     assert [r.section for r in sections.index(p, 2).orderBy("section").collect()] == ["I", "II"]
     assert sections.index(p.limit(0)).count() == 0
     assert sections.index(paras(spark, (1, None), (1, "prose"))).count() == 0
+
+
+def test_no_paragraph_is_read_more_than_once(spark):
+    # nine pieces that overlap, and long windows: rows between stages stay as many as the paragraphs
+    rows = [(p, f"Section {'I' * (p % 3 + 1)}") for p in range(1, 100)] + [(p, "IV-1. The answer is B") for p in range(1, 100)] + [(p, f"{p}. Why so?") for p in range(1, 100)]
+    p = paras(spark, *sorted(rows))
+    found = sections.items(p)
+    assert found.count() == 198 and "Expand" not in (plan := sections.index(p)._jdf.queryExecution().optimizedPlan().toString())
+    assert "sequence(" not in plan  # pages of pieces are not made one by one and joined
+    got = {r.section: (r.start, r.end, r.questions, r.answered) for r in sections.index(p).collect()}
+    assert got["IV"] == (1, 99, 0, 0) and got["I"] == (4, 94, 31, 0)

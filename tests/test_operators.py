@@ -158,3 +158,32 @@ def test_quantiles_narrow_down(spark, monkeypatch):
     f = [0.0, 0.1, 0.25, 0.5, 0.613, 0.9, 1.0]
     assert np.allclose(quantiles.quantiles(df, F.col("x"), f), np.quantile(v, f))
     assert quantiles.quantiles(df.limit(0), F.col("x"), [0.5]) == [None]
+
+
+def test_union_sorts_once_and_aggregates_nothing(spark):
+    r = spark.createDataFrame([(1, 5, 1), (1, 1, 5), (1, 1, 2), (1, 6, 6), (1, 9, 9), (2, 3, 4), (2, 3, 4)], "k int, lo int, hi int")
+    u = ranges.union(r, "k", "lo", "hi")
+    assert sorted(tuple(x) for x in u.collect()) == [(1, 1, 6), (1, 9, 9), (2, 3, 4)]
+    plan = u._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_halves_of_pages_do_not_depend_on_the_order_of_sums(spark):
+    from tessera.operators import study
+
+    # 45 of 98 + 45 characters on six of nine pages; with three unknown ones of 143 / 6 each, 214.5 in all
+    rows = [(1, i, c) for i, c in enumerate([45.0, 20.0, 20.0, 20.0, 20.0, 18.0, None, None, None])]
+    pages = spark.createDataFrame(rows, "k int, page int, chars double")
+    got = study.remaining(pages, pages.where("page IN (0, 6, 7)").select("k", "page"), "k").first()
+    assert (got.total, got.done, got.left) == (215, 93, 122)
+    none = study.remaining(spark.createDataFrame([(1, 1, None), (1, 2, None)], "k int, page int, chars double"), pages.where("page = 1").select("k", "page"), "k").first()
+    assert (none.total, none.done) == (3600, 1800)
+
+
+def test_a_word_with_a_long_number_is_a_heading(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import outline
+
+    df = spark.createDataFrame([("CHAPTER 123456789", None), ("a 123456789", "noise"), ("1 2 3 4 a", "noise")], "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", outline.drop_reason(F.col("t"), F.lit(2.0)).alias("got")).collect())

@@ -16,12 +16,15 @@ SPEED_DAYS, MEASURED_MS, DEFAULT_CPM, PAGE_CHARS, TIGHT = 14, 30 * 60 * 1000, 84
 def remaining(pages: DataFrame, read: DataFrame, key: str) -> DataFrame:
     """key, total, done, left out of pages (key, page, chars or null) and read (key, page): a page whose size is not known
     counts as its document's mean."""
-    stats = pages.groupBy(key).agg(F.avg("chars").alias("mean"))
-    p = pages.join(stats, key).withColumn("c", F.coalesce("chars", "mean", F.lit(PAGE_CHARS)))
-    p = p.join(read.select(key, "page", F.lit(1).alias("r")).distinct(), [key, "page"], "left")
-    g = p.groupBy(key).agg(F.sum("c").alias("t"), F.coalesce(F.sum(F.when(F.col("r") == 1, F.col("c"))), F.lit(0.0)).alias("d"))
-    half_up = lambda x: F.floor(x + 0.5)
-    return g.select(key, half_up(F.col("t")).alias("total"), half_up(F.col("d")).alias("done")).withColumn("left", F.greatest(F.lit(0), F.col("total") - F.col("done")))
+    p = pages.join(read.select(key, "page", F.lit(1).alias("r")).distinct(), [key, "page"], "left")
+    known, done = F.col("chars").isNotNull(), F.col("r").isNotNull()
+    g = p.groupBy(key).agg(
+        F.coalesce(F.sum("chars"), F.lit(0.0)).alias("s"), F.count("chars").alias("n"), F.count_if(~known).alias("u"),
+        F.coalesce(F.sum(F.when(done, F.col("chars"))), F.lit(0.0)).alias("rs"), F.count_if(done & ~known).alias("ru"),
+    )
+    # sums of whole numbers, and one division at the end: a half is a half in whatever order the rows come
+    half_up = lambda own, of: F.when(F.col("n") > 0, F.floor((2 * (own * F.col("n") + F.col("s") * of) + F.col("n")) / (2 * F.col("n")))).otherwise(F.floor(PAGE_CHARS * of + 0.5))
+    return g.select(key, half_up(F.col("s"), F.col("u")).alias("total"), half_up(F.col("rs"), F.col("ru")).alias("done")).withColumn("left", F.greatest(F.lit(0), F.col("total") - F.col("done")))
 
 
 def speed(log: DataFrame, key: str, today: Column) -> DataFrame:

@@ -95,18 +95,24 @@ def explanation(text: Column, source: Column) -> Column:
     ok = let(number_tokens(source), lambda known: F.filter(simple_sentences(text), lambda x: F.size(F.array_except(number_tokens(x), known)) == 0))
     first = F.slice(ok, 1, SENTENCES)
     joined = F.aggregate(first, F.lit(""), lambda acc, x: F.when(acc == "", x).when(F.length(acc) + 1 + F.length(x) > CHARS, acc).otherwise(F.concat_ws(" ", acc, x)))
-    return F.nullif(F.when(F.length(joined) > CHARS, F.regexp_replace(F.substring(joined, 1, CHARS), r"\s+\S*$", "")).otherwise(joined), F.lit(""))
+    cut = lambda x: F.when(F.length(x) > CHARS, F.regexp_replace(F.substring(x, 1, CHARS), r"\s+\S*$", "")).otherwise(x)
+    return let(let(joined, cut), lambda x: F.when(x != "", x))
 
 
 def context(sentence: Column, para: Column, most: int = CONTEXT) -> Column:
     """A stretch of a paragraph about a sentence, whole words only; all of it if it is short."""
-    p, s = one_line(para), one_line(sentence)
-    n = F.length(p)
-    at = F.call_function("locate", s, p)
-    middle = F.when((at > 0) & (s != ""), at - 1 + F.length(s) / 2).otherwise(F.lit(0.0))
-    start = F.greatest(F.lit(0), F.least(n - most, F.floor(middle - most / 2 + 0.5).cast("int"))).cast("int")
-    cut = p.substr(start + 1, F.lit(most))
-    before, after = p.substr(start, F.lit(1)), p.substr(start + most + 1, F.lit(1))
-    cut = F.when((start > 0) & (before != " "), F.regexp_replace(cut, "^[^ ]+", "")).otherwise(cut)
-    cut = F.when((start + most < n) & (after != " "), F.regexp_replace(cut, "[^ ]+$", "")).otherwise(cut)
-    return F.when(n <= most, p).otherwise(F.trim(cut))
+
+    def place(x: Column) -> Column:
+        p, s, n = x["p"], x["s"], F.length(x["p"])
+        at = F.call_function("locate", s, p)
+        middle = lambda a: F.when((a > 0) & (s != ""), a - 1 + F.length(s) / 2).otherwise(F.lit(0.0))
+        start = lambda a: F.greatest(F.lit(0), F.least(n - most, F.floor(middle(a) - most / 2 + 0.5).cast("int"))).cast("int")
+        return F.when(n <= most, p).otherwise(let(let(at, start), lambda k: stretch(p, n, k)))
+
+    def stretch(p: Column, n: Column, start: Column) -> Column:
+        before, after = p.substr(start, F.lit(1)), p.substr(start + most + 1, F.lit(1))
+        cut = p.substr(start + 1, F.lit(most))
+        cut = F.when((start > 0) & (before != " "), F.regexp_replace(cut, "^[^ ]+", "")).otherwise(cut)
+        return F.trim(F.when((start + most < n) & (after != " "), F.regexp_replace(cut, "[^ ]+$", "")).otherwise(cut))
+
+    return let(F.struct(one_line(para).alias("p"), one_line(sentence).alias("s")), place)

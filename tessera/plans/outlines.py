@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import checks, scripts
+from tessera.functions.text import let
 from tessera.operators import outline
 from tessera.plans.catalog import query
 from tessera.session import table
@@ -152,6 +153,8 @@ def explained(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer")
     text = F.lit("It is so. There are 12 of them! But 13 are not. 끝났다。그러나")
     odd = F.when(F.col("c_custkey") % 2 == 0, "Only 99.").otherwise("None.")
-    para = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(999)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ")
+    para = F.lit(" ".join(f"w{i}" for i in range(100, 1000)))  # made once, not for each row
     cut = checks.context(F.when(F.col("c_custkey") % 2 == 0, "w505").otherwise("w506"), para, 100)
-    return c.select("c_custkey", checks.explanation(F.substring(text, 1, 47), F.lit("12 in all")).alias("kept"), F.size(checks.simple_sentences(text)).alias("sentences"), checks.explanation(odd, F.lit("")).isNull().alias("none"), F.substring_index(cut, " ", 1).alias("first"), F.size(F.split(cut, " ")).alias("words"))
+    of = let(cut, lambda x: F.struct(F.substring_index(x, " ", 1).alias("first"), F.size(F.split(x, " ")).alias("words")))
+    x = c.select("c_custkey", checks.explanation(F.substring(text, 1, 47), F.lit("12 in all")).alias("kept"), F.size(checks.simple_sentences(text)).alias("sentences"), checks.explanation(odd, F.lit("")).isNull().alias("none"), F.array(of).alias("_of"))
+    return x.select("c_custkey", "kept", "sentences", "none", F.inline("_of"))

@@ -25,9 +25,9 @@ def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     turned = lambda df: df.select(key, F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
     a, b = turned(a), turned(b)  # ranges that overlap are counted, so nothing need be merged first
     edge = lambda df, da, db: df.select(key, F.col("lo").alias("at"), F.lit(da).alias("da"), F.lit(db).alias("db")).unionByName(df.select(key, (F.col("hi") + 1).alias("at"), F.lit(-da).alias("da"), F.lit(-db).alias("db")))
-    e = edge(a, 1, 0).unionByName(edge(b, 0, 1)).groupBy(key, "at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    e = edge(a, 1, 0).unionByName(edge(b, 0, 1))
     w = Window.partitionBy(key).orderBy("at")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # edges at one place count together
     e = e.select(key, F.col("at").alias("lo"), (F.lead("at").over(w) - 1).alias("hi"), F.sum("da").over(run).alias("in_a"), F.sum("db").over(run).alias("in_b"))
     return union(e.where("in_a > 0 AND in_b = 0 AND hi >= lo").select(key, "lo", "hi"), key, "lo", "hi")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,8 +27,8 @@ class Form:
     """The characters of a form, and of each the beginning and the end of its source."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: array
+    ends: array
 
 
 @lru_cache(1 << 16)
@@ -38,7 +39,7 @@ def _pieces(c: str) -> str:
 
 
 def normal(text: str) -> Form:
-    out, starts, ends = [], [], []
+    out, starts, ends = [], array("i"), array("i")
     skip = {i for m in _BROKEN.finditer(text) for i in range(*m.span()) if text[m.end()].islower()}
     for i, c in enumerate(text):
         for p in () if i in skip else _pieces(c):
@@ -64,7 +65,7 @@ def loose(form: Form) -> Form:
             keep.append(i)
     if keep and t[keep[-1]] == " ":
         keep.pop()
-    return Form("".join(t[i] for i in keep), [form.starts[i] for i in keep], [form.ends[i] for i in keep])
+    return Form("".join(t[i] for i in keep), array("i", [form.starts[i] for i in keep]), array("i", [form.ends[i] for i in keep]))
 
 
 def _inside(a: str, b: str) -> bool:
@@ -100,8 +101,12 @@ _PLACE = StructType([StructField("how", StringType()), StructField("start", Inte
 
 @pandas_udf(_FORMS)
 def forms(text: pd.Series) -> pd.DataFrame:
-    made = [normal(t or "") for t in text]
-    return pd.DataFrame({"normal": [f.text for f in made], "loose": [loose(f).text for f in made]}, dtype=object)
+    def both(t: str | None) -> tuple[str, str]:  # places go as soon as a text is done: a batch keeps its forms' texts alone
+        f = normal(t or "")
+        return f.text, loose(f).text
+
+    made = [both(t) for t in text]
+    return pd.DataFrame({"normal": [a for a, _ in made], "loose": [b for _, b in made]}, dtype=object)
 
 
 @pandas_udf(_PLACE)

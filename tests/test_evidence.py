@@ -52,3 +52,18 @@ def test_every_quote_maps_back_to_its_text(spark):
     for k, _, claimed in quotes:
         own = sorted((v[0] == "loose", i != claimed, i) for (i, j), v in want.items() if j == k)
         assert best.get(k) == ((own[0][2], "loose" if own[0][0] else "exact") if own else None)
+
+
+def test_a_batch_keeps_the_forms_alone():
+    import tracemalloc
+
+    import pandas as pd
+
+    from tessera.functions.forms import forms
+
+    texts = pd.Series(["The quoted text of a page. " * 80] * 300)
+    tracemalloc.start()
+    forms.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 << 20  # places of all characters would take some 50 MB

@@ -37,7 +37,8 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 def hash_form(text: Column) -> Column:
     """NFKC, blanks collapsed, trimmed."""
-    return F.trim(F.regexp_replace(nfkc(text), r"(?U)\s+", " "))
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)  # plain ASCII is its own form and does not go to Python
+    return F.trim(F.regexp_replace(F.coalesce(nfkc(odd), text), r"(?U)\s+", " "))
 
 
 def content_hash(text: Column) -> Column:

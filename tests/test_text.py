@@ -99,3 +99,12 @@ def test_hits_and_snippets(spark):
     assert [r.s for r in s][:2] == ["Ünïted [fronts]", "are the [Fronts] of frontsmen"] and text[22:28] == "Fronts"
     assert search.hits(docs, "x").count() == 0
     assert np.array([1]).sum() == 1
+
+
+def test_plain_texts_do_not_go_to_python(spark):
+    from tessera.functions import hashing
+
+    rows = [("a  b\t", "a b"), ("ﬁn ½", "fin 1⁄2"), (None, None), ("", ""), ("é ", "é")]
+    df = spark.createDataFrame(rows, "t string, want string").select("want", hashing.hash_form(F.col("t")).alias("got"))
+    assert all(r.got == r.want for r in df.collect())
+    assert "nfkc(CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()

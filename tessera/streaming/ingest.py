@@ -2,7 +2,9 @@
 
 A batch writes the rows, what was derived from them and a mark for each key into one folder named by its id, in one job:
 either all of it is there or nothing, and a batch that runs again replaces its own. Of the batches that hold a key the
-newest counts, for the row and for what is derived. When the rules change, so does ``version``: keys without a mark of it
+newest counts, for the row and for what is derived. Kinds of rows are a column, not folders: folders would have a task sort
+all that it derives, and the kinds lie in files of their own anyway. Newest keys are hashed, so nothing derived is sorted to
+be read either. When the rules change, so does ``version``: keys without a mark of it
 are found by an anti-join and only these are derived again.
 """
 
@@ -47,11 +49,11 @@ class Ingest:
         self._write(own.unionByName(self._rows(base)), "main", batch_id)
 
     def _write(self, rows: DataFrame, run: str, batch_id: int) -> None:
-        rows.withColumn("version", F.when(F.col("what") == "base", "-").otherwise(self.version)).write.mode("overwrite").partitionBy("what", "version").parquet(f"{self.folder}/run={run}/batch={batch_id}")
+        rows.withColumn("version", F.when(F.col("what") == "base", "-").otherwise(self.version)).write.mode("overwrite").parquet(f"{self.folder}/run={run}/batch={batch_id}")
 
     def _read(self, what: str) -> DataFrame:
         fs, path = filesystem(self.spark, self.folder)
-        schema = f"k string, base {self.base_type}, derived {self.derived_type}, run string, batch long, what string, version string"
+        schema = f"k string, what string, base {self.base_type}, derived {self.derived_type}, version string, run string, batch long"
         if not fs.exists(path(self.folder)):
             return self.spark.createDataFrame([], schema).where(F.col("what") == what)
         return self.spark.read.schema(schema).parquet(self.folder).where(F.col("what") == what)
@@ -61,13 +63,19 @@ class Ingest:
 
     def base(self) -> DataFrame:
         """The newest row of each key."""
-        out = self._read("base").join(self._newest(), ["k", "batch"], "left_semi").select("base.*")
+        out = self._read("base").join(self._newest().hint("shuffle_hash"), ["k", "batch"], "left_semi").select("base.*")
         return out.where(~F.coalesce("removed", F.lit(False))) if self.removed else out
 
     def derived(self) -> DataFrame:
         """What is derived, by this version's rules, from the newest row of each key."""
-        own = self._read("derived").where(F.col("version") == self.version)
-        return own.join(self._newest(), ["k", "batch"], "left_semi").select("derived.*")
+        return self._derived().join(self._newest().hint("shuffle_hash"), ["k", "batch"], "left_semi").select("derived.*")
+
+    def _derived(self) -> DataFrame:
+        return self._read("derived").where(F.col("version") == self.version)
+
+    def derived_at_most(self) -> int:
+        """How many rows derived() has, or more: those of older rows of a key count too, so nothing is joined."""
+        return self._derived().count()
 
     def stale(self) -> DataFrame:
         """k, batch: keys whose newest row nothing is derived from by this version's rules."""

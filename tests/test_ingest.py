@@ -68,3 +68,13 @@ def test_only_candidates_are_searched(spark, small):
     plan = p.where(F.col("gram").isin([1, 2]))._jdf.queryExecution().toString()
     assert "PushedFilters: [In(gram" in plan
     assert postings.candidates(p, "ab") is None
+
+
+def test_nothing_derived_is_sorted(spark, tmp_path):
+    i = ingest(spark, f"file://{tmp_path}/i")
+    i.sink(rows(spark, (1, "a b", False, 1), (2, "c", None, 1)), 0)
+    i.sink(rows(spark, (1, "d", False, 2)), 1)
+    assert not list(tmp_path.glob("i/*/*/what=*"))  # a write into folders by kind sorts each task's rows
+    plan = i.derived()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert state(i)[1] == [(1, "d"), (2, "c")]

@@ -19,6 +19,8 @@ from tessera.operators import search
 
 #: Characters of a gram, and grams of a spelling that are looked up.
 SIZE, RARE = 3, 4
+#: Postings of a file, about: a task sorts no more.
+FILE_ROWS = 4_000_000
 
 
 def _ids(text: str) -> np.ndarray:
@@ -38,9 +40,10 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(gram_ids(fold(F.col(text)))).alias("gram")).select("gram", key)
 
 
-def stored(rows: DataFrame, folder: str, files: int, key: str = "doc_id") -> DataFrame:
-    """Postings written so that a gram's rows stand together, and those of a frequent one in several files."""
-    rows.repartitionByRange(files, "gram", key).sortWithinPartitions("gram", key).write.mode("overwrite").parquet(folder)
+def stored(rows: DataFrame, folder: str, files: int, key: str = "doc_id", most: int = 0) -> DataFrame:
+    """Postings written so that a gram's rows stand together, and those of a frequent one in several files: so many, or more
+    if ``most`` rows would make these too large."""
+    rows.repartitionByRange(max(files, -(-most // FILE_ROWS)), "gram", key).sortWithinPartitions("gram", key).write.mode("overwrite").parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

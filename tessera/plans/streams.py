@@ -64,7 +64,7 @@ SELECT doc_id, CAST(len(list_filter(generate_series(0, length(f) - 7), lambda i:
 def ingested_search(s: SparkSession, d: str) -> DataFrame:
     """Hits in documents that were ingested in batches, by the postings that were derived on the way."""
     i = _ingested(s, d)
-    rows = postings.stored(i.derived(), new_folder(s, "postings"), s.sparkContext.defaultParallelism)
+    rows = postings.stored(i.derived(), new_folder(s, "postings"), s.sparkContext.defaultParallelism, most=i.derived_at_most())
     return postings.counted(i.base(), rows, "license").select("doc_id", F.col("n").cast("long").alias("n"))
 
 

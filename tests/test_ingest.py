@@ -77,4 +77,11 @@ def test_nothing_derived_is_sorted(spark, tmp_path):
     assert not list(tmp_path.glob("i/*/*/what=*"))  # a write into folders by kind sorts each task's rows
     plan = i.derived()._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Sort [" not in plan
-    assert state(i)[1] == [(1, "d"), (2, "c")]
+    assert state(i)[1] == [(1, "d"), (2, "c")] and i.derived_at_most() == 4
+
+
+def test_more_postings_lie_in_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "FILE_ROWS", 100)
+    p = spark.range(1000).select((F.col("id") % 7).alias("gram"), F.col("id").alias("doc_id"))
+    assert postings.stored(p, f"file://{tmp_path}/p", 2, most=p.count()).count() == 1000
+    assert len(list(tmp_path.glob("p/part-*"))) == 10

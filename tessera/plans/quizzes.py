@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from tessera.operators import questions as Q, quiz, sections
 from tessera.plans.catalog import query
-from tessera.session import table
+from tessera.session import dealt, table
+
+#: Documents of some ten paragraphs that a task reads.
+DOCS = 20_000
 
 _LINES = """SELECT l_suppkey AS doc, concat('S', CAST(l_partkey % 40 AS VARCHAR(9))) AS section, CASE WHEN l_quantity > 10 THEN concat('T', CAST(l_partkey AS VARCHAR(9))) END AS title, l_orderkey % 300 + 1 AS page, CASE WHEN l_returnflag = 'A' THEN 'verified' ELSE 'open' END AS status, l_linenumber AS n, l_orderkey AS o, l_partkey AS p FROM lineitem"""
 
@@ -124,7 +127,8 @@ _KEY = (
 def orphan_answers(s: SparkSession, d: str) -> DataFrame:
     c = table(s, d, "customer")
     rows = F.array(*[F.struct(F.lit(i + 1).alias("seq"), F.lit(t).alias("text"), F.lit(k).alias("kind")) for i, (t, k) in enumerate(_KEY)])
-    p = c.select(F.col("c_custkey").alias("doc"), F.lit(1).alias("page"), "c_nationkey", F.inline(rows))
+    c = dealt(c.select(F.col("c_custkey").alias("doc"), "c_nationkey"), DOCS, "doc")
+    p = c.select("doc", F.lit(1).alias("page"), "c_nationkey", F.inline(rows))
     n = F.col("c_nationkey") % 4  # 1: a label is missing, 2: a gap in the numbers, 3: text between the labels
     p = p.where(~((n == 1) & (F.col("seq") == 2))).withColumn("text", F.when((n == 2) & (F.col("seq") == 4), "16.").when((n == 3) & (F.col("seq") == 3), "Some text").otherwise(F.col("text"))).withColumn("kind", F.when((n == 3) & (F.col("seq") == 3), "body").otherwise(F.col("kind")))
     return Q.orphan_answers(p.drop("c_nationkey"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import dates, parse, text as T
 from tessera.operators import flow, merge, phrases, questions as Q
 from tessera.plans.catalog import query
-from tessera.session import table
+from tessera.session import dealt, table
 from tessera.sources import records
 
 
@@ -125,6 +125,8 @@ def quote_forms(s: SparkSession, d: str) -> DataFrame:
     return x.select("k", "how", F.when(F.col("how") == "exact", F.col("q")).alias("form"))
 
 
+#: Customers whose pages a task reads.
+DOCS = 20_000
 #: A page of questions and answers for each customer.
 _QUIZ = (
     "SECTION I", "1. Which river is long?", "Read the map first.", "A. Short", "B. Long, and this goes", "over to the next page", "C. None", "2. A question without options?", "I-4. Which one?", "A. One", "B. Two",
@@ -134,7 +136,8 @@ _QUIZ = (
 
 @query("""SELECT c_custkey AS doc, v.* FROM customer, (VALUES (NULL, 1, 3, ['B'], 'verified'), ('I', 4, 2, ['A', 'F'], 'unverified'), (NULL, 5, 2, ['A'], 'verified'), (NULL, 6, 2, ['B'], 'verified')) v(section, number, options, answer, status)""")
 def parsed_questions(s: SparkSession, d: str) -> DataFrame:
-    p = _c(s, d).select(F.col("k").alias("doc"), F.posexplode(F.array(*map(F.lit, _QUIZ))).alias("seq", "text"))
+    c = dealt(_c(s, d).select(F.col("k").alias("doc")), DOCS, "doc")
+    p = c.select("doc", F.posexplode(F.array(*map(F.lit, _QUIZ))).alias("seq", "text"))
     return Q.verified(p).select("doc", "section", "number", F.size("options").alias("options"), "answer", "status")
 
 

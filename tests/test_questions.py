@@ -1,7 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import questions as Q
 from tessera.operators import study
+from tessera.plans import catalog
+from tessera.session import dealt
 
 TEXT = """SECTION I
 1. Which river is long?
@@ -63,3 +66,18 @@ def test_study(spark):
     n = spark.createDataFrame([("g", i) for i in range(20)], "graph string, id int")
     e = spark.createDataFrame([("g", 0, i) for i in range(25)] + [("g", 3, 0), ("g", 5, 6), ("h", 1, 2)], "graph string, a int, b int")
     assert sorted((r.a, r.b) for r in study.valid_edges(n, e, 4).collect()) == [(0, 1), (0, 5), (0, 6), (5, 6)]
+
+
+@pytest.mark.parametrize("name", ["parsed_questions", "orphan_answers"])
+def test_documents_are_dealt_before_they_become_paragraphs(spark, small, name):
+    lines = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = [i for i, x in enumerate(lines) if "Generate explode" in x or "Generate posexplode" in x or "Generate inline([" in x]
+    assert made
+    for i in made:  # what follows a line is below it
+        assert "REPARTITION_BY_NUM" in next((x for x in lines[i:] if "Exchange" in x or "Scan parquet" in x))
+
+
+def test_dealt_by_rows(spark):
+    x = dealt(spark.range(1000), 50, "id")
+    assert x.rdd.getNumPartitions() == 20 and x.count() == 1000
+    assert dealt(spark.range(3), 50, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -55,10 +55,15 @@ def line_texts(items: DataFrame) -> DataFrame:
     return g
 
 
+def with_boxes(lines: DataFrame, width: Column, height: Column) -> DataFrame:
+    """lines with left, top, right, bottom: what a line covers, cut off at the page's edges."""
+    cut = lambda c, most: F.greatest(F.lit(0.0), F.least(c, most))
+    return lines.select("*", cut(F.col("x"), width).alias("left"), cut(F.col("y") - F.col("size"), height).alias("top"), cut(F.col("x") + F.col("w"), width).alias("right"), cut(F.col("y") + 0.25 * F.col("size"), height).alias("bottom"))
+
+
 def boxes(lines: DataFrame, width: Column, height: Column) -> DataFrame:
     """doc, page, line, left, top, right, bottom: what a line covers, cut off at the page's edges."""
-    cut = lambda c, most: F.greatest(F.lit(0.0), F.least(c, most))
-    return lines.select(*PAGE, "line", cut(F.col("x"), width).alias("left"), cut(F.col("y") - F.col("size"), height).alias("top"), cut(F.col("x") + F.col("w"), width).alias("right"), cut(F.col("y") + 0.25 * F.col("size"), height).alias("bottom"))
+    return with_boxes(lines, width, height).select(*PAGE, "line", "left", "top", "right", "bottom")
 
 
 def page_metrics(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import columns, layout
 from tessera.plans.catalog import query
-from tessera.session import table
+from tessera.session import dealt, table
+
+#: Rows of lineitem or orders that a task takes to pages.
+ROWS = 250_000
 
 # a page of items for each order: three lines of up to three items in two sizes, one of them printed twice
 _ITEMS = """SELECT l_suppkey AS doc, l_orderkey AS page, l_linenumber AS item, CASE WHEN l_linenumber = 6 THEN ' ' ELSE concat(l_returnflag, CAST(l_linenumber AS VARCHAR(9))) END AS text, CAST(CASE l_linenumber % 3 WHEN 0 THEN 300 WHEN 1 THEN 50 ELSE 60 + l_quantity % 5 * 4 END AS DOUBLE) AS x, CAST(100 + l_linenumber // 3 * 20 + l_linenumber % 2 AS DOUBLE) AS y,
@@ -17,7 +20,7 @@ s AS (SELECT *, CASE WHEN y - lag(y) OVER o > 0.3 * greatest(size, lag(size) OVE
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    i = s.sql(_ITEMS.replace("FROM lineitem", "FROM {l}").replace("//", "div"), l=table(s, d, "lineitem"))
+    i = dealt(s.sql(_ITEMS.replace("FROM lineitem", "FROM {l}").replace("//", "div"), l=table(s, d, "lineitem")), ROWS, *layout.PAGE)
     one = i.groupBy("doc", "page", "item").agg(F.min(F.struct("x", "text", "y", "w", "size")).alias("r")).select("doc", "page", "item", "r.text", "r.x", "r.y", "r.w", "r.size")
     return layout.lines_of(layout.clean_items(one))
 
@@ -33,11 +36,8 @@ def page_items(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_ITEMS_ONE}, g AS (SELECT *, x - lag(x + w) OVER o AS gap FROM l WINDOW o AS (PARTITION BY doc, page, line ORDER BY x, item))
 SELECT doc, page, line, string_agg(CASE WHEN gap > 0.15 * size THEN ' ' ELSE '' END || trim(text), '' ORDER BY x, item) AS text, count(*) FILTER (gap > size) + 1 AS cells, min(x) AS x, max(x + w) - min(x) AS w, least(min(x), 310) AS "left", greatest(0, least(min(y) - max(size), 120)) AS top FROM g GROUP BY 1, 2, 3""")
 def page_lines(s: SparkSession, d: str) -> DataFrame:
-    twice = _items(s, d)
-    twice = twice.unionByName(twice.where("item = 1").withColumn("item", F.lit(0)).withColumn("x", F.col("x") - 0.5))  # printed twice
-    t = layout.line_texts(twice.withColumn("x", F.when(F.col("item") == 0, F.col("x") + 0.5).otherwise(F.col("x"))))
-    b = layout.boxes(t, F.lit(310.0), F.lit(120.0)).select("doc", "page", "line", "left", "top")
-    return t.join(b, ["doc", "page", "line"]).select("doc", "page", "line", "text", "cells", "x", "w", "left", "top")
+    twice = _items(s, d).withColumn("item", F.explode(F.when(F.col("item") == 1, F.array(F.col("item"), F.lit(0).cast("bigint"))).otherwise(F.array("item"))))  # some printed twice
+    return layout.with_boxes(layout.line_texts(twice), F.lit(310.0), F.lit(120.0)).select("doc", "page", "line", "text", "cells", "x", "w", "left", "top")
 
 
 @query("""SELECT o_orderkey, CASE WHEN abs(o_custkey % 9 - 4) <= 0.3 * greatest(10, o_orderkey % 13) THEN CASE WHEN o_orderkey % 13 < 8 THEN 'raised' ELSE 'same' END END AS kind FROM orders""")

@@ -86,15 +86,18 @@ def body_lines(lines: DataFrame, metrics: DataFrame, height: Column) -> DataFram
 
 
 def tracks(lines: DataFrame, width: Column) -> DataFrame:
-    """doc, page, track, lo, hi (bins): stretches of the page's width that lines cover, wide enough for a column. A line is
-    spread over the bins that it covers, and a bin counts if enough lines do."""
+    """doc, page, track, lo, hi (bins): stretches of the page's width that lines cover, wide enough for a column. A line adds
+    one where its first bin is and takes one off behind its last; running sums of these say how many lines cover the bins
+    from there on, and a bin counts if enough lines do."""
     first = F.greatest(F.lit(0), F.floor(F.col("x") * BINS / width)).cast("int")
     last = F.least(F.lit(BINS - 1), F.floor((F.col("x") + F.col("w")) * BINS / width)).cast("int")
-    spread = lines.select(*PAGE, first.alias("a"), last.alias("b")).where("a <= b").select(*PAGE, F.explode(F.sequence("a", "b")).alias("bin"))
-    n = spread.groupBy(*PAGE, "bin").agg(F.count("*").alias("n"))
-    n = n.withColumn("_top", F.max("n").over(Window.partitionBy(*PAGE))).where(F.col("n") >= COVERED * F.col("_top"))
-    run = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    t = n.withColumn("_r", run).groupBy(*PAGE, "_r").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where(F.col("hi") - F.col("lo") + 1 >= NARROW)
+    ends = lines.select(*PAGE, first.alias("a"), last.alias("b")).where("a <= b").select(*PAGE, F.inline(F.array(F.struct(F.col("a").alias("lo"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("lo"), F.lit(-1).alias("d")))))
+    w = Window.partitionBy(*PAGE).orderBy("lo")
+    n = ends.groupBy(*PAGE, "lo").agg(F.sum("d").alias("d")).withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.lead("lo").over(w) - 1)
+    n = n.withColumn("_top", F.max("n").over(Window.partitionBy(*PAGE))).where((F.col("n") > 0) & (F.col("n") >= COVERED * F.col("_top")))
+    new = F.when(F.col("lo") == F.lag("hi").over(w) + 1, 0).otherwise(1)
+    run = n.withColumn("_new", new).withColumn("_r", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = run.groupBy(*PAGE, "_r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("hi") - F.col("lo") + 1 >= NARROW)
     return t.withColumn("track", F.row_number().over(Window.partitionBy(*PAGE).orderBy("lo")).cast("int")).drop("_r")
 
 
@@ -107,10 +110,11 @@ def columns(lines: DataFrame, width: Column) -> DataFrame:
 
 def with_columns(lines: DataFrame, width: Column) -> DataFrame:
     """lines with ``col``: the track that holds a line's middle, 0 for a line that spans tracks or lies in none."""
-    t = tracks(lines, width).select(*PAGE, "track", (F.col("lo") * width / BINS).alias("_a"), ((F.col("hi") + 1) * width / BINS).alias("_b"))
-    j = lines.join(t, PAGE, "left").withColumn("_in", (F.col("x") >= F.col("_a") - 1e-9) & (F.col("x") + F.col("w") <= F.col("_b") + 1e-9))
-    keys = [c for c in lines.columns]
-    return j.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("_in"), F.col("track"))), F.lit(0)).alias("col"))
+    edges = F.struct("track", (F.col("lo") * width / BINS).alias("a"), ((F.col("hi") + 1) * width / BINS).alias("b"))
+    t = tracks(lines, width).groupBy(*PAGE).agg(F.collect_list(edges).alias("_tracks"))  # BINS / NARROW of them at most
+    held = F.filter("_tracks", lambda t: (F.col("x") >= t["a"] - 1e-9) & (F.col("x") + F.col("w") <= t["b"] + 1e-9))
+    col = F.coalesce(F.array_max(F.transform(held, lambda t: t["track"])), F.lit(0))
+    return lines.join(t, PAGE, "left").select(*lines.columns, col.alias("col"))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:

@@ -78,7 +78,8 @@ def page_columns(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TRACKS}, v AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY lo) AS track FROM t) SELECT l.doc, l.page, l.line, CAST(coalesce(max(track), 0) AS INTEGER) AS col FROM l LEFT JOIN v ON l.doc = v.doc AND l.page = v.page AND l.x >= lo * 6 AND l.x + l.w <= (hi + 1) * 6 GROUP BY 1, 2, 3")
 def lines_by_column(s: SparkSession, d: str) -> DataFrame:
-    return layout.with_columns(_lines(s, d).where("col > 0").drop("col"), F.lit(600.0)).select("doc", "page", "line", "col")
+    lines = dealt(_lines(s, d), ROWS, *layout.PAGE).where("col > 0").drop("col")
+    return layout.with_columns(lines, F.lit(600.0)).groupBy("doc", "page", "line").agg(F.max("col").alias("col"))
 
 
 @query(f"""WITH l AS ({_LINES}), b AS (SELECT *, sum(CASE WHEN col = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page ORDER BY y, line ROWS UNBOUNDED PRECEDING) * 2 - CASE WHEN col = 0 THEN 1 ELSE 0 END AS band FROM l)

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import columns
+from tessera.operators import columns, layout
+from tessera.plans import catalog
 
 SCHEMA = "doc string, page int, line int, run int, x0 double, x1 double, chars int"
 
@@ -42,3 +43,32 @@ def test_verdicts(spark, rows, n, why):
 def test_body_lines(spark):
     lines = spark.createDataFrame([("a", 1, 400.0, 10.0), ("a", 1, 20.0, 10.0), ("a", 1, 790.0, 10.0), ("a", 1, 300.0, 20.0), ("a", 1, 200.0, 11.0)], "doc string, page int, baseline double, size double")
     assert sorted(r.baseline for r in columns.body(lines, F.lit(800.0)).collect()) == [200.0, 400.0]
+
+
+@pytest.mark.parametrize("name", ["page_lines", "lines_by_column"])
+def test_pages_are_dealt_once_for_all_steps(spark, small, name):
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    assert "Union" not in plan and "sequence(" not in plan  # neither is an item made twice nor a line spread over bins
+
+
+def test_tracks_are_those_of_bins_counted_one_by_one(spark):
+    lines = [(d, 1, i, float(x), float(w)) for d in range(40) for i, (x, w) in enumerate([((d * 37 + k * 53) % 500 - 20, (d * 11 + k * 29) % 260 - 5) for k in range(1 + d % 9)])]
+    want = set()
+    for d in range(40):
+        n = [0] * layout.BINS
+        for _, _, _, x, w in (r for r in lines if r[0] == d):
+            for b in range(max(0, int(x // 6)), min(layout.BINS - 1, int((x + w) // 6)) + 1):
+                n[b] += 1
+        kept = [c > 0 and c >= layout.COVERED * max(n) for c in n] + [False]
+        runs, at = [], None
+        for b, k in enumerate(kept):
+            if k and at is None:
+                at = b
+            elif not k and at is not None:
+                runs.append((at, b - 1))
+                at = None
+        want |= {(d, i, a, b) for i, (a, b) in enumerate([r for r in runs if r[1] - r[0] + 1 >= layout.NARROW], 1)}
+    df = spark.createDataFrame(lines, "doc long, page int, line int, x double, w double")
+    got = {(r.doc, r.track, r.lo, r.hi) for r in layout.tracks(df, F.lit(600.0)).collect()}
+    assert got == want and len(want) > 20

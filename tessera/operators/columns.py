@@ -3,8 +3,9 @@
 Rows are runs of text (doc, page, line, run, x0, x1, chars) on pages (doc, page, width, font). The page's width is cut into
 BINS; a bin is a valley if, of the lines that pass over its middle (spanning ones too), the SHARE has a gap there. Valleys
 side by side make a band, and a band as wide as WIDE letters is a gutter. Two columns need starts of runs that stand in
-line on both sides; three need two gutters apart, and three sides of justified prose of like length. Each step counts
-bins or runs of a page by a shuffle on the page; nothing is collected.
+line on both sides; three need two gutters apart, and three sides of justified prose of like length. Runs, pages and
+gutters are stored once and dealt by page to tasks of some ROWS runs, where each step counts bins or runs of a page;
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.session import stored
+
 PAGE = ["doc", "page"]
+#: Runs that a task takes.
+ROWS = 250_000
 #: Bins; where gutters are sought; lines that must pass; the share of them that must part; letters of a gutter's width.
 BINS, FROM, TO, PASSING, SHARE, WIDE = 100, 0.30, 0.70, 4, 0.55, 1.2
 #: Starts on each side and how far they may deviate, in letters.
@@ -59,14 +64,17 @@ def gutters(runs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def _sides(runs: DataFrame, by: list[str]) -> DataFrame:
     """by, starts, deviation: how many runs begin on each side, and the median of how far from their median."""
-    m = runs.groupBy(*by).agg(F.median("x0").alias("_m"), F.count("*").alias("starts"))
-    return runs.join(m, by).groupBy(*by).agg(F.first("starts").alias("starts"), F.median(F.abs(F.col("x0") - F.col("_m"))).alias("deviation"))
+    r = runs.select(*by, "x0", F.median("x0").over(Window.partitionBy(*by)).alias("_m"))
+    return r.groupBy(*by).agg(F.count("*").alias("starts"), F.median(F.abs(F.col("x0") - F.col("_m"))).alias("deviation"))
 
 
 def verdicts(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, page, columns, left, right, why: the columns of each page and their gutters (null where there is none); ``why`` says
     why a page with gutters does not have three columns: one (gutter), apart, lines, prose, ragged, balance or edges."""
-    g = gutters(runs, pages)
+    runs = stored(runs)
+    tasks = max(runs.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // ROWS))
+    runs, pages = (x.repartition(tasks, *PAGE) for x in (runs, stored(pages)))
+    g = stored(gutters(runs, pages)).repartition(tasks, *PAGE)
     limit = pages.select(*PAGE, (F.col("font") * DEVIATE).alias("_limit"), "width")
     best = g.where("rank = 1").select(*PAGE, F.col("x").alias("best"), "of")
     side = runs.join(best, PAGE).withColumn("side", F.when(F.col("x0") < F.col("best"), 0).when(F.col("x0") > F.col("best"), 1)).where("side IS NOT NULL")

@@ -11,6 +11,8 @@ from tessera.session import dealt, table
 
 #: Rows of lineitem or orders that a task takes to pages.
 ROWS = 250_000
+#: Documents that a task sets in columns.
+SET = 2_000
 
 # a page of items for each order: three lines of up to three items in two sizes, one of them printed twice
 _ITEMS = """SELECT l_suppkey AS doc, l_orderkey AS page, l_linenumber AS item, CASE WHEN l_linenumber = 6 THEN ' ' ELSE concat(l_returnflag, CAST(l_linenumber AS VARCHAR(9))) END AS text, CAST(CASE l_linenumber % 3 WHEN 0 THEN 300 WHEN 1 THEN 50 ELSE 60 + l_quantity % 5 * 4 END AS DOUBLE) AS x, CAST(100 + l_linenumber // 3 * 20 + l_linenumber % 2 AS DOUBLE) AS y,
@@ -159,7 +161,8 @@ SELECT t.doc, 1 AS page, CASE WHEN y.doc IS NULL THEN 1 WHEN why IS NULL THEN 3
 def column_verdicts(s: SparkSession, d: str) -> DataFrame:
     """Documents set in one to three columns of thirty letters, with spanning lines, some with starts out of line."""
     squeezed = F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))
-    t = table(s, d, "documents").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 3 + 1).alias("k"), F.regexp_extract_all(squeezed, F.lit("(?s).{1,30}"), F.lit(0)).alias("pieces"))
+    docs = dealt(table(s, d, "documents").select(F.col("doc_id").alias("doc"), "text"), SET, "doc")
+    t = docs.select("doc", (F.col("doc") % 3 + 1).alias("k"), F.regexp_extract_all(squeezed, F.lit("(?s).{1,30}"), F.lit(0)).alias("pieces"))
     r = t.select("doc", "k", F.posexplode("pieces").alias("i", "t")).withColumn("line", F.floor(F.col("i") / F.col("k"))).withColumn("run", F.col("i") % F.col("k")).withColumn("chars", F.length("t"))
     off = F.when((F.col("doc") % 4 == 0) & (F.col("run") > 0), (F.ascii("t") * 13 + F.col("i") * 7) % 170).otherwise(F.col("i") % 3)
     r = r.withColumn("x0", (F.col("run") * (F.lit(600.0) / F.col("k")) + off).cast("double")).where("line % 7 <> 3 OR run = 0")

@@ -72,3 +72,17 @@ def test_tracks_are_those_of_bins_counted_one_by_one(spark):
     df = spark.createDataFrame(lines, "doc long, page int, line int, x double, w double")
     got = {(r.doc, r.track, r.lo, r.hi) for r in layout.tracks(df, F.lit(600.0)).collect()}
     assert got == want and len(want) > 20
+
+
+def test_runs_are_made_once(spark, small):
+    plan = catalog.QUERIES["column_verdicts"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan  # documents are cut into runs before, and these stored
+
+
+def test_runs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(columns, "ROWS", 2)
+    runs = spark.createDataFrame([("a", 1, i, 0, 0.0, 9.0, 5) for i in range(40)], SCHEMA)
+    pages = spark.createDataFrame([("a", 1, 600.0, 10.0)], "doc string, page int, width double, font double")
+    v = columns.verdicts(runs, pages)
+    assert [r.columns for r in v.collect()] == [1]
+    assert "hashpartitioning(doc" in (x := v._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in x

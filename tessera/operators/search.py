@@ -6,11 +6,12 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from tessera.functions.text import fold, fold_char, head_key
@@ -92,11 +93,10 @@ def hits(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", l
 def counted(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n, h (array of at, len): one row for each text that has a hit."""
     q = parse(query)
-    kind = ArrayType(StructType([StructField("at", IntegerType()), StructField("len", IntegerType())]))
 
-    @pandas_udf(kind)
-    def look(x: pd.Series) -> pd.Series:
-        return pd.Series([[{"at": a, "len": n} for a, n in find(t, q)] if t else [] for t in x])
+    @pandas_udf(ArrayType(IntegerType()))
+    def look(x: pd.Series) -> pd.Series:  # at, len, at, len: a batch holds eight bytes for a hit, and no object
+        return pd.Series([np.array(find(t, q) if t else [], np.int32).ravel() for t in x], dtype=object)
 
     hay = F.col(text) if q.cased else fold(F.col(text))
     rows = docs.select(key, hay.alias("hay"))
@@ -107,7 +107,9 @@ def counted(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text"
         for v in q.variants:
             some = some | F.col("hay").contains(v)
         rows = rows.where(some)
-    return rows.select(key, look("hay").alias("h")).where(F.size("h") > 0).select(key, F.size("h").alias("n"), "h")
+    found = rows.select(key, look("hay").alias("_f")).where(F.size("_f") > 0)
+    h = F.transform(F.sequence(F.lit(0), F.size("_f") - 2, F.lit(2)), lambda i: F.struct(F.get("_f", i).alias("at"), F.get("_f", i + 1).alias("len")))
+    return found.select(key, (F.size("_f") / 2).cast("int").alias("n"), h.alias("h"))
 
 
 def groups(found: DataFrame, key: str = "doc_id") -> DataFrame:

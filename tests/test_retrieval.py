@@ -1,5 +1,6 @@
 import pytest
 
+from tessera.operators import search
 from tessera.plans.retrieval import evidence_containment
 
 
@@ -50,3 +51,11 @@ def test_nearest_in_blocks(spark, monkeypatch):
             want[i] = min(labels, key=lambda l: (-labels.count(l), labels.index(l)))
     assert got == want
     assert stats.nearest(train, train.limit(0), 4).count() == 0
+
+
+def test_hits_leave_python_as_whole_numbers(spark):
+    docs = spark.createDataFrame([(1, "De la, de"), (2, None), (3, ""), (4, "made of"), (5, "de")], "doc_id long, text string")
+    c = search.counted(docs, "de")
+    assert sorted((r.doc_id, r.n, [tuple(x) for x in r.h]) for r in c.collect()) == [(1, 2, [(0, 2), (7, 2)]), (5, 1, [(0, 2)])]
+    assert "AS _f#" in c._jdf.queryExecution().analyzed().toString()  # not as a list of objects
+    assert dict(c.dtypes) == {"doc_id": "bigint", "n": "int", "h": "array<struct<at:int,len:int>>"}

@@ -8,13 +8,13 @@ places and their contexts are compared in Arrow batches of what is left.
 
 from __future__ import annotations
 
-import re
+from functools import cache
+from itertools import accumulate, chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
 from tessera.functions.text import fold, fold_char
@@ -44,22 +44,33 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def paragraph_hash(text: Column) -> Column:
-    return F.md5(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    return F.md5(F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " ")))  # a blank alone stays as it is
 
 
 def squeezed(text: Column) -> Column:
-    """Without case, accents, blanks and hyphens."""
-    return F.regexp_replace(fold(text), _GAPS, "")
+    """Without case, accents, blanks and hyphens. Plain ASCII has no accents and needs no table."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.regexp_replace(F.lower(text), r"[\s-]+", "")).otherwise(F.regexp_replace(fold(text), _GAPS, ""))
 
 
-def _gap(c: str) -> bool:
-    return c.isspace() or c in "­‐‑-"
+@cache
+def _squeezed_char(c: str) -> str:
+    return "" if c.isspace() or c in "­‐‑-" else fold_char(c)
 
 
 def _loose(text: str) -> tuple[str, list[int]]:
     """As squeezed(), and where each character came from."""
-    at = [i for i, c in enumerate(text) if not _gap(c)]
-    return "".join(fold_char(text[i]) for i in at), at
+    chars = [_squeezed_char(c) for c in text]
+    return "".join(chars), [i for i, c in enumerate(chars) if c]
+
+
+def _places(text: str, part: str) -> list[int]:
+    """Where a part begins in a text, those that overlap too."""
+    found, i = [], text.find(part)
+    while i >= 0:
+        found.append(i)
+        i = text.find(part, i + 1)
+    return found
 
 
 def _common(a: str, b: str) -> int:
@@ -72,42 +83,45 @@ def _common(a: str, b: str) -> int:
 def spots(text: str, exact: str, prefix: str, suffix: str, as_is: bool) -> list[tuple[int, int, int]]:
     """(offset, length, score) of every place of a quote in a text; the score is how much of the context agrees."""
     if as_is:
-        found = [(m.start(), m.start() + len(exact)) for m in re.finditer(f"(?={re.escape(exact)})", text)]
+        found = [(i, i + len(exact)) for i in _places(text, exact)]
         clean = lambda x: x
     else:
         hay, where = _loose(text)
         needle = _loose(exact)[0]
-        found = [(where[m.start()], where[m.start() + len(needle) - 1] + 1) for m in re.finditer(f"(?={re.escape(needle)})", hay)] if needle else []
+        found = [(where[i], where[i + len(needle) - 1] + 1) for i in _places(hay, needle)] if needle else []
         clean = lambda x: _loose(x)[0]
     p, s = clean(prefix)[::-1], clean(suffix)
     return [(a, b - a, _common(clean(text[max(0, a - 2 * CONTEXT) : a])[::-1], p) + _common(clean(text[b : b + 2 * CONTEXT]), s)) for a, b in found]
 
 
-_SPOTS = ArrayType(StructType([StructField("at", IntegerType()), StructField("len", IntegerType()), StructField("score", IntegerType())]))
+_SPOT = pa.struct({"at": pa.int32(), "len": pa.int32(), "score": pa.int32()})
 
 
 def _udf(as_is: bool):
-    @pandas_udf(_SPOTS)
-    def places(text: pd.Series, exact: pd.Series, prefix: pd.Series, suffix: pd.Series) -> pd.Series:
-        return pd.Series([[{"at": a, "len": n, "score": s} for a, n, s in spots(t, e, p or "", q or "", as_is)] for t, e, p, q in zip(text, exact, prefix, suffix)])
+    @arrow_udf("array<struct<at: int, len: int, score: int>>")
+    def places(text: pa.Array, exact: pa.Array, prefix: pa.Array, suffix: pa.Array) -> pa.Array:
+        found = [spots(t, e, p or "", q or "", as_is) for t, e, p, q in zip(*(x.to_pylist() for x in (text, exact, prefix, suffix)))]
+        ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+        columns = zip(*chain.from_iterable(found)) if ends[-1].as_py() else ((), (), ())
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in columns], fields=list(_SPOT)))
 
     return places
 
 
-def _sought(pairs: DataFrame, how: str, ids: list[str]) -> DataFrame:
-    """ids, found: of pairs (anchor, para, base, text) the place whose context agrees most; of several the nearest to where it
+def _sought(pairs: DataFrame, how: str) -> DataFrame:
+    """_id, found: of pairs (anchor, para, base, text) the place whose context agrees most; of several the nearest to where it
     was, and then ``tie`` is true."""
     found = pairs.withColumn("x", F.explode(_udf(how in ("para", "page"))("text", "exact", "prefix", "suffix")))
     if how not in ("para", "page"):
         small = F.length(squeezed(F.col("exact"))) < SHORT
         found = found.where(~small | (F.col("x.score") >= AGREES))
     found = found.withColumn("place", F.col("base") + F.col("x.at"))
-    w = Window.partitionBy(*ids)
+    w = Window.partitionBy("_id")
     found = found.withColumn("_best", F.max("x.score").over(w)).where(F.col("x.score") == F.col("_best"))
     near = F.struct(F.abs(F.col("place") - F.col("at")), "place")
     place = F.struct(F.col("place").alias("at"), F.col("x.len").alias("len"), F.col("x.score").alias("score"), F.lit(how).alias("how"))
-    out = found.groupBy(*ids).agg(F.min_by(place, near).alias("p"), (F.count_distinct("place") > 1).alias("tie"))
-    return out.select(*ids, F.struct("p.at", "p.len", "p.score", "p.how", "tie").alias("found"))
+    out = found.groupBy("_id").agg(F.min_by(place, near).alias("p"), (F.min("place") < F.max("place")).alias("tie"))
+    return out.select("_id", F.struct("p.at", "p.len", "p.score", "p.how", "tie").alias("found"))
 
 
 def resolve(anchors: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -117,27 +131,33 @@ def resolve(anchors: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFra
 
     Null or empty quotes and null texts find nothing; rows of one anchor each are found. A quote that holds line ends is
     sought across paragraphs."""
-    a = anchors if "hash" in anchors.columns else anchors.withColumn("hash", F.lit(None).cast("string"))
-    ids = [key, "exact", "prefix", "suffix", "at", "hash"]
-    left = a.where(F.length("exact") > 0).select(*ids).distinct()
+    given = stored(anchors.withColumn("_id", F.monotonically_increasing_id()))
+    hash_ = F.col("hash") if "hash" in anchors.columns else F.lit(None).cast("string")
+    left = given.where(F.length("exact") > 0).select("_id", key, "exact", "prefix", "suffix", "at", hash_.alias("hash"))
     paras = stored(paragraphs(docs, key))
     p = paras.select(key, "para", "base", "text")
-    loose = squeezed(F.col("exact"))
     whole = docs.select(key, F.lit(0).alias("para"), F.lit(0).alias("base"), "text")
+
+    def loosely(x: DataFrame, texts: DataFrame) -> DataFrame:
+        x = x.withColumn("_l", squeezed(F.col("exact"))).where("_l <> ''")
+        texts = texts.join(x.select(key), key, "left_semi").withColumn("_t", squeezed(F.col("text"))).repartition(key)  # once a text, not once a pair
+        return x.join(texts, key).where("contains(_t, _l)").drop("_l", "_t")
+
     steps = [
         ("para", lambda x: x.where("hash IS NOT NULL").join(paras, [key, "hash"]).where("contains(text, exact)")),
         ("page", lambda x: x.join(p, key).where("contains(text, exact)")),
-        ("fuzzy", lambda x: x.withColumn("_l", loose).where("_l <> ''").join(p.withColumn("_t", squeezed(F.col("text"))), key).where("contains(_t, _l)").drop("_l", "_t")),
-        ("across", lambda x: x.withColumn("_l", loose).where("_l <> ''").join(whole.withColumn("_t", squeezed(F.col("text"))), key).where("contains(_t, _l)").drop("_l", "_t")),
+        ("fuzzy", lambda x: loosely(x, p)),
+        ("across", lambda x: loosely(x, whole)),
     ]
     found = None
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ids]
     for how, pairs in steps:
-        own = stored(_sought(pairs(left), how, ids))
+        step = stored(left.join(_sought(pairs(left), how), "_id", "left"))
+        own = step.where("found IS NOT NULL").select("_id", "found")
         found = own if found is None else found.unionByName(own)
-        left = left.alias("l").join(own.alias("r"), same, "left_anti")
-    out = a.alias("l").join(found.alias("r"), same, "left").select("l.*", "r.found")
-    return out if "hash" in anchors.columns else out.drop("hash")
+        left = step.where("found IS NULL").drop("found")
+        if left.isEmpty():
+            break
+    return given.join(found, "_id", "left").drop("_id")
 
 
 def write_back(resolved: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import cite, parse
 from tessera.operators import anchors
 from tessera.plans.catalog import query
-from tessera.session import table
+from tessera.session import stored, table
 
 
 _CHANGED = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
@@ -29,9 +29,10 @@ def anchors_resolve(s: SparkSession, d: str) -> DataFrame:
     a = plain.select("doc_id", F.col("para").alias("line"), "hash", anchors.anchor(F.col("text"), F.lit(0), F.lit(24)).alias("a"), "base").select("doc_id", "line", "hash", "a.exact", "a.prefix", "a.suffix", (F.col("base") + F.col("a.at")).alias("at"))
     lower = "abcdefghijklmnopqrstuvwxyz "
     now = lambda t, i: F.when(i % 3 == 1, F.concat(F.lit("* "), t)).when(i % 3 == 2, F.translate(t, lower, lower.upper().replace(" ", "-"))).otherwise(t)
-    new = docs.select("doc_id", F.concat(F.lit("A new beginning.\n"), F.array_join(F.transform(F.split("text", "\n"), now), "\n")).alias("text"))
+    new = stored(docs.select("doc_id", F.concat(F.lit("A new beginning.\n"), F.array_join(F.transform(F.split("text", "\n"), now), "\n")).alias("text")))
     r = anchors.resolve(a, new).join(new, "doc_id")
-    once = F.length("text") - F.length(F.replace("text", F.col("exact"), F.lit(""))) == F.length("exact")
+    r = r.withColumn("first", F.when(F.col("found.how").isin("para", "page"), F.position("exact", "text")))
+    once = (F.col("first") > 0) & (F.position("exact", "text", F.col("first") + F.length("exact")) == 0)
     return r.select("doc_id", F.col("line").cast("long").alias("line"), "found.how", F.when(once, F.col("found.at")).cast("long").alias("once"))
 
 

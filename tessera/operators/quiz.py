@@ -89,10 +89,13 @@ def sections_in(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def read_pages(read: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """wanted (key, lo, hi) with ``n``: how many of its pages the read ranges (key, lo, hi) cover."""
-    r = ranges.union(read, key, "lo", "hi").select(key, F.col("lo").alias("a"), F.col("hi").alias("b"))
-    n = F.greatest(F.lit(0), F.least("b", "hi") - F.greatest("a", "lo") + 1)
-    return wanted.join(r, key, "left").groupBy(key, "lo", "hi").agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+    """wanted (key, lo, hi) with ``n``: how many of its pages the read ranges (key, lo, hi) cover. Only what of them lies in
+    wanted ranges is sorted and merged."""
+    w = wanted.select(key, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")).distinct()
+    r = read.select(key, F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")).where("a IS NOT NULL").join(w, key)
+    cut = r.where(F.greatest("a", "_lo") <= F.least("b", "_hi")).withColumns({"a": F.greatest("a", "_lo"), "b": F.least("b", "_hi")})
+    n = ranges.union(cut, [key, "_lo", "_hi"], "a", "b").groupBy(key, F.col("_lo").alias("lo"), F.col("_hi").alias("hi")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n"))
+    return wanted.join(n, [key, "lo", "hi"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def titles(paras: DataFrame, key: str, heading: Column, section: Column) -> DataFrame:

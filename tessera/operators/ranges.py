@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def union(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """(key, lo, hi): merged ranges of each key; a range given backwards is turned."""
-    r = df.select(key, F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi"))
-    w = Window.partitionBy(key).orderBy("lo")
+def union(df: DataFrame, key: str | list[str], lo: str, hi: str) -> DataFrame:
+    """(key, lo, hi): merged ranges of each key (or of each value of several columns); a range given backwards is turned."""
+    keys = [key] if isinstance(key, str) else key
+    r = df.select(*keys, F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi"))
+    w = Window.partitionBy(*keys).orderBy("lo")
     reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = r.select(key, "lo", F.lag("lo").over(w).alias("_prev"), F.lead("lo").over(w).alias("_next"), reach.alias("hi"))
+    r = r.select(*keys, "lo", F.lag("lo").over(w).alias("_prev"), F.lead("lo").over(w).alias("_next"), reach.alias("hi"))
     # one sort does it all: a merged range begins where no earlier one reaches, and ends where none begins in reach
     first = F.col("_prev").isNull() | (F.col("lo") > F.lag("hi").over(w) + 1)
     r = r.withColumn("_first", first).withColumn("_last", F.col("_next").isNull() | (F.col("_next") > F.col("hi") + 1))
     begun = F.last(F.when(F.col("_first"), F.col("lo")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return r.select(key, begun.alias("lo"), "hi", "_last").where("_last").drop("_last")
+    return r.select(*keys, begun.alias("lo"), "hi", "_last").where("_last").drop("_last")
 
 
 def subtract(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

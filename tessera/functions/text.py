@@ -110,21 +110,46 @@ def function_words(words: Column) -> dict[str, Column]:
     return {"words": F.size(words), "en": among(FUNCTION_WORDS["en"]), "fr": among(FUNCTION_WORDS["fr"]), "fr_es": among([w for w in FUNCTION_WORDS["fr"] if w != "la"]), "es": let(words, spanish)}
 
 
+#: Java looks behind by code points only if the pattern itself holds a character beyond the basic plane; this one is a letter.
+_AFTER_NO_LETTER = "(?<![\\p{L}\U00010000])"
+
+
+def found_words(text: Column) -> Column:
+    """The function words of all languages in a text, in lower case."""
+    words = "|".join(sorted({w for ws in FUNCTION_WORDS.values() for w in ws}))
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"{_AFTER_NO_LETTER}(?i:{words})(?!\p{{L}})"), F.lit(0)), F.lower)
+
+
+def found_function_words(text: Column, found: Column) -> dict[str, Column]:
+    """function_words() by found_words() of a text, without its other words. A Spanish one that begins with a capital, but is not
+    all capitals, and that no word in lower case follows is taken off again."""
+    among = lambda xs: F.size(F.filter(found, lambda x: x.isin(*xs)))
+    titled = rf"{_AFTER_NO_LETTER}(?=\p{{Lu}})(?!\p{{Lu}}+(?!\p{{L}}))(?i:{'|'.join(FUNCTION_WORDS['es'])})(?!\p{{L}})(?!\P{{L}}+\p{{Ll}})"
+    spanish = among(FUNCTION_WORDS["es"])
+    return {"en": among(FUNCTION_WORDS["en"]), "fr": among(FUNCTION_WORDS["fr"]), "fr_es": among([w for w in FUNCTION_WORDS["fr"] if w != "la"]), "es": spanish - F.when(spanish > 0, count_of(text, titled)).otherwise(0)}
+
+
 def with_language(df: DataFrame, text: str) -> DataFrame:
     """Adds guess and score: by script from three tenths of the letters up, else by function words at twice the rival's
-    rate. Counts are columns of their own below, so each pattern passes a text once."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " "))
+    rate. Counts are columns of their own below, so each pattern passes a text once; letters are only counted where a script
+    but Latin may have some, and function words where none of these decides."""
+    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s{2,}|[^\S ]", " "))  # a blank alone stays as it is
     d = df.withColumn("_t", t)
-    d = d.withColumn("_beyond", beyond_latin(F.col("_t"))).withColumn("_all", letter_words(F.col("_t")))
-    counts = script_counts(F.col("_t"), F.col("_beyond")) | {f"w_{k}": c for k, c in function_words(F.col("_all")).items()}
-    d = d.withColumns({f"_{k}": c for k, c in counts.items()})
-    c = {k: F.col(f"_{k}") for k in counts}
+    d = d.withColumn("_beyond", beyond_latin(F.col("_t")) & (F.length("_t") >= 200))
+    scripts = script_counts(F.col("_t"), F.col("_beyond"))
+    scripts["letters"] = F.when(F.col("_beyond"), scripts["letters"]).otherwise(0)
+    d = d.withColumns({f"_{k}": c for k, c in scripts.items()})
+    c = {k: F.col(f"_{k}") for k in scripts}
     enough = lambda x: (c["letters"] > 0) & (x * 10 >= c["letters"] * 3)
     three = lambda x: F.floor(x * 1000 + 0.5) / 1000
     share = lambda x: three(x / c["letters"])
-    en, fr, es = c["w_en"], c["w_fr"], c["w_es"]
-    big, small, rival = F.greatest(en, fr), F.least(en, fr), F.greatest(en, c["w_fr_es"])
     kana = (c["kana"] > 0) & enough(c["kana"] + c["han"])
+    by_words = (F.length("_t") >= 200) & ~(enough(c["hangul"]) | kana | enough(c["han"]) | enough(c["arabic"]))
+    d = d.withColumn("_found", F.when(by_words, found_words(F.col("_t"))).otherwise(F.array().cast("array<string>")))
+    words = found_function_words(F.col("_t"), F.col("_found"))
+    d = d.withColumns({f"_w_{k}": x for k, x in words.items()})
+    en, fr, es = F.col("_w_en"), F.col("_w_fr"), F.col("_w_es")
+    big, small, rival = F.greatest(en, fr), F.least(en, fr), F.greatest(en, F.col("_w_fr_es"))
     spanish = (es >= 2) & (es >= 2 * rival)
     cases = [
         (F.length("_t") < 200, "en", F.lit(0.0)),
@@ -139,7 +164,7 @@ def with_language(df: DataFrame, text: str) -> DataFrame:
     lang, score = F.lit("en"), three(1 - small / big)
     for when, code, x in reversed(cases):
         lang, score = F.when(when, code).otherwise(lang), F.when(when, x).otherwise(score)
-    return d.withColumns({"guess": lang, "score": score.cast("double")}).drop("_t", "_beyond", "_all", *[f"_{k}" for k in counts])
+    return d.withColumns({"guess": lang, "score": score.cast("double")}).drop("_t", "_beyond", "_found", *[f"_{k}" for k in scripts], *[f"_w_{k}" for k in words])
 
 
 _WIDE = r"[\x{AC00}-\x{D7A3}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]"

@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.forms import forms, quote_place
-from tessera.operators.search import containing
+from tessera.operators.search import meeting
 
 
 def candidates(paras: DataFrame, quotes: DataFrame) -> DataFrame:
-    """para, quote_id: paragraphs (para, text) of which a form holds that of a quote (quote_id, quote), by equality of words."""
-    p = paras.select("para", forms("text").alias("f"))
-    q = quotes.select("quote_id", forms("quote").alias("f"))
-    found = None
-    for form in ("normal", "loose"):
-        own = containing(p.select("para", F.col(f"f.{form}").alias("text")), q.where(F.col(f"f.{form}") != "").select("quote_id", F.col(f"f.{form}").alias("passage")), "para", "quote_id")
-        found = own if found is None else found.unionByName(own)
-    return found.distinct()
+    """para, text, quote_id, quote: paragraphs (para, text) of which a form holds that of a quote (quote_id, quote). A form is
+    made once. Loose words serve both: a quote's inner words are the same in its loose form and in that of any text that
+    holds it in either form."""
+    p = paras.select("para", "text", forms("text").alias("f")).select("para", "text", "f.*")
+    q = quotes.select("quote_id", "quote", forms("quote").alias("f")).select("quote_id", "quote", F.col("f.normal").alias("q_normal"), F.col("f.loose").alias("q_loose"))
+    near = meeting(p, q.where("q_normal <> ''"), "para", "quote_id", "loose", "q_loose")
+    held = "contains(normal, q_normal) OR q_loose <> '' AND contains(loose, q_loose)"
+    return near.where(held).select("para", "text", "quote_id", "quote")
 
 
 def places(paras: DataFrame, quotes: DataFrame) -> DataFrame:
     """para, quote_id, how, start, end of every paragraph that holds a quote at whole words: text[start:end] is what it holds."""
-    c = candidates(paras, quotes).join(paras.select("para", "text"), "para").join(quotes.select("quote_id", "quote"), "quote_id")
+    c = candidates(paras, quotes)
     return c.select("para", "quote_id", quote_place("text", "quote").alias("p")).where("p.how IN ('exact', 'loose')").select("para", "quote_id", "p.*")
 
 

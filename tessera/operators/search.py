@@ -149,38 +149,43 @@ def line_ranges(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
 FEW = 10_000
 
 
-def containing(docs: DataFrame, passages: DataFrame, key: str, item: str) -> DataFrame:
-    """key, item: texts (key, text) that contain a passage (item, passage) as it stands.
-
-    A passage's words but the first and the last stand whole in any text that holds it, so each passage is looked up by one
-    of those: the two neighbours that are longest together, or the only one. Texts meet passages by the hashes of their
-    words and pairs of words, in one pass, and hold them where they meet. Up to FEW passages every task has them all and
-    texts do not move; beyond, words are shuffled alone and only texts that meet a passage follow. Passages of one or two
-    words have no inner word: they are sought in every text, FEW at a time.
+def meeting(docs: DataFrame, passages: DataFrame, key: str, item: str, text: str = "text", passage: str = "passage") -> DataFrame:
+    """All columns of texts (key, text) and passages (item, passage), for each two of which the text may contain the passage.
+
+    A passage's words but the first and the last stand whole in any text that holds it, so each passage is looked up by some
+    of those: the two neighbours of which the first is longest, or the only one. Of a text only words count that are as long
+    as the shortest that is looked up. They meet by their hashes, in one pass. Up to FEW passages every task has them all
+    and texts do not move; beyond, words are shuffled alone and only texts that meet a passage follow. Passages of one or
+    two words have no inner word: they meet every text, FEW at a time.
     """
-    w = F.split("passage", r"\s+")
-    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: F.concat(F.get("_w", i), F.lit(" "), F.get("_w", i + 1)))
-    longest = lambda a: F.aggregate(a, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
-    p = passages.select(item, "passage", F.when(F.size(w) > 2, inner).alias("_w"))
-    p = p.withColumn("_k", F.when(F.size("_w") == 1, F.get("_w", F.lit(0))).when(F.size("_w") > 1, longest(pairs)))
-    known = p.where("_k IS NOT NULL").select(item, "passage", F.xxhash64("_k").alias("_k"))
-    short = p.where("_k IS NULL").select(item, "passage")
-    n_known, n_short = p.agg(F.count("_k"), F.count("*") - F.count("_k")).first()
-    found = docs.limit(0).select(key, F.lit(None).cast(dict(passages.dtypes)[item]).alias(item))
+    # a pair begins at each word, so pairs overlap: they are what lies ahead of a place
+    every = lambda c, n: F.regexp_extract_all(c, F.lit(rf"(?<!\S)(?=(\S{{{n},}}\s+\S+))"), F.lit(1))
+    word = lambda c, n: F.regexp_extract_all(c, F.lit(rf"(?<!\S)\S{{{n},}}"), F.lit(0))
+    p = passages.withColumn("_w", word(passage, 1)).withColumn("_p", every(passage, 1))
+    p = p.withColumn("_w", F.when(F.size("_w") == 3, F.get("_w", F.lit(1)))).withColumn("_p", F.slice("_p", 2, F.greatest(F.size("_p") - 2, F.lit(0))))
+    p = p.withColumn("_p", F.array_max(F.transform("_p", lambda x: F.struct(F.length(F.regexp_extract(x, r"^\S+", 0)).alias("first"), F.length(x).alias("n"), x.alias("pair")))))
+    p = p.withColumn("_k", F.xxhash64(F.coalesce("_w", "_p.pair"))).withColumn("_k", F.when(F.coalesce("_w", "_p.pair").isNotNull(), F.col("_k")))
+    known, short = p.where("_k IS NOT NULL").drop("_w", "_p"), p.where("_k IS NULL").drop("_w", "_p", "_k")
+    n_known, n_short, one, two = p.agg(F.count("_k"), F.count_if(F.col("_k").isNull()), F.min(F.length("_w")), F.min("_p.first")).first()
+    found = docs.limit(0).join(passages.limit(0))
     if n_known:
-        words = F.split("text", r"\s+")
-        both = F.concat(F.col("_t"), F.when(F.size("_t") > 1, F.zip_with(F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>")))
-        grams = F.explode(F.array_distinct(F.transform(both, lambda x: F.xxhash64(x)))).alias("_k")
+        own = F.concat(*[word(text, one)] * (one is not None), *[every(text, two)] * (two is not None))
+        grams = F.explode(F.array_distinct(F.transform(own, lambda x: F.xxhash64(x)))).alias("_k")
         if n_known <= FEW:
-            near = docs.select(key, "text", words.alias("_t")).select(key, "text", grams).join(F.broadcast(known), "_k")
+            near = docs.select(*docs.columns, grams).join(F.broadcast(known), "_k").drop("_k")
         else:
-            near = docs.select(key, words.alias("_t")).select(key, grams).join(known, "_k").select(key, item, "passage").distinct().join(docs.select(key, "text"), key)
-        found = found.unionByName(near.where("contains(text, passage)").select(key, item))
+            near = docs.select(key, grams).join(known, "_k").drop("_k").distinct().join(docs, key)
+        found = found.unionByName(near)
     if n_short:
         rounds = -(-2 * n_short // FEW) if n_short > FEW else 1
-        dealt = short.distinct().withColumn("_r", F.pmod(F.xxhash64(item, "passage"), F.lit(rounds)))
+        dealt = short.withColumn("_r", F.pmod(F.xxhash64(item, passage), F.lit(rounds)))
         for r in range(rounds):
             own = F.broadcast(dealt.where(F.col("_r") == r).drop("_r"))  # some FEW / 2 rows, or FEW in one round
-            found = found.unionByName(docs.join(own, F.expr("contains(text, passage)")).select(key, item))
-    return found.distinct()
+            found = found.unionByName(docs.crossJoin(own))
+    return found
+
+
+def containing(docs: DataFrame, passages: DataFrame, key: str, item: str) -> DataFrame:
+    """key, item: texts (key, text) that contain a passage (item, passage) as it stands."""
+    near = meeting(docs.select(key, "text"), passages.select(item, "passage").distinct(), key, item)
+    return near.where("contains(text, passage)").select(key, item).distinct()

@@ -13,6 +13,10 @@ from tessera.session import dealt, table
 from tessera.sources import records
 
 
+#: Customers whose pages a task reads.
+DOCS = 20_000
+
+
 def _c(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").withColumn("k", F.col("c_custkey"))
 
@@ -91,7 +95,8 @@ def phrase_dictionary(s: SparkSession, d: str) -> DataFrame:
     """Phrases of a dictionary in texts: the longest counts, plurals and case do not, ambiguous ones do not."""
     dic = s.createDataFrame([("heart failure class", "hf"), ("heart", "heart"), ("failures", "f1"), ("failure", "f2"), ("aortic valves", "valve"), ("valve", "v")], "term string, concept string")
     t = F.concat(F.lit("The Heart failures class. My hearts, failure: áortic... "), F.lit("x Aortic valve "), F.col("c_name"))
-    return phrases.phrase_matches(_c(s, d).select("k", F.regexp_replace(t, "áortic", "and").alias("text")), dic, "k")
+    c = dealt(_c(s, d).select("k", "c_name"), DOCS, "k")  # matches of a text meet where it was dealt to
+    return phrases.phrase_matches(c.select("k", F.regexp_replace(t, "áortic", "and").alias("text")), dic, "k")
 
 
 @query("""SELECT c_custkey, ['One two.', 'Three; ' || repeat('ab ', 80) || repeat('cd,', 17), repeat('cd,', 3) || '.', 'Last!'] AS parts FROM customer""")
@@ -125,8 +130,6 @@ def quote_forms(s: SparkSession, d: str) -> DataFrame:
     return x.select("k", "how", F.when(F.col("how") == "exact", F.col("q")).alias("form"))
 
 
-#: Customers whose pages a task reads.
-DOCS = 20_000
 #: A page of questions and answers for each customer.
 _QUIZ = (
     "SECTION I", "1. Which river is long?", "Read the map first.", "A. Short", "B. Long, and this goes", "over to the next page", "C. None", "2. A question without options?", "I-4. Which one?", "A. One", "B. Two",

@@ -15,8 +15,10 @@ m AS (SELECT *, coalesce(c, avg(c) OVER (PARTITION BY k), 1800.0) AS x FROM p),
 SELECT k, CAST(floor(sum(x) + 0.5) AS BIGINT) AS total, CAST(floor(coalesce(sum(x) FILTER (EXISTS (SELECT 1 FROM r WHERE r.k = m.k AND r.page = m.page)), 0) + 0.5) AS BIGINT) AS done,
 greatest(0, CAST(floor(sum(x) + 0.5) AS BIGINT) - CAST(floor(coalesce(sum(x) FILTER (EXISTS (SELECT 1 FROM r WHERE r.k = m.k AND r.page = m.page)), 0) + 0.5) AS BIGINT)) AS "left" FROM m GROUP BY 1""")
 def remaining_pages(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("page"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("chars"), "l_linestatus")
-    return study.remaining(p.drop("l_linestatus"), p.where("l_linestatus = 'F'").select("k", "page"), "k")
+    """The SQL adds doubles as rows come: those of a key are added in their order in the table, as it does on one thread."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    p = table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("page"), F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).alias("chars"), "l_linestatus", *at)
+    return study.remaining(p.drop("l_linestatus"), p.where("l_linestatus = 'F'").select("k", "page"), "k", ["file", "row"])
 
 
 @query("""WITH g AS (SELECT user_id, sum(value) * 10000 AS ms, count(*) * 1000 AS chars FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20' AND CAST(ts AS DATE) > DATE '2024-01-06' GROUP BY 1)
